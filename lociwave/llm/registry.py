@@ -1,14 +1,22 @@
 """The queries of this subpackage and the DuckDB statements of those that have one."""
 
-from . import bpe, langid, licences, mixing, neardup, quality, warc
+from . import ann, binary, bpe, langid, licences, mixing, neardup, quality, topk, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_minhash_dedup": neardup.op3_minhash_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_feistel_shards": binary.op5_feistel_shards,
     "op6_quality_mil": quality.op6_quality_mil,
     "op7_license_scan": licences.op7_license_scan,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_warc": warc.op9_warc,
+    "op10_multiprobe_lsh": ann.op10_multiprobe_lsh,
+}
+ORACLES = {
+    "op3_minhash_dedup": neardup.OP3_SQL,
+    "op7_license_scan": licences.OP7_SQL,
+    "op8_exact_topk": topk.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
-ORACLES = {"op3_minhash_dedup": neardup.OP3_SQL, "op7_license_scan": licences.OP7_SQL, "op9_warc": warc.OP9_SQL}
