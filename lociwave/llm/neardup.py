@@ -206,6 +206,34 @@ def keeps(doc_id: Column, component_id: Column) -> Column:
     return doc_id.eqNullSafe(component_id)
 
 
+def with_key(df: DataFrame, text_col: str, key_col: str) -> DataFrame:
+    @F.arrow_udf("binary")
+    def keyed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            pieces = slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")
+            yield pa.array([k for piece in pieces for k in set_keys(sets_of(piece.column(0)))], pa.binary())
+
+    return df.withColumn(key_col, keyed(F.col(text_col).cast("string")))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without all but one document of each group; rows with no shingle all stay.
+
+    With unique ids the ids that go are enough. Otherwise rows are told apart by
+    id and set, and of rows that repeat both one stays.
+    """
+    found = written(cluster(df, id_col, text_col), "nd-found")
+    gone = found.where(~keeps(F.col("doc_id"), F.col("component_id")) & F.col("key").isNotNull())
+    unique = found.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("u")).first()["u"]
+    if unique:
+        gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__gone")))
+        return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    rows = with_key(df, text_col, "__key")
+    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct())
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
+    return rows.where("__key is null").unionByName(rows.where("__key is not null").dropDuplicates([id_col, "__key"])).drop("__key")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents."""
     found = cluster(table(spark, sf_dir, "documents").select("doc_id", "text"))
