@@ -1 +1 @@
-"""Placeholder package docstring."""
+"""Column functions on sequences, pileups, codons and statistics."""

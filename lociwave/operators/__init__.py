@@ -1 +1 @@
-"""Placeholder package docstring."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Placeholder package docstring."""
+"""Named queries: plans made of the operators."""

@@ -1,10 +1,8 @@
-"""Named queries over the driver tables and their DuckDB counterparts."""
+"""All named queries and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lociwave.plans import diversity  # noqa: F401
+from lociwave.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

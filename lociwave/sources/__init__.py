@@ -1 +1 @@
-"""Placeholder package docstring."""
+"""Readers, sinks and the genomics views over the driver tables."""

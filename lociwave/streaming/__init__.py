@@ -1 +1 @@
-"""Placeholder package docstring."""
+"""Structured Streaming form of the bounded-lateness pileup."""
