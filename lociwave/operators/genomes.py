@@ -87,11 +87,12 @@ def expanded(genes: DataFrame, sites: DataFrame) -> DataFrame:
     ends = genes.select("genome", "gene_id", F.explode(F.array(F.struct((F.col("start") - 1).cast("long").alias("at"), F.lit("left").alias("end")), F.struct(F.col("end").cast("long").alias("at"), F.lit("right").alias("end")))).alias("e"))
     ends = ends.select("genome", F.col("e.at").alias("at"), F.lit(None).cast("long").alias("mark"), "gene_id", F.col("e.end").alias("end"))
     rows = marks.unionByName(ends)
-    w = Window.partitionBy("genome").orderBy(F.col("at"), F.col("mark").isNull())
+    # An end comes before a mark at the same place: the left mark is beyond it, the right one may be there.
+    w = Window.partitionBy("genome").orderBy(F.col("at"), F.col("mark").isNotNull())
     before = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("mark", ignorenulls=True).over(Window.partitionBy("genome").orderBy(F.col("at"), F.col("mark").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
+    after = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"before": before, "after": after}).where("gene_id is not null")
-    return rows.groupBy("genome", "gene_id").agg(F.max(F.when(F.col("end") == "left", F.col("at") - F.col("before"))).alias("left"), F.max(F.when(F.col("end") == "right", F.col("after") - F.col("at"))).alias("right"))
+    return rows.groupBy("genome", "gene_id").agg(F.max(F.when(F.col("end") == "left", F.col("at") - F.col("before") - 1)).alias("left"), F.max(F.when(F.col("end") == "right", F.col("after") - F.col("at"))).alias("right"))
 
 
 def mcl(edges: pd.DataFrame, inflation: float = 2.0, rounds: int = 100) -> list[list[str]]:

@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "higher_taxa": ("region", "SELECT CAST(1000 + r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, 'species' AS rank, r_name AS name FROM {table}"),
     "sequences": (
         "documents",
-        "SELECT doc_id AS id, regexp_replace(translate(upper(coalesce(text, '')), 'EIOSRN', 'ATGCAT'), '[^ATGC]', ''{global}) AS seq FROM {table}",
+        "SELECT doc_id AS id, regexp_replace(translate(coalesce(text, ''), 'eiosrnatgcEIOSRN', 'ATGCATATGCATGCAT'), '[^ATGC]', ''{global}) AS seq FROM {table}",
     ),
     "members": (
         "lineitem",
