@@ -31,7 +31,7 @@ EVERY = 20
 TABLES, HASHES = 3, 16
 #: Cell width as a share of the common norm.
 CELL = 1.25
-VISIT, LEAST_VISIT = 0.18, 256
+VISIT, LEAST_VISIT = 0.25, 512
 SEED = 11
 
 

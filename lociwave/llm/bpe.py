@@ -65,8 +65,12 @@ def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
 
 
 def boundaries(piece: str, whole_end: bool) -> np.ndarray:
-    """Where pre-tokens end in the piece, without those its cut end may have moved."""
-    ends = np.fromiter((m.end() for m in pattern().finditer(piece)), np.int32)
+    """Where a piece may be cut: ends of pre-tokens, without those its own cut end may have moved.
+
+    Ends of white space are no cuts: how a run of it is split depends on what
+    follows, and a piece that ended there would split it otherwise.
+    """
+    ends = np.fromiter((m.end() for m in pattern().finditer(piece) if not piece[m.end() - 1].isspace()), np.int32)
     return ends if whole_end else ends[ends <= len(piece) - GUARD_CHARS]
 
 

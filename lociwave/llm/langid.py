@@ -150,7 +150,10 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", docs_per
     order_of = np.concatenate([np.full(len(x), n) for n, x in enumerate(index)]).astype(int)
     for n, gram, label, c in zip(kept["n"], kept["gram"], kept["label"], kept["c"], strict=True):
         counted[index[n][gram], own[label]] = c
-    logs = np.log((counted + SMOOTHING) / (totals + SMOOTHING * (kinds + 1))[order_of])
+    # What a language lacks costs the same in each, or one with little text would win unseen words.
+    space = totals + SMOOTHING * (kinds + 1)
+    space = np.where(counted > 0, space[order_of], space.max(1)[order_of][:, None])
+    logs = np.log((counted + SMOOTHING) / space)
     return Model(languages, index, logs.astype(np.float32))
 
 
