@@ -7,14 +7,17 @@ own random probe sequence (optimal densification). ``BANDS`` bands of ``ROWS``
 bins give bucket keys: at similarity 0.75 two classes share none of the buckets
 with probability 3e-7.
 
-Candidates are stars, not pairs: in each round every bucket has one centre (the
-least by a hash that changes with the round) and each class keeps the centre it
-meets in most buckets, so a round confirms one edge per class at most, on full
-sets. Links merge labels; buckets whose classes have one label are done. What
-stars leave open (two classes in one bucket with different labels) is counted;
-once it is at most ``OPEN_PER_CLASS`` per class, or after ``MOST_STARS`` rounds,
-the pairs across labels whose set sizes allow a link are confirmed too. So no
-link that shares a bucket is lost, and a large group costs stars, not pairs.
+Candidates are stars, not pairs: in each round every bucket has one centre and
+each class keeps the centre it meets in most buckets, so a round confirms one
+edge per class at most, on full sets. The centre is the class with the most bucket mates (the
+original of its copies), in every second round the least by a hash. Links merge labels; buckets whose classes have one label are done. When a
+round no longer halves what is open (two classes of one bucket with different
+labels), the classes of open buckets meet once more through an exact filter:
+with their shingles ordered by frequency, rarest first, two sets that are similar
+enough share one of the first ``n - ceil(0.75 n) + 1``, at places that leave room
+for the overlap they need. A passage that thousands of texts share is frequent
+and so stands at the end: it fills buckets, but makes no pairs. So no link that
+shares a bucket is lost, and a large group costs stars, not pairs.
 
 Edges to a centre with many members are salted by degree. Tables between steps
 lie in the shared folder. A null or empty text has an empty set and links with
@@ -39,8 +42,9 @@ SHINGLE = 5
 SIMILAR = 75
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-OPEN_PER_CLASS = 4
 MOST_STARS = 6
+#: A further round of stars must leave at most this share of the open pairs open.
+WORTH = 0.5
 STAR_EDGES = 1024
 #: Bucket keys that a broadcast may hold (8 bytes each).
 BROADCAST_KEYS = 500_000
@@ -156,10 +160,26 @@ def _open(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
     """The buckets (b, c) with more than one label, with labels; and how many pairs across labels they hold."""
     rows = buckets.select("b", "c").join(maybe_broadcast(labels), "c")
     per = rows.groupBy("b", "label").agg(F.count(F.lit(1)).alias("m"))
-    per = per.groupBy("b").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    per = per.groupBy("b").agg(F.sum("m").alias("members"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
     per = written(per, "nd-open")
     left = per.agg(F.sum("pairs")).first()[0] or 0
-    return written(rows.join(maybe_broadcast(per.select("b"), BROADCAST_KEYS), "b"), "nd-buckets"), left
+    return written(rows.join(maybe_broadcast(per.select("b", "members"), BROADCAST_KEYS), "b"), "nd-buckets"), left
+
+
+def _remaining(buckets: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): pairs of classes of open buckets, with different labels, that pass the prefix, length and positional filters."""
+    open_classes = written(buckets.select("c", "n", "label").distinct(), "nd-left")
+    tokens = sets.join(maybe_broadcast(open_classes), "c").select("c", "n", "label", F.explode("h").alias("t"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = tokens.join(often, "t", "left").groupBy("c", "n", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t"))).alias("o"))
+    size = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
+    prefix = order.select("c", "n", "label", F.posexplode(F.slice("o", F.lit(1), size.cast("int"))).alias("pos", "x")).where("x.f > 1")
+    prefix = written(prefix.select(F.col("x.t").alias("t"), "c", "n", "label", "pos"), "nd-prefix")
+    one, two = (prefix.select("t", *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "label", "pos")]) for i in (1, 2))
+    need = F.ceil((F.col("n1") + F.col("n2")) * similar / (100 + similar))
+    fits = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * similar) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
+    pairs = one.join(two, "t").where((F.col("c1") < F.col("c2")) & (F.col("label1") != F.col("label2")) & fits)
+    return pairs.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -176,19 +196,21 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     if total:
         wanted = classes.join(maybe_broadcast(labels.select("c")), "c", "left_semi").select("rid", "key", "c")
         sets = written(class_sets(df, id_col, text_col, written(wanted, "nd-wanted")), "nd-sets")
+    before = None
     for turn in range(MOST_STARS + 1):
         if not total:
             break
         buckets, left = _open(buckets, labels)
         if not left:
             break
-        last = turn == MOST_STARS or (turn > 0 and left <= OPEN_PER_CLASS * total)
+        last = turn == MOST_STARS or (before is not None and left > WORTH * before)
+        before = left
         if last:
-            one, two = (buckets.select("b", *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "label")]) for i in (1, 2))
-            pairs = one.join(two, "b").where("c1 < c2 and label1 <> label2").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * similar)
-            edges = pairs.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+            edges = _remaining(buckets, sets, similar)
         else:
-            centre = buckets.groupBy("b").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "label", "n")).alias("s")).select("b", F.col("s.c").alias("a"), F.col("s.label").alias("la"), F.col("s.n").alias("na"))
+            known = buckets.groupBy("c").agg(F.sum("members").alias("mates"))
+            order = F.struct((-F.col("mates") if turn % 2 == 0 else F.lit(0)).alias("mates"), F.xxhash64("c", F.lit(turn)).alias("o"), "c", "label", "n")
+            centre = buckets.join(maybe_broadcast(written(known, "nd-mates")), "c").groupBy("b").agg(F.min(order).alias("s")).select("b", F.col("s.c").alias("a"), F.col("s.label").alias("la"), F.col("s.n").alias("na"))
             met = buckets.join(maybe_broadcast(written(centre, "nd-centres"), BROADCAST_KEYS), "b").where("c <> a and label <> la").where(F.least("n", "na") * 100 >= F.greatest("n", "na") * similar)
             met = met.groupBy("c", "a").agg(F.count(F.lit(1)).alias("votes")).groupBy("c").agg(F.max(F.struct("votes", "a")).alias("s"))
             edges = met.select(F.col("s.a").alias("a"), F.col("c").alias("b"))
