@@ -88,8 +88,8 @@ def probe(p: np.ndarray, order: np.ndarray, heads: np.ndarray, cells: np.ndarray
 
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of the nearest rows found."""
-    some = lambda rows: rows.where(F.exists("vec", lambda x: x != 0))
-    rows, asks = some(distinct_vectors(df, id_col, vec_col)), some(distinct_vectors(queries, id_col, vec_col))
+    some = lambda rows: rows.where(F.exists(vec_col, lambda x: x != 0))
+    rows, asks = distinct_vectors(some(df), id_col, vec_col), distinct_vectors(some(queries), id_col, vec_col)
     width = width_of(rows.unionByName(asks))
     norm = float(rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0)
 

@@ -24,7 +24,7 @@ def usable(vec: Column) -> Column:
 def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) without unusable vectors, null ids and rows that repeat both."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return rows.where(F.col("id").isNotNull() & usable(F.col("vec"))).dropDuplicates(["id", "vec"])
+    return written(rows.where(F.col("id").isNotNull() & usable(F.col("vec"))).dropDuplicates(["id", "vec"]), "vectors")
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -39,6 +39,11 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def even(rows: DataFrame, most: int) -> DataFrame:
+    """The rows dealt in turn to as many tasks as packs of ``most`` rows need: how many packs there are follows from the rows alone."""
+    return rows.repartition(max(1, -(-rows.count() // most)))
+
+
 def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray, np.ndarray], dict[str, bytes]], names: list[str]) -> DataFrame:
     """(pack, n, *names) with the binary parts that ``build(ids, vectors)`` makes of at most ``most`` rows."""
 
@@ -63,7 +68,7 @@ def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray,
         if held:
             yield full()
 
-    return rows.mapInArrow(run, "pack long, n int, " + ", ".join(f"{k} binary" for k in names))
+    return even(rows, most).mapInArrow(run, "pack long, n int, " + ", ".join(f"{k} binary" for k in names))
 
 
 def searched(shards: DataFrame, queries: DataFrame, one: Callable[[dict, dict], dict[str, np.ndarray]], score_type: str, k: int) -> DataFrame:
