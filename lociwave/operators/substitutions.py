@@ -72,3 +72,19 @@ def bootstrap(bundles: DataFrame, times: int, seed: int = 1) -> DataFrame:
     draws = bundles.select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("boot"), F.col("idx").alias("draw"), "n")
     draws = draws.select("boot", F.pmod((F.col("boot") * 7919 + F.col("draw") * 104729 + seed * 15485863), F.col("n")).alias("idx"))
     return draws.join(bundles.drop("n"), "idx")
+
+
+#: Correlations by name, each a function of (substitutions, maxl) that gives lag, its value and n.
+CORRELATIONS = {"Ct": ("ct", total_correlation), "Cs": ("cs", structure_correlation), "Cm": ("cm", mutation_correlation), "Cr": ("cr", rate_correlation)}
+
+
+def bundle(subs: DataFrame, maxl: int, names: tuple[str, ...] = ("Ct", "Cs", "Cm", "Cr")) -> DataFrame:
+    """kind, lag, value, n of the named correlations as one table."""
+    parts = []
+    for name in names:
+        column, function = CORRELATIONS[name]
+        parts.append(function(subs, maxl).select(F.lit(name).alias("kind"), "lag", F.col(column).alias("value"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

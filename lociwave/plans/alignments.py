@@ -147,6 +147,12 @@ def rcov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rate_correlation(substitutions(spark, sf_dir), 8).withColumn("cr", clean(F.col("cr")))
 
 
+@query(f", {SUBS}, {BOTH}, cm AS (SELECT aln, row, lag, covar_pop(xa, xb) AS c FROM b2 GROUP BY ALL HAVING count(*) >= 4), av AS (SELECT aln, pos, avg(x) AS x FROM subs GROUP BY ALL HAVING count(x) = count(*)), cr AS (SELECT a.aln, b.pos - a.pos AS lag, covar_pop(a.x, b.x) AS c FROM av a JOIN av b ON a.aln = b.aln AND b.pos >= a.pos AND b.pos - a.pos < 8 GROUP BY ALL HAVING count(*) >= 4) SELECT 'Ct' AS kind, lag, round(covar_pop(xa, xb), 9) + 0.0 AS value, count(*) AS n FROM b2 GROUP BY lag UNION ALL SELECT 'Cm', lag, round(avg(c), 9) + 0.0, count(*) FROM cm GROUP BY lag UNION ALL SELECT 'Cr', lag, round(avg(c), 9) + 0.0, count(*) FROM cr GROUP BY lag", "aligned")
+def correlation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations chosen by name, as one table."""
+    return X.bundle(substitutions(spark, sf_dir), 8, ("Ct", "Cm", "Cr")).withColumn("value", clean(F.col("value")))
+
+
 @query(f", {SUBS}, al AS (SELECT aln, row_number() OVER (ORDER BY aln) - 1 AS idx, count(*) OVER () AS n, count(x)::DOUBLE AS m, sum(x) AS s FROM subs GROUP BY aln), dr AS (SELECT bt AS boot, (bt * 7919 + al.idx * 104729 + 15485863) % al.n AS idx FROM al, range(0, 20) AS r(bt)) SELECT boot, sum(m) AS m, round(sum(s) / sum(m), 9) AS ks FROM dr JOIN al USING (idx) GROUP BY boot", "aligned")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled alignments with seeded draws; only their sums are resampled."""
