@@ -128,7 +128,7 @@ def refacc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8, F16: sequences and their reverse complements."""
     rows = view(spark, sf_dir, "sequences")
-    return rows.select("id", F.length("seq").alias("len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.md5(Q.reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"))
+    return rows.select("id", F.length("seq").cast("long").alias("len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.md5(Q.reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"))
 
 
 PROFILE_GENES = "SELECT s_nationkey AS genome, s_suppkey AS gene_id, s_suppkey AS ord, s_suppkey % 90 * 4 + 1 AS start, s_suppkey % 90 * 4 + 12 AS stop, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM supplier"
@@ -180,7 +180,7 @@ def mated2ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", Q.joined_mates(F.col("l"), F.col("lp"), F.col("r"), F.col("rp")).alias("mapped"))
 
 
-@query("SELECT * FROM (VALUES (1, 'GGA', 0.666666667), (2, NULL, NULL), (3, 'TA', 1.0), (4, 'CC', 0.0)) AS t(id, letters, pi)")
+@query("SELECT * FROM (VALUES (1, 'GGA', 0.666666667::DOUBLE), (2, NULL, NULL), (3, 'TA', 1.0), (4, 'CC', 0.0)) AS t(id, letters, pi)")
 def decode_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pileup letters and their diversity; rows whose letters do not match the depth are dropped (null here)."""
     rows = inline(spark, "(1, 'G', 3, '.,+2ACa'), (2, 'G', 3, '.+12AAAAAAAAAAAA,T'), (3, 'C', 2, '^+ta$'), (4, 'C', 2, '.-1A,') AS t(id, ref, n, bases)")
@@ -217,14 +217,14 @@ def read_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
 HYPERBOLIC = (0.01560084, 0.01392907, 0.01301867, 0.01249557, 0.01190561, 0.01131878, 0.01091478, 0.01073981, 0.01043296)
 
 
-@query("SELECT 62.35288 AS b0, 4.12221 AS b1")
+@query("SELECT 62.35288::DOUBLE AS b0, 4.12221::DOUBLE AS b1")
 def fit_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hyperbolic fit of the known curve."""
     rows = spark.createDataFrame([("c", i, y) for i, y in enumerate(HYPERBOLIC, 1)], "id string, lag int, value double")
     return fit.fitted(rows, ["id"], "hyper", 0, 1000).select(F.round("b0", 5).alias("b0"), F.round("b1", 5).alias("b1"))
 
 
-@query("SELECT 60.0 AS b0, 150.0 AS b1, 40.0 AS b2, 'c' AS id")
+@query("SELECT 60.0::DOUBLE AS b0, 150.0::DOUBLE AS b1, 40.0::DOUBLE AS b2, 'c' AS id")
 def fit_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential fit recovers the parameters of an exact curve."""
     rows = spark.range(1, 101).select(F.lit("c").alias("id"), F.col("id").cast("int").alias("lag"), (1 / (60 + 150 * (1 - F.exp(-F.col("id") / 40)))).alias("value"))

@@ -129,7 +129,7 @@ def families_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.families(spark, text_file(spark, "families", lines)).select(F.col("genome").cast("long").alias("family_key"), "name", "nucl")
 
 
-@query(" SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5 AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits WHERE p % 20 = 0", "hits")
+@query(" SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits WHERE p % 20 = 0", "hits")
 def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tabular hits with '|' in ids and '*' for unknown numbers."""
     rows = view(spark, sf_dir, "hits").where("p % 20 = 0").selectExpr("concat_ws('\t', concat('ref|', p, '|x'), concat('ref|', s), '90.5', '1', '2', '3', '4', '5', '6', '7', '*', score) AS value")
