@@ -47,12 +47,18 @@ LAGS = "sv AS (SELECT read_id_a, read_id_b, i AS pos, CAST((read_id_a * 7 + read
 
 @query(f", {QUEUE}, {OVER}, {LAGS} SELECT lag, round(avg(cov), 9) + 0.0 AS mean, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cov) END, 9), 0.0) + 0.0 AS var, count(*) AS n FROM lg WHERE n > 10 GROUP BY lag", "reads")
 def ct_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of differences between overlapping reads, over ten samples chosen by the pair's ids."""
-    a, b, i = F.col("read_id_a"), F.col("read_id_b"), F.col("pos")
-    rows = overlaps(spark, sf_dir).where((a + b) % 16 == 0).where("shared > 0").select("read_id_a", "read_id_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("shared"), F.lit(8)) - 1)).alias("pos"))
-    rows = rows.select("read_id_a", "read_id_b", "pos", ((a * 7 + b * 3 + i) % 5 == 0).cast("double").alias("x"))
-    pairs = band_join(rows, ["read_id_a", "read_id_b"], "pos", 4)
-    per = pairs.groupBy(((a * 31 + b) % 10).alias("sample"), "lag").agg(F.covar_pop("x_a", "x_b").alias("cov"), F.count(F.lit(1)).alias("n")).where("n > 10")
+    """Covariance of differences between overlapping reads, over ten samples chosen by the pair's ids.
+
+    Overlaps of one sample, length and phase of the rule hold the same letters: they are counted before their places are paired.
+    """
+    a, b = F.col("read_id_a"), F.col("read_id_b")
+    kinds = overlaps(spark, sf_dir).where("shared > 0").groupBy(((a * 31 + b) % 10).alias("sample"), ((a * 7 + b * 3) % 5).alias("phase"), "shared").agg(F.count(F.lit(1)).alias("pairs"))
+    rows = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shared") - 1)).alias("pos"))
+    rows = rows.withColumn("x", ((F.col("phase") + F.col("pos")) % 5 == 0).cast("bigint"))
+    pairs = band_join(rows, ["sample", "phase", "shared", "pairs"], "pos", 4)
+    total = lambda x: F.sum(F.col("pairs") * x)
+    per = pairs.groupBy("sample", "lag").agg(F.sum("pairs").alias("n"), total(F.col("x_a")).alias("sa"), total(F.col("x_b")).alias("sb"), total(F.col("x_a") * F.col("x_b")).alias("sab")).where("n > 10")
+    per = per.withColumn("cov", F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * (F.col("sb") / F.col("n")))
     return per.groupBy("lag").agg(clean(F.avg("cov")).alias("mean"), clean(F.coalesce(variance(F.col("cov"), True), F.lit(0.0))).alias("var"), F.count(F.lit(1)).alias("n"))
 
 
