@@ -79,7 +79,7 @@ def mated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping fragments in the order of their right ends."""
     records = view(spark, sf_dir, "records")
     side = lambda s: records.select(F.col("ord").alias(f"{s}_ord"), F.col("pos").alias(f"{s}_pos"))
-    rows = R.mates(records).where("name % 4 = 1").join(side("left"), "left_ord").join(side("right"), "right_ord")
+    rows = R.mates(records).join(side("left"), "left_ord").join(side("right"), "right_ord")
     rows = rows.select(F.col("name").alias("id"), F.least("left_pos", "right_pos").alias("left"), (F.greatest("left_pos", "right_pos") + 20).alias("right"))
     pairs = R.mates_overlapping(rows, 64)
     return pairs.groupBy((F.col("start_b") - F.col("start_a")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,7 @@
 """Queries over the whole of their input, against brute force and statements without cuts."""
 
+from collections import Counter
+
 import pandas as pd
 import pytest
 from compare import DATA, duck, rows
@@ -56,3 +58,17 @@ def test_ct_by_lag_by_brute_force(spark, tmp_path):
     assert heads and sorted(got) == sorted(cov)
     for lag, c in cov.items():
         assert got[lag] == (pytest.approx(statistics.fmean(c), abs=2e-9), pytest.approx(statistics.variance(c), abs=2e-9), len(c))
+
+
+def test_mated_overlap_joins_all_fragments(spark, tmp_path):
+    from lociwave.plans.alignments import MATES
+
+    text = f", {MATES}, fr AS (SELECT m.name AS id, least(l.pos, r.pos) AS a, greatest(l.pos, r.pos) + 20 AS b FROM m JOIN records l ON l.ord = left_ord JOIN records r ON r.ord = right_ord) SELECT y.a - x.a AS shift, count(*) AS n FROM fr x JOIN fr y ON x.a < y.b AND y.a < x.b AND (x.b < y.b OR (x.b = y.b AND x.id < y.id)) GROUP BY 1"
+    assert rows(catalog.QUERIES["mated_overlap"](spark, DATA).toPandas()) == rows(whole("records", text))
+    # Two records a name, one on each side of its mate: o_orderkey gives the places (% 211) and the mates' (% 199).
+    left, right = [k for k in range(1, 2000) if k % 7 and k % 211 < k % 199], [k for k in range(1, 2000) if k % 7 and k % 211 > k % 199]
+    names = list(zip(left[:12:2], right[:12:2], strict=True))
+    pd.DataFrame([(k, i, "1-URGENT") for i, two in enumerate(names) for k in two], columns=["o_orderkey", "o_custkey", "o_orderpriority"]).to_parquet(tmp_path / "orders.parquet")
+    ends = [(max(x % 211 for x in two) + 20, i, min(x % 211 for x in two)) for i, two in enumerate(names)]
+    want = Counter(c - a for b, i, a in ends for d, j, c in ends if (b, i) < (d, j) and a < d and c < b)
+    assert want and {r["shift"]: r["n"] for r in catalog.QUERIES["mated_overlap"](spark, str(tmp_path)).collect()} == want
