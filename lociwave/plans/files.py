@@ -132,8 +132,10 @@ def families_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits WHERE p % 20 = 0", "hits")
 def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tabular hits with '|' in ids and '*' for unknown numbers."""
-    rows = view(spark, sf_dir, "hits").where("p % 20 = 0").selectExpr("concat_ws('\t', concat('ref|', p, '|x'), concat('ref|', s), '90.5', '1', '2', '3', '4', '5', '6', '7', '*', score) AS value")
-    return readers.hits(spark, text_file(spark, "hits", rows)).select("q", "s", "pident", "evalue", "bitscore")
+    rows = view(spark, sf_dir, "hits").selectExpr("concat_ws('\t', concat('ref|', p, '|x'), concat('ref|', s), '90.5', '1', '2', '3', '4', '5', '6', '7', '*', score) AS value")
+    path = folder(spark, "hits")
+    rows.write.text(path)
+    return readers.hits(spark, path).select("q", "s", "pident", "evalue", "bitscore")
 
 
 @query("SELECT n_regionkey AS cluster_key, count(*) AS n FROM nation GROUP BY 1")

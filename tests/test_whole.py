@@ -72,3 +72,8 @@ def test_mated_overlap_joins_all_fragments(spark, tmp_path):
     ends = [(max(x % 211 for x in two) + 20, i, min(x % 211 for x in two)) for i, two in enumerate(names)]
     want = Counter(c - a for b, i, a in ends for d, j, c in ends if (b, i) < (d, j) and a < d and c < b)
     assert want and {r["shift"]: r["n"] for r in catalog.QUERIES["mated_overlap"](spark, str(tmp_path)).collect()} == want
+
+
+def test_read_hits_reads_the_whole_view(spark):
+    want = whole("hits", " SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits")
+    assert rows(catalog.QUERIES["read_hits"](spark, DATA).toPandas()) == rows(want)
