@@ -44,7 +44,7 @@ def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem WHERE l_suppkey % 10 = 0")
 def read_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of SAM text."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 10 = 0").selectExpr("concat_ws('\t', l_orderkey, '99', 'chr', l_partkey + 1, l_linenumber * 10, '4M', '=', l_partkey + 1, '0', 'ACGT', 'IIII') AS value")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat_ws('\t', l_orderkey, '99', 'chr', l_partkey + 1, l_linenumber * 10, '4M', '=', l_partkey + 1, '0', 'ACGT', 'IIII') AS value")
     path = folder(spark, "sam")
     rows.write.text(path)
     own = readers.sam(spark, path)

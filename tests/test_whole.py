@@ -77,3 +77,8 @@ def test_mated_overlap_joins_all_fragments(spark, tmp_path):
 def test_read_hits_reads_the_whole_view(spark):
     want = whole("hits", " SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits")
     assert rows(catalog.QUERIES["read_hits"](spark, DATA).toPandas()) == rows(want)
+
+
+def test_read_sam_reads_every_line(spark):
+    want = whole("reads", " SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem")
+    assert len(want) == len(pd.read_parquet(f"{DATA}/lineitem.parquet")) and rows(catalog.QUERIES["read_sam"](spark, DATA).toPandas()) == rows(want)
