@@ -85,7 +85,7 @@ def strain_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mcl_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markov clusters of the reciprocal hits, per connected component."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    hits = view(spark, sf_dir, "hits").where("score >= 120 and s % 5 = 0").select(name("p", "p").alias("a"), name("s", "s").alias("b"))
+    hits = view(spark, sf_dir, "hits").where("score >= 120").select(name("p", "p").alias("a"), name("s", "s").alias("b"))
     return G.clusters(hits, G.connected(hits))
 
 

@@ -82,3 +82,20 @@ def test_read_hits_reads_the_whole_view(spark):
 def test_read_sam_reads_every_line(spark):
     want = whole("reads", " SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem")
     assert len(want) == len(pd.read_parquet(f"{DATA}/lineitem.parquet")) and rows(catalog.QUERIES["read_sam"](spark, DATA).toPandas()) == rows(want)
+
+
+def test_mcl_clusters_holds_every_edge(spark):
+    from lociwave.operators.genomes import mcl
+
+    edges = whole("hits", " SELECT 'p' || p AS a, 's' || s AS b FROM hits WHERE score >= 120 ORDER BY a, b")
+    up = {x: x for x in [*edges.a, *edges.b]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges.itertuples(index=False):
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((c[0], x) for _, part in edges.groupby(edges.a.map(root)) for c in mcl(part) for x in c)
+    assert {x for _, x in want} == set(up) and sorted(tuple(r) for r in catalog.QUERIES["mcl_clusters"](spark, DATA).collect()) == want
