@@ -1,13 +1,17 @@
 """Licence scans: exact set-similarity join of text blocks with licence templates.
 
-A text's blocks are its lines and sentences. A block meets a template if it
-holds at least ``threshold`` of the template's distinct words. Tokens are ordered
+Blocks are of two kinds. One starts at a line of a sentence and takes in the next
+lines of this sentence until these hold as many words as the template, so that a
+notice is met however it is wrapped; a blank line ends a sentence. The other is
+any run of as many words as the template has, over all line and sentence ends. A
+block meets a template if it holds at least ``threshold`` of the template's
+distinct words. Tokens are ordered
 by their document frequency over the whole corpus, rarest first. With
 ``need = ceil(threshold * n)`` a block that qualifies holds one of the template's
 first ``n - need + 1`` tokens (prefix filter), has ``need`` distinct template
 tokens at least (length filter), and at the first prefix token it shares enough
 tokens are left in both (positional filter); what passes is verified on whole
-sets. Templates are a parameter and small, so their inverted prefix index is a
+sets. A whole text that fails is not cut into blocks. Templates are a parameter and small, so their inverted prefix index is a
 literal in the plan and the join needs no shuffle: a line that stands in a third
 of all documents costs no task more than another. Built of DataFrame functions
 only.
@@ -19,6 +23,8 @@ repeated rows stay, each with its own result; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +33,7 @@ from .common import table
 
 #: Words after A-Z are lower-cased: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"\n|[.!?][\x20\x09-\x0D]+"
+SENTENCE_END = r"\n[\x20\x09\x0B-\x0D]*\n|[.!?][\x20\x09-\x0D]+"
 THRESHOLD = 0.8
 
 # Phrases that always count, with their labels.
@@ -89,26 +95,45 @@ def ordered(text: str, order: list[str], threshold: float) -> tuple[list[str], i
     return tokens, need, tokens[: len(tokens) - need + 1]
 
 
-def matched(low: Column, templates: dict[str, str], threshold: float, order: list[str]) -> Column:
-    """array<struct<label, containment>> of the templates that some block meets."""
-    sets = {label: ordered(text, order, threshold) for label, text in templates.items()}
+def met(held: Column, tokens: list[str], need: int, rarest: list[str]) -> Column:
+    """The share of a template's tokens that a block holds, null below need; held: the block's template tokens in global order."""
+    prefix = literal(rarest)
+    first = F.element_at(F.array_intersect(prefix, held), 1)
+    left = F.least(F.lit(len(tokens)) - F.array_position(prefix, first), F.size(held) - F.array_position(held, first)) + 1
+    both = F.size(F.array_intersect(literal(tokens), held))
+    passes = (F.size(held) >= need) & F.arrays_overlap(prefix, held)
+    return F.when(passes, F.when(left >= need, F.when(both >= need, both / F.lit(float(len(tokens))))))
 
-    def of_block(held: Column) -> Column:
-        """held: the block's template tokens in global order."""
-        found = []
-        for label, (tokens, need, rarest) in sets.items():
-            prefix = literal(rarest)
-            first = F.element_at(F.array_intersect(prefix, held), 1)
-            left = F.least(F.lit(len(tokens)) - F.array_position(prefix, first), F.size(held) - F.array_position(held, first)) + 1
-            both = F.size(F.array_intersect(literal(tokens), held))
-            passes = (F.size(held) >= need) & F.arrays_overlap(prefix, held)
-            met = F.when(passes, F.when(left >= need, F.when(both >= need, both / F.lit(float(len(tokens))))))
-            found.append(F.struct(F.lit(label).alias("label"), met.alias("containment")))
-        return F.filter(F.array(*found), lambda x: x["containment"].isNotNull())
 
-    held = F.transform(F.split(low, BLOCK_END), lambda b: F.array_intersect(literal(order), words(b)))
-    least = min(need for _, need, _ in sets.values())
-    return F.flatten(F.transform(F.filter(held, lambda h: F.size(h) >= least), of_block))
+def sentences(low: Column, order: list[str]) -> Column:
+    """array<array<struct<n, held>>>: words and template tokens of each line that has words, by sentence."""
+
+    def lines(sentence: Column) -> Column:
+        found = F.filter(F.transform(F.split(sentence, r"\n"), lambda x: words(x)), lambda w: F.size(w) > 0)
+        return F.transform(found, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(literal(order), w).alias("held")))
+
+    return F.transform(F.split(low, SENTENCE_END), lines)
+
+
+def matched(cut: Column, found: Column, held: Column, templates: dict[str, str], threshold: float, order: list[str]) -> Column:
+    """array<struct<label, containment>> of the templates that some block meets; cut: the sentences, found: all words, held: the text's template tokens."""
+
+    def best(text: str, own: tuple[list[str], int, list[str]]) -> Column:
+        size = len(text.split())
+        meets = lambda x: F.get(F.transform(F.array(F.array_intersect(literal(order), x)), lambda h: met(h, *own)), F.lit(0))
+
+        def block(lines: Column, line: Column, i: Column) -> Column:
+            start = F.struct(F.lit(0).alias("n"), line["held"].alias("held"))
+            longer = lambda acc, x: F.when(acc["n"] >= size, acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), F.array_union(acc["held"], x["held"]).alias("held")))
+            # Each line has a word, so the next ``size`` lines are enough.
+            return F.when(F.size(line["held"]) > 0, meets(F.aggregate(F.slice(lines, i + 2, size), start, longer, lambda acc: acc["held"])))
+
+        joined = F.array_max(F.transform(cut, lambda lines: F.array_max(F.transform(lines, lambda line, i: block(lines, line, i)))))
+        runs = F.array_max(F.transform(found, lambda w, i: F.when(F.array_contains(literal(own[0]), w), meets(F.slice(found, i + 1, size)))))
+        return F.when(met(held, *own).isNotNull(), F.greatest(joined, runs))
+
+    of = [F.struct(F.lit(label).alias("label"), best(text, ordered(text, order, threshold)).alias("containment")) for label, text in templates.items()]
+    return F.filter(F.array(*of), lambda x: x["containment"].isNotNull())
 
 
 def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,14 +142,17 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] | None
     vocabulary = sorted({w for text in templates.values() for w in text.split()})
     count = frequencies(df, text_col, vocabulary)
     order = sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
-    prefixes = {t for text in templates.values() for t in ordered(text, order, threshold)[2]}
+    sets = [ordered(text, order, threshold) for text in templates.values()]
 
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     rest = [f"`{c}`" for c in df.columns if c not in names]
     rows = df.withColumn("__low", lowered(F.col(text_col))).withColumn("__words", words(F.col("__low")))
     none = F.array().cast("array<bigint>")
     base = {phrase: F.when(F.array_contains("__words", phrase.split()[0]), places(F.col("__words"), phrase)).otherwise(none) for phrase in PHRASES}
-    found = F.when(F.arrays_overlap("__words", literal(sorted(prefixes))), matched(F.col("__low"), templates, threshold, order))
+    rows = rows.withColumn("__held", F.array_intersect(literal(order), F.col("__words")))
+    possible = reduce(or_, (met(F.col("__held"), *own).isNotNull() for own in sets), F.lit(False))
+    rows = rows.withColumn("__cut", F.when(possible, sentences(F.col("__low"), order)))
+    found = F.when(F.col("__cut").isNotNull(), matched(F.col("__cut"), F.col("__words"), F.col("__held"), templates, threshold, order))
     rows = rows.select(*rest, F.size("__words").cast("long").alias("__n"), F.array(*base.values()).alias("__places"), found.alias("__found"))
     labels = [F.when(F.size(F.get("__places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]
     rows = rows.select(*rest, "__n", F.flatten("__places").alias("__all"), F.array_sort(F.array_compact(F.array(*labels))).alias("__base"), F.coalesce(F.col("__found"), F.array().cast("array<struct<label:string,containment:double>>")).alias("__found"))
