@@ -102,14 +102,14 @@ class Scorer:
 
 
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, entries: int = ENTRIES) -> Model:
-    """Learns from the rows with a label; which of them is decided by a hash of the text."""
+    """Learns from the distinct texts with a label, each once; which of them (``docs_per_language`` or so) is decided by a hash of the text."""
     rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    per = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = {r["label"]: r["n"] for r in rows.select("label", F.xxhash64("text").alias("h")).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(per)
     if not languages:
         return Model([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / per[k]))])
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000)
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, found = _words(), {}

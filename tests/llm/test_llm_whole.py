@@ -4,7 +4,7 @@ import random
 import re
 import textwrap
 
-from lociwave.llm import licences
+from lociwave.llm import langid, licences
 
 
 def blocks(text, size):
@@ -62,3 +62,13 @@ def test_licence_joins_no_other_sentence(spark):
     data = [(1, "Licensed under the Apache License, Version 2.0.\nDie Tinte in mit. Ein"), (2, "It is released under the terms of the MIT\nlicense.")]
     got = {r.doc_id: r.labels for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: "apache-2.0", 2: "mit"}
+
+
+def test_language_learns_each_text_once(spark):
+    rng = random.Random(6)
+    own = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    few, many = [own("abcde") for _ in range(40)], [own("vwxyz") for _ in range(40)]
+    data = [(x, "a") for x in few] + [(few[0], "a")] * 4000 + [(x, "b") for x in many]
+    model = langid.fit(spark.createDataFrame(data, "text string, lang string"), docs_per_language=60)
+    plain = langid.fit(spark.createDataFrame([(x, "a") for x in few] + [(x, "b") for x in many], "text string, lang string"), docs_per_language=60)
+    assert model.languages == plain.languages and model.index == plain.index and (model.table == plain.table).all()
