@@ -34,15 +34,16 @@ def without_outliers(members: DataFrame, share: float = 0.1) -> DataFrame:
     return rows.withColumn("whole", (F.count(F.lit(1)).over(w) >= 3) & F.min("keep").over(w))
 
 
-def climbed(taxa: DataFrame, start: DataFrame, rank: str, most: int = 32) -> DataFrame:
-    """id, found: the nearest ancestor (or self) of the given rank; null where there is none. The climb is bounded by ``most``."""
+def climbed(taxa: DataFrame, start: DataFrame, rank: str, most: int = 256) -> DataFrame:
+    """id, found: the nearest ancestor (or self) of the given rank; null where there is none. A climb beyond ``most`` steps is an error; a taxon above itself is a root."""
+    on = "t.rank <> :rank AND t.parent IS NOT NULL AND t.parent <> t.id"
     spark = taxa.sparkSession
     return spark.sql(
         f"""WITH RECURSIVE up(id, at, depth) MAX RECURSION LEVEL {most + 2} AS (
             SELECT id, id AS at, 0 AS depth FROM {{start}}
             UNION ALL
-            SELECT up.id, t.parent, up.depth + 1 FROM up JOIN {{taxa}} t ON t.id = up.at WHERE t.rank <> :rank AND t.parent IS NOT NULL AND up.depth < {most})
-        SELECT up.id, max(CASE WHEN t.rank = :rank THEN t.name END) AS found FROM up JOIN {{taxa}} t ON t.id = up.at GROUP BY up.id""",
+            SELECT up.id, t.parent, up.depth + 1 FROM up JOIN {{taxa}} t ON t.id = up.at WHERE {on} AND up.depth < {most})
+        SELECT up.id, max(CASE WHEN t.rank = :rank THEN t.name WHEN up.depth >= {most} AND {on} THEN raise_error('lineage deeper than {most}') END) AS found FROM up JOIN {{taxa}} t ON t.id = up.at GROUP BY up.id""",
         {"rank": rank},
         taxa=taxa,
         start=start,
@@ -125,19 +126,27 @@ def clusters(edges: DataFrame, component: DataFrame) -> DataFrame:
     return rows.groupBy("root").applyInPandas(run, "cluster_id string, member string")
 
 
-def connected(edges: DataFrame, most: int = 60) -> DataFrame:
-    """v, root: least member of each vertex's component, by repeated least-neighbour steps with checkpoints where a folder is set."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    both = keep(both)
-    label = keep(both.select(F.col("a").alias("v")).distinct().withColumn("root", F.col("v")))
-    for _ in range(most):
-        near = both.join(label, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("least"))
-        new = label.join(near, F.col("v") == F.col("a")).select("v", F.least("root", "least").alias("root"), (F.col("least") < F.col("root")).alias("moved"))
-        new = keep(new)
-        moved = new.where("moved").isEmpty()
-        label = new.drop("moved")
-        if moved:
-            break
-    return label
+def connected(edges: DataFrame) -> DataFrame:
+    """v, root: least member of each vertex's component, with checkpoints (local ones where no folder is set).
+
+    Each round gives every vertex its least neighbour as parent, jumps by doubling
+    up to the parents' roots and contracts the edges to these, until no edge is
+    left. A round leaves half of the vertices at most.
+    """
+    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    tidy = lambda e: keep(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    out = keep(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("root", F.col("v")))
+    e = tidy(edges)
+    while not e.isEmpty():
+        both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        parent = keep(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("p")))
+        while True:
+            level = keep(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("higher")), "p").select("v", "p", "higher"))
+            parent = level.select("v", F.col("higher").alias("p"))
+            if level.where("p <> higher").isEmpty():
+                break
+        level = level.select("v", "higher")
+        out = keep(out.join(level.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("higher", "root").alias("root")))
+        e = e.join(level.withColumnsRenamed({"v": "a", "higher": "ra"}), "a").join(level.withColumnsRenamed({"v": "b", "higher": "rb"}), "b")
+        e = tidy(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return out

@@ -99,3 +99,23 @@ def test_mcl_clusters_holds_every_edge(spark):
         up[max(root(a), root(b))] = min(root(a), root(b))
     want = sorted((c[0], x) for _, part in edges.groupby(edges.a.map(root)) for c in mcl(part) for x in c)
     assert {x for _, x in want} == set(up) and sorted(tuple(r) for r in catalog.QUERIES["mcl_clusters"](spark, DATA).collect()) == want
+
+
+def test_connected_follows_long_chains(spark):
+    from lociwave.operators import genomes
+
+    chain = [(f"v{i:03}", f"v{i + 1:03}") for i in range(99)]
+    mixed = [(b, a) if i % 3 else (a, b) for i, (a, b) in enumerate(chain)] + [("w", "w"), ("x", "y")]
+    got = {r.v: r.root for r in genomes.connected(spark.createDataFrame(mixed, "a string, b string")).collect()}
+    assert got == {f"v{i:03}": "v000" for i in range(100)} | {"w": "w", "x": "x", "y": "x"}
+
+
+def test_climbed_goes_all_the_way_or_fails(spark):
+    from lociwave.operators import genomes
+
+    data = [(i, i + 1, "clade", f"c{i}") for i in range(40)] + [(40, None, "species", "top"), (50, 50, "root", "r"), (51, 50, "clade", "x")]
+    taxa = spark.createDataFrame(data, "id long, parent long, rank string, name string")
+    got = {r.id: r.found for r in genomes.climbed(taxa, taxa.select("id"), "species").collect()}
+    assert got == {i: "top" for i in range(41)} | {50: None, 51: None}
+    with pytest.raises(Exception, match="deeper than 8"):
+        genomes.climbed(taxa, taxa.select("id"), "species", 8).collect()
