@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a broadcast side may have; the row width is fixed where this is used.
 BROADCAST_ROWS = 200_000
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lociwave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,11 +43,53 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(*tables: DataFrame) -> None:
+    """Remove the files of tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A hint for a written table only after its rows were counted; beyond the bound Spark shuffles and splits skewed keys."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def numbered(rows: DataFrame, order: list[str | Column], weight: str | None = None, tag: str = "numbered") -> tuple[DataFrame, int]:
+    """The rows (written) with ``at``, the sum of ``weight`` (1 each if none) over all rows before them in ``order``, and the total.
+
+    Rows are range-partitioned by the order, and a task counts within its range
+    only; the ranges' sums, one number for each of them, are added up on the
+    driver. No window or key holds more than a range, whatever the skew.
+    """
+    names = rows.columns
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if weight is None:
+        number = F.monotonically_increasing_id()
+        found = dealt.select("*", F.shiftright(number, 33).cast("int").alias("__part"), number.bitwiseAND((1 << 33) - 1).alias("__at"), F.lit(1).cast("long").alias("__w"))
+    else:
+        dealt = dealt.select("*", F.spark_partition_id().alias("__part"), F.col(weight).cast("long").alias("__w"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                own = batch.column("__w").to_numpy(zero_copy_only=False)
+                upto = total + np.cumsum(own)
+                yield batch.append_column("__at", pa.array(upto - own, pa.int64()))
+                total = int(upto[-1]) if len(upto) else total
+
+        found = dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("__at", T.LongType())]))
+    found = written(found, tag)
+    sums = sorted((r["__part"], r["s"]) for r in found.groupBy("__part").agg(F.sum("__w").alias("s")).collect())
+    before, total = [], 0
+    for part, own in sums:
+        before.append((part, total))
+        total += own
+    offsets = rows.sparkSession.createDataFrame(before, "__of int, __before long")
+    found = found.join(F.broadcast(offsets), F.col("__part") == F.col("__of"))
+    return found.select(*[f"`{c}`" for c in names], (F.col("__at") + F.col("__before")).alias("at")), total
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +123,7 @@ def strings(column: pa.Array) -> list[str | None]:
         return [None if x is None else x.decode("utf-8", "replace") for x in raw]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut so that a piece holds about ``most`` bytes of ``column`` (one row at least)."""
     import pyarrow.compute as pc
 

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
-
-
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint only after the rows were counted; beyond the bound Spark shuffles and splits skewed keys."""
-    return F.broadcast(df) if df.count() <= most else df
+from .common import maybe_broadcast, written
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, mix64, slices, table, written
-from .components import components, maybe_broadcast
+from .common import list_array, maybe_broadcast, mix64, slices, table, written
+from .components import components
 from .textkernel import chained, hashes, raw, spans
 
 SHINGLE = 5

@@ -16,7 +16,7 @@ _LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
 #: One odd random-looking number per byte, the same for A-Z and a-z.
 _CODE = mix64(_LOWER + np.uint64(1)) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_WORDS_AT_ONCE = 1 << 17
+_WORDS_AT_ONCE = 1 << 15
 
 
 def _powers(n: int) -> np.ndarray:
@@ -63,8 +63,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased; memory is bounded by a block of words."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run (start, end) of the values, none empty; memory is bounded by a block of runs."""
     out = np.zeros(len(starts), np.uint64)
     for i in range(0, len(starts), _WORDS_AT_ONCE):
         s, e = starts[i : i + _WORDS_AT_ONCE], ends[i : i + _WORDS_AT_ONCE]
@@ -72,12 +72,19 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         first = np.zeros(len(s), np.int64)
         np.cumsum(size[:-1], out=first[1:])
         within = np.arange(int(size.sum())) - np.repeat(first, size)
-        values = _CODE[data[within + np.repeat(s, size)]]
-        values *= _Powers.upto(int(size.max()))[within]
-        out[i : i + len(s)] = mix64(np.add.reduceat(values, first) + size.astype(np.uint64))
+        found = values[within + np.repeat(s, size)]
+        if found.dtype == np.uint8:
+            found = _CODE[found]
+        found *= _Powers.upto(int(size.max()))[within]
+        out[i : i + len(s)] = mix64(np.add.reduceat(found, first) + size.astype(np.uint64))
     return out
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z lower-cased."""
+    return run_hashes(data, starts, ends)
+
+
 def chained(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words, by the place of its first word; the last n - 1 places are cut off."""
     if len(h) < n:
