@@ -1,19 +1,24 @@
 """Training-order materialisation: keyed Feistel slots and fixed-stride shards.
 
 Token ids are packed into sequences of ``LENGTH`` ids, documents one after another
-with an end mark after each. Every sequence has a dense number; a keyed Feistel
-network over the next even power of two, walked until it falls below the number
-of sequences, is a permutation and gives each its global slot. Sequences are then
-dealt by ranges of slots, and each task writes whole shards of ``SHARD`` sequences
-of ``2 * LENGTH`` bytes (uint16, little endian), so that slot s stands in shard
+in the order of their ids, with an end mark after each. Every sequence has a dense
+number; a keyed Feistel network over the next even power of two, walked until it
+falls below the number of sequences, is a permutation and gives each its global
+slot. Shards are ranges of ``SHARD`` slots, one range a task, of ``2 * LENGTH``
+bytes a sequence (uint16, little endian), so that slot s stands in shard
 ``s // SHARD`` at byte ``s % SHARD * 2 * LENGTH``: a reader resumes anywhere by
 arithmetic. Shards are written under a fresh name and then moved; a repeated
 task writes the same bytes.
 
-Sequences are packed within a scan task, so a rerun over the same files with the
-same settings gives the same shards. Null and empty texts are an end mark alone;
-the last sequence of a task is filled up with end marks, which ``n_tokens`` does
-not count. An empty table gives no shards.
+Documents are encoded in pieces, the pieces brought into order by range partitions,
+and each one's place in the stream of tokens follows from the token counts before
+it; a piece is then cut where sequences end. So the shards depend on the documents
+alone, not on splits, cores or arrival, and a very long text or a hot id is spread
+over tasks. Null ids come first; rows that repeat an id follow one another in the
+order of their texts' hashes. Null and empty texts are an end mark alone; the last
+sequence is filled up with end marks, which ``n_tokens`` does not count. An id
+beyond uint16 is an error. An empty table gives no shards; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encode
-from .common import BROADCAST_ROWS, file_system, mix64, scratch_path, table, written
+from .bpe import CHUNK_CHARS, VOCABULARY, encode_text, pieces
+from .common import delete, file_system, mix64, numbered, scratch_path, slices, strings, table, written
 
 LENGTH = 2048
 SHARD = 4096
@@ -66,85 +70,56 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np
     return out.astype(np.int64)
 
 
-def sequences(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", length: int = LENGTH, end: int = END) -> DataFrame:
-    """(part, no, n_tokens, doc_ids, payload): payload is the zstd-packed uint16 ids."""
+def stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, int]:
+    """(doc_id, n, ids, at), the number of tokens: pieces of the documents' ids, each with its place in the stream; an end mark closes a document."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    cut, chunks = pieces(rows, "text", chunk_chars, everywhere=True)
+    cut = cut.select("row", "k", "last", "rest.doc_id", "rest.hash", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        for big in batches:
+            for batch in slices(big, "piece"):
+                found = [np.append(encode_text(x, vocabulary), end) if y else encode_text(x, vocabulary) for x, y in zip(strings(batch.column("piece")), batch.column("last").to_pylist(), strict=True)]
+                if max((x.max(initial=0) for x in found), default=0) >= 1 << 16:
+                    raise ValueError("a token id does not fit into uint16")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k", "doc_id", "hash")), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<u2").tobytes() for x in found], pa.binary())], ["row", "k", "doc_id", "hash", "n", "ids"])
 
-        part, no, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-        held, docs, spans, size = [], [], [], 0
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["part", "no", "n_tokens", "doc_ids", "payload"])
-            rows.clear()
-            return out
-
-        def cut(last: bool) -> None:
-            nonlocal held, docs, spans, size, no
-            flat = np.concatenate(held)
-            ends = np.cumsum(spans)
-            whole = size // length + (last and size % length > 0)
-            for i in range(whole):
-                own = flat[i * length : (i + 1) * length]
-                a, b = np.searchsorted(ends, i * length, "right"), np.searchsorted(ends, i * length + len(own) - 1, "right")
-                payload = np.full(length, end, "<u2")
-                payload[: len(own)] = own
-                rows.append((part, no, len(own), docs[a : b + 1], pack.compress(payload.tobytes())))
-                no += 1
-            first = np.searchsorted(ends, whole * length, "right")
-            flat = flat[whole * length :]
-            docs = docs[first:]
-            spans = spans[first:]
-            if spans:
-                spans[0] = int(ends[first] - whole * length)
-            held, size = [flat], len(flat)
+    coded = written(cut.mapInArrow(run, "row long, k int, doc_id long, hash long, n int, ids binary"), "bin-pieces")
+    delete(chunks)
+    rows, total = numbered(coded, ["doc_id", "hash", "row", "k"], "n", "bin-stream")
+    delete(coded)
+    return rows.select("doc_id", "n", "ids", "at"), total
 
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
-            for i, doc in enumerate(batch.column(id_col).to_pylist()):
-                own = np.append(flat[at[i] : at[i + 1]], end)
-                held.append(own)
-                docs.append(doc)
-                spans.append(len(own))
-                size += len(own)
-                if size >= 64 * length:
-                    cut(False)
-                    yield flush()
-        if size:
-            cut(True)
-            yield flush()
 
-    rows = tokens.select(F.col(id_col).cast("long").alias(id_col), ids_col)
-    return rows.mapInArrow(run, "part int, no long, n_tokens int, doc_ids array<long>, payload binary")
-
-
-def materialise(tokens: DataFrame, folder: str, id_col: str = "doc_id", length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
+def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY, end: int = END, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Writes the shards and a manifest; one row (slot, shard, n_tokens, doc_ids) per sequence."""
-    rows = written(sequences(tokens, id_col, length=length), "bin-sequences")
-    per = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = written(per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"), "n"), "bin-offsets")
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-
-    @F.arrow_udf("long")
-    def slot(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in numbers:
-            yield pa.array(permuted(x.to_numpy(zero_copy_only=False), total, key), pa.int64())
-
-    rows = rows.join(offsets.drop("n"), "part").select(slot(F.col("first") + F.col("no")).alias("slot"), "n_tokens", "doc_ids", "payload")
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
-    rows = rows.repartitionByRange(max(1, -(-total // shard)), "shard").sortWithinPartitions("slot")
+    tokens, size = stream(df, id_col, text_col, vocabulary, end, chunk_chars)
+    total = -(-size // length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, parts, numbers, starts = [], [], [], []
+            for doc, ids, at in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("at").to_pylist(), strict=True):
+                data, done = ids.as_py(), 0
+                while 2 * done < len(data):
+                    number, start = divmod(at + done, length)
+                    docs.append(doc)
+                    numbers.append(number)
+                    starts.append(start)
+                    parts.append(data[2 * done : 2 * (done + length - start)])
+                    done += length - start
+            slots = permuted(np.array(numbers, np.int64), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard), pa.array(starts, pa.int32()), pa.array(docs, pa.int64()), pa.array(parts, pa.binary())], ["slot", "shard", "start", "doc_id", "ids"])
+
+    dealt = tokens.mapInArrow(cut, "slot long, shard long, start int, doc_id long, ids binary")
+    dealt = dealt.repartitionById(max(1, -(-total // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "start")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        unpack, out, own, path, count = zstandard.ZstdDecompressor(), None, -1, "", 0
+        out, own, path, count = None, -1, "", 0
+        slot, held, docs = -1, [], []
+        rows: list[tuple] = []
 
         def close() -> None:
             out.close()
@@ -152,20 +127,42 @@ def materialise(tokens: DataFrame, folder: str, id_col: str = "doc_id", length:
                 raise ValueError(f"shard {own} holds {count} sequences")
             fs.move(path, f"{base}/shard-{own:08d}.bin")
 
+        def put() -> None:
+            """One whole sequence to its shard."""
+            nonlocal out, own, path, count
+            if slot // shard != own:
+                if out is not None:
+                    close()
+                own, path, count = slot // shard, f"{base}/{uuid.uuid4().hex}.tmp", 0
+                out = fs.open_output_stream(path, compression=None)
+            data = b"".join(held)
+            out.write(data + np.full(length - len(data) // 2, end, "<u2").tobytes())
+            count += 1
+            rows.append((slot, own, len(data) // 2, list(docs)))
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["slot", "shard", "n_tokens", "doc_ids"])
+            rows.clear()
+            return found
+
         for batch in batches:
-            for k, payload in zip(batch.column("shard").to_pylist(), batch.column("payload"), strict=True):
-                if k != own:
-                    if out is not None:
-                        close()
-                    own, path, count = k, f"{base}/{uuid.uuid4().hex}.tmp", 0
-                    out = fs.open_output_stream(path, compression=None)
-                out.write(unpack.decompress(payload.as_py(), 2 * length))
-                count += 1
-            yield batch.select(["slot", "shard", "n_tokens", "doc_ids"])
-        if out is not None:
+            for at, doc, ids in zip(batch.column("slot").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if at != slot:
+                    if held:
+                        put()
+                    slot, held, docs = at, [], []
+                held.append(ids.as_py())
+                if not docs or docs[-1] != doc:
+                    docs.append(doc)
+            if rows:
+                yield flush()
+        if held:
+            put()
             close()
+            yield flush()
 
-    index = written(rows.mapInArrow(run, "slot long, shard long, n_tokens int, doc_ids array<long>"), "bin-index")
+    index = written(dealt.mapInArrow(run, "slot long, shard long, n_tokens int, doc_ids array<long>"), "bin-index")
+    delete(tokens)
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/manifest.json", compression=None) as out:
@@ -173,11 +170,16 @@ def materialise(tokens: DataFrame, folder: str, id_col: str = "doc_id", length:
     return index
 
 
+def manifest(folder: str) -> dict:
+    fs, base = file_system(folder)
+    with fs.open_input_stream(f"{base}/manifest.json", compression=None) as file:
+        return json.loads(file.read())
+
+
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     """The sequences of ``count`` slots from ``first``; reads nothing else, so a run resumes anywhere."""
     fs, base = file_system(folder)
-    with fs.open_input_stream(f"{base}/manifest.json", compression=None) as file:
-        form = json.loads(file.read())
+    form = manifest(folder)
     stride, last = 2 * form["length"], min(first + count, form["sequences"])
     parts = []
     while first < last:
@@ -190,24 +192,25 @@ def read_slots(folder: str, first: int, count: int) -> np.ndarray:
     return np.concatenate(parts).reshape(-1, form["length"]) if parts else np.zeros((0, form["length"]), form["dtype"])
 
 
-def read_digests(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(slot, sequence_sha256) of every sequence as it stands in the shards."""
+    form = manifest(folder)
+    total, shard = form["sequences"], form["shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, n in zip(batch.column("shard").to_pylist(), batch.column("shard_size").to_pylist(), strict=True):
-                for at in range(0, n, 256):
-                    found = read_slots(folder, k * n_shard + at, min(256, n - at))
-                    slots = np.arange(k * n_shard + at, k * n_shard + at + len(found))
-                    yield pa.RecordBatch.from_pydict({"slot": pa.array(slots, pa.int64()), "sequence_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in found]})
+            for k in batch.column("id").to_pylist():
+                last = min(total, (k + 1) * shard)
+                for at in range(k * shard, last, 256):
+                    found = read_slots(folder, at, min(256, last - at))
+                    yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(at, at + len(found)), pa.int64()), "sequence_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in found]})
 
-    shards = written(index.groupBy("shard").agg(F.count(F.lit(1)).alias("shard_size")), "bin-shards")
-    n_shard = SHARD
-    return shards.repartition(max(1, min(10_000, shards.count())), "shard").mapInArrow(run, "slot long, sequence_sha256 string")
+    shards = -(-total // shard)
+    return spark.range(0, shards, 1, max(1, min(10_000, shards))).mapInArrow(run, "slot long, sequence_sha256 string")
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of the tokenised documents with its slot, shard, documents and the digest of its bytes read back."""
     folder = scratch_path(spark, "bin-shards")
-    index = materialise(encode(table(spark, sf_dir, "documents").select("doc_id", "text")), folder)
-    return index.join(read_digests(spark, index, folder), "slot").select("slot", "shard", "n_tokens", "doc_ids", "sequence_sha256")
+    index = materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return index.join(read_digests(spark, folder), "slot").select("slot", "shard", "n_tokens", "doc_ids", "sequence_sha256")

@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts of up to ``chunk_chars`` characters are encoded where they stand, without
-a shuffle. Longer ones are cut into chunks that overlap; the chunks are
-pre-tokenised in parallel, each from its own start. In an overlap the two
-chunks' pre-token boundaries meet again; from the first common boundary on the
+Texts longer than ``chunk_chars`` characters are cut into chunks that overlap; the
+chunks are pre-tokenised in parallel, each from its own start. In an overlap the
+two chunks' pre-token boundaries meet again; from the first common boundary on the
 later chunk is right too, since the pattern looks at nothing before a match.
 Each chunk then encodes the piece between its two meeting points. A text with an
 overlap in which no boundaries meet (one pre-token longer than the overlap) is
-encoded as a whole. Decoding concatenates the tokens' bytes.
+encoded as a whole. A text of one chunk is its own piece and takes no shuffle.
+Decoding concatenates the tokens' bytes.
 
-Null texts count as empty; repeated rows stay; bytes that are not UTF-8 are read
-as replacement characters; columns that already have an output's name are
-replaced.
+Null texts count as empty; very long texts are many pieces, but a single pre-token
+stays whole and costs what the library takes for it; repeated rows stay; an empty
+table gives no rows; bytes that are not UTF-8 are read as replacement characters;
+columns that already have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -74,11 +75,6 @@ def boundaries(piece: str, whole_end: bool) -> np.ndarray:
     return ends if whole_end else ends[ends <= len(piece) - GUARD_CHARS]
 
 
-def _drop(df: DataFrame, *names: str) -> DataFrame:
-    low = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
-
-
 def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str) -> DataFrame:
     """The rows with ``ids_col`` in place of ``text_col``; one task holds each text whole."""
     rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
@@ -94,18 +90,14 @@ def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str) ->
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """The rows with their token ids (array of int) in place of the text."""
+def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, everywhere: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(row, rest, k, last, piece): each text as the pieces that may be encoded apart; and the table of chunks, to be deleted once these are read.
+
+    ``rest`` holds the other columns, in a text's first piece or ``everywhere``; (row, k) orders the pieces.
+    """
     if chunk_chars <= 2 * overlap_chars or overlap_chars < 4 * GUARD_CHARS:
         raise ValueError("a chunk must be longer than two overlaps, an overlap than four guards")
-    text = F.col(f"`{text_col}`")
-    is_long = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
-    short = encode_rows(df.where(~is_long), text_col, ids_col, vocabulary)
-    return short.unionByName(_encode_long(df.where(is_long), text_col, ids_col, vocabulary, chunk_chars, overlap_chars))
-
-
-def _encode_long(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
+    rest = [c for c in df.columns if c.lower() != text_col.lower()]
     step = chunk_chars - overlap_chars
 
     @F.arrow_udf("array<struct<k:int,start:int,piece:string>>")
@@ -119,15 +111,19 @@ def _encode_long(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, ch
             yield pa.array(out, kind)
 
     @F.arrow_udf("array<int>")
-    def ends(pieces: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for piece, last in pieces:
+    def ends(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for piece, last in columns:
             yield list_array([boundaries(x, y) for x, y in zip(strings(piece), last.to_pylist(), strict=True)], pa.int32())
 
-    # The number of a row is made once and kept: the chunks are read from the written table.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True).alias("__kept")).alias("rest"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.select("rest", cut("text").alias("chunks"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", "rest", F.size("chunks").alias("n"), F.explode("chunks").alias("c"))
-    chunks = written(rows.select("row", "n", "c.k", "c.start", "c.piece", F.when(F.col("c.k") == 0, F.col("rest")).alias("rest")), "bpe-chunks")
+    text = F.col(f"`{text_col}`")
+    is_long = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True).alias("__kept")).alias("rest"), text.alias("text"), is_long.alias("is_long"))
+    short = rows.where("not is_long").select(F.monotonically_increasing_id().alias("row"), "rest", F.lit(0).alias("k"), F.lit(True).alias("last"), F.coalesce("text", F.lit("")).alias("piece"))
+
+    # The number of a row is made once and kept: the chunks are read from the written table. Negative, so that no short text has it.
+    cuts = rows.where("is_long").select("rest", cut("text").alias("chunks"), (-1 - F.monotonically_increasing_id()).alias("row"))
+    cuts = cuts.select("row", "rest", F.size("chunks").alias("n"), F.explode("chunks").alias("c"))
+    chunks = written(cuts.select("row", "n", "c.k", "c.start", "c.piece", F.when((F.col("c.k") == 0) | F.lit(everywhere), F.col("rest")).alias("rest")), "bpe-chunks")
 
     met = chunks.select("row", "k", "n", "start", F.length("piece").alias("size"), ends("piece", F.col("k") == F.col("n") - 1).alias("e"))
     met = met.select("row", "k", "n", "start", "size", F.transform(F.filter("e", lambda x: x < overlap_chars), lambda x: x + F.col("start")).alias("left"), F.transform(F.filter("e", lambda x: x >= F.col("size") - overlap_chars), lambda x: x + F.col("start")).alias("right"))
@@ -135,13 +131,26 @@ def _encode_long(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, ch
     met = met.withColumn("cut", F.array_min(F.array_intersect("right", F.lead("left").over(order))))
     met = met.select("row", "k", "start", "size", F.lag("cut").over(order).alias("from"), F.col("cut").alias("to"), F.lead("start").over(order).alias("next"), F.min((F.col("cut").isNotNull() | (F.col("k") == F.col("n") - 1)).cast("int")).over(Window.partitionBy("row")).alias("ok"))
     met = met.select("row", "k", "ok", F.when(F.col("ok") == 1, F.coalesce(F.col("from") - F.col("start"), F.lit(0))).otherwise(0).alias("lo"), F.when(F.col("ok") == 1, F.coalesce(F.col("to") - F.col("start"), F.col("size"))).otherwise(F.coalesce(F.col("next") - F.col("start"), F.col("size"))).alias("hi"))
-    pieces = chunks.join(met, ["row", "k"]).select("row", "k", "ok", "rest", F.substring("piece", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece"))
+    own = chunks.join(met, ["row", "k"]).select("row", "k", "ok", "rest", (F.col("k") == F.col("n") - 1).alias("last"), F.substring("piece", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece"))
+    apart = own.where("ok = 1").select("row", "rest", "k", "last", "piece")
+    whole = own.where("ok = 0").groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
+    whole = whole.select("row", "rest", F.lit(0).alias("k"), F.lit(True).alias("last"), "piece")
+    return short.unionByName(apart).unionByName(whole), chunks
+
 
-    apart = encode_rows(pieces.where("ok = 1").select("row", "k", "rest", "piece"), "piece", "ids", vocabulary)
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """The rows with their token ids (array of int) in place of the text.
+
+    Texts of up to ``chunk_chars`` characters are one piece and stay in their task; this is a choice of plan, the ids are the same.
+    """
+    rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
+    df = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`"))
+    is_long = F.coalesce(F.length(F.col(f"`{text_col}`")) > chunk_chars, F.lit(False))
+    short = encode_rows(df.where(~is_long), text_col, ids_col, vocabulary)
+    cut, _ = pieces(df.where(is_long), text_col, chunk_chars, overlap_chars)
+    apart = encode_rows(cut.select("row", "k", "rest", "piece"), "piece", "ids", vocabulary)
     apart = apart.groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    whole = pieces.where("ok = 0").groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    whole = encode_rows(whole, "piece", "ids", vocabulary)
-    return apart.unionByName(whole).select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("ids").alias(ids_col))
+    return short.unionByName(apart.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("ids").alias(ids_col)))
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:

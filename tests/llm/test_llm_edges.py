@@ -185,19 +185,35 @@ def test_feistel_is_a_permutation():
     assert (binary.permuted(np.arange(1000), 1000, 1) != binary.permuted(np.arange(1000), 1000, 2)).any()
 
 
-def test_shards_hold_the_tokens(spark, docs):
+def plain_sequences(rows, length):
+    """The stream of tokens in the order of ids, cut into sequences, as (ids, documents) of each."""
+    flat, docs = [], []
+    for doc, _, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*bpe.encoder(bpe.VOCABULARY).encode_ordinary(text or ""), binary.END]
+        flat += ids
+        docs += [doc] * len(ids)
+    return [(flat[i : i + length], [d for k, d in enumerate(docs[i : i + length]) if not k or docs[i + k - 1] != d]) for i in range(0, len(flat), length)]
+
+
+def test_shards_hold_the_tokens_in_order(spark, docs):
     import numpy as np
 
-    tokens = bpe.encode(docs.select("doc_id", "text"))
-    folder = scratch_path(spark, "test-shards")
-    index = binary.materialise(tokens, folder, length=64, shard=16)
-    n = index.count()
-    whole = binary.read_slots(folder, 0, n)
-    assert whole.shape == (n, 64) and (binary.read_slots(folder, 13, 40) == whole[13:53]).all()
-    used = {r.slot: r.n_tokens for r in index.collect()}
-    assert sorted(used) == list(range(n))
-    flat = np.concatenate([whole[s][: used[s]] for s in range(n)])
-    want = np.concatenate([np.append(r.token_ids, binary.END) for r in tokens.collect()])
-    assert sorted(flat.tolist()) == sorted(want.astype(int).tolist())
-    assert {d for r in index.collect() for d in r.doc_ids} == {r.doc_id for r in docs.collect()}
-    assert binary.materialise(tokens.where("false"), scratch_path(spark, "test-none")).count() == 0
+    rows = [tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()]
+    want = plain_sequences(rows, 64)
+    for parts, chunk in ((3, 2000), (7, 16_384)):
+        folder = scratch_path(spark, "test-shards")
+        index = binary.materialise(docs.repartition(parts, F.rand(parts)), folder, length=64, shard=16, chunk_chars=chunk)
+        n = index.count()
+        whole = binary.read_slots(folder, 0, n)
+        assert n == len(want) and (binary.read_slots(folder, 13, 40) == whole[13:53]).all()
+        slots = binary.permuted(np.arange(n), n)
+        found = {r.slot: r for r in index.collect()}
+        for (ids, own), slot in zip(want, slots.tolist(), strict=True):
+            assert whole[slot].tolist() == ids + [binary.END] * (64 - len(ids))
+            assert found[slot].n_tokens == len(ids) and found[slot].doc_ids == own and found[slot].shard == slot // 16
+    assert binary.materialise(docs.where("false"), scratch_path(spark, "test-none")).count() == 0
+
+
+def test_ids_beyond_two_bytes_fail(spark, docs):
+    with pytest.raises(Exception, match="does not fit"):
+        binary.materialise(docs.where("doc_id = 3"), scratch_path(spark, "test-wide"), end=70_000)

@@ -28,6 +28,27 @@ def test_bpe_query(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_shards_query(spark):
+    import hashlib
+
+    import numpy as np
+
+    from lociwave.llm import binary
+
+    docs = pd.read_parquet(f"{DATA}/documents.parquet").sort_values("doc_id")
+    ids = [[*bpe.encoder(bpe.VOCABULARY).encode_ordinary(x or ""), binary.END] for x in docs.text]
+    flat = np.concatenate([np.array(x, "<u2") for x in ids])
+    owner = np.repeat(docs.doc_id.to_numpy(), [len(x) for x in ids])
+    n = -(-len(flat) // binary.LENGTH)
+    slots = binary.permuted(np.arange(n), n)
+    want = []
+    for i in range(n):
+        own = flat[i * binary.LENGTH : (i + 1) * binary.LENGTH]
+        full = np.append(own, np.full(binary.LENGTH - len(own), binary.END)).astype("<u2")
+        want.append((int(slots[i]), int(slots[i]) // binary.SHARD, len(own), list(dict.fromkeys(owner[i * binary.LENGTH : (i + 1) * binary.LENGTH].tolist())), hashlib.sha256(full.tobytes()).hexdigest()))
+    assert sorted(map(tuple, registry.QUERIES["op5_feistel_shards"](spark, DATA).collect())) == sorted(want)
+
+
 def test_learned_queries(spark):
     docs = pd.read_parquet(f"{MID}/documents.parquet")[["doc_id", "lang", "text"]]
     found = registry.QUERIES["op1_language_id"](spark, MID).toPandas().merge(docs, on="doc_id")
