@@ -1,18 +1,23 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A text is a bag of passages of ``PASSAGE_WORDS`` words. Every passage becomes a
-vector of shares (bytes of each kind, repeated and distinct words, word shapes);
-a learned layer encodes it, a learned gate gives it an attention weight, and the
-weighted sum of the encoded passages is scored. Only documents carry labels: the
-gradient of the document's loss reaches the passages through the attention.
-
-The fit reads a bounded sample: at most ``TRAIN_DOCS`` labelled documents, chosen
-by a hash of the id, with whole texts. Scoring reads whole texts of all rows.
-
-Null and empty texts are one empty passage and are scored as such. Documents
-without a label are scored alike. Repeated labels of a document count once, the
-smallest; with no label to learn from every score is 0.5, with one class only it
-is that class. Input columns named ``score`` or ``predicted`` are replaced.
+vector: the shares of its words by hash bucket, so that the encoder learns an
+embedding for each bucket and takes their mean, and the shares of bytes of each
+kind, repeated and distinct words and word shapes. A learned layer encodes it, a
+learned gate gives it an attention weight, and the weighted sum of the encoded
+passages is scored. Only documents carry labels: the gradient of the document's
+loss reaches the passages through the attention.
+
+The fit reads a bounded sample of labelled documents, in the order of a hash of
+the id, with whole texts: at most ``TRAIN_DOCS`` documents, and those of them that
+together have at most ``TRAIN_PASSAGES`` passages. Scoring reads whole texts of all
+rows, a bounded piece of a batch (or one longer text) at a time.
+
+Null and empty texts are one empty passage and are scored as such; a very long
+text is many passages. Documents without a label are scored alike. Repeated labels
+of a document count once, the smallest; with no label to learn from every score is
+0.5, with one class only it is that class. An empty table gives no rows; repeated
+rows stay; input columns named ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,17 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table
+from .common import held_out, slices, table, written
 from .textkernel import hashes, raw, spans
 
 PASSAGE_WORDS = 100
-TRAIN_DOCS = 3_000
+TRAIN_DOCS, TRAIN_PASSAGES = 3_000, 60_000
 THRESHOLD = 0.7
 HIDDEN, GATE = 16, 8
-STEPS, RATE, DECAY, SEED = 250, 0.03, 1e-4, 7
+STEPS, RATE, DECAY, SEED = 200, 0.03, 3e-4, 7
+#: Hash buckets of words with an embedding each.
+BUCKETS = 256
 
 # Kinds of bytes: each ASCII mark for itself, the rest in groups.
 _MARKS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
@@ -46,7 +53,8 @@ _KIND[0x80:] = 4
 _KIND[0x20] = 5
 _KIND[0x09:0x0E] = 6
 KINDS = 7 + len(_MARKS)
-FEATURES = KINDS + 9
+SHAPES = KINDS + 9
+FEATURES = SHAPES + BUCKETS
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +95,9 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.add.reduceat(new.astype(np.float64), head)
     mean = np.add.reduceat(length, head) / count
     extra = (np.log1p(count), mean / 10, np.sqrt(np.maximum(0, np.add.reduceat(length**2, head) / count - mean**2)) / 10, np.add.reduceat(same.astype(float), head) / count, distinct / count, np.add.reduceat(upper.astype(float), head) / count, np.add.reduceat(loud.astype(float), head) / count, np.minimum(mean, 40) / 40, np.log1p(n_words[text[head]]) / 5)
-    x[where, KINDS:] = np.stack(extra, 1)
+    x[where, KINDS:SHAPES] = np.stack(extra, 1)
+    cell = np.repeat(np.arange(len(head)) * BUCKETS, count) + (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    x[where, SHAPES:] = np.sqrt(np.bincount(cell, minlength=len(head) * BUCKETS).reshape(len(head), BUCKETS) / count[:, None])
     return x, first
 
 
@@ -118,9 +128,11 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
     """Adam on the documents' log loss; the same input gives the same model."""
     rate = float(y.mean()) if len(y) else 0.5
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    # All words of a passage weigh as much as a few of its other figures.
+    scale = np.concatenate([scale[:SHAPES], scale[SHAPES:] * 4]).astype(np.float32)
     if not len(y) or rate in (0.0, 1.0):
         return Model(mean, scale, None, rate)
-    x = np.clip((x - mean) / scale, -8, 8).astype(np.float64)
+    x = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(SEED)
     w = {"W": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "q": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "c0": np.array(np.log(rate / (1 - rate)))}
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
@@ -139,7 +151,7 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.999 * v[k] + 0.001 * d**2
             w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w, rate)
+    return Model(mean, scale, {k: p.astype(np.float32) for k, p in w.items()}, rate)
 
 
 def apply(model: Model, x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -148,23 +160,26 @@ def apply(model: Model, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _forward(model.weights, np.clip((x - model.mean) / model.scale, -8, 8), first)[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, passages_most: int = TRAIN_PASSAGES) -> Model:
     """Learns from the documents that have a label."""
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
-    share = min(1.0, most / max(1, labels.count()))
-    labels = labels.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "id")
+    labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    chosen = written(labels.orderBy(F.xxhash64("id"), "id").limit(most), "mil-labels")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "text"):
                 x, first = passages(batch.column("text"))
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "x": pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "n": pa.array(np.diff(first), pa.int64()), "x": pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())})
 
-    found = rows.mapInArrow(run, "id long, y int, x binary").toPandas().sort_values(["id", "x"])
-    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in found["x"]]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in bags])]).astype(int)
-    return train(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), first, found["y"].to_numpy(float))
+    # A row that repeats an id counts once: the sample is one text of each chosen document.
+    bags = written(rows.mapInArrow(run, "id long, y int, n long, x binary").groupBy("id").agg(F.max(F.struct("n", "x", "y")).alias("b")).select("id", "b.*"), "mil-bags")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    found = bags.select("id", "n").withColumn("upto", upto).where(F.col("upto") <= passages_most).select("id")
+    found = bags.join(F.broadcast(found), "id").toPandas().sort_values("id")
+    kept = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in found["x"]]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(int)
+    return train(np.concatenate(kept) if kept else np.zeros((0, FEATURES), np.float32), first, found["y"].to_numpy(float))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -174,7 +189,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     @F.arrow_udf("double")
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            out = [apply(shared.value, *passages(piece.column(0))) for piece in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
+            out = [apply(shared.value, *passages(piece.column(0))).astype(float) for piece in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     rest = [f"`{c}`" for c in df.columns if c not in ("score", "predicted")]
