@@ -75,17 +75,23 @@ def boundaries(piece: str, whole_end: bool) -> np.ndarray:
     return ends if whole_end else ends[ends <= len(piece) - GUARD_CHARS]
 
 
-def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str) -> DataFrame:
-    """The rows with ``ids_col`` in place of ``text_col``; one task holds each text whole."""
+def bytes_of(ids: list[int] | np.ndarray, vocabulary: str = VOCABULARY) -> bytes:
+    return b"".join(map(token_bytes(vocabulary).__getitem__, ids))
+
+
+def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, bytes_col: str | None = None) -> DataFrame:
+    """The rows with ``ids_col``, and the bytes that the ids decode to if asked for, in place of ``text_col``; one task holds each text whole."""
     rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *([T.StructField(bytes_col, T.BinaryType())] if bytes_col else [])]
+    schema = T.StructType([df.schema[c] for c in rest] + made)
     df = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "__text"):
                 ids = [encode_text(x, vocabulary) for x in strings(batch.column("__text"))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), list_array(ids, pa.int32())], [*rest, ids_col])
+                columns = [list_array(ids, pa.int32()), *([pa.array([bytes_of(x.tolist(), vocabulary) for x in ids], pa.binary())] if bytes_col else [])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, *(x.name for x in made)])
 
     return df.mapInArrow(run, schema)
 
@@ -138,19 +144,20 @@ def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap
     return short.unionByName(apart).unionByName(whole), chunks
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """The rows with their token ids (array of int) in place of the text.
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, bytes_col: str | None = None) -> DataFrame:
+    """The rows with their token ids (array of int), and if asked for the bytes that these decode to, in place of the text.
 
     Texts of up to ``chunk_chars`` characters are one piece and stay in their task; this is a choice of plan, the ids are the same.
     """
-    rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
+    rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower(), (bytes_col or text_col).lower())]
     df = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`"))
     is_long = F.coalesce(F.length(F.col(f"`{text_col}`")) > chunk_chars, F.lit(False))
-    short = encode_rows(df.where(~is_long), text_col, ids_col, vocabulary)
+    short = encode_rows(df.where(~is_long), text_col, ids_col, vocabulary, bytes_col)
     cut, _ = pieces(df.where(is_long), text_col, chunk_chars, overlap_chars)
     apart = encode_rows(cut.select("row", "k", "rest", "piece"), "piece", "ids", vocabulary)
     apart = apart.groupBy("row").agg(F.first("rest", ignorenulls=True).alias("rest"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(apart.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("ids").alias(ids_col)))
+    apart = apart.select(*[F.col("rest").getField(c).alias(c) for c in rest], F.col("ids").alias(ids_col))
+    return short.unionByName(decode(apart, ids_col, bytes_col, vocabulary) if bytes_col else apart)
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -158,11 +165,10 @@ def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded"
 
     @F.arrow_udf("binary")
     def joined(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = token_bytes(vocabulary)
         for column in columns:
             out = []
             for i in range(0, len(column), 256):
-                out += [b"" if x is None else b"".join([known[y] for y in x]) for x in column.slice(i, 256).to_pylist()]
+                out += [bytes_of(x or [], vocabulary) for x in column.slice(i, 256).to_pylist()]
             yield pa.array(out, pa.binary())
 
     return df.withColumn(bytes_col, joined(F.col(f"`{ids_col}`")))
@@ -175,4 +181,4 @@ def digests(df: DataFrame) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the bytes they decode to."""
-    return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bytes_col="decoded"))

@@ -138,6 +138,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         stop = min(stop, start + 2000, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers are kept and would hold their peak through later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
