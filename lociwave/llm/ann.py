@@ -1,89 +1,212 @@
 """Approximate nearest neighbours: multiprobe p-stable hashing.
 
-``TABLES`` hash tables of ``HASHES`` functions ``floor((a . v + b) / w)`` with normal
-``a``; every row of every shard is in all tables. A query visits a table's buckets
-in the order of their estimated success: the squared distances from its
-projections to the bucket's cells, least first, which is the order in which
-perturbed buckets are likeliest to hold near rows; empty buckets are skipped. It
-goes on until the visited buckets hold ``VISIT`` of the shard's rows (at least
-``LEAST_VISIT``); a bucket is always taken whole. The tables' candidates are
-merged and ranked by their exact inner product in double precision.
-
-Nearness is the largest inner product. Rows get one more component that gives
-all the same norm, queries a zero there, so that the nearest by Euclidean
-distance, for which the hashing holds, is the largest inner product.
-
-Unusable and zero vectors and rows without an id take no part; rows that repeat
-id and vector count once; equal scores go to the smaller id.
+``TABLES`` hash tables of m functions ``floor((a . v + b) / w)`` with normal ``a`` and
+``b`` such that a boundary lies near the rows' mean, so that it divides them; every row is in one bucket of each table, found by the 64-bit key of (table, cells).
+m grows with the logarithm of the number of rows, so that buckets go on holding
+about ``BUCKET_ROWS`` rows. A query visits its own bucket and perturbed ones, whose
+cells are one up or down in some functions: sets of perturbations come from a heap
+in the order of their expected cost, and for each query are put into the order of
+the estimated probability that a row at the distance of its k-th neighbour lies
+there, until these probabilities sum to ``SUCCESS`` in every table. The distance is
+measured on ``SAMPLE`` of the queries against all rows.
+
+Buckets are dealt to groups by their key; a bucket of more than ``PART_ROWS`` rows
+is split into parts. Rows and probes of a group meet by their keys, candidates of
+its tables are merged and ranked by their exact inner product in double precision,
+and each group gives at most k rows per query, ranked once more in the end. So a
+query's work is its probes and their candidates, and no row meets a query that
+does not look for its bucket.
+
+Nearness is the largest inner product. Rows get one more component that gives all
+the same norm, queries a zero there, so that the nearest by Euclidean distance, for
+which the hashing holds, is the largest inner product.
+
+Rows with the same vector take part as one, with their k + 1 smallest ids: of equal
+scores the smaller ids come first, so no other can be in a result. Queries with the
+same vector are asked once. Null, unusable and zero vectors and rows without an id
+take no part; a shorter vector ends in zeros; rows that repeat id and vector count
+once; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .vectors import QUERY_ROWS, SHARD_ROWS, distinct_vectors, packed, searched, width_of
+from .common import list_array, maybe_broadcast, mix64, table, written
+from .vectors import distinct_vectors, matrix, width_of
 
 TOP = 20
 EVERY = 20
-TABLES, HASHES = 3, 16
+TABLES = 12
+BUCKET_ROWS = 16
 #: Cell width as a share of the common norm.
-CELL = 1.25
-VISIT, LEAST_VISIT = 0.25, 512
+CELL = 3.0
+SUCCESS = 0.32
+#: Perturbation sets considered for a query and table.
+SETS = 512
+SAMPLE = 64
+PART_ROWS, GROUP_ROWS = 4096, 32_768
+#: Buckets of more than a part that are named to all tasks; beyond, parts are larger.
+MOST_SPLIT = 100_000
 SEED = 11
 
 
-def functions(width: int, norm: float) -> tuple[np.ndarray, np.ndarray, float]:
-    rng = np.random.default_rng(SEED)
-    cell = CELL * norm
-    return rng.normal(size=(TABLES, width + 1, HASHES)), rng.uniform(0, cell, (TABLES, HASHES)), cell
-
-
-def lifted(v: np.ndarray, norm: float) -> np.ndarray:
-    return np.concatenate([v, np.sqrt(np.maximum(0, norm**2 - (v**2).sum(1)))[:, None]], 1)
-
-
-def build_tables(v: np.ndarray, norm: float) -> dict[str, bytes]:
-    """For each table the rows in bucket order, each bucket's cells and first row."""
-    a, b, cell = functions(v.shape[1], norm)
-    order, cells, heads, counts = [], [], [], []
-    for t in range(TABLES):
-        h = np.floor((lifted(v, norm) @ a[t] + b[t]) / cell).astype(np.int32)
-        o = np.lexsort(h.T[::-1])
-        new = np.ones(len(o), bool)
-        new[1:] = (h[o][1:] != h[o][:-1]).any(1)
-        order.append(o.astype(np.int32))
-        heads.append(np.flatnonzero(new).astype(np.int32))
-        cells.append(h[o][new])
-        counts.append(len(cells[-1]))
-    return {"order": np.concatenate(order).tobytes(), "heads": np.concatenate(heads).tobytes(), "cells": np.concatenate(cells).tobytes(), "counts": np.array(counts, np.int32).tobytes()}
-
-
-def success_cost(p: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Sum over functions of the squared distance (in cells) from each query's projection to each bucket's cell."""
-    out = np.zeros((len(p), len(cells)), np.float32)
-    for j in range(p.shape[1]):
-        kinds, which = np.unique(cells[:, j], return_inverse=True)
-        gap = np.maximum(0, np.maximum(kinds[None] - p[:, j, None], p[:, j, None] - kinds[None] - 1))
-        out += (gap**2).astype(np.float32)[:, which]
-    return out
-
-
-def probe(p: np.ndarray, order: np.ndarray, heads: np.ndarray, cells: np.ndarray, quota: int, marks: np.ndarray) -> None:
-    """Marks the rows of the buckets each query visits until they hold ``quota`` rows."""
-    size = np.diff(np.append(heads, len(order)))
-    bucket = np.empty(len(order), np.int64)
-    bucket[order] = np.repeat(np.arange(len(heads)), size)
-    cost = success_cost(p, cells)
-    first = min(quota, len(heads))
-    likely = np.argpartition(cost, first - 1, axis=1)[:, :first] if first < len(heads) else np.broadcast_to(np.arange(first), (len(p), first))
-    likely = np.take_along_axis(likely, np.argsort(np.take_along_axis(cost, likely, 1), axis=1, kind="stable"), 1)
-    before = np.cumsum(size[likely], axis=1) - size[likely]
-    taken = np.zeros((len(p), len(heads)), bool)
-    np.put_along_axis(taken, likely, before < quota, 1)
-    marks |= taken[:, bucket]
+@dataclass
+class Hashing:
+    """The functions of all tables and the order of perturbation sets; made alike wherever it is made."""
+
+    width: int
+    norm: float
+    functions: int
+    distance: float
+    mean: np.ndarray
+
+    def __post_init__(self) -> None:
+        rng = np.random.default_rng(SEED)
+        self.a = rng.normal(size=(TABLES, self.width + 1, self.functions)) / (CELL * self.norm)
+        self.b = rng.uniform(-0.05, 0.05, (TABLES, self.functions)) - self.mean @ self.a
+        self.odd = rng.integers(0, 1 << 63, self.functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.sets = perturbations(self.functions, self.distance / (CELL * self.norm))
+
+    def lifted(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([v, np.sqrt(np.maximum(0, self.norm**2 - (v**2).sum(1)))[:, None]], 1)
+
+    def _keys(self, sums: np.ndarray, t: int) -> np.ndarray:
+        return mix64(sums + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
+
+    def row_keys(self, v: np.ndarray) -> np.ndarray:
+        """Bucket keys (rows, TABLES) of rows."""
+        lifted = self.lifted(v)
+        return np.stack([self._keys((np.floor(lifted @ self.a[t] + self.b[t]).astype(np.int64).view(np.uint64) * self.odd).sum(1, dtype=np.uint64), t) for t in range(TABLES)], 1)
+
+    def probes(self, q: np.ndarray) -> list[np.ndarray]:
+        """The bucket keys that each query visits, likeliest first in each table."""
+        # A query's length doesn't change the order of its answers; the hashing wants the rows' norm.
+        unit = q * (self.norm / np.sqrt((q**2).sum(1)))[:, None]
+        out: list[list[np.ndarray]] = [[] for _ in q]
+        spread = self.distance / (CELL * self.norm)
+        for t in range(TABLES):
+            p = unit @ self.a[t][:-1] + self.b[t]
+            cell = np.floor(p)
+            gap = np.concatenate([p - cell, 1 - (p - cell)], 1)
+            sign = np.concatenate([np.full(p.shape, -1), np.ones(p.shape, int)], 1)
+            nearest = np.argsort(gap, axis=1, kind="stable")
+            cost = np.take_along_axis(step_cost(gap, spread), nearest, 1)
+            odd = (np.take_along_axis(sign, nearest, 1).astype(np.int64).view(np.uint64)) * np.concatenate([self.odd, self.odd])[nearest]
+            total = cost @ self.sets.T.astype(float)
+            stay = np.log(inside(p - cell, spread)).sum(1)
+            order = np.argsort(total, axis=1, kind="stable")
+            chance = np.exp(stay[:, None] - np.take_along_axis(total, order, 1))
+            visits = (np.cumsum(chance, axis=1) - chance < SUCCESS).sum(1)
+            home = (cell.astype(np.int64).view(np.uint64) * self.odd).sum(1, dtype=np.uint64)
+            for i, n in enumerate(visits):
+                moved = (self.sets[order[i, :n]].astype(np.uint64) * odd[i]).sum(1, dtype=np.uint64)
+                out[i].append(self._keys(home[i] + moved, t))
+        return [np.unique(np.concatenate(x)) for x in out]
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, by a rational approximation (error below 1e-7)."""
+    z = np.abs(x)
+    t = 1 / (1 + 0.2316419 * z)
+    tail = np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(x >= 0, 1 - tail, tail)
+
+
+def inside(part: np.ndarray, spread: float) -> np.ndarray:
+    """Probability that a neighbour of a point at ``part`` of its cell is in the same cell."""
+    return np.maximum(normal((1 - part) / spread) - normal(-part / spread), 1e-12)
+
+
+def step_cost(gap: np.ndarray, spread: float) -> np.ndarray:
+    """How much less likely (in logarithms) than its own cell the one beyond a boundary ``gap`` away is."""
+    beyond = np.maximum(normal((gap + 1) / spread) - normal(gap / spread), 1e-12)
+    return np.log(inside(gap, spread)) - np.log(beyond)
+
+
+def perturbations(functions: int, spread: float, most: int = SETS) -> np.ndarray:
+    """Sets (rows of 0 and 1) of the 2 m steps, nearest boundary first, in the order of expected cost, from a heap.
+
+    Step j and step 2 m - 1 - j are the two of one function and never in one set.
+    """
+    m = functions
+    low = np.arange(1, m + 1) / (2 * (m + 1))
+    cost = step_cost(np.concatenate([low, 1 - low[::-1]]), spread)
+    out, heap = [()], [(cost[0], (0,))]
+    while heap and len(out) < most:
+        total, held = heapq.heappop(heap)
+        if not any(2 * m - 1 - j in held for j in held):
+            out.append(held)
+        last = held[-1] + 1
+        if last < 2 * m:
+            heapq.heappush(heap, (total - cost[held[-1]] + cost[last], (*held[:-1], last)))
+            heapq.heappush(heap, (total + cost[last], (*held, last)))
+    sets = np.zeros((len(out), 2 * m), np.int8)
+    for i, held in enumerate(out):
+        sets[i, list(held)] = 1
+    return sets
+
+
+def bytes_of(v: np.ndarray) -> list[bytes]:
+    """Each vector as bytes: in single precision where that is exact."""
+    small = v.astype("<f4")
+    return [a.tobytes() if same else b.tobytes() for a, b, same in zip(small, v.astype("<f8"), (small == v).all(1), strict=True)]
+
+
+def vectors_of(parts: list[bytes], width: int) -> np.ndarray:
+    if all(len(x) == 4 * width for x in parts):
+        return np.frombuffer(b"".join(parts), "<f4").reshape(-1, width).astype(float)
+    return np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * width else "<f8").astype(float) for x in parts])
+
+
+def kth_distance(rows: DataFrame, asks: DataFrame, width: int, norm: float, k: int) -> float:
+    """The median distance of the k-th neighbour of ``SAMPLE`` queries among all rows, each scaled to the common norm."""
+    some = asks.orderBy(F.xxhash64("vec"), "u").limit(SAMPLE).toArrow()
+    q = matrix(pa.concat_arrays(some.column("vec").chunks), width) if some.num_rows else np.zeros((0, width))
+    if not len(q):
+        return norm
+    q = q / np.sqrt((q**2).sum(1))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(q), k + 1), -np.inf)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                score = q @ matrix(batch.column("vec").slice(i, 4096), width).T
+                best = -np.sort(-np.concatenate([best, score], 1), 1)[:, : k + 1]
+        of, rank = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_pydict({"q": pa.array(of, pa.int64()), "s": pa.array(best[of, rank], pa.float64())})
+
+    order = Window.partitionBy("q").orderBy(F.col("s").desc())
+    found = rows.select("vec").mapInArrow(run, "q long, s double").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    last = found.groupBy("q").agg(F.min("s").alias("s")).toPandas()["s"].to_numpy()
+    return max(float(np.sqrt(np.maximum(0, 2 * norm**2 - 2 * norm * np.median(last)))), 1e-3 * norm)
+
+
+def groups_of(keys: np.ndarray, part: np.ndarray, groups: int) -> np.ndarray:
+    return (mix64(keys.view(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int32)
+
+
+def parts_of(keys: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Into how many parts each key's bucket is split."""
+    if not len(hot):
+        return np.ones(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return np.where(hot[at] == keys, parts[at], 1)
+
+
+def best_ids(score: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[int], list[float]]:
+    """The k best of rows that stand for several ids each."""
+    first = np.array([x[0] for x in ids], np.int64)
+    top = np.lexsort((first, -score))[:k]
+    pairs = sorted((-score[i], name) for i in top.tolist() for name in ids[i])[:k]
+    return [name for _, name in pairs], [-s for s, _ in pairs]
 
 
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP) -> DataFrame:
@@ -91,41 +214,108 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     some = lambda rows: rows.where(F.exists(vec_col, lambda x: x != 0))
     rows, asks = distinct_vectors(some(df), id_col, vec_col), distinct_vectors(some(queries), id_col, vec_col)
     width = width_of(rows.unionByName(asks))
-    norm = float(rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0)
+    # One row for each vector, with the ids that may be in a result.
+    least = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
+    rows = written(least.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-vectors")
+    names = asks.groupBy("vec").agg(F.min("id").alias("u"))
+    asked = written(names, "ann-queries")
+    total = rows.count()
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    norm = float(rows.agg(F.max(F.sqrt(square))).first()[0] or 1.0) * (1 + 1e-9)
+    mean = np.zeros(width + 1)
+    for r in rows.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        mean[r["i"]] = r["x"] / total
+    mean[width] = rows.agg(F.avg(F.sqrt(F.greatest(F.lit(0.0), F.lit(norm**2) - square)))).first()[0] or 0.0
+    count = max(1, round(np.log2(max(2, total / BUCKET_ROWS))))
+    hashing = Hashing(width, norm, count, kth_distance(rows, asked, width, norm, k), mean)
 
-    def index(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
-        return {"ids": ids.astype(np.int64).tobytes(), "v": v.tobytes(), **build_tables(v, norm)}
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                v = matrix(part.column("vec"), width)
+                yield pa.RecordBatch.from_arrays([part.column("ids"), pa.array(bytes_of(v), pa.binary()), list_array(list(hashing.row_keys(v)), pa.int64())], ["ids", "v", "keys"])
 
-    def plain(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
-        return {"ids": ids.astype(np.int64).tobytes(), "v": v.tobytes()}
+    index = written(rows.select("ids", "vec").mapInArrow(keyed, "ids array<long>, v binary, keys array<long>"), "ann-keys")
+    most = max(PART_ROWS, total * TABLES // MOST_SPLIT)
+    sizes = index.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy("key").toPandas()
+    hot, parts = sizes["key"].to_numpy(np.int64), -(-sizes["n"].to_numpy(np.int64) // most)
+    groups = max(1, -(-total * TABLES // GROUP_ROWS))
+    kind = "g int, kind int, a long, l array<long>, v binary"
 
-    def one(shard: dict, query: dict) -> dict[str, np.ndarray]:
-        ids, qids = np.frombuffer(shard["ids"], np.int64), np.frombuffer(query["ids"], np.int64)
-        v, q = np.frombuffer(shard["v"]).reshape(len(ids), width), np.frombuffer(query["v"]).reshape(len(qids), width)
-        order, heads, cells, counts = (np.frombuffer(shard[x], np.int32) for x in ("order", "heads", "cells", "counts"))
-        cells = cells.reshape(-1, HASHES)
-        a, b, cell = functions(width, norm)
-        # A query's length doesn't change the order of its answers; the hashing wants the rows' norm.
-        unit = q * (norm / np.sqrt((q**2).sum(1)))[:, None]
-        marks, at = np.zeros((len(q), len(v)), bool), 0
-        quota = max(LEAST_VISIT, int(np.ceil(VISIT * len(v))))
-        for t, n in enumerate(counts):
-            p = (unit @ a[t][:-1] + b[t]) / cell
-            probe(p, order[t * len(v) : (t + 1) * len(v)], heads[at : at + n], cells[at : at + n], quota, marks)
-            at += n
-        out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
-        for i, name in enumerate(qids):
-            near = np.flatnonzero(marks[i])
-            near = near[ids[near] != name]
-            score = v[near] @ q[i]
-            best = np.lexsort((ids[near], -score))[:k]
-            out["query_id"].append(np.full(len(best), name))
-            out["vec_id"].append(ids[near[best]])
-            out["score"].append(score[best])
-        return {c: np.concatenate(x) for c, x in out.items()}
-
-    shards = written(packed(rows, width, SHARD_ROWS, index, ["ids", "v", "order", "heads", "cells", "counts"]), "ann-shards")
-    return searched(shards, packed(asks, width, QUERY_ROWS, plain, ["ids", "v"]), one, "double", k)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each table: its bucket's key and group."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                own = batch.slice(i, 1024)
+                keys = own.column("keys").flatten().to_numpy()
+                which = pa.array(np.repeat(np.arange(own.num_rows), TABLES))
+                first = own.column("ids").flatten().to_numpy()[own.column("ids").offsets.to_numpy()[:-1] - own.column("ids").offsets[0].as_py()].repeat(TABLES)
+                part = (mix64(first.view(np.uint64)) % parts_of(keys, hot, parts).astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(groups_of(keys, part, groups)), pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), own.column("ids").take(which), own.column("v").take(which)], ["g", "kind", "a", "l", "v"])
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group that a query's probes lead to, with these."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                own = batch.slice(i, 128)
+                q = matrix(own.column("vec"), width)
+                out: tuple[list, ...] = ([], [], [], [])
+                for u, data, keys in zip(own.column("u").to_pylist(), bytes_of(q), hashing.probes(q), strict=True):
+                    split = parts_of(keys, hot, parts)
+                    each = np.repeat(keys, split)
+                    part = np.arange(len(each)) - np.repeat(np.cumsum(split) - split, split)
+                    g = groups_of(each, part, groups)
+                    order = np.argsort(g, kind="stable")
+                    for one in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+                        for column, value in zip(out, (g[one[0]], u, np.unique(each[one]), data), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(np.ones(len(out[0]), np.int32)), pa.array(out[1], pa.int64()), list_array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["g", "kind", "a", "l", "v"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets of a group, then its queries one after another."""
+        group, keys, ids, data, v = None, [], [], [], None
+        for batch in batches:
+            found: tuple[list, ...] = ([], [], [])
+            for g, is_query, a, l, raw in zip(batch.column("g").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("l"), batch.column("v"), strict=True):
+                if g != group:
+                    group, keys, ids, data, v = g, [], [], [], None
+                if not is_query:
+                    keys.append(a)
+                    ids.append(l.as_py())
+                    data.append(raw.as_py())
+                    continue
+                if not len(keys):
+                    continue
+                if v is None:
+                    keys, v, data = np.array(keys), vectors_of(data, width), []
+                    first = np.array([x[0] for x in ids])
+                wanted = l.values.to_numpy()
+                lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+                size = hi - lo
+                near = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                near = near[np.unique(first[near], return_index=True)[1]]
+                if len(near):
+                    score = v[near] @ vectors_of([raw.as_py()], width)[0]
+                    top = np.argpartition(-score, k)[: k + 1] if len(near) > k + 1 else np.arange(len(near))
+                    if len(near) > k + 1:
+                        top = np.flatnonzero(score >= score[top].min())
+                    who, s = best_ids(score[top], [ids[j] for j in near[top]], k + 1)
+                    found[0].extend([a] * len(who))
+                    found[1].extend(who)
+                    found[2].extend(s)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["u", "vec_id", "score"])
+
+    both = index.mapInArrow(dealt, kind).unionByName(asked.mapInArrow(probing, kind))
+    both = both.repartitionById(groups, F.col("g")).sortWithinPartitions("g", "kind", "a")
+    found = both.mapInArrow(met, "u long, vec_id long, score double").groupBy("u", "vec_id").agg(F.max("score").alias("score"))
+    order = F.col("score").desc(), F.col("vec_id")
+    found = written(found.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order))).where(F.col("r") <= k + 1).drop("r"), "ann-found")
+    # Each query of a vector, without itself.
+    each = asks.join(maybe_broadcast(asked), "vec").select(F.col("id").alias("query_id"), "u").join(maybe_broadcast(found), "u").where("vec_id <> query_id")
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int"))
+    return each.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:

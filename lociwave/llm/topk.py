@@ -2,15 +2,18 @@
 
 Vectors become integer weights per term (component). A shard of rows is laid
 out so that like rows are neighbours and cut into ranges of ``BLOCK`` rows, each
-with its greatest and least weight per term. A query takes the blocks of a shard
+with its greatest and least weight per term. First each query is searched in one
+shard; its k-th score there is a bound that it takes to all shards. A query takes the blocks of a shard
 in the order of their bounds (the sum over terms of the greatest product the
 block allows), scores whole blocks through their forward index, and stops when
-the next bound is below its k-th score; equal bounds are still scored, so that
+the next bound is below its k-th score, or the one it brought; equal bounds are still scored, so that
 ties go to the smaller id. The result is exact whatever the bounds prune.
 
 Rows that repeat id and vector count once; vectors that are null or hold null or
 non-finite components and rows without an id take no part; a shorter vector ends
-in zeros. Integers whose products could leave 2^53 are computed as Python ints.
+in zeros. Integers whose products could leave 2^53 are computed as Python ints; a
+score beyond 63 bits is an error. An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .vectors import QUERY_ROWS, SHARD_ROWS, distinct_vectors, packed, searched, width_of
+from .common import maybe_broadcast, table, written
+from .vectors import QUERY_ROWS, SHARD_ROWS, distinct_vectors, packed, ranked, searched, width_of
 
 SCALE = 256
 TOP = 5
@@ -35,8 +38,9 @@ def laid_out(v: np.ndarray) -> np.ndarray:
     return np.argsort((v @ pivots.T).argmax(1), kind="stable")
 
 
-def best_of_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query ids, ids, scores) of each query's k best rows, and how many blocks were scored."""
+def best_of_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, low: np.ndarray | None = None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query ids, ids, scores) of each query's k best rows, none below its ``low``, and how many blocks were scored."""
+    low = np.full(len(q), -np.inf) if low is None else low
     heads = np.arange(0, len(v), block)
     most, least = np.maximum.reduceat(v, heads, axis=0), np.minimum.reduceat(v, heads, axis=0)
     bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
@@ -46,7 +50,7 @@ def best_of_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarra
     active, at, step, scored = np.arange(len(q)), 0, 1, 0
     while len(active) and at < len(heads):
         mine = order[active, at : at + step]
-        wanted = bound[active[:, None], mine] >= top[active, -1:]
+        wanted = bound[active[:, None], mine] >= np.maximum(top[active, -1], low[active])[:, None]
         for b in np.unique(mine[wanted]):
             rows = active[((mine == b) & wanted).any(1)]
             own, names = v[heads[b] : heads[b] + block], ids[heads[b] : heads[b] + block]
@@ -58,17 +62,19 @@ def best_of_shard(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarra
             top[rows], who[rows] = np.take_along_axis(score, first, 1), np.take_along_axis(name, first, 1)
             scored += len(rows)
         at, step = at + step, step * 2
-        active = active[bound[active, order[active, at]] >= top[active, -1]] if at < len(heads) else active[:0]
-    found = top > -np.inf
+        active = active[bound[active, order[active, at]] >= np.maximum(top[active, -1], low[active])] if at < len(heads) else active[:0]
+    found = (top > -np.inf) & (top >= low[:, None])
     return np.repeat(qids, found.sum(1)), who[found], top[found], scored
 
 
 def exact_ints(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same by Python integers, for weights beyond doubles; scores are held to 64 bits."""
+    """The same by Python integers, for weights beyond doubles."""
     out = []
     rows = [[int(x) for x in r] for r in v]
     for name, own in zip(qids.tolist(), ([int(x) for x in r] for r in q), strict=True):
-        scores = sorted((-max(-MOST_LONG, min(MOST_LONG, sum(a * b for a, b in zip(own, r, strict=True)))), i) for i, r in zip(ids.tolist(), rows, strict=True) if i != name)[:k]
+        scores = sorted((-sum(a * b for a, b in zip(own, r, strict=True)), i) for i, r in zip(ids.tolist(), rows, strict=True) if i != name)[:k]
+        if any(abs(s) > MOST_LONG for s, _ in scores):
+            raise OverflowError("a score does not fit into 64 bits")
         out += [(name, i, -s) for s, i in scores]
     return tuple(np.array([x[j] for x in out], np.int64) for j in range(3))
 
@@ -78,22 +84,31 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     rows, asks = distinct_vectors(df, id_col, vec_col), distinct_vectors(queries, id_col, vec_col)
     width = width_of(rows.unionByName(asks))
 
-    def forward(ids: np.ndarray, vecs: np.ndarray) -> dict[str, bytes]:
+    def forward(ids: np.ndarray, vecs: np.ndarray, *low: np.ndarray) -> dict[str, bytes]:
         w = np.floor(vecs * scale)
         order = laid_out(w) if len(w) else slice(None)
-        return {"ids": ids[order].astype(np.int64).tobytes(), "w": w[order].tobytes()}
+        parts = {"ids": ids[order].astype(np.int64).tobytes(), "w": w[order].tobytes()}
+        return parts | ({"low": low[0][order].astype(float).tobytes()} if low else {})
 
     def one(shard: dict, query: dict) -> dict[str, np.ndarray]:
         ids, qids = np.frombuffer(shard["ids"], np.int64), np.frombuffer(query["ids"], np.int64)
         v, q = np.frombuffer(shard["w"]).reshape(len(ids), width), np.frombuffer(query["w"]).reshape(len(qids), width)
+        low = np.frombuffer(query["low"]) if query.get("low") is not None else None
         if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * max(1, width) >= 2**53:
             a, b, s = exact_ints(ids, v, qids, q, k)
         else:
-            a, b, s, _ = best_of_shard(ids, v, qids, q, k)
+            a, b, s, _ = best_of_shard(ids, v, qids, q, k, low)
         return {"query_id": a, "vec_id": b, "score": s.astype(np.int64)}
 
-    shards = written(packed(rows, width, SHARD_ROWS, forward, ["ids", "w"]), "topk-shards")
-    return searched(shards, packed(asks, width, QUERY_ROWS, forward, ["ids", "w"]), one, "long", k)
+    shards, n = packed(rows, width, SHARD_ROWS, forward, ["ids", "w"])
+    shards = written(shards, "topk-shards")
+    first = written(packed(asks, width, QUERY_ROWS, forward, ["ids", "w"])[0], "topk-first")
+    seeds = searched(shards, n, first, one, "long", each=False).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+    # A query id with several vectors has other counts and brings no bound.
+    seeds = written(seeds.where(F.col("n") == k).select("query_id", F.col("low").cast("double").alias("low")), "topk-seeds")
+    asks = asks.join(maybe_broadcast(seeds), F.col("id") == F.col("query_id"), "left").select("id", "vec", F.coalesce("low", F.lit(float("-inf"))).alias("low"))
+    packs = written(packed(asks, width, QUERY_ROWS, forward, ["ids", "w", "low"], ("low",))[0], "topk-queries")
+    return ranked(searched(shards, n, packs, one, "long"), k)
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

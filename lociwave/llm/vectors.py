@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 512
+QUERY_ROWS = 256
 
 
 def usable(vec: Column) -> Column:
@@ -39,64 +39,55 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def even(rows: DataFrame, most: int) -> DataFrame:
-    """The rows dealt in turn to as many tasks as packs of ``most`` rows need: how many packs there are follows from the rows alone."""
-    return rows.repartition(max(1, -(-rows.count() // most)))
+def packed(rows: DataFrame, width: int, most: int, build: Callable[..., dict[str, bytes]], names: list[str], extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(pack, n, *names) with the binary parts that ``build(ids, vectors, *extra)`` makes of about ``most`` rows; how many packs there may be.
 
-
-def packed(rows: DataFrame, width: int, most: int, build: Callable[[np.ndarray, np.ndarray], dict[str, bytes]], names: list[str]) -> DataFrame:
-    """(pack, n, *names) with the binary parts that ``build(ids, vectors)`` makes of at most ``most`` rows."""
+    The rows are dealt in turn to as many tasks as packs, which follow from the
+    rows alone; a task is a pack and its number the pack's, so nothing is numbered
+    over all of them.
+    """
+    packs = max(1, -(-rows.count() // most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq = TaskContext.get().partitionId() << 32, 0
-        ids, vecs, held = [], [], 0
-
-        def full() -> pa.RecordBatch:
-            nonlocal ids, vecs, held, seq
-            i, v = np.concatenate(ids), np.concatenate(vecs)
-            parts = build(i[:most], v[:most])
-            out = pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([len(i[:most])], pa.int32()), *(pa.array([parts[k]], pa.binary()) for k in names)], ["pack", "n", *names])
-            ids, vecs, held, seq = [i[most:]], [v[most:]], len(i[most:]), seq + 1
-            return out
-
-        for batch in batches:
-            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
-            vecs.append(matrix(batch.column("vec"), width))
-            held += batch.num_rows
-            while held >= most:
-                yield full()
-        if held:
-            yield full()
+        held = list(batches)
+        if not any(batch.num_rows for batch in held):
+            return
+        column = lambda c: np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for batch in held])
+        parts = build(column("id"), np.concatenate([matrix(batch.column("vec"), width) for batch in held]), *map(column, extra))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sum(batch.num_rows for batch in held)], pa.int32()), *(pa.array([parts[k]], pa.binary()) for k in names)], ["pack", "n", *names])
 
-    return even(rows, most).mapInArrow(run, "pack long, n int, " + ", ".join(f"{k} binary" for k in names))
+    return rows.repartition(packs).mapInArrow(run, "pack int, n int, " + ", ".join(f"{k} binary" for k in names)), packs
 
 
-def searched(shards: DataFrame, queries: DataFrame, one: Callable[[dict, dict], dict[str, np.ndarray]], score_type: str, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best over all shards.
+def searched(shards: DataFrame, n_shards: int, queries: DataFrame, one: Callable[[dict, dict], dict[str, np.ndarray]], score_type: str, each: bool = True) -> DataFrame:
+    """query_id, vec_id, score: what ``one`` finds for the packs of queries in the shards.
 
-    A row of ``shards`` meets each row of ``queries`` once (the stated query set
-    against all rows, in blocks); a task holds one of each at a time and gives
-    at most k rows per query, and these are ranked per query in the end.
+    A pack goes to every shard (the stated query set against all rows, in blocks),
+    or to one of them; it is the queries that are copied, a shard stays whole in a
+    task of its own, and the packs pass it one at a time.
     """
-    queries = written(queries.withColumn("turn", F.row_number().over(Window.orderBy("pack")) - 1) if not queries.isEmpty() else queries.withColumn("turn", F.lit(0)), "search-queries")
-    turns = queries.count()
-    s_names = [c for c in shards.columns if c != "pack"]
-    q_names = [c for c in queries.columns if c not in ("pack", "turn")]
-    if not turns:
-        return shards.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
-    pairs = shards.select("pack").select("pack", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
-    pairs = pairs.join(queries.select("turn", *[F.col(c).alias(f"q_{c}") for c in q_names]), "turn")
-    both = pairs.join(shards, "pack")
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = []
-        for row in range(group.num_rows):
-            at = {c: group.column(c)[row].as_py() for c in group.column_names}
-            parts.append(one({c: at[c] for c in s_names}, {c: at[f"q_{c}"] for c in q_names}))
+    names = [c for c in queries.columns if c != "pack"]
+    to = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))) if each else F.pmod(F.xxhash64("pack"), F.lit(n_shards)).cast("int")
+    asks = queries.select(to.alias("to"), F.lit(1).alias("kind"), F.col("pack").alias("turn"), *names)
+    both = shards.select(F.col("pack").alias("to"), F.lit(0).alias("kind"), F.lit(0).alias("turn"), *[F.col(c) if c in shards.columns else F.lit(None).cast("binary").alias(c) for c in names]).unionByName(asks)
+    both = both.repartitionById(n_shards, F.col("to")).sortWithinPartitions("to", "kind", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shard = None, None
         kind = pa.float64() if score_type == "double" else pa.int64()
-        return pa.Table.from_arrays([pa.array(np.concatenate([p["query_id"] for p in parts]), pa.int64()), pa.array(np.concatenate([p["vec_id"] for p in parts]), pa.int64()), pa.array(np.concatenate([p["score"] for p in parts]).tolist(), kind)], ["query_id", "vec_id", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["kind"] == 0:
+                    own, shard = row["to"], row
+                elif row["to"] == own:
+                    found = one(shard, row)
+                    yield pa.RecordBatch.from_arrays([pa.array(found["query_id"], pa.int64()), pa.array(found["vec_id"], pa.int64()), pa.array(found["score"].tolist(), kind)], ["query_id", "vec_id", "score"])
+
+    return both.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+
 
-    found = both.groupBy("pack", "turn").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

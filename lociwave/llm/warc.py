@@ -5,12 +5,15 @@
 member of its own and puts an offset index beside it, and ``read_archives``
 reads records back through that index. Files lie in the session's shared
 folder; names are fresh for each attempt, so that a repeated task never
-disturbs what another has read. A record with an equal payload elsewhere is a
+disturbs what another has read. Any other gzip file is read alike, be it one
+member or many; one that is cut short is an error. A record with an equal payload elsewhere is a
 ``revisit`` that carries no payload; its digest and length are in its header.
 
 Null payloads count as empty. Of equal payloads of 100 bytes or more the smallest
 page_id is the response; rows that repeat this page_id are responses too. A null
-page_id is a revisit if another row has the payload, else a response.
+page_id is a revisit if another row has the payload, else a response. Of a very
+large page one task holds the record; an empty table gives no archives; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -99,20 +102,29 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
 
 def records(stream) -> Iterator[bytes]:
-    """The records of one gzip stream that is read once; holds one record at a time."""
-    inflate, held = zlib.decompressobj(31), bytearray()
+    """The records of a gzip file that is read once, whatever its members; holds one record at a time.
+
+    A file cut inside a member, a header or a record is an error.
+    """
+    inflate, held, begun = zlib.decompressobj(31), bytearray(), False
     more = True
 
     def fill() -> bool:
+        nonlocal inflate, begun
         while True:
-            data = inflate.unconsumed_tail or stream.read(READ_BYTES)
-            if not data:
-                held.extend(inflate.flush())
-                return False
-            new = inflate.decompress(data, READ_BYTES)
+            ahead = b""
+            if inflate.eof:
+                ahead, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+            data = ahead or inflate.unconsumed_tail or stream.read(READ_BYTES)
+            new = inflate.decompress(data, READ_BYTES) if data or begun else b""
+            begun = begun or bool(data)
             if new:
                 held.extend(new)
                 return True
+            if not data:
+                if begun and not inflate.eof:
+                    raise ValueError("the archive ends inside a gzip member")
+                return False
 
     while True:
         while (at := held.find(b"\r\n\r\n")) < 0 and more:

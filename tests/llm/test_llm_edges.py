@@ -175,6 +175,31 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_members_and_cut_files():
+    import gzip
+    import io
+
+    rows = [{"id": i, "payload": bytes([65 + i % 26]) * n, "payload_bytes": n, "payload_digest": hashlib.sha256(bytes([65 + i % 26]) * n).hexdigest(), "record_type": "response", "refers_to": None, "url": "u"} for i, n in enumerate((5, 0, 3 * warc.READ_BYTES, 300))]
+    raw = [warc.record(r) for r in rows]
+    for data in (gzip.compress(b"".join(raw)), b"".join(map(gzip.compress, raw)), gzip.compress(raw[0] + raw[1]) + gzip.compress(raw[2] + raw[3][:50]) + gzip.compress(raw[3][50:])):
+        assert list(warc.records(io.BytesIO(data))) == raw
+    assert list(warc.records(io.BytesIO(b""))) == []
+    whole = gzip.compress(b"".join(raw))
+    members = b"".join(map(gzip.compress, raw))
+    for cut in (whole[:-3], whole[:-9], whole[: len(whole) // 2], members[:-2], members[: -len(gzip.compress(raw[3])) + 4], gzip.compress(raw[0][:-1])):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.records(io.BytesIO(cut)))
+
+
+def test_language_needs_a_letter():
+    from lociwave.llm.langid import Model, scores
+
+    import numpy as np
+
+    empty = Model(["a", "b"], [np.zeros(0, np.uint64)] * 6, [np.zeros((0, 2), np.float32)] * 6)
+    assert scores(empty, ["x² y³", "² ³", "12_", "é"])[0] == ["a", "und", "und", "a"]
+
+
 def test_feistel_is_a_permutation():
     import numpy as np
 
