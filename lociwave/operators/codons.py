@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociwave.functions.sequence import translated
@@ -27,6 +27,13 @@ def codon_pairs(codons: DataFrame, maxl: int, compat: bool = True) -> DataFrame:
     return rows.groupBy("gene_id", "gene_pos_a", "gene_pos_b", "lag", "codon_a", "codon_b").agg(F.sum(weight).alias("n"))
 
 
+def own_pairs(codons: DataFrame) -> DataFrame:
+    """``codon_pairs`` at lag 0: each codon with itself, in both directions, without a join."""
+    place = F.col("gene_pos")
+    counts = codons.groupBy("gene_id", "gene_pos", "codon").agg((F.count(F.lit(1)) * 2).alias("n"))
+    return counts.select("gene_id", place.alias("gene_pos_a"), place.alias("gene_pos_b"), F.lit(0).cast("bigint").alias("lag"), F.col("codon").alias("codon_a"), F.col("codon").alias("codon_b"), "n")
+
+
 def synonymous(pairs: DataFrame) -> DataFrame:
     """Adds aa_a, aa_b; pairs with a codon that is not four-letter DNA go."""
     rows = pairs.withColumns({"aa_a": translated(F.col("codon_a")), "aa_b": translated(F.col("codon_b"))})
@@ -47,9 +54,9 @@ def cov11(cells: DataFrame, keys: list[str], least_allele: int = 0) -> DataFrame
 
     size counts all cells; the closed form replaces the loop over pairs of cells.
     """
-    size = cells.groupBy(*keys).agg(F.sum("n").alias("size"))
-    stats = doublet_statistics(cells.where(F.col("n") > least_allele), keys, "x", "y", "n")
-    return size.join(stats, keys, "left").select(*keys, "size", F.coalesce("sxy", F.lit(0.0)).alias("xy"), F.coalesce("pairs", F.lit(0.0)).alias("pairs"))
+    counted = F.when(F.col("n") > least_allele, F.col("n")).otherwise(F.lit(0).cast("bigint"))
+    stats = doublet_statistics(cells.withColumn("counted", counted), keys, "x", "y", "counted", extra="n")
+    return stats.select(*keys, F.col("extra").alias("size"), F.col("sxy").alias("xy"), "pairs")
 
 
 def cov00(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +87,7 @@ def p2(codons: DataFrame, maxl: int, least_depth: int = 5, least_allele: int = 0
 def p4(codons: DataFrame, maxl: int, least_depth: int = 5, least_allele: int = 0) -> DataFrame:
     """gene_id, lag, value, count: products of the diversities of two places."""
     keys = [*SITE, "aa_a", "aa_b"]
-    own = cov11(doublets(codon_pairs(codons, 1)), keys, least_allele).where(F.col("size") > least_depth)
+    own = cov11(doublets(own_pairs(codons)), keys, least_allele).where(F.col("size") > least_depth)
     place = own.groupBy("gene_id", F.col("gene_pos_a").alias("pos")).agg(F.sum("xy").alias("xy"), F.sum("pairs").alias("pairs"))
     place = place.where("pairs > 0").select("gene_id", "pos", (F.col("xy") / F.col("pairs")).alias("d"))
     rows = band_join(place, ["gene_id"], "pos", maxl)
@@ -98,9 +105,9 @@ def collected(results: DataFrame, by_gene: bool = True) -> DataFrame:
 
 def normalised(profile: DataFrame, step: int = 3) -> DataFrame:
     """Values by the P2 value at lag 0 (type Ks); lags in bases. A missing or zero Ks gives null, never a division by zero."""
-    ks = profile.where("type = 'P2' and lag = 0").select(F.col("gene_id").alias("__g"), F.col("mean").alias("__ks"))
-    rows = profile.join(ks, F.col("gene_id") == F.col("__g"), "left")
     first = (F.col("type") == "P2") & (F.col("lag") == 0)
+    # A gene's profile is a row for each type and lag: the window is as small, and the profile is made once.
+    rows = profile.withColumn("__ks", F.max(F.when(first, F.col("mean"))).over(Window.partitionBy("gene_id")))
     share = lambda x, k: F.try_divide(x, k)
     return rows.select("gene_id", (F.col("lag") * step).alias("lag"), clean(F.when(first, F.col("mean")).otherwise(share(F.col("mean"), F.col("__ks")))).alias("m"), clean(F.when(first, F.col("var")).otherwise(share(F.col("var"), F.col("__ks") * F.col("__ks")))).alias("v"), "n", F.when(first, "Ks").otherwise(F.col("type")).alias("t"))
 
@@ -130,4 +137,9 @@ def codons_of_reads(reads: DataFrame) -> DataFrame:
     codon = F.substr(F.col("seq"), F.col("i") - 1, F.lit(3))
     turned = F.translate(F.reverse(codon), "ATGCatgc", "TACGtacg")
     rows = rows.select("gene_id", ((place + 1) / 3 - 1).cast("long").alias("gene_pos"), "read_id", F.when(F.col("strand") == "-", turned).otherwise(codon).alias("codon"))
-    return rows.where(~F.col("codon").contains("-"))
+    return without_gaps(rows)
+
+
+def without_gaps(rows: DataFrame, codon: str = "codon") -> DataFrame:
+    """Codons whose three letters are known."""
+    return rows.where(~F.col(codon).contains("-"))

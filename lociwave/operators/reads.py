@@ -35,6 +35,24 @@ def overlapping(heads: DataFrame, reads: DataFrame, group: list[str], width: int
     return rows.where(later & (F.col("pos_b") <= F.col("pos_a") + F.col("len_a")))
 
 
+def differences(pairs: DataFrame, least: int = 30) -> DataFrame:
+    """Adds x: 1, 0 or null for each place of the overlap of two mapped reads (seq_a, quals_a, pos_a; b starts in a).
+
+    A place counts where both letters are upper-case nucleotides and both
+    qualities (bytes from 33 on) are strictly above ``least``.
+    """
+    lag = F.col("pos_b") - F.col("pos_a")
+    n = F.greatest(F.lit(0), F.least(F.length("seq_a") - lag, F.length("seq_b"))).cast("int")
+    letter = lambda c, i: F.substr(F.col(c), i.cast("int"), F.lit(1))
+    good = lambda s, i: letter(f"seq_{s}", i).rlike("^[ATGC]$") & (F.ascii(letter(f"quals_{s}", i)) - 33 > least)
+
+    def place(j: Column) -> Column:
+        i = j + lag
+        return F.when(good("a", i) & good("b", j), (letter("seq_a", i) != letter("seq_b", j)).cast("int"))
+
+    return pairs.withColumn("x", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), place)))
+
+
 def mates(records: DataFrame) -> DataFrame:
     """name, left_ord, right_ord: mates on one reference; the last record of a side wins, both sides are needed."""
     side = F.when(F.col("pos") < F.col("mate_pos"), "L").otherwise("R")

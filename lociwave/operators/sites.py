@@ -87,13 +87,13 @@ def read_pair_covariance(bases: DataFrame, group: list[str], maxl: int, least: i
     return doublet_statistics(cell, site, "base_a", "base_b", "n").where(F.col("n_reads") >= least)
 
 
-def doublet_statistics(cells: DataFrame, keys: list[str], x: str, y: str, n: str) -> DataFrame:
-    """keys, n_reads, pairs, sx, sy, sxy from counts of (x, y) letters."""
+def doublet_statistics(cells: DataFrame, keys: list[str], x: str, y: str, n: str, extra: str | None = None) -> DataFrame:
+    """keys, n_reads, pairs, sx, sy, sxy from counts of (x, y) letters; and the sum of another column as ``extra``."""
     both = lambda c: c * (c - 1) / 2.0
-    rows = cells.groupBy(*keys, x).agg(F.sum(n).alias("__row"), F.collect_list(F.struct(F.col(y).alias("y"), F.col(n).alias("n"))).alias("__cells"), F.sum(both(F.col(n))).alias("__cell"))
-    per = rows.groupBy(*keys).agg(F.sum("__row").alias("n_reads"), F.sum(both(F.col("__row"))).alias("__rows"), F.sum("__cell").alias("__same"), F.flatten(F.collect_list("__cells")).alias("__cells"))
+    rows = cells.groupBy(*keys, x).agg(F.sum(extra or n).alias("__extra"), F.sum(n).alias("__row"), F.collect_list(F.struct(F.col(y).alias("y"), F.col(n).alias("n"))).alias("__cells"), F.sum(both(F.col(n))).alias("__cell"))
+    per = rows.groupBy(*keys).agg(F.sum("__extra").alias("extra"), F.sum("__row").alias("n_reads"), F.sum(both(F.col("__row"))).alias("__rows"), F.sum("__cell").alias("__same"), F.flatten(F.collect_list("__cells")).alias("__cells"))
     letters = F.array_distinct(F.transform("__cells", lambda c: c["y"]))
     column = lambda y: F.aggregate(F.filter("__cells", lambda c: c["y"] == y), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
     per = per.withColumn("__columns", F.aggregate(F.transform(letters, lambda y: both(column(y))), F.lit(0.0), lambda a, c: a + c))
     pairs = both(F.col("n_reads"))
-    return per.select(*keys, "n_reads", pairs.alias("pairs"), (pairs - F.col("__rows")).alias("sx"), (pairs - F.col("__columns")).alias("sy"), (pairs - F.col("__rows") - F.col("__columns") + F.col("__same")).alias("sxy"))
+    return per.select(*keys, *(["extra"] if extra else []), "n_reads", pairs.alias("pairs"), (pairs - F.col("__rows")).alias("sx"), (pairs - F.col("__columns")).alias("sy"), (pairs - F.col("__rows") - F.col("__columns") + F.col("__same")).alias("sxy"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave.functions.sequence import is_nucleotide, of_type
@@ -63,15 +63,15 @@ def matching_prefix(letters: DataFrame) -> DataFrame:
     return per.select("key", F.coalesce("at", "n").alias("prefix"), (F.coalesce("at", "n") * 2 >= F.col("n")).alias("trusted"))
 
 
-def bootstrap(bundles: DataFrame, times: int, seed: int = 1) -> DataFrame:
-    """boot, id and the bundle's columns: ``times`` resamples with replacement of numbered bundles (idx 0..n-1, n).
+def bootstrap(bundles: DataFrame, drawn: DataFrame) -> DataFrame:
+    """boot and the bundle's columns for each draw (boot, idx) of the bundles (idx): partial sums per bundle are resampled, not their rows."""
+    return drawn.join(bundles, "idx")
 
-    The draw is a seeded hash of (boot, draw), so reruns agree; partial sums per
-    bundle are resampled, not their rows.
-    """
-    draws = bundles.select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("boot"), F.col("idx").alias("draw"), "n")
-    draws = draws.select("boot", F.pmod((F.col("boot") * 7919 + F.col("draw") * 104729 + seed * 15485863), F.col("n")).alias("idx"))
-    return draws.join(bundles.drop("n"), "idx")
+
+def draws(spark: SparkSession, n: int, times: int, seed: int = 1) -> DataFrame:
+    """boot, draw, idx: ``times`` resamples of n things with replacement; a draw is a seeded hash of (boot, draw), so reruns agree."""
+    rows = spark.range(times * n).select(F.floor(F.col("id") / n).cast("int").alias("boot"), (F.col("id") % n).alias("draw"))
+    return rows.withColumn("idx", F.pmod(F.xxhash64("boot", "draw", F.lit(seed)), F.lit(n)))
 
 
 #: Correlations by name, each a function of (substitutions, maxl) that gives lag, its value and n.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociwave.functions.stats import clean, variance
 from lociwave.operators import reads as R
 from lociwave.operators import substitutions as X
-from lociwave.operators.joins import band_join
+from lociwave.operators.joins import interval_join
+from lociwave.operators.order import numbered
 from lociwave.plans.registry import query
 from lociwave.sources.views import view
 
@@ -41,25 +42,45 @@ def read_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(spark, sf_dir).groupBy("shift").agg(F.count(F.lit(1)).alias("n"), F.sum("shared").cast("long").alias("shared"))
 
 
-# Each overlap stands for a substitution vector: its letters differ where a fixed rule of the two ids says so.
-LAGS = "sv AS (SELECT read_id_a, read_id_b, i AS pos, CAST((read_id_a * 7 + read_id_b * 3 + i) % 5 = 0 AS INT)::DOUBLE AS x FROM ov, range(0, 8) AS r(i) WHERE i < shared AND (read_id_a + read_id_b) % 16 = 0), lg AS (SELECT (p.read_id_a * 31 + p.read_id_b) % 10 AS sample, q.pos - p.pos AS lag, covar_pop(p.x, q.x) AS cov, count(*) AS n FROM sv p JOIN sv q USING (read_id_a, read_id_b) WHERE q.pos >= p.pos AND q.pos - p.pos < 4 GROUP BY ALL)"
+# Overlapping reads of a reference, place by place; one sample of ten by the pair's ids.
+COMPARED = "gr AS (SELECT * FROM seq_reads WHERE mapq > 20 AND mapq < 51), op AS (SELECT a.read_id AS ra, b.read_id AS rb, (a.read_id * 31 + b.read_id) % 10 AS sample, j, substr(a.seq, (b.pos - a.pos + j)::INT, 1) AS la, substr(b.seq, j::INT, 1) AS lb, ascii(substr(a.quals, (b.pos - a.pos + j)::INT, 1)) - 33 AS qa, ascii(substr(b.quals, j::INT, 1)) - 33 AS qb FROM gr a JOIN gr b ON a.ref = b.ref AND b.pos < a.pos + length(a.seq) AND (b.pos > a.pos OR (b.pos = a.pos AND b.read_id > a.read_id)), range(1, 81) AS r(j) WHERE j <= least(length(a.seq) - (b.pos - a.pos), length(b.seq))), xs AS (SELECT ra, rb, sample, j, CASE WHEN la IN ('A', 'T', 'G', 'C') AND lb IN ('A', 'T', 'G', 'C') AND qa > 30 AND qb > 30 THEN CAST(la <> lb AS INT)::DOUBLE END AS x FROM op)"
 
 
-@query(f", {QUEUE}, {OVER}, {LAGS} SELECT lag, round(avg(cov), 9) + 0.0 AS mean, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cov) END, 9), 0.0) + 0.0 AS var, count(*) AS n FROM lg WHERE n > 10 GROUP BY lag", "reads")
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping reads with their differences by place (column x)."""
+    reads = view(spark, sf_dir, "seq_reads").where("mapq > 20 and mapq < 51")
+    spans = reads.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.length("seq")})
+    both = interval_join(spans, spans, ["ref"], 64)
+    later = (F.col("pos_b") > F.col("pos_a")) | ((F.col("pos_b") == F.col("pos_a")) & (F.col("read_id_b") > F.col("read_id_a")))
+    return R.differences(both.where(later)).withColumn("sample", (F.col("read_id_a") * 31 + F.col("read_id_b")) % 10)
+
+
+@query(f", {COMPARED} SELECT sample, count(DISTINCT (ra, rb)) AS pairs, count(x) AS known, sum(x)::BIGINT AS differ FROM xs GROUP BY sample", "seq_reads")
+def read_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known and different places of overlapping reads, with the strict quality gate on both."""
+    known = F.size(F.filter("x", lambda v: v.isNotNull())).cast("long")
+    differ = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)))
+    rows = compared(spark, sf_dir).where("x is not null")
+    return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("pairs"), F.sum(known).alias("known"), F.sum(differ).alias("differ"))
+
+
+@query(f", {COMPARED}, lg AS (SELECT p.sample, q.j - p.j AS lag, covar_pop(p.x, q.x) AS cov, count(*) AS n FROM xs p JOIN xs q USING (ra, rb) WHERE q.j >= p.j AND q.j - p.j < 4 AND p.x IS NOT NULL AND q.x IS NOT NULL GROUP BY ALL) SELECT lag, round(avg(cov), 9) + 0.0 AS mean, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cov) END, 9), 0.0) + 0.0 AS var, count(*) AS n FROM lg WHERE n > 10 GROUP BY lag", "seq_reads")
 def ct_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of differences between overlapping reads, over ten samples chosen by the pair's ids.
+    """Covariance of differences between overlapping reads by lag, over ten samples chosen by the pair's ids.
 
-    Overlaps of one sample, length and phase of the rule hold the same letters: they are counted before their places are paired.
+    Sums of a pair of reads are made inside its row, for each lag: places are never exploded or joined.
     """
-    a, b = F.col("read_id_a"), F.col("read_id_b")
-    kinds = overlaps(spark, sf_dir).where("shared > 0").groupBy(((a * 31 + b) % 10).alias("sample"), ((a * 7 + b * 3) % 5).alias("phase"), "shared").agg(F.count(F.lit(1)).alias("pairs"))
-    rows = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shared") - 1)).alias("pos"))
-    rows = rows.withColumn("x", ((F.col("phase") + F.col("pos")) % 5 == 0).cast("bigint"))
-    pairs = band_join(rows, ["sample", "phase", "shared", "pairs"], "pos", 4)
-    total = lambda x: F.sum(F.col("pairs") * x)
-    per = pairs.groupBy("sample", "lag").agg(F.sum("pairs").alias("n"), total(F.col("x_a")).alias("sa"), total(F.col("x_b")).alias("sb"), total(F.col("x_a") * F.col("x_b")).alias("sab")).where("n > 10")
+
+    def sums(lag: Column) -> Column:
+        later = F.slice("x", lag + 1, F.size("x"))
+        both = F.filter(F.arrays_zip(F.slice("x", F.lit(1), F.size("x") - lag).alias("a"), later.alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+        return F.struct(lag.alias("lag"), F.size(both).alias("n"), F.aggregate(both, F.lit(0), lambda t, p: t + p["a"]).alias("sa"), F.aggregate(both, F.lit(0), lambda t, p: t + p["b"]).alias("sb"), F.aggregate(both, F.lit(0), lambda t, p: t + p["a"] * p["b"]).alias("sab"))
+
+    rows = compared(spark, sf_dir).where("x is not null")
+    rows = rows.select("sample", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(3), F.size("x") - 1)), sums)).alias("s")).select("sample", "s.*")
+    per = rows.groupBy("sample", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")]).where("n > 10")
     per = per.withColumn("cov", F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * (F.col("sb") / F.col("n")))
-    return per.groupBy("lag").agg(clean(F.avg("cov")).alias("mean"), clean(F.coalesce(variance(F.col("cov"), True), F.lit(0.0))).alias("var"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy(F.col("lag").cast("long").alias("lag")).agg(clean(F.avg("cov")).alias("mean"), clean(F.coalesce(variance(F.col("cov"), True), F.lit(0.0))).alias("var"), F.count(F.lit(1)).alias("n"))
 
 
 MATES = "m AS (SELECT name, max(ord) FILTER (pos < mate_pos) AS left_ord, max(ord) FILTER (NOT pos < mate_pos) AS right_ord FROM records WHERE mate_ref = ref GROUP BY name HAVING left_ord IS NOT NULL AND right_ord IS NOT NULL)"
@@ -71,7 +92,7 @@ def mate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mates(view(spark, sf_dir, "records"))
 
 
-FRAGMENTS = f"{MATES}, fr AS (SELECT m.name AS id, least(l.pos, r.pos) AS a, greatest(l.pos, r.pos) + 20 AS b FROM m JOIN records l ON l.ord = left_ord JOIN records r ON r.ord = right_ord WHERE m.name % 4 = 1)"
+FRAGMENTS = f"{MATES}, fr AS (SELECT m.name AS id, least(l.pos, r.pos) AS a, greatest(l.pos, r.pos) + 20 AS b FROM m JOIN records l ON l.ord = left_ord JOIN records r ON r.ord = right_ord)"
 
 
 @query(f", {FRAGMENTS} SELECT y.a - x.a AS shift, count(*) AS n FROM fr x JOIN fr y ON x.a < y.b AND y.a < x.b AND (x.b < y.b OR (x.b = y.b AND x.id < y.id)) GROUP BY 1", "records")
@@ -159,13 +180,24 @@ def correlation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.bundle(substitutions(spark, sf_dir), 8, ("Ct", "Cm", "Cr")).withColumn("value", clean(F.col("value")))
 
 
-@query(f", {SUBS}, al AS (SELECT aln, row_number() OVER (ORDER BY aln) - 1 AS idx, count(*) OVER () AS n, count(x)::DOUBLE AS m, sum(x) AS s FROM subs GROUP BY aln), dr AS (SELECT bt AS boot, (bt * 7919 + al.idx * 104729 + 15485863) % al.n AS idx FROM al, range(0, 20) AS r(bt)) SELECT boot, sum(m) AS m, round(sum(s) / sum(m), 9) AS ks FROM dr JOIN al USING (idx) GROUP BY boot", "aligned")
+DRAWS = "SELECT CAST(l_linenumber AS BIGINT) AS boot, (l_partkey * 13 + l_orderkey) % 50 AS idx FROM {t}"
+
+
+@query(f", {SUBS}, al AS (SELECT aln AS idx, count(x)::DOUBLE AS m, sum(x) AS s FROM subs GROUP BY aln), dr AS ({DRAWS.format(t='lineitem')}) SELECT boot, sum(m) AS m, round(sum(s) / sum(m), 9) AS ks, count(DISTINCT idx) AS drawn, count(*) AS draws FROM dr JOIN al USING (idx) GROUP BY boot", "aligned")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled alignments with seeded draws; only their sums are resampled."""
-    per = substitutions(spark, sf_dir).groupBy("aln").agg(F.count("x").cast("double").alias("m"), F.sum("x").alias("s"))
-    per = per.withColumns({"idx": (F.row_number().over(Window.orderBy("aln")) - 1).cast("bigint"), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    rows = X.bootstrap(per.select("idx", "n", "m", "s"), 20)
-    return rows.groupBy(F.col("boot").cast("bigint").alias("boot")).agg(F.sum("m").alias("m"), clean(F.sum("s") / F.sum("m")).alias("ks"))
+    """Alignments resampled by a table of draws; only their sums are resampled."""
+    per = substitutions(spark, sf_dir).groupBy(F.col("aln").alias("idx")).agg(F.count("x").cast("double").alias("m"), F.sum("x").alias("s"))
+    drawn = spark.sql(DRAWS.format(t="{t}"), t=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    rows = X.bootstrap(per, drawn)
+    return rows.groupBy("boot").agg(F.sum("m").alias("m"), clean(F.sum("s") / F.sum("m")).alias("ks"), F.count_distinct("idx").alias("drawn"), F.count(F.lit(1)).alias("draws"))
+
+
+@query(None)
+def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by seeded draws with replacement, twenty resamples; reruns agree."""
+    per, n = numbered(substitutions(spark, sf_dir).groupBy("aln").agg(F.count("x").cast("double").alias("m"), F.sum("x").alias("s")), ["aln"])
+    rows = X.bootstrap(per.withColumnRenamed("at", "idx"), X.draws(spark, n, 20))
+    return rows.groupBy("boot").agg(F.sum("m").alias("m"), clean(F.sum("s") / F.sum("m")).alias("ks"), F.count_distinct("idx").alias("drawn"), F.count(F.lit(1)).alias("draws"))
 
 
 @query(f", {SUBS}, r2 AS (SELECT a.aln, a.row AS ra, b.row AS rb, count(*) AS places, count(*) FILTER (a.base_a <> b.base_a) AS differ FROM aligned a JOIN aligned b ON a.aln = b.aln AND a.pos = b.pos AND a.row < b.row GROUP BY ALL) SELECT ra, rb, sum(places)::BIGINT AS places, sum(differ)::BIGINT AS differ FROM r2 GROUP BY ALL", "aligned")

@@ -11,6 +11,7 @@ from lociwave.operators import codons as C
 from lociwave.operators import fit
 from lociwave.operators import genomes as G
 from lociwave.plans.registry import query
+from lociwave.sources.readers import cigar_of
 from lociwave.sources.views import view
 
 
@@ -66,9 +67,9 @@ def species_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", up AS (SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA') SELECT n_name, r_name AS species, r_name IS NULL AS missing FROM up", "taxa")
 def strain_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strains with what their path names; missing ones are flagged, as the original warns of them."""
+    """Strains with what their path names; missing ones are flagged, as the original warns of them."""
     region = table(spark, sf_dir, "region").where("r_name <> 'ASIA'")
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    rows = table(spark, sf_dir, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     return rows.select("n_name", F.col("r_name").alias("species"), F.col("r_name").isNull().alias("missing"))
 
 
@@ -117,11 +118,11 @@ def gene_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.expanded(genes, sites)
 
 
-@query("SELECT doc_id AS id, regexp_extract(concat(text, ' NC_', doc_id), '\\w\\w_\\w+\\d+', 0) AS acc FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS id, regexp_extract(concat(coalesce(text, ''), ' NC_', doc_id), '\\w\\w_\\w+\\d+', 0) AS acc FROM documents")
 def refacc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """first accession in a text."""
-    rows = table(spark, sf_dir, "documents").where("text is not null")
-    return rows.select(F.col("doc_id").alias("id"), Q.reference_accession(F.concat("text", F.lit(" NC_"), F.col("doc_id").cast("string"))).alias("acc"))
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(F.col("doc_id").alias("id"), Q.reference_accession(F.concat(F.coalesce("text", F.lit("")), F.lit(" NC_"), F.col("doc_id").cast("string"))).alias("acc"))
 
 
 @query(" SELECT id, length(seq) AS len, md5(seq) AS seq_md5, md5(translate(reverse(seq), 'ATGCatgc', 'TACGtacg')) AS rc_md5 FROM sequences", "sequences")
@@ -153,81 +154,91 @@ def codon_profile_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.codon_profile(gene_sites(spark, sf_dir), Q.fourfold(), True).select("genome", "pos", F.col("pos_type").cast("int").alias("pos_type"))
 
 
-def inline(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {text}")
+CIGARS = ("32M", "10M2I20M", "12=3D20X", "5S27M", "3H32M")
+MAPPED = ("seq", "substr(seq, 1, 10) || substr(seq, 13, 20)", "substr(seq, 1, 12) || '***' || substr(seq, 13, 20)", "substr(seq, 6, 27)", "seq")
 
 
-@query("SELECT * FROM (VALUES (1, 'ACGTA'), (2, 'ACTA'), (3, 'AC**GT'), (4, 'CGTA'), (5, 'ACGT')) AS t(id, mapped)")
+def by_id(values: tuple[str, ...], quote: bool = False) -> str:
+    return "CASE id % 5 " + " ".join(f"WHEN {i} THEN " + (f"'{x}'" if quote else x) for i, x in enumerate(values)) + " END"
+
+
+@query(f" SELECT id, {by_id(MAPPED)} AS mapped FROM short_seqs", "short_seqs")
 def map2ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads laid on the reference by their CIGAR."""
-    rows = inline(spark, "(1, 'ACGTA', array(struct('M', 5))), (2, 'ACGTA', array(struct('M', 2), struct('I', 1), struct('M', 2))), (3, 'ACGT', array(struct('=', 2), struct('D', 2), struct('X', 2))), (4, 'ACGTA', array(struct('S', 1), struct('M', 4))), (5, 'ACGT', array(struct('H', 3), struct('M', 4))) AS t(id, seq, c)")
-    cigar = F.col("c").cast("array<struct<op:string,len:int>>")
-    return rows.select("id", Q.map_to_reference(F.col("seq"), cigar).alias("mapped"))
+    rows = view(spark, sf_dir, "short_seqs").withColumn("c", cigar_of(F.expr(by_id(CIGARS, True))))
+    return rows.select("id", Q.map_to_reference(F.col("seq"), F.col("c")).alias("mapped"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ACGTA'), (2, ''), (3, 'A-GT'), (4, 'AC--GT')) AS t(id, mapped)")
+@query(f", m AS (SELECT id, string_agg(CASE WHEN (id + i) % 7 = 0 THEN '-' ELSE substr(seq, i, 1) END, '' ORDER BY i) AS seq FROM short_seqs, range(1, 33) AS r(i) GROUP BY id) SELECT id, CASE id % 5 WHEN 1 THEN '' WHEN 2 THEN replace({MAPPED[2]}, '***', '---') ELSE {by_id(MAPPED)} END AS mapped FROM m", "short_seqs")
 def codon_map2ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codon programs' rule: reads with insertions are empty, low-quality letters are gaps."""
-    rows = inline(spark, "(1, 'ACGTA', array(40, 40, 40, 40, 40), array(struct('M', 5))), (2, 'ACGTA', array(40, 40, 40, 40, 40), array(struct('M', 2), struct('I', 1), struct('M', 2))), (3, 'ACGT', array(40, 20, 40, 40), array(struct('M', 4))), (4, 'ACGT', array(40, 40, 40, 40), array(struct('M', 2), struct('D', 2), struct('M', 2))) AS t(id, seq, qual, c)")
-    cigar = F.col("c").cast("array<struct<op:string,len:int>>")
-    return rows.select("id", Q.codon_read(F.col("seq"), F.col("qual"), cigar).alias("mapped"))
+    rows = view(spark, sf_dir, "short_seqs").withColumn("c", cigar_of(F.expr(by_id(CIGARS, True))))
+    qual = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when((F.col("id") + i) % 7 == 0, 20).otherwise(40))
+    return rows.select("id", Q.codon_read(F.col("seq"), qual, F.col("c")).alias("mapped"))
+
 
+@query(f", m AS (SELECT id, string_agg(CASE WHEN (id + i) % 7 = 0 THEN '?' ELSE substr(seq, i, 1) END, '' ORDER BY i) AS seq FROM short_seqs, range(1, 33) AS r(i) GROUP BY id) SELECT id, {by_id(MAPPED)} AS quals FROM m", "short_seqs")
+def map2ref_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """letters and qualities are laid alike: here the qualities stand in for the letters they belong to."""
+    rows = view(spark, sf_dir, "short_seqs").withColumn("c", cigar_of(F.expr(by_id(CIGARS, True))))
+    quals = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when((F.col("id") + i) % 7 == 0, "?").otherwise(F.substr(F.col("seq"), i, F.lit(1)))), "")
+    return rows.select("id", Q.map_to_reference(quals, F.col("c")).alias("quals"))
 
-@query("SELECT * FROM (VALUES (1, 'ACG**TTT'), (2, 'ACGTT'), (3, 'ACGT')) AS t(id, mapped)")
+
+@query(" SELECT id, CASE WHEN id % 25 >= 10 THEN substr(seq, 1, 10) || repeat('*', (id % 25 - 10)::INT) || substr(seq, 20, 8) ELSE substr(seq, 1, 10) || CASE WHEN 10 - id % 25 >= 8 THEN '' ELSE substr(substr(seq, 20, 8), (11 - id % 25)::INT) END END AS mapped FROM short_seqs", "short_seqs")
 def mated2ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mates as one sequence, apart, overlapping, and one inside the other."""
-    rows = inline(spark, "(1, 'ACG', 0, 'TTT', 5), (2, 'ACG', 0, 'CTT', 2), (3, 'ACGT', 0, 'GG', 1) AS t(id, l, lp, r, rp)")
-    return rows.select("id", Q.joined_mates(F.col("l"), F.col("lp"), F.col("r"), F.col("rp")).alias("mapped"))
+    rows = view(spark, sf_dir, "short_seqs")
+    return rows.select("id", Q.joined_mates(F.substring("seq", 1, 10), F.lit(0), F.substring("seq", 20, 8), (F.col("id") % 25).cast("int")).alias("mapped"))
 
 
-@query("SELECT * FROM (VALUES (1, 'GGA', 0.666666667::DOUBLE), (2, NULL, NULL), (3, 'TA', 1.0), (4, 'CC', 0.0)) AS t(id, letters, pi)")
+@query(" SELECT id, CASE WHEN id % 13 < 10 THEN upper(substr(seq, 1, 1) || substr(seq, 2, 1) || substr(seq, 3, 1)) END AS letters, CASE WHEN id % 13 < 10 THEN round((CASE WHEN substr(seq, 1, 1) <> substr(seq, 2, 1) THEN 1 ELSE 0 END + CASE WHEN substr(seq, 1, 1) <> substr(seq, 3, 1) THEN 1 ELSE 0 END + CASE WHEN substr(seq, 2, 1) <> substr(seq, 3, 1) THEN 1 ELSE 0 END) / 3.0, 9) + 0.0 END AS pi FROM short_seqs", "short_seqs")
 def decode_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pileup letters and their diversity; rows whose letters do not match the depth are dropped (null here)."""
-    rows = inline(spark, "(1, 'G', 3, '.,+2ACa'), (2, 'G', 3, '.+12AAAAAAAAAAAA,T'), (3, 'C', 2, '^+ta$'), (4, 'C', 2, '.-1A,') AS t(id, ref, n, bases)")
+    """Pileup letters and their diversity; rows whose letters do not match the depth are dropped (null here), as those with an indel of two digits are."""
+    letter = lambda i: F.substring("seq", i, 1)
+    size = (F.col("id") % 13).cast("int")
+    bases = F.concat(F.lit("^]"), F.lit("."), F.lit("+"), size.cast("string"), F.repeat(F.lit("N"), size), letter(2), F.lit("$"), F.lower(letter(3)), F.lit("-1A"))
+    rows = view(spark, sf_dir, "short_seqs").select("id", letter(1).alias("ref"), bases.alias("bases"), F.lit(3).alias("n"))
     rows = rows.withColumn("letters", Q.pileup_letters(F.col("bases"), F.col("ref")))
     rows = rows.withColumn("letters", F.when(F.length("letters") == F.col("n"), F.col("letters")))
-    letter = F.filter(F.split("letters", ""), lambda x: x != "")
-    count = F.transform(F.array_distinct(letter), lambda x: F.size(F.filter(letter, lambda y: y == x)))
+    letters = F.filter(F.split("letters", ""), lambda x: x != "")
+    count = F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x)))
     same = F.aggregate(count, F.lit(0), lambda a, c: a + c * c)
     return rows.select("id", "letters", clean(F.try_divide(F.col("n") * F.col("n") - F.when(F.col("letters").isNotNull(), same), F.col("n") * (F.col("n") - 1))).alias("pi"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ATG---CCC'), (2, 'ATGCCC')) AS t(id, aligned)")
+@query(" SELECT id, string_agg(CASE WHEN letter = '-' THEN '---' ELSE substr(seq, (3 * k - 2)::INT, 3) END, '' ORDER BY i) AS aligned FROM (SELECT *, sum(CASE WHEN letter <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT id, seq, i, substr(ref, i, 1) AS letter FROM short_seqs, range(1, 11) AS r(i))) GROUP BY id", "short_seqs")
 def back_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codons of an aligned protein; the stop codon at the end is not used."""
-    rows = inline(spark, "(1, 'M-P', 'ATGCCCTAA'), (2, 'MP', 'ATGCCCTAA') AS t(id, p, n)")
-    return rows.select("id", Q.back_translated(F.col("p"), F.col("n")).alias("aligned"))
+    """Codons of an aligned protein; what follows its last letter (the stop codon) is not used."""
+    return view(spark, sf_dir, "short_seqs").select("id", Q.back_translated(F.substring("ref", 1, 10), F.col("seq")).alias("aligned"))
 
 
-@query("SELECT * FROM (VALUES (1, 'AGT'), (2, 'AC')) AS t(id, kept)")
+@query(" SELECT id, coalesce(string_agg(substr(seq, i, 1), '' ORDER BY i) FILTER (substr(ref, i, 1) <> '-'), '') AS kept FROM short_seqs, range(1, 33) AS r(i) GROUP BY id", "short_seqs")
 def strip_reference_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """columns where the reference has a nucleotide."""
-    rows = inline(spark, "(1, 'AG-T-', 'AC-T-'), (2, 'ACGT', 'AT--') AS t(id, seq, ref)")
-    return rows.select("id", Q.without_reference_gaps(F.col("seq"), F.col("ref")).alias("kept"))
+    return view(spark, sf_dir, "short_seqs").select("id", Q.without_reference_gaps(F.col("seq"), F.col("ref")).alias("kept"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'r', 'ATG'), (1, 1, 'r', 'CCC'), (2, 0, 's', 'CAT'), (2, 1, 's', 'GGG')) AS t(gene_id, gene_pos, read_id, codon)")
+@query(" SELECT id AS read_id, c::BIGINT AS gene_pos, CASE WHEN id % 2 = 0 THEN codon ELSE translate(reverse(codon), 'ATGC', 'TACG') END AS codon FROM (SELECT id, c, substr(ref, (10 + 3 * c - id % 17)::INT, 3) AS codon FROM short_seqs, range(0, 7) AS r(c) WHERE 10 + 3 * c - id % 17 >= 1) WHERE NOT contains(codon, '-')", "short_seqs")
 def read_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """codons of mapped reads in their gene's frame."""
-    rows = inline(spark, "(1L, 10, 18, '+', 'r', 9, 'ATGCCCG'), (2L, 10, 18, '-', 's', 9, 'ATGCCCG') AS t(gene_id, gene_start, gene_end, strand, read_id, pos, seq)")
-    return C.codons_of_reads(rows).select(F.col("gene_id").cast("int").alias("gene_id"), F.col("gene_pos").cast("int").alias("gene_pos"), "read_id", "codon")
-
-
-# The nine points of the hyperbolic curve with known parameters.
-HYPERBOLIC = (0.01560084, 0.01392907, 0.01301867, 0.01249557, 0.01190561, 0.01131878, 0.01091478, 0.01073981, 0.01043296)
+    """codons of mapped reads in their gene's frame, whole and without gaps."""
+    rows = view(spark, sf_dir, "short_seqs").select(F.lit(1).alias("gene_id"), F.lit(10).alias("gene_start"), F.lit(30).alias("gene_end"), F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"), F.col("id").alias("read_id"), (F.col("id") % 17).alias("pos"), F.col("ref").alias("seq"))
+    return C.codons_of_reads(rows).select("read_id", "gene_pos", "codon")
 
 
-@query("SELECT 62.35288::DOUBLE AS b0, 4.12221::DOUBLE AS b1")
+@query("SELECT DISTINCT n_regionkey::INT AS id, (60.0 + n_regionkey)::DOUBLE AS b0, (4.0 + n_regionkey)::DOUBLE AS b1 FROM nation")
 def fit_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hyperbolic fit of the known curve."""
-    rows = spark.createDataFrame([("c", i, y) for i, y in enumerate(HYPERBOLIC, 1)], "id string, lag int, value double")
-    return fit.fitted(rows, ["id"], "hyper", 0, 1000).select(F.round("b0", 5).alias("b0"), F.round("b1", 5).alias("b1"))
+    """Hyperbolic fits of a curve per region, whose parameters they recover."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("lag")).distinct()
+    rows = rows.withColumn("value", 1 / (60.0 + F.col("id") + (4.0 + F.col("id")) * F.col("lag")))
+    return fit.fitted(rows, ["id"], "hyper", 0, 1000).select("id", (F.round("b0", 4) + 0.0).alias("b0"), (F.round("b1", 4) + 0.0).alias("b1"))
 
 
-@query("SELECT 60.0::DOUBLE AS b0, 150.0::DOUBLE AS b1, 40.0::DOUBLE AS b2, 'c' AS id")
+@query("SELECT DISTINCT n_regionkey::INT AS id, (60.0 + n_regionkey)::DOUBLE AS b0, 150.0::DOUBLE AS b1, 40.0::DOUBLE AS b2 FROM nation")
 def fit_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential fit recovers the parameters of an exact curve."""
-    rows = spark.range(1, 101).select(F.lit("c").alias("id"), F.col("id").cast("int").alias("lag"), (1 / (60 + 150 * (1 - F.exp(-F.col("id") / 40)))).alias("value"))
+    """Exponential fits of a curve per region, whose parameters they recover."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(100))).alias("lag")).distinct()
+    rows = rows.withColumn("value", 1 / (60.0 + F.col("id") + 150 * (1 - F.exp(-F.col("lag") / 40))))
     return fit.fitted(rows, ["id"], "exp", 0, 1000).select("id", *[(F.round(b, 4) + 0.0).alias(b) for b in ("b0", "b1", "b2")])
 
 

@@ -138,10 +138,10 @@ def dedupe_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*SITE).agg(F.count(F.lit(1)).alias("reads"), F.count(F.when(F.col("base") == "A", 1)).alias("a"))
 
 
-@query(" SELECT genome, pos, string_agg(base, '' ORDER BY read_id, ord) AS letters, count(*) AS depth FROM bases WHERE qual > 40 GROUP BY ALL", "bases")
+@query(" SELECT genome, pos, string_agg(base, '' ORDER BY read_id, ord, base) AS letters, count(*) AS depth FROM bases GROUP BY ALL", "bases")
 def pileup_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The letters over each site in read order."""
-    rows = view(spark, sf_dir, "bases").where("qual > 40")
+    """The letters over each site, sorted by read."""
+    rows = view(spark, sf_dir, "bases")
     ordered = F.array_sort(F.collect_list(F.struct("read_id", "ord", "base")))
     return rows.groupBy(*SITE).agg(F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("letters"), F.count(F.lit(1)).alias("depth"))
 
@@ -206,6 +206,6 @@ def site_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT genome, pos, read_id, base FROM bases QUALIFY row_number() OVER (PARTITION BY genome, pos ORDER BY qual DESC, read_id, ord) = 1", "bases")
 def best_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: the read of the best quality at each site."""
+    """The read of the best quality at each site."""
     w = Window.partitionBy(*SITE).orderBy(F.col("qual").desc(), "read_id", "ord")
     return view(spark, sf_dir, "bases").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("genome", "pos", "read_id", "base")

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave.functions.stats import clean
 from lociwave.operators import sites as S
 from lociwave.operators.joins import band_join
+from lociwave.operators.order import numbered, runs
 from lociwave.plans.registry import query
 from lociwave.sources import readers, sinks
+from lociwave.sources.scratch import scratch_path
 from lociwave.sources.views import view
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of the session, or in a temporary one of a local session."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lociwave-")
-    return f"{base}/lociwave/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def text_file(spark: SparkSession, name: str, lines: DataFrame | list[str]) -> str:
@@ -41,7 +39,7 @@ def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.fasta(spark, text_file(spark, "fasta", rows)).select("id", "seq")
 
 
-@query("SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem WHERE l_suppkey % 10 = 0")
+@query("SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem")
 def read_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of SAM text."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat_ws('\t', l_orderkey, '99', 'chr', l_partkey + 1, l_linenumber * 10, '4M', '=', l_partkey + 1, '0', 'ACGT', 'IIII') AS value")
@@ -68,10 +66,10 @@ def read_ptt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand", "gene")
 
 
-@query(" SELECT genome, pos, string_agg(base, '' ORDER BY read_id, ord) AS letters FROM bases WHERE qual > 45 GROUP BY ALL", "bases")
+@query(" SELECT genome, pos, string_agg(base, '' ORDER BY read_id, ord, base) AS letters FROM bases GROUP BY ALL", "bases")
 def read_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pileup written as text, with every letter behind a read mark, and read again."""
-    bases = view(spark, sf_dir, "bases").where("qual > 45")
+    bases = view(spark, sf_dir, "bases")
     ordered = F.array_sort(F.collect_list(F.struct("read_id", "ord", "base")))
     per = bases.groupBy("genome", "pos").agg(F.transform(ordered, lambda x: x["base"]).alias("b"))
     rows = per.select("genome", "pos", F.lit("N"), F.size("b"), F.array_join(F.transform("b", lambda x: F.concat(F.lit("^]"), x)), ""), F.array_join(F.transform("b", lambda x: F.lit("I")), ""))
@@ -106,19 +104,6 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.names(spark, text_file(spark, "names", rows))
 
 
-@query("SELECT * FROM (VALUES ('ec', 'path/a'), ('ec', 'path/b'), ('sa', 'path/c')) AS t(prefix, path)")
-def read_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Species lists."""
-    return readers.species(spark, text_file(spark, "species", ["ec: [path/a, path/b]", "sa:", "  - path/c"]))
-
-
-@query("SELECT * FROM (VALUES ('s1', 'NC_1', 10), ('s1', 'NC_2', 20)) AS t(name, accession, length)")
-def read_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strains with their genomes."""
-    path = text_file(spark, "strains", ['[{"Name": "s1", "Path": "p", "Genomes": [{"Accession": "NC_1", "Length": 10}, {"Accession": "NC_2", "Length": 20}]}]'])
-    return readers.strains(spark, path).select(F.col("Name").alias("name"), F.explode("Genomes").alias("g")).select("name", F.col("g.Accession").alias("accession"), F.col("g.Length").alias("length"))
-
-
 @query("SELECT n_regionkey::BIGINT AS family_key, n_name AS name, 'ACGT' AS nucl FROM nation")
 def families_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families written with base64 fields and read again."""
@@ -129,7 +114,7 @@ def families_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.families(spark, text_file(spark, "families", lines)).select(F.col("genome").cast("long").alias("family_key"), "name", "nucl")
 
 
-@query(" SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits WHERE p % 20 = 0", "hits")
+@query(" SELECT p::VARCHAR AS q, s::VARCHAR AS s, 90.5::DOUBLE AS pident, CAST(NULL AS DOUBLE) AS evalue, score AS bitscore FROM hits", "hits")
 def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tabular hits with '|' in ids and '*' for unknown numbers."""
     rows = view(spark, sf_dir, "hits").selectExpr("concat_ws('\t', concat('ref|', p, '|x'), concat('ref|', s), '90.5', '1', '2', '3', '4', '5', '6', '7', '*', score) AS value")
@@ -155,10 +140,10 @@ def merged_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.merged_scaffolds(rows).select("genome", F.length("seq").cast("long").alias("len"))
 
 
-@query(" SELECT r.lag, c.n FROM (SELECT range AS lag FROM range(0, 12)) r LEFT JOIN (SELECT y.pos - x.pos AS lag, count(*) AS n FROM (SELECT DISTINCT pos FROM bases WHERE pos % 3 = 0) x JOIN (SELECT DISTINCT pos FROM bases WHERE pos % 3 = 0) y ON y.pos >= x.pos AND y.pos - x.pos < 12 GROUP BY 1) c USING (lag)", "bases")
+@query(" SELECT r.lag, c.n FROM (SELECT range AS lag FROM range(0, 12)) r LEFT JOIN (SELECT y.pos - x.pos AS lag, count(*) AS n FROM (SELECT DISTINCT pos FROM bases) x JOIN (SELECT DISTINCT pos FROM bases) y ON y.pos >= x.pos AND y.pos - x.pos < 12 GROUP BY 1) c USING (lag)", "bases")
 def every_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lags of a table, also those without pairs."""
-    sites = view(spark, sf_dir, "bases").where("pos % 3 = 0").select("pos").distinct().withColumn("g", F.lit(0))
+    sites = view(spark, sf_dir, "bases").select("pos").distinct().withColumn("g", F.lit(0))
     return sinks.every_lag(band_join(sites, ["g"], "pos", 12).groupBy("lag").agg(F.count(F.lit(1)).alias("n")), 12)
 
 
@@ -172,8 +157,89 @@ def cov_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("Ks").alias("ks"), F.concat(F.lit("["), F.array_join(F.col("Ct").cast("array<string>"), ", "), F.lit("]")).alias("ct"), F.size("CtN").cast("long").alias("n"))
 
 
-@query("SELECT n_regionkey AS genome, count(*) AS records, min(n_nationkey) AS first_ord FROM nation GROUP BY 1")
+@query(" SELECT ref, count(*) AS records, arg_min(ord, (pos, ord)) AS first_ord, arg_max(ord, (pos, ord)) AS last_ord FROM records GROUP BY ref", "records")
 def partition_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records by reference, in order."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return rows.groupBy(F.col("n_regionkey").alias("genome")).agg(F.count(F.lit(1)).alias("records"), F.min("n_nationkey").alias("first_ord"))
+    """Records by reference; the first and last of each in the order of places."""
+    by_place = F.struct("pos", "ord")
+    return view(spark, sf_dir, "records").groupBy("ref").agg(F.count(F.lit(1)).alias("records"), F.min_by("ord", by_place).alias("first_ord"), F.max_by("ord", by_place).alias("last_ord"))
+
+
+@query(" SELECT ref, min(ord) AS first_ord, count(*) AS records FROM (SELECT *, sum(starts) OVER (ORDER BY ord) AS run FROM (SELECT *, CASE WHEN lag(ref) OVER (ORDER BY ord) = ref THEN 0 ELSE 1 END AS starts FROM records)) GROUP BY ref, run", "records")
+def reference_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: runs of records of one reference in file order."""
+    return runs(view(spark, sf_dir, "records").select("ord", "ref"), "ord", "ref").groupBy("ref", "run").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("records")).drop("run")
+
+
+@query(" SELECT ord, row_number() OVER (ORDER BY ref, pos, ord) - 1 AS at FROM records", "records")
+def record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each record when all are sorted by reference and place."""
+    return numbered(view(spark, sf_dir, "records").select("ord", "ref", "pos"), ["ref", "pos", "ord"])[0].select("ord", "at")
+
+
+@query("SELECT r_name AS prefix, concat('strains/', n_name) AS path FROM nation JOIN region ON r_regionkey = n_regionkey")
+def read_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species and the paths of their strains, written as a list and read again."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    rows = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("prefix"), F.concat(F.lit("strains/"), "n_name").alias("path"))
+    path = folder(spark, "species")
+    sinks.species_lines(rows, path)
+    return readers.species(spark, path)
+
+
+@query("SELECT r_name AS name, n_name AS accession, (n_nationkey * 10)::INT AS length FROM nation JOIN region ON r_regionkey = n_regionkey")
+def read_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strains with their genomes, written and read again."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    rows = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("Name"), F.concat(F.lit("p/"), "r_name").alias("Path"), F.col("n_name").alias("Accession"), (F.col("n_nationkey") * 10).cast("int").alias("Length"))
+    path = folder(spark, "strains")
+    sinks.strains_json(rows, path)
+    return readers.strains(spark, path).select(F.col("Name").alias("name"), F.explode("Genomes").alias("g")).select("name", F.col("g.Accession").alias("accession"), F.col("g.Length").alias("length"))
+
+
+@query(" SELECT genome, pos, pos_type FROM (SELECT DISTINCT genome, pos - 1 AS pos, CASE WHEN pos % 3 <> 0 THEN pos % 3 ELSE 4 END::TINYINT AS pos_type FROM bases)", "bases")
+def position_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position types of genomes, a byte a base, written and read again."""
+    sites = view(spark, sf_dir, "bases").select("genome", "pos").distinct().withColumn("pos_type", F.when(F.col("pos") % 3 != 0, F.col("pos") % 3).otherwise(4).cast("tinyint"))
+    path = folder(spark, "profile")
+    sinks.position_profile(sites.withColumn("pos", F.col("pos") - 1), path)
+    own = readers.position_profile(spark, f"{path}/*.pos")
+    return own.select(F.regexp_extract("file", r"([^/]+)[.]pos$", 1).alias("genome"), F.col("pos").cast("long").alias("pos"), "pos_type").where("pos_type <> 0")
+
+
+@query("SELECT n_regionkey::VARCHAR AS strain, 'hyper' AS kind, count(*)::DOUBLE AS b0, 2.5::DOUBLE AS b1 FROM nation GROUP BY 1")
+def fit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: fitted parameters written as JSON and read again."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy(F.col("n_regionkey").cast("string").alias("strain")).agg(F.count(F.lit(1)).cast("double").alias("b0"))
+    path = folder(spark, "fits")
+    sinks.fit_results(rows.select("strain", F.lit("hyper").alias("kind"), "b0", F.lit(2.5).alias("b1"), F.lit(None).cast("double").alias("b2")), path)
+    return spark.read.schema("strain string, kind string, b0 double, b1 double").json(path)
+
+
+@query("SELECT n_regionkey::VARCHAR AS g, n_nationkey::VARCHAR AS l, 'P2' AS t, (n_nationkey / 4.0)::VARCHAR AS m, CASE WHEN n_nationkey % 5 = 0 THEN 'NaN' ELSE (n_nationkey / 2.0)::VARCHAR END AS v FROM nation")
+def gene_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile as a table with columns l, m, v, n, t, g, and as tabbed lines with unknown values as NaN, both read again."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("lag"), (F.col("n_nationkey") / 4).alias("m"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_nationkey") / 2).alias("v"), F.lit(3).alias("n"), F.lit("P2").alias("t"), F.col("n_regionkey").alias("gene_id"))
+    csv, tabs = folder(spark, "genes"), folder(spark, "lags")
+    sinks.gene_table(rows, csv)
+    sinks.tab_table(rows.select("gene_id", "lag", "v"), tabs, ["gene_id", "lag"], ["# gene lag v"])
+    first = spark.read.csv(csv, header=True).select("g", "l", "t", "m")
+    f = F.split("value", "\t")
+    second = spark.read.text(tabs).where("value not like '#%'").select(f[0].alias("g"), f[1].alias("l"), f[2].alias("v"))
+    return first.join(second, ["g", "l"])
+
+
+@query("SELECT n_nationkey AS lag, n_regionkey::DOUBLE AS mean_cr, 2.0::DOUBLE AS var_cr, 5 AS n_cr, 1.5::DOUBLE AS mean_xbar FROM nation WHERE n_nationkey % 3 <> 0")
+def wide_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags with known variances in sixteen columns."""
+    number = {f"{s}_{x}": (F.lit(5) if s == "n" else F.lit(2.0) if s == "var" else F.lit(1.5)) for x in ("cs", "cr", "ct", "xbar", "ybar") for s in ("mean", "var", "n")}
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("lag"), "n_regionkey").withColumns(number)
+    rows = rows.withColumns({"mean_cr": F.col("n_regionkey").cast("double"), "var_cr": F.when(F.col("lag") % 3 != 0, F.col("var_cr"))})
+    return sinks.wide_lags(rows).select("lag", "mean_cr", "var_cr", "n_cr", "mean_xbar")
+
+
+@query("SELECT n_name AS genome, n_nationkey::BIGINT AS pos FROM nation")
+def concatenated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a stream that stand one behind the other, without line ends."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.format_string('{"Genome":"%s","Position":%d,"Pi":0.5,"Num":3,"Alleles":{"A":1}}', "n_name", "n_nationkey")), "").alias("value"))
+    own = readers.diversity_json(spark, text_file(spark, "stream", rows.select("value")))
+    return own.select(F.col("Genome").alias("genome"), F.col("Position").cast("long").alias("pos"))

@@ -129,8 +129,9 @@ def subsample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.subsampled(reads, "read_id", F.lit(0.25)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(" SELECT gene_id, count(*) AS codons, count(*) FILTER (position('-' IN codon) > 0 OR position('C' IN codon) = 0) AS gaps FROM codons GROUP BY gene_id", "codons")
+@query(" SELECT aln AS gene_id, row, count(*) AS codons, count(*) FILTER (NOT contains(codon, '-')) AS known FROM (SELECT aln, row, pos // 3 AS c, string_agg(base_a, '' ORDER BY pos) AS codon FROM aligned GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL", "aligned")
 def codon_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codons with a gap (here also those without C)."""
-    gap = F.col("codon").contains("-") | ~F.col("codon").contains("C")
-    return codons(spark, sf_dir).groupBy("gene_id").agg(F.count(F.lit(1)).alias("codons"), F.count(F.when(gap, 1)).alias("gaps"))
+    """Codons of aligned rows, and those without a gap."""
+    rows = view(spark, sf_dir, "aligned").groupBy("aln", "row", F.floor(F.col("pos") / 3).alias("c")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base_a"))), lambda x: x["base_a"]), "").alias("codon")).where(F.length("codon") == 3)
+    per = lambda df, name: df.groupBy(F.col("aln").alias("gene_id"), "row").agg(F.count(F.lit(1)).alias(name))
+    return per(rows, "codons").join(per(C.without_gaps(rows), "known"), ["gene_id", "row"], "left").na.fill(0, ["known"])

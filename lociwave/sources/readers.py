@@ -10,6 +10,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,9 @@ def sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
 BAM_OPS, BAM_LETTERS = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
 
-def bam_records(data: bytes) -> Iterator[dict]:
-    """Alignments of one BAM file, whose blocks are gzip members."""
-    raw = io.BytesIO(gzip.decompress(data))
+def bam_records(file: io.RawIOBase) -> Iterator[dict]:
+    """Alignments of one BAM file, whose blocks are gzip members; it is read once and never held whole."""
+    raw = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20)
     take = lambda form: struct.unpack(form, raw.read(struct.calcsize(form)))
     if raw.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
@@ -89,22 +91,24 @@ def bam_records(data: bytes) -> Iterator[dict]:
 
 
 def bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of BAM files, one task a file."""
+    """Alignments of BAM files, a task a file, which is streamed whatever its size."""
     schema = "read_id string, flags int, ref string, pos int, mapq int, cigar array<struct<op:string,len:int>>, mate_ref string, mate_pos int, seq string, qual array<int>, ord bigint"
     kind = pa.schema([("read_id", pa.string()), ("flags", pa.int32()), ("ref", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("mate_ref", pa.string()), ("mate_pos", pa.int32()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("ord", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content"):
+            for name in batch.column("path").to_pylist():
+                system, own = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
                 held = []
-                for row in bam_records(data.as_py()):
-                    held.append(row)
-                    if len(held) == 2000:
-                        yield pa.RecordBatch.from_pylist(held, kind)
-                        held = []
+                with system.open_input_stream(own, compression=None) as file:
+                    for row in bam_records(file):
+                        held.append(row)
+                        if len(held) == 2000:
+                            yield pa.RecordBatch.from_pylist(held, kind)
+                            held = []
                 yield pa.RecordBatch.from_pylist(held, kind)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, schema)
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -135,13 +139,19 @@ def pileup(spark: SparkSession, path: str | list[str], resolve: bool = True, com
     return (rows if keep_mismatch else rows.where("length(letters) = n and length(quals) = n")).select("genome", "pos", "ref", "n", "letters", "quals")
 
 
+def objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value: JSON objects that stand a line each or one behind the other."""
+    rows = spark.read.text(path).select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("value"))
+    return rows.where("trim(value) <> ''")
+
+
 def diversity_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.schema(PI_SCHEMA).json(path)
+    return objects(spark, path).select(F.from_json("value", PI_SCHEMA).alias("r")).select("r.*")
 
 
 def correlations_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """gene_id, lag, value, count, type, variance of one or more sample files."""
-    rows = spark.read.schema(CORR_SCHEMA).json(path).select(F.col("GeneID").alias("gene_id"), F.explode("Results").alias("r"))
+    rows = objects(spark, path).select(F.from_json("value", CORR_SCHEMA).alias("o")).select("o.*").select(F.col("GeneID").alias("gene_id"), F.explode("Results").alias("r"))
     return rows.select("gene_id", F.col("r.Lag").alias("lag"), F.col("r.Value").alias("value"), F.col("r.Count").alias("count"), F.col("r.Type").alias("type"), F.col("r.Variance").alias("variance"))
 
 
@@ -174,7 +184,7 @@ def table_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def families(spark: SparkSession, path: str) -> DataFrame:
-    """family_id, idx and a record's fields of an array of arrays; byte fields are base64. A missing file gives no rows."""
+    """family_id, idx and a record's fields of an array of arrays; byte fields are base64. A missing file is an error, as for all readers."""
     text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", f"array<array<{RECORD}>>").alias("f"))
     rows = parsed.select(F.posexplode("f").alias("family_id", "members")).select("family_id", F.posexplode("members").alias("idx", "m"))
@@ -232,6 +242,19 @@ def bootstraps(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", COV_SCHEMA).alias("c")).select("c.*")
 
 
+def stale(spark: SparkSession, made: str, source: str) -> bool:
+    """Whether a made file is missing, or older than the newest of its sources."""
+
+    def newest(path: str):
+        try:
+            return spark.read.format("binaryFile").load(path).agg(F.max("modificationTime").alias("t")).first()["t"]
+        except AnalysisException:
+            return None
+
+    own, other = newest(made), newest(source)
+    return own is None or (other is not None and own < other)
+
+
 def stems(spark: SparkSession, path: str, ending: str = "fna.tgz") -> DataFrame:
     """stem: distinct names of the archives in a folder, up to the first dot."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(path).select("path")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +80,60 @@ def merged_scaffolds(records: DataFrame, gap: int = 1000) -> DataFrame:
     """genome, seq: scaffolds (genome, ord, seq) joined in order with ``gap`` N after each."""
     per = records.groupBy("genome").agg(F.sort_array(F.collect_list(F.struct("ord", "seq"))).alias("s"))
     return per.select("genome", F.array_join(F.transform("s", lambda x: F.concat(x["seq"], F.repeat(F.lit("N"), F.lit(gap)))), "").alias("seq"))
+
+
+def position_profile(sites: DataFrame, folder: str) -> None:
+    """A file genome.pos for each genome of (genome, pos 0-based, pos_type): a byte a base, 0 where there is none.
+
+    A genome's places go to one task in order, which writes its file as they come.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else fs.FileSystem.from_uri(folder.replace("file:", "file://", 1)) if folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        own, out, at, path = None, None, 0, ""
+        names: list[str] = []
+
+        def close() -> None:
+            out.close()
+            system.move(path, f"{base}/{own}.pos")
+            names.append(own)
+
+        for batch in batches:
+            for genome, pos, kind in zip(*(batch.column(c).to_pylist() for c in ("genome", "pos", "pos_type")), strict=True):
+                if genome != own:
+                    if out is not None:
+                        close()
+                    own, at, path = genome, 0, f"{base}/{uuid.uuid4().hex}.tmp"
+                    out = system.open_output_stream(path, compression=None)
+                if pos < at:
+                    raise ValueError(f"two types of place {pos} of {genome}")
+                out.write(bytes(pos - at) + bytes([kind]))
+                at = pos + 1
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"genome": pa.array(names, pa.string())})
+
+    rows = sites.select(F.col("genome").cast("string").alias("genome"), F.col("pos").cast("long").alias("pos"), "pos_type")
+    rows.repartition("genome").sortWithinPartitions("genome", "pos").mapInArrow(run, "genome string").count()
+
+
+def strains_json(rows: DataFrame, path: str) -> None:
+    """An array of strains with their genomes (Name, Path, Accession, Length), a strain's rows in the order of accessions."""
+    genome = F.sort_array(F.collect_list(F.struct("Accession", "Length")))
+    strains = rows.groupBy("Name", "Path").agg(genome.alias("Genomes")).select(F.to_json(F.struct("Name", "Path", "Genomes")).alias("j"))
+    # A catalogue of strains is one array by its format.
+    strains.agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("value")).write.text(path)
+
+
+def species_lines(rows: DataFrame, path: str) -> None:
+    """'prefix: [path, path]' of each species (prefix, path)."""
+    per = rows.groupBy("prefix").agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("paths"))
+    per.select(F.concat("prefix", F.lit(": ["), "paths", F.lit("]")).alias("value")).write.text(path)
+
+
+def fit_results(fits: DataFrame, path: str) -> None:
+    """A JSON object a fit (strain, kind, b0, b1, b2); unknown parameters are left out."""
+    fits.write.json(path)

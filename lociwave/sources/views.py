@@ -22,6 +22,15 @@ VIEWS: dict[str, tuple[str, str]] = {
         "orders",
         "SELECT o_orderkey AS read_id, CAST('r' AS STRING) AS ref, o_custkey AS pos, CAST(20 + o_orderkey % 80 AS BIGINT) AS len, CAST(o_orderkey % 60 AS INT) AS mapq FROM {table}",
     ),
+    # Reads of ten times ten letters over five references, a read every few places: the axis grows with the reads.
+    "seq_reads": (
+        "orders",
+        "SELECT o_orderkey AS read_id, substr(o_orderpriority, 1, 1) AS ref, CAST(o_orderkey * 3 AS BIGINT) AS pos, CAST(o_orderkey % 60 AS INT) AS mapq, substr(translate(concat(md5(CAST(o_orderkey AS STRING)), md5(CAST(o_orderkey + 7 AS STRING)), md5(CAST(o_orderkey + 9 AS STRING))), '0123456789abcdef', 'ATGCATGCATGCATGN'), 1, CAST(20 + o_orderkey % 60 AS INT)) AS seq, substr(translate(concat(md5(CAST(o_orderkey + 1 AS STRING)), md5(CAST(o_orderkey + 2 AS STRING)), md5(CAST(o_orderkey + 3 AS STRING))), '0123456789abcdef', 'IIIIIIIIIIII+5?I'), 1, CAST(20 + o_orderkey % 60 AS INT)) AS quals FROM {table}",
+    ),
+    "short_seqs": (
+        "orders",
+        "SELECT o_orderkey AS id, translate(md5(CAST(o_orderkey AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, translate(md5(CAST(o_orderkey + 5 AS STRING)), '0123456789abcdef', 'ACGTACGT--ACGT-A') AS ref FROM {table}",
+    ),
     "codons": (
         "lineitem",
         "SELECT CAST(l_suppkey % 2 AS BIGINT) AS gene_id, CAST(l_partkey % 8 AS BIGINT) AS gene_pos, l_orderkey AS read_id, min(concat(substr('CG', CAST(l_suppkey % 2 + 1 AS INT), 1), substr('TC', CAST(l_partkey % 2 + 1 AS INT), 1), substr('ATGC', CAST(l_linenumber % 4 + 1 AS INT), 1))) AS codon FROM {table} GROUP BY 1, 2, 3",

@@ -12,6 +12,8 @@ from lociwave.operators import codons, fit, genomes, reads, sites
 from lociwave.operators.joins import band_join, interval_join
 from lociwave.sources import config, readers
 
+# The nine points of the hyperbolic curve with known parameters.
+HYPERBOLIC = (0.01560084, 0.01392907, 0.01301867, 0.01249557, 0.01190561, 0.01131878, 0.01091478, 0.01073981, 0.01043296)
 # A measured curve whose exponential parameters are known.
 EXPONENTIAL = [
     0.015600839314894, 0.0139290656045694, 0.0130186686714599, 0.0124955670819063, 0.0119056080624362, 0.0113187792329688, 0.0109147762820121,
@@ -33,8 +35,6 @@ EXPONENTIAL = [
 
 
 def test_fit_goldens():
-    from lociwave.plans.catalogue import HYPERBOLIC
-
     got = fit.fit_hyperbolic(np.arange(1.0, 10), np.array(HYPERBOLIC))
     assert got == pytest.approx([62.352885, 4.122212], abs=1e-5)
     got = fit.fit_exponential(np.arange(1.0, 101), np.array(EXPONENTIAL))
@@ -179,6 +179,52 @@ def test_archives_profiles_and_stems(spark, tmp_path):
     assert [r.pos_type for r in readers.position_profile(spark, f"{tmp_path}/g.pos").orderBy("pos").collect()] == [0, 1, 2, 4, 8]
 
 
+def test_draws_are_with_replacement(spark):
+    from collections import Counter
+
+    from lociwave.operators import substitutions
+
+    rows = substitutions.draws(spark, 40, 12).collect()
+    boots = {b: Counter(r.idx for r in rows if r.boot == b) for b in range(12)}
+    assert all(sum(c.values()) == 40 and set(c) <= set(range(40)) for c in boots.values())
+    assert all(len(c) < 40 and max(c.values()) > 1 for c in boots.values()) and len({tuple(sorted(c.items())) for c in boots.values()}) == 12
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, substitutions.draws(spark, 40, 12).collect()))
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, substitutions.draws(spark, 40, 12, seed=2).collect()))
+
+
+def test_stale_files(spark, tmp_path):
+    import os
+
+    (tmp_path / "a").write_text("x")
+    (tmp_path / "b").write_text("y")
+    os.utime(tmp_path / "a", (1_000_000, 1_000_000))
+    assert readers.stale(spark, f"{tmp_path}/a", f"{tmp_path}/b") and not readers.stale(spark, f"{tmp_path}/b", f"{tmp_path}/a")
+    assert readers.stale(spark, f"{tmp_path}/none", f"{tmp_path}/a") and not readers.stale(spark, f"{tmp_path}/a", f"{tmp_path}/none")
+
+
+def test_order_and_runs(spark):
+    from lociwave.operators.order import numbered, runs
+
+    rng = random.Random(9)
+    keys = [rng.choice("ab") for _ in range(60)] + ["a"] * 9000 + [None, None, "b"]
+    df = spark.createDataFrame([(i * 2, k) for i, k in enumerate(keys)], "ord long, key string").repartition(5)
+    placed, total = numbered(df, ["ord"])
+    assert total == len(keys) and sorted((r.ord, r.at) for r in placed.collect()) == [(2 * i, i) for i in range(len(keys))]
+    want, start = [], 0
+    for i, k in enumerate(keys):
+        start = i if i == 0 or keys[i - 1] != k else start
+        want.append((2 * i, start))
+    assert sorted((r.ord, r.run) for r in runs(df, "ord", "key").collect()) == want
+    assert numbered(df.where("false"), ["ord"])[1] == 0 and runs(df.where("false"), "ord", "key").count() == 0
+
+
+def test_bootstrap_hash_is_the_same_again(spark):
+    from lociwave.plans import catalog
+
+    first, again = (sorted(map(tuple, catalog.QUERIES["bootstrap_hash"](spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
+    assert first == again and len(first) == 20 and len({r[2] for r in first}) > 1 and all(r[3] < r[4] and r[4] == first[0][4] for r in first)
+
+
 def test_settings():
     text = "genome:\n  dir: g\ncov:\n  maxl: 300\n  functions: [a, b]\n  positions:\n    - 1\n    - 4\nfit:\n  exp:\n    start: 3\n"
     got = config.settings(text, {"LOCIWAVE_OUT_DIR": "o"}, reads_dir="r")

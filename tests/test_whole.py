@@ -14,48 +14,28 @@ def whole(views, text):
     return duck().execute(f"WITH RECURSIVE {oracle_views(*views.split())}{text}").df()
 
 
-def test_ct_by_lag_uses_every_overlap_and_place(spark):
-    from lociwave.plans.alignments import OVER, QUEUE
-
-    lags = "sv AS (SELECT read_id_a, read_id_b, i AS pos, CAST((read_id_a * 7 + read_id_b * 3 + i) % 5 = 0 AS INT)::DOUBLE AS x FROM ov, range(0, 100) AS r(i) WHERE i < shared), lg AS (SELECT (p.read_id_a * 31 + p.read_id_b) % 10 AS sample, q.pos - p.pos AS lag, covar_pop(p.x, q.x) AS cov, count(*) AS n FROM sv p JOIN sv q USING (read_id_a, read_id_b) WHERE q.pos >= p.pos AND q.pos - p.pos < 4 GROUP BY ALL)"
-    want = whole("reads", f", {QUEUE}, {OVER}, {lags} SELECT lag, round(avg(cov), 9) + 0.0 AS mean, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cov) END, 9), 0.0) + 0.0 AS var, count(*) AS n FROM lg WHERE n > 10 GROUP BY lag")
-    assert len(want) == 4 and rows(catalog.QUERIES["ct_by_lag"](spark, DATA).toPandas()) == rows(want)
-
-
-def test_ct_by_lag_by_brute_force(spark, tmp_path):
+def test_ct_by_lag_by_brute_force(spark):
     import statistics
 
-    orders = pd.DataFrame([(k, 1 + k // 7, "1-URGENT") for k in range(21, 51)], columns=["o_orderkey", "o_custkey", "o_orderpriority"])
-    orders.to_parquet(tmp_path / "orders.parquet")
-    reads = sorted((1 + k // 7, k, 20 + k % 80) for k in range(21, 51))
-    queue, heads, found = [], [], {}
-    for r in reads:
-        queue.append(r)
-        if queue[0][0] + queue[0][2] < r[0]:
-            heads.append(queue.pop(0))
-    # No read starts beyond the first one's end: nothing is released until one is put there.
-    assert not heads and catalog.QUERIES["ct_by_lag"](spark, str(tmp_path)).count() == 0
-    late = pd.DataFrame([(60 * i + 21 + i, 200 + i, "1-URGENT") for i in range(1, 15)], columns=orders.columns)
-    pd.concat([orders, late]).to_parquet(tmp_path / "orders.parquet")
-    reads = sorted((p, k, 20 + k % 80) for k, p, _ in pd.concat([orders, late]).itertuples(index=False) if 20 < k % 60 < 51)
-    queue, heads = [], []
-    for r in reads:
-        queue.append(r)
-        if queue[0][0] + queue[0][2] < r[0]:
-            heads.append(queue.pop(0))
-    for p, a, n in heads:
-        for q, b, m in reads:
-            if (q, b) > (p, a) and q <= p + n:
-                x = [float((a * 7 + b * 3 + i) % 5 == 0) for i in range(min(p + n, q + m) - q)]
+    reads = [r for r in duck().execute(f"WITH {oracle_views('seq_reads')} SELECT read_id, ref, pos, mapq, seq, quals FROM seq_reads").fetchall() if 20 < r[3] < 51]
+    found = {}
+    for a, ref, p, _, s, u in reads:
+        for b, other, q, _, t, v in reads:
+            if ref == other and (q, b) > (p, a) and q < p + len(s):
+                x = []
+                for j in range(min(len(s) - (q - p), len(t))):
+                    i = j + q - p
+                    good = s[i] in "ATGC" and t[j] in "ATGC" and ord(u[i]) - 33 > 30 and ord(v[j]) - 33 > 30
+                    x.append(float(s[i] != t[j]) if good else None)
                 for lag in range(4):
-                    found.setdefault(((a * 31 + b) % 10, lag), []).extend(zip(x, x[lag:], strict=False))
+                    found.setdefault(((a * 31 + b) % 10, lag), []).extend((c, d) for c, d in zip(x, x[lag:], strict=False) if c is not None and d is not None)
     cov = {}
     for (_, lag), xy in found.items():
         if len(xy) > 10:
             mx, my = (statistics.fmean(v) for v in zip(*xy, strict=True))
             cov.setdefault(lag, []).append(statistics.fmean((x - mx) * (y - my) for x, y in xy))
-    got = {r.lag: (r.mean, r.var, r.n) for r in catalog.QUERIES["ct_by_lag"](spark, str(tmp_path)).collect()}
-    assert heads and sorted(got) == sorted(cov)
+    got = {r.lag: (r.mean, r.var, r.n) for r in catalog.QUERIES["ct_by_lag"](spark, DATA).collect()}
+    assert sorted(got) == sorted(cov) == [0, 1, 2, 3]
     for lag, c in cov.items():
         assert got[lag] == (pytest.approx(statistics.fmean(c), abs=2e-9), pytest.approx(statistics.variance(c), abs=2e-9), len(c))
 
