@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK_CHARS, VOCABULARY, encode_text, pieces
-from .common import delete, file_system, mix64, numbered, scratch_path, slices, strings, table, written
+from .common import delete, file_system, free_shuffles, mix64, numbered, scratch_path, slices, strings, table, written
 
 LENGTH = 2048
 SHARD = 4096
@@ -71,23 +71,28 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np
 
 
 def stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end: int = END, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, int]:
-    """(doc_id, n, ids, at), the number of tokens: pieces of the documents' ids, each with its place in the stream; an end mark closes a document."""
+    """(doc_id, n, ids, at), the number of tokens: pieces of the documents' ids (uint16 under zstd), each with its place in the stream; an end mark closes a document."""
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
     cut, chunks = pieces(rows, "text", chunk_chars, everywhere=True)
     cut = cut.select("row", "k", "last", "rest.doc_id", "rest.hash", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         for big in batches:
             for batch in slices(big, "piece"):
                 found = [np.append(encode_text(x, vocabulary), end) if y else encode_text(x, vocabulary) for x, y in zip(strings(batch.column("piece")), batch.column("last").to_pylist(), strict=True)]
                 if max((x.max(initial=0) for x in found), default=0) >= 1 << 16:
                     raise ValueError("a token id does not fit into uint16")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k", "doc_id", "hash")), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<u2").tobytes() for x in found], pa.binary())], ["row", "k", "doc_id", "hash", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "k", "doc_id", "hash")), pa.array([len(x) for x in found], pa.int32()), pa.array([pack.compress(x.astype("<u2").tobytes()) for x in found], pa.binary())], ["row", "k", "doc_id", "hash", "n", "ids"])
 
     coded = written(cut.mapInArrow(run, "row long, k int, doc_id long, hash long, n int, ids binary"), "bin-pieces")
     delete(chunks)
+    free_shuffles(df.sparkSession)
     rows, total = numbered(coded, ["doc_id", "hash", "row", "k"], "n", "bin-stream")
     delete(coded)
+    free_shuffles(df.sparkSession)
     return rows.select("doc_id", "n", "ids", "at"), total
 
 
@@ -97,16 +102,19 @@ def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     total = -(-size // length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             docs, parts, numbers, starts = [], [], [], []
             for doc, ids, at in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("at").to_pylist(), strict=True):
-                data, done = ids.as_py(), 0
+                data, done = unpack.decompress(ids.as_py()), 0
                 while 2 * done < len(data):
                     number, start = divmod(at + done, length)
                     docs.append(doc)
                     numbers.append(number)
                     starts.append(start)
-                    parts.append(data[2 * done : 2 * (done + length - start)])
+                    parts.append(pack.compress(data[2 * done : 2 * (done + length - start)]))
                     done += length - start
             slots = permuted(np.array(numbers, np.int64), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard), pa.array(starts, pa.int32()), pa.array(docs, pa.int64()), pa.array(parts, pa.binary())], ["slot", "shard", "start", "doc_id", "ids"])
@@ -115,8 +123,11 @@ def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     dealt = dealt.repartitionById(max(1, -(-total // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
+        unpack = zstandard.ZstdDecompressor()
         out, own, path, count = None, -1, "", 0
         slot, held, docs = -1, [], []
         rows: list[tuple] = []
@@ -151,7 +162,7 @@ def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
                     if held:
                         put()
                     slot, held, docs = at, [], []
-                held.append(ids.as_py())
+                held.append(unpack.decompress(ids.as_py()))
                 if not docs or docs[-1] != doc:
                     docs.append(doc)
             if rows:

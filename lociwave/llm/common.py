@@ -52,6 +52,14 @@ def delete(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark drops the shuffle files of steps whose results are written and reread."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A hint for a written table only after its rows were counted; beyond the bound Spark shuffles and splits skewed keys."""
     return F.broadcast(df) if df.count() <= most else df
