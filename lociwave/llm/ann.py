@@ -52,7 +52,9 @@ SUCCESS = 0.32
 #: Perturbation sets considered for a query and table.
 SETS = 512
 SAMPLE = 64
-PART_ROWS, GROUP_ROWS = 4096, 32_768
+PART_ROWS = 4096
+#: At least so many groups, and more where one would have more than ``GROUP_ROWS`` rows.
+GROUPS, GROUP_ROWS = 32, 32_768
 #: Buckets of more than a part that are named to all tasks; beyond, parts are larger.
 MOST_SPLIT = 100_000
 SEED = 11
@@ -240,7 +242,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     most = max(PART_ROWS, total * TABLES // MOST_SPLIT)
     sizes = index.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy("key").toPandas()
     hot, parts = sizes["key"].to_numpy(np.int64), -(-sizes["n"].to_numpy(np.int64) // most)
-    groups = max(1, -(-total * TABLES // GROUP_ROWS))
+    groups = max(GROUPS, -(-total * TABLES // GROUP_ROWS))
     kind = "g int, kind int, a long, l array<long>, v binary"
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
