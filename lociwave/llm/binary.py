@@ -27,6 +27,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SHARD = 4096
 END = 50_256
 KEY = 20_240_229
 FEISTEL_ROUNDS = 6
+#: Ranges of shards written one after another, so that the shuffle holds a part of the tokens only.
+WAVES = 3
 
 
 def _half_bits(n: int) -> int:
@@ -79,7 +82,7 @@ def stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for big in batches:
             for batch in slices(big, "piece"):
                 found = [np.append(encode_text(x, vocabulary), end) if y else encode_text(x, vocabulary) for x, y in zip(strings(batch.column("piece")), batch.column("last").to_pylist(), strict=True)]
@@ -101,26 +104,31 @@ def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     tokens, size = stream(df, id_col, text_col, vocabulary, end, chunk_chars)
     total = -(-size // length)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shards = -(-total // shard)
+    bounds = [shards * i // WAVES for i in range(WAVES + 1)]
+
+    def cut(batches: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        """The pieces of the sequences whose shards are from lo to below hi."""
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
-            docs, parts, numbers, starts = [], [], [], []
-            for doc, ids, at in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("at").to_pylist(), strict=True):
-                data, done = unpack.decompress(ids.as_py()), 0
-                while 2 * done < len(data):
-                    number, start = divmod(at + done, length)
-                    docs.append(doc)
-                    numbers.append(number)
-                    starts.append(start)
-                    parts.append(pack.compress(data[2 * done : 2 * (done + length - start)]))
-                    done += length - start
-            slots = permuted(np.array(numbers, np.int64), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard), pa.array(starts, pa.int32()), pa.array(docs, pa.int64()), pa.array(parts, pa.binary())], ["slot", "shard", "start", "doc_id", "ids"])
-
-    dealt = tokens.mapInArrow(cut, "slot long, shard long, start int, doc_id long, ids binary")
-    dealt = dealt.repartitionById(max(1, -(-total // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "start")
+            first, n = batch.column("at").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            # Every sequence that a piece has a part of, with the part's place in the piece.
+            count = np.where(n > 0, (first + n - 1) // length - first // length + 1, 0)
+            piece = np.repeat(np.arange(len(n)), count)
+            number = first[piece] // length + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            slot = permuted(number, total, key)
+            begin = np.maximum(number * length, first[piece])
+            stop = np.minimum((number + 1) * length, (first + n)[piece])
+            mine = np.flatnonzero((slot // shard >= lo) & (slot // shard < hi))
+            ids, parts, held, data = batch.column("ids"), [], -1, b""
+            for i in mine.tolist():
+                if piece[i] != held:
+                    held = int(piece[i])
+                    data = unpack.decompress(ids[held].as_py())
+                parts.append(pack.compress(data[2 * int(begin[i] - first[held]) : 2 * int(stop[i] - first[held])]))
+            yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), pa.array(slot[mine] // shard), pa.array((begin - number * length)[mine].astype(np.int32)), batch.column("doc_id").take(pa.array(piece[mine])), pa.array(parts, pa.binary())], ["slot", "shard", "start", "doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -172,7 +180,14 @@ def materialise(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             close()
             yield flush()
 
-    index = written(dealt.mapInArrow(run, "slot long, shard long, n_tokens int, doc_ids array<long>"), "bin-index")
+    index = []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        if lo < hi or not shards and not index:
+            dealt = tokens.mapInArrow(lambda batches, lo=lo, hi=hi: cut(batches, lo, hi), "slot long, shard long, start int, doc_id long, ids binary")
+            dealt = dealt.repartitionById(max(1, hi - lo), (F.col("shard") - lo).cast("int")).sortWithinPartitions("slot", "start")
+            index.append(written(dealt.mapInArrow(run, "slot long, shard long, n_tokens int, doc_ids array<long>"), "bin-index"))
+            free_shuffles(df.sparkSession)
+    index = reduce(DataFrame.unionByName, index)
     delete(tokens)
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)

@@ -69,12 +69,60 @@ def test_mixing_query(spark):
     assert rows(again) == rows(found[again.columns])
 
 
+def plain_language(model, text):
+    """One text, a word and an n-gram at a time, by the model's table of frequencies."""
+    import math
+    import re
+
+    import numpy as np
+
+    def row(n, gram):
+        codes = np.array([langid._HEAD if c == "^" else langid._TAIL if c == "$" else ord(c) for c in gram], np.int64)
+        value = langid._values(codes)
+        if n == 0:
+            h = langid.run_hashes(value, np.array([0]), np.array([len(value)]))
+        elif n == 1:
+            h = langid.mix64(value + np.uint64(1))
+        else:
+            h = langid.mix64(langid.chained(value, n) + np.uint64(n))
+        at, known = model.find(n, h)
+        return model.tables[n][at[0]] if known[0] else None
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    words = [w for part in words for w in "".join(c if c.isalpha() else " " for c in part).split()]
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(model.languages))
+    kept = {}
+    for w in words:
+        if w not in kept:
+            found = row(0, w)
+            for n in range(langid.LONGEST, 0, -1):
+                if found is None:
+                    marked = f"^{w}$" if n > 1 else w
+                    rows = [r for i in range(len(marked) - n + 1) if (r := row(n, marked[i : i + n])) is not None]
+                    found = np.mean(rows, axis=0) if rows else None
+            kept[w] = np.zeros(len(total)) if found is None else found
+        total += kept[w]
+    best = int(total.argmax())
+    return model.languages[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_language_query_is_the_plain_one(spark):
+    docs = table(spark, DATA, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.QUERIES["op1_language_id"](spark, DATA).collect():
+        lang, score = plain_language(model, text[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
 def test_pipeline_is_its_stages(spark):
     """Each stage's decisions, taken again one row at a time from the models and groups."""
     docs = table(spark, DATA, "documents")
     language = written(corpus_pipeline.language_id(spark, docs, DATA), "t")
     model = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    score = langid.Scorer(model)
+    score = lambda text: plain_language(model, text)
     assert {r.doc_id for r in language.collect()} == {r.doc_id for r in docs.collect() if score(r.text)[0] != "und" and score(r.text)[1] >= 0.5}
     good = written(corpus_pipeline.quality_classifier(spark, language, DATA), "t")
     fitted = quality.fit(language, table(spark, DATA, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))

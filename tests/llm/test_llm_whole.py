@@ -71,4 +71,6 @@ def test_language_learns_each_text_once(spark):
     data = [(x, "a") for x in few] + [(few[0], "a")] * 4000 + [(x, "b") for x in many]
     model = langid.fit(spark.createDataFrame(data, "text string, lang string"), docs_per_language=60)
     plain = langid.fit(spark.createDataFrame([(x, "a") for x in few] + [(x, "b") for x in many], "text string, lang string"), docs_per_language=60)
-    assert model.languages == plain.languages and model.index == plain.index and (model.table == plain.table).all()
+    assert model.languages == plain.languages and all((a == b).all() for a, b in zip([*model.keys, *model.tables], [*plain.keys, *plain.tables], strict=True))
+    few_only = langid.fit(spark.createDataFrame(data, "text string, lang string"), docs_per_language=7)
+    assert few_only.languages == ["a", "b"] and 0 < len(few_only.keys[0]) < len(model.keys[0])
