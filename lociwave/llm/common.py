@@ -53,11 +53,17 @@ def delete(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that Spark drops the shuffle files of steps whose results are written and reread."""
+    """Have the driver collect its garbage, so that Spark drops the shuffle files of steps whose results are written and reread.
+
+    What a plan held is free after a first round only, and files are dropped in the background.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
