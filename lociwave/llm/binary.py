@@ -43,7 +43,7 @@ END = 50_256
 KEY = 20_240_229
 FEISTEL_ROUNDS = 6
 #: Ranges of shards written one after another, so that the shuffle holds a part of the tokens only.
-WAVES = 3
+WAVES = 2
 
 
 def _half_bits(n: int) -> int:
