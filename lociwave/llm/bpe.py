@@ -34,6 +34,10 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: A boundary this near to a chunk's cut end may differ in the whole text: a contraction looks two characters ahead.
 GUARD_CHARS = 4
+# Fixed values of the pattern: what stands behind the apostrophe of a contraction.
+CONTRACTED = frozenset({"s", "t", "re", "ve", "m", "ll", "d"})
+#: Control characters that some engines take for white space: no cut behind them.
+SEPARATORS = np.arange(0x1C, 0x20, dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -53,26 +57,45 @@ def token_bytes(vocabulary: str) -> list[bytes]:
     return [own.decode_single_token_bytes(i) for i in range(own.n_vocab)]
 
 
-@lru_cache(maxsize=1)
-def pattern():
-    import public_tokenizers as P
-    import regex
+def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
+    return encoder(vocabulary).encode_to_numpy(text).astype(np.int32) if text else np.zeros(0, np.int32)
 
-    return regex.compile(P.PATTERN)
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point in the pattern: 0 letter, 1 number, 2 other, 3 white space."""
+    import regex
 
-def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    return encoder(vocabulary).encode_to_numpy(text).astype(np.int32) if text else np.zeros(0, np.int32)
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), 2, np.uint8)
+    for kind, name in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\s+")):
+        for m in regex.finditer(name, every):
+            out[m.start() : m.end()] = kind
+    return out
 
 
 def boundaries(piece: str, whole_end: bool) -> np.ndarray:
     """Where a piece may be cut: ends of pre-tokens, without those its own cut end may have moved.
 
-    Ends of white space are no cuts: how a run of it is split depends on what
-    follows, and a piece that ended there would split it otherwise.
+    A pre-token that does not end in white space is a whole run of letters, numbers
+    or others (a blank before it is its first character), or a contraction: an
+    apostrophe that begins a pre-token, that is one behind no other and no blank,
+    with its letters. Ends of white space are no cuts: how a run of it is split
+    depends on what follows, and a piece that ended there would split it otherwise.
     """
-    ends = np.fromiter((m.end() for m in pattern().finditer(piece) if not piece[m.end() - 1].isspace()), np.int32)
-    return ends if whole_end else ends[ends <= len(piece) - GUARD_CHARS]
+    points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(points)
+    kind = kinds()[points]
+    is_end = np.zeros(n + 1, bool)
+    is_end[1:n] = kind[1:] != kind[:-1]
+    is_end[n] = n > 0
+    for k in np.flatnonzero(points == ord("'")).tolist():
+        if (k == 0 or kind[k - 1] != 2 and piece[k - 1] != " ") and (size := 2 * (piece[k + 1 : k + 2] in CONTRACTED) or 3 * (piece[k + 1 : k + 3] in CONTRACTED)):
+            is_end[k + 1] = False
+            is_end[k + size] = True
+    ends = np.flatnonzero(is_end)
+    ends = ends[(kind[ends - 1] != 3) & ~np.isin(points[ends - 1], SEPARATORS)].astype(np.int32)
+    return ends if whole_end else ends[ends <= n - GUARD_CHARS]
 
 
 def bytes_of(ids: list[int] | np.ndarray, vocabulary: str = VOCABULARY) -> bytes:
@@ -119,7 +142,8 @@ def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap
     @F.arrow_udf("array<int>")
     def ends(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for piece, last in columns:
-            yield list_array([boundaries(x, y) for x, y in zip(strings(piece), last.to_pylist(), strict=True)], pa.int32())
+            found = ((len(x), boundaries(x, y)) for x, y in zip(strings(piece), last.to_pylist(), strict=True))
+            yield list_array([e[(e < overlap_chars) | (e >= n - overlap_chars)] for n, e in found], pa.int32())
 
     text = F.col(f"`{text_col}`")
     is_long = F.coalesce(F.length(text) > chunk_chars, F.lit(False))

@@ -74,3 +74,22 @@ def test_language_learns_each_text_once(spark):
     assert model.languages == plain.languages and all((a == b).all() for a, b in zip([*model.keys, *model.tables], [*plain.keys, *plain.tables], strict=True))
     few_only = langid.fit(spark.createDataFrame(data, "text string, lang string"), docs_per_language=7)
     assert few_only.languages == ["a", "b"] and 0 < len(few_only.keys[0]) < len(model.keys[0])
+
+
+def test_boundaries_are_those_of_the_pattern():
+    """Runs of kinds of characters give the ends of pre-tokens that the pattern gives, on texts of troublesome characters."""
+    import random
+
+    import public_tokenizers as P
+    import regex
+
+    from lociwave.llm import bpe
+
+    pattern, draw = regex.compile(P.PATTERN), random.Random(5)
+    letters = " \t\n\r   '''asltvedmrrevellLÉé中٣1²-_.,😀́\x1c\x1f\x85\xa0　​"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(20))) for _ in range(20_000)]
+    texts += ["".join(chr(draw.choice([draw.randrange(0x3000), draw.randrange(0xE000, 0x110000), 32, 39, 115])) for _ in range(12)) for _ in range(2000)]
+    for i, x in enumerate(texts):
+        ends = [m.end() for m in pattern.finditer(x) if not x[m.end() - 1].isspace()]
+        assert bpe.boundaries(x, True).tolist() == ends, repr(x)
+        assert bpe.boundaries(x, False).tolist() == [e for e in ends if e <= len(x) - bpe.GUARD_CHARS], i
