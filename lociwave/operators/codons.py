@@ -120,8 +120,20 @@ def covered(codons: DataFrame, gene_length: Column, least_depth: int = 5, least_
 
 
 def subsampled(reads: DataFrame, key: str, share: Column, seed: int = 1) -> DataFrame:
-    """Bernoulli sample by a seeded hash of the read id: the same reads on every run."""
-    return reads.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 32)) < share * float(1 << 32))
+    """Bernoulli sample by a seeded hash of the read id: the same reads on every run, here and in SQL."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    return reads.where(number < share * float(1 << 32))
+
+
+def to_depth(reads: DataFrame, gene: str, gene_length: Column, most: int, key: str = "read_id", seed: int = 1) -> DataFrame:
+    """Reads of each gene (columns gene, ord, len) sampled to a depth of about ``most``.
+
+    The share is the whole number of reads of the first one's length that make the
+    depth, by the number of reads; a gene with no more than these keeps all.
+    """
+    per = reads.groupBy(gene).agg(F.count(F.lit(1)).alias("__n"), F.min_by("len", "ord").alias("__len"))
+    rows = reads.join(per, gene)
+    return subsampled(rows, key, F.floor(F.try_divide(gene_length * most, F.col("__len"))) / F.col("__n"), seed).drop("__n", "__len")
 
 
 def codons_of_reads(reads: DataFrame) -> DataFrame:

@@ -87,6 +87,29 @@ def read_pair_covariance(bases: DataFrame, group: list[str], maxl: int, least: i
     return doublet_statistics(cell, site, "base_a", "base_b", "n").where(F.col("n_reads") >= least)
 
 
+#: The parts of a gene's covariance, in the order of the wide table.
+PARTS = ("cs", "cr", "ct", "xbar", "ybar")
+
+
+def gene_covariance(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cs, cr, ct, xbar, ybar, n over the site pairs of ``read_pair_covariance`` of one gene and lag (keys).
+
+    cs is the mean of the pairs' covariances, ct that of all read pairs together,
+    cr the covariance of the two sites' diversities, whose means are xbar and ybar.
+    """
+    n, total = F.col("pairs"), F.sum("pairs")
+    x, y = F.col("sx") / n, F.col("sy") / n
+    pooled = F.sum("sxy") / total - F.sum("sx") / total * (F.sum("sy") / total)
+    return pairs.groupBy(*keys).agg(F.avg(F.col("sxy") / n - x * y).alias("cs"), F.covar_pop(x, y).alias("cr"), pooled.alias("ct"), F.avg(x).alias("xbar"), F.avg(y).alias("ybar"), F.count(F.lit(1)).alias("n"))
+
+
+def over_genes(genes: DataFrame, least: int = 50) -> DataFrame:
+    """lag and mean, var, n of each part over genes with at least ``least`` site pairs and no unknown covariance; the variance of one gene is 0."""
+    rows = genes.where((F.col("n") >= least) & F.col("cs").isNotNull() & F.col("cr").isNotNull() & F.col("ct").isNotNull())
+    made = [x for p in PARTS for x in (clean(F.avg(p)).alias(f"mean_{p}"), clean(F.coalesce(variance(F.col(p), True), F.lit(0.0))).alias(f"var_{p}"), F.count(p).alias(f"n_{p}"))]
+    return rows.groupBy("lag").agg(*made)
+
+
 def doublet_statistics(cells: DataFrame, keys: list[str], x: str, y: str, n: str, extra: str | None = None) -> DataFrame:
     """keys, n_reads, pairs, sx, sy, sxy from counts of (x, y) letters; and the sum of another column as ``extra``."""
     both = lambda c: c * (c - 1) / 2.0

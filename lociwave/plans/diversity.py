@@ -10,6 +10,7 @@ from lociwave.functions.stats import clean, variance
 from lociwave.operators import reads as R
 from lociwave.operators import sites as S
 from lociwave.plans.registry import query
+from lociwave.sources import sinks
 from lociwave.sources.views import POS_TYPE, view
 
 SITE = ["genome", "pos"]
@@ -181,20 +182,27 @@ def read_pair_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("genome", "pos_a", "pos_b", "n_reads", "pairs", "sx", "sy", "sxy", clean(F.col("sxy") / n - (F.col("sx") / n) * (F.col("sy") / n)).alias("cov"))
 
 
-@query(
-    f", {DEDUPE}, {PAIRS}, per AS (SELECT genome, (pos_a - 1) // 12 AS gene, pos_b - pos_a AS lag, avg(sxy / pairs - (sx / pairs) * (sy / pairs)) AS cs, sum(sxy) / sum(pairs) - (sum(sx) / sum(pairs)) * (sum(sy) / sum(pairs)) AS ct, covar_pop(sx / pairs, sy / pairs) AS cr, count(*) AS n FROM st WHERE (pos_a - 1) // 12 = (pos_b - 1) // 12 GROUP BY ALL) SELECT lag, round(avg(cs), 9) + 0.0 AS cs, round(avg(ct), 9) + 0.0 AS ct, round(avg(cr), 9) + 0.0 AS cr, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cr) END, 9), 0.0) + 0.0 AS var_cr, count(*) AS n FROM per WHERE n >= 2 GROUP BY lag",
-    "bases",
-)
+PER_GENE = "per AS (SELECT genome, (pos_a - 1) // 12 AS gene, pos_b - pos_a AS lag, avg(sxy / pairs - (sx / pairs) * (sy / pairs)) AS cs, sum(sxy) / sum(pairs) - (sum(sx) / sum(pairs)) * (sum(sy) / sum(pairs)) AS ct, covar_pop(sx / pairs, sy / pairs) AS cr, avg(sx / pairs) AS xbar, avg(sy / pairs) AS ybar, count(*) AS n FROM st WHERE (pos_a - 1) // 12 = (pos_b - 1) // 12 GROUP BY ALL)"
+WIDE = ", ".join(f"round(avg({p}), 9) + 0.0 AS mean_{p}, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp({p}) END, 9), 0.0) + 0.0 AS var_{p}, count({p}) AS n_{p}" for p in S.PARTS)
+
+
+def _per_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes of twelve places: a gene has few site pairs of a lag, so the gate is 2 here."""
+    gene = lambda c: F.floor((F.col(c) - 1) / 12)
+    rows = _pairs(spark, sf_dir).where(gene("pos_a") == gene("pos_b")).withColumn("gene", gene("pos_a"))
+    return S.over_genes(S.gene_covariance(rows, ["genome", "gene", "lag"]), 2)
+
+
+@query(f", {DEDUPE}, {PAIRS}, {PER_GENE} SELECT lag, {WIDE} FROM per WHERE n >= 2 GROUP BY lag", "bases")
+def gene_covariance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, variance and count of the five parts over genes, in sixteen columns."""
+    return sinks.wide_lags(_per_gene(spark, sf_dir))
+
+
+@query(f", {DEDUPE}, {PAIRS}, {PER_GENE}, wd AS (SELECT lag, {WIDE} FROM per WHERE n >= 2 GROUP BY lag) SELECT lag, mean_cs AS cs, mean_ct AS ct, mean_cr AS cr, var_cr, n_cr AS n FROM wd", "bases")
 def cs_cr_ct_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure, rate and total covariance per gene and lag, averaged over genes with enough site pairs."""
-    n = F.col("pairs")
-    x, y = F.col("sx") / n, F.col("sy") / n
-    gene = lambda c: F.floor((F.col(c) - 1) / 12)
-    rows = _pairs(spark, sf_dir).where(gene("pos_a") == gene("pos_b"))
-    total = F.sum("pairs")
-    per = rows.groupBy("genome", gene("pos_a").alias("gene"), "lag").agg(F.avg(F.col("sxy") / n - x * y).alias("cs"), (F.sum("sxy") / total - F.sum("sx") / total * (F.sum("sy") / total)).alias("ct"), F.covar_pop(x, y).alias("cr"), F.count(F.lit(1)).alias("m"))
-    per = per.where("m >= 2")
-    return per.groupBy("lag").agg(clean(F.avg("cs")).alias("cs"), clean(F.avg("ct")).alias("ct"), clean(F.avg("cr")).alias("cr"), clean(F.coalesce(variance(F.col("cr"), True), F.lit(0.0))).alias("var_cr"), F.count(F.lit(1)).alias("n"))
+    return _per_gene(spark, sf_dir).select("lag", F.col("mean_cs").alias("cs"), F.col("mean_ct").alias("ct"), F.col("mean_cr").alias("cr"), "var_cr", F.col("n_cr").alias("n"))
 
 
 @query(" SELECT pos_type, count(*) AS sites, count(DISTINCT genome) AS genomes FROM (SELECT DISTINCT genome, pos, " + TYPE.replace("/", "//") + " AS pos_type FROM long_bases) GROUP BY pos_type", "long_bases")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave.functions.stats import clean
+from lociwave.operators import genomes as G
 from lociwave.operators import sites as S
 from lociwave.operators.joins import band_join
 from lociwave.operators.order import numbered, runs
@@ -123,21 +124,21 @@ def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.hits(spark, path).select("q", "s", "pident", "evalue", "bitscore")
 
 
-@query("SELECT n_regionkey AS cluster_key, count(*) AS n FROM nation GROUP BY 1")
+@query("SELECT string_agg(concat(n_regionkey, ':', n_name), ',' ORDER BY concat(n_regionkey, ':', n_name)) AS members, count(*) AS n FROM nation GROUP BY n_regionkey")
 def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters written a line each and read again."""
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("cluster_id"), F.concat_ws(":", "n_regionkey", "n_name").alias("member"))
     path = folder(spark, "clusters")
     sinks.cluster_lines(rows, path)
     own = readers.clusters(spark, path)
-    return own.groupBy("cluster_id", F.split("member", ":")[0].cast("int").alias("cluster_key")).agg(F.count(F.lit(1)).alias("n")).select("cluster_key", "n")
+    return own.groupBy("cluster_id").agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"), F.count(F.lit(1)).alias("n")).drop("cluster_id")
 
 
-@query("SELECT s_nationkey AS genome, sum(length(s_name) + 1000)::BIGINT AS len FROM supplier GROUP BY 1")
+@query("SELECT s_nationkey AS genome, sum(length(s_name) + 1000)::BIGINT AS len, md5(string_agg(s_name || repeat('N', 1000), '' ORDER BY s_suppkey)) AS seq_md5 FROM supplier GROUP BY 1")
 def merged_scaffolds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaffolds of a genome as one sequence with gaps between."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("genome"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("seq"))
-    return sinks.merged_scaffolds(rows).select("genome", F.length("seq").cast("long").alias("len"))
+    return sinks.merged_scaffolds(rows).select("genome", F.length("seq").cast("long").alias("len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 @query(" SELECT r.lag, c.n FROM (SELECT range AS lag FROM range(0, 12)) r LEFT JOIN (SELECT y.pos - x.pos AS lag, count(*) AS n FROM (SELECT DISTINCT pos FROM bases) x JOIN (SELECT DISTINCT pos FROM bases) y ON y.pos >= x.pos AND y.pos - x.pos < 12 GROUP BY 1) c USING (lag)", "bases")
@@ -243,3 +244,16 @@ def concatenated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.format_string('{"Genome":"%s","Position":%d,"Pi":0.5,"Num":3,"Alleles":{"A":1}}', "n_name", "n_nationkey")), "").alias("value"))
     own = readers.diversity_json(spark, text_file(spark, "stream", rows.select("value")))
     return own.select(F.col("Genome").alias("genome"), F.col("Position").cast("long").alias("pos"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, r_name AS species FROM nation JOIN region ON r_regionkey = n_regionkey")
+def read_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy dump written and read again, and the species above each of its strains."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    nodes = nation.selectExpr("concat_ws('\t|\t', n_nationkey, 1000 + n_regionkey, 'strain') AS value").unionByName(region.selectExpr("concat_ws('\t|\t', 1000 + r_regionkey, 1, 'species') AS value"))
+    called = nation.selectExpr("n_nationkey AS id", "n_name AS name").union(region.selectExpr("1000 + r_regionkey", "r_name"))
+    names = called.withColumn("kind", F.explode(F.array(F.lit("scientific name"), F.lit("synonym")))).selectExpr("concat(concat_ws('\t|\t', id, if(kind = 'synonym', 'other', name), '', kind), '\t|') AS value")
+    taxa = readers.taxonomy(spark, text_file(spark, "nodes", nodes), text_file(spark, "taxa", names))
+    strains = taxa.where("rank = 'strain'").select("id", "name")
+    return strains.join(G.climbed(taxa, strains.select("id"), "species"), "id").select("id", "name", F.col("found").alias("species"))
+

@@ -122,11 +122,22 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.covered(codons(spark, sf_dir), F.lit(40), 5, 0.25).withColumn("share", clean(F.col("share")))
 
 
-@query(None)
+HASHED = "('0x' || substr(md5(read_id || ':1'), 1, 8))::BIGINT"
+
+
+@query(f" SELECT ref, count(*) AS n, sum(read_id)::BIGINT AS ids FROM reads WHERE {HASHED} < 0.25 * 4294967296 GROUP BY ref", "reads")
 def subsample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of reads, by hash (the sample is the feature)."""
     reads = view(spark, sf_dir, "reads")
-    return C.subsampled(reads, "read_id", F.lit(0.25)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+    return C.subsampled(reads, "read_id", F.lit(0.25)).groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.sum("read_id").cast("long").alias("ids"))
+
+
+@query(f", gn AS (SELECT pos % 20 AS gene_id, count(*) AS k, arg_min(len, read_id) AS first_len FROM reads GROUP BY 1) SELECT gene_id, count(*) AS n, sum(read_id)::BIGINT AS ids FROM reads JOIN gn ON gene_id = pos % 20 WHERE {HASHED} < floor((300 + gene_id) * 10 / first_len) / k * 4294967296 GROUP BY gene_id", "reads")
+def subsample_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of each gene sampled to a depth of ten (the sample is the feature)."""
+    reads = view(spark, sf_dir, "reads").withColumns({"gene_id": F.col("pos") % 20, "ord": F.col("read_id")})
+    rows = C.to_depth(reads, "gene_id", 300 + F.col("gene_id"), 10)
+    return rows.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("read_id").cast("long").alias("ids"))
 
 
 @query(" SELECT aln AS gene_id, row, count(*) AS codons, count(*) FILTER (NOT contains(codon, '-')) AS known FROM (SELECT aln, row, pos // 3 AS c, string_agg(base_a, '' ORDER BY pos) AS codon FROM aligned GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL", "aligned")

@@ -183,6 +183,14 @@ def table_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
+def taxonomy(spark: SparkSession, nodes: str, names: str) -> DataFrame:
+    """id, parent, rank, name of a taxonomy dump: columns stand between '|', the scientific names are taken."""
+    f = F.split("value", r"\s*\|\s*")
+    own = spark.read.text(nodes).select(F.trim(f[0]).cast("long").alias("id"), f[1].cast("long").alias("parent"), f[2].alias("rank"))
+    called = spark.read.text(names).where(f[3] == "scientific name").select(F.trim(f[0]).cast("long").alias("id"), f[1].alias("name"))
+    return own.join(called, "id", "left")
+
+
 def families(spark: SparkSession, path: str) -> DataFrame:
     """family_id, idx and a record's fields of an array of arrays; byte fields are base64. A missing file is an error, as for all readers."""
     text = spark.read.text(path, wholetext=True)
