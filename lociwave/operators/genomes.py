@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociwave.sources.scratch import written
+
 
 def best_hits(hits: DataFrame) -> DataFrame:
     """q, s: each query's first hit in file order."""
@@ -127,13 +128,13 @@ def clusters(edges: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """v, root: least member of each vertex's component, with checkpoints (local ones where no folder is set).
+    """v, root: least member of each vertex's component; every step is written to the shared folder and read again.
 
     Each round gives every vertex its least neighbour as parent, jumps by doubling
     up to the parents' roots and contracts the edges to these, until no edge is
     left. A round leaves half of the vertices at most.
     """
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    keep = lambda df: written(df, "connected")
     tidy = lambda e: keep(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     out = keep(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("root", F.col("v")))
     e = tidy(edges)
