@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,34 +95,35 @@ def expanded(genes: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.groupBy("genome", "gene_id").agg(F.max(F.when(F.col("end") == "left", F.col("at") - F.col("before") - 1)).alias("left"), F.max(F.when(F.col("end") == "right", F.col("after") - F.col("at"))).alias("right"))
 
 
-def mcl(edges: pd.DataFrame, inflation: float = 2.0, rounds: int = 100) -> list[list[str]]:
-    """Markov clusters of one component: expand, inflate, prune, until nothing moves."""
-    names = sorted(set(edges["a"]) | set(edges["b"]))
-    at = {x: i for i, x in enumerate(names)}
-    m = np.eye(len(names))
-    for a, b in zip(edges["a"], edges["b"], strict=True):
-        m[at[a], at[b]] = m[at[b], at[a]] = 1.0
-    m /= m.sum(0)
-    for _ in range(rounds):
-        new = np.linalg.matrix_power(m, 2) ** inflation
-        new[new < 1e-8] = 0
-        new /= new.sum(0)
-        if np.abs(new - m).max() < 1e-9:
-            break
-        m = new
-    owner = m.argmax(0)
-    return [[names[i] for i in np.flatnonzero(owner == o)] for o in sorted(set(owner))]
-
+def clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, least: float = 1e-8) -> DataFrame:
+    """cluster_id (its least member), member: Markov clusters of the edges (a, b): expand, inflate, prune, until nothing moves.
 
-def clusters(edges: DataFrame, component: DataFrame) -> DataFrame:
-    """cluster_id (its least member), member; MCL runs within each connected component (v, root)."""
-    rows = edges.join(component, F.col("a") == F.col("v")).select("root", "a", "b")
+    The matrices of all components are one table (r, c, v) of the values that are
+    not 0, so a step is a join and sums, however large a component is. What still
+    moves after ``rounds`` is an error.
+    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = [(c[0], x) for c in mcl(group) for x in c]
-        return pd.DataFrame(found, columns=["cluster_id", "member"])
+    def scaled(cells: DataFrame) -> DataFrame:
+        return written(cells.join(cells.groupBy("c").agg(F.sum("v").alias("all")), "c").select("r", "c", (F.col("v") / F.col("all")).alias("v")), "mcl")
 
-    return rows.groupBy("root").applyInPandas(run, "cluster_id string, member string")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    m = scaled(edges.select(F.explode(ends).alias("e")).select(F.col("e.a").alias("r"), F.col("e.b").alias("c"), F.lit(1.0).alias("v")).distinct())
+    for _ in range(rounds):
+        steps = m.select("r", F.col("c").alias("k"), F.col("v").alias("first")).join(m.select(F.col("r").alias("k"), "c", F.col("v").alias("second")), "k")
+        grown = steps.groupBy("r", "c").agg(F.pow(F.sum(F.col("first") * F.col("second")), F.lit(inflation)).alias("v"))
+        new = scaled(written(grown.where(F.col("v") >= least), "mcl"))
+        both = new.select("r", "c", F.col("v").alias("now")).join(m, ["r", "c"], "full")
+        moved = both.agg(F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("d")).first()["d"]
+        m = new
+        if moved is None or moved < 1e-9:
+            break
+    else:
+        raise ValueError(f"clusters still move after {rounds} rounds")
+    # Equal values differ by rounding only; the least row of them owns the column.
+    best = m.join(m.groupBy("c").agg(F.max("v").alias("most")), "c").where(F.col("v") >= F.col("most") * (1 - 1e-6))
+    owner = written(best.groupBy("c").agg(F.min("r").alias("owner")), "mcl")
+    named = owner.groupBy("owner").agg(F.min("c").alias("cluster_id"))
+    return owner.join(named, "owner").select("cluster_id", F.col("c").alias("member"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociwave.sources.scratch import written
@@ -42,3 +42,31 @@ def runs(rows: DataFrame, order: str, key: str) -> DataFrame:
     bins = ends.select("run", "next", F.explode(F.sequence(F.floor(F.col("run") / size), F.floor((F.col("next") - 1) / size))).alias("bin"))
     met = placed.withColumn("bin", F.floor(F.col("at") / size)).join(bins, "bin").where("at >= run and at < next")
     return met.select(*[f"`{c}`" for c in rows.columns], "run")
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, lags: dict[str, str] | None = None, count: str | None = None) -> DataFrame:
+    """The rows (written) with running sums and maxima up to each row, columns of the row before it, and the number of its group's rows.
+
+    Rows are range-partitioned by group and order, so a group of any size is
+    spread over tasks. A window covers what a group has in one range; what its
+    ranges before hold, a row for each of them, is added.
+    """
+    sums, tops, lags = sums or {}, tops or {}, lags or {}
+    placed = written(rows.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy(*group, "__part").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = {f"__own_{k}": F.sum(v).over(upto) for k, v in sums.items()} | {f"__own_{k}": F.max(v).over(upto) for k, v in tops.items()}
+    own |= {f"__own_{k}": F.lag(v).over(inside) for k, v in lags.items()} | ({"__first": F.row_number().over(inside) == 1} if lags else {})
+    parts = [F.sum(v).alias(k) for k, v in sums.items()] + [F.max(v).alias(k) for k, v in tops.items()]
+    parts += [F.max(F.struct(*order, F.col(v).alias("__value"))).alias(k) for k, v in lags.items()]
+    per = placed.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__rows"), *parts)
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(k).over(before).alias(k) for k in sums] + [F.max(k).over(before).alias(k) for k in [*tops, *lags]]
+    all_rows = [F.sum("__rows").over(Window.partitionBy(*group)).alias(count)] if count else []
+    keys = [*group, "__part"]
+    per = per.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)], *carried, *all_rows)
+    met = placed.withColumns(own).join(per, [F.col(c).eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(keys)])
+    made = [(F.coalesce(f"__own_{k}", F.lit(0)) + F.coalesce(k, F.lit(0))).alias(k) for k in sums]
+    made += [F.greatest(f"__own_{k}", k).alias(k) for k in tops]
+    made += [F.when(F.col("__first"), F.col(f"{k}.__value")).otherwise(F.col(f"__own_{k}")).alias(k) for k in lags]
+    return met.select(*[f"`{c}`" for c in rows.columns], *made, *([count] if count else []))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociwave.operators.joins import interval_join
+from lociwave.operators.order import running
+from lociwave.sources.scratch import written
 
 
 def released(reads: DataFrame, group: list[str]) -> DataFrame:
@@ -15,15 +17,13 @@ def released(reads: DataFrame, group: list[str]) -> DataFrame:
     and nothing leaves at the end: with f_k the first later read that starts
     beyond head k, head k leaves iff max(f_j - j, j <= k) + k is below the count.
     """
-    w = Window.partitionBy(*group).orderBy("pos", "read_id")
-    rows = reads.withColumns({"k": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*group)), "stop": F.col("pos") + F.col("len")})
+    rows = running(reads.withColumn("stop", F.col("pos") + F.col("len")), group, ["pos", "read_id"], sums={"k": F.lit(1)}, count="n")
+    rows = written(rows.withColumn("k", F.col("k") - 1), "queue")
     # f_k: reads that start at or before the head's end come first in the order, so it is their count.
-    both = rows.select(*group, F.col("stop").alias("at"), F.lit(1).alias("ask"), "k").unionByName(rows.select(*group, F.col("pos").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("int").alias("k")))
-    order = Window.partitionBy(*group).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    first = both.withColumn("f", F.sum(1 - F.col("ask")).over(order)).where("ask = 1").select(*group, "k", "f")
-    rows = rows.join(first, [*group, "k"])
-    reach = F.max(F.col("f") - F.col("k")).over(Window.partitionBy(*group).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("reach", reach).where(F.col("reach") + F.col("k") < F.col("n")).drop("reach", "f", "stop", "n")
+    both = rows.select(*group, F.col("stop").alias("at"), F.lit(1).alias("ask"), "k").unionByName(rows.select(*group, F.col("pos").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("k")))
+    first = running(both, group, ["at", "ask"], sums={"f": 1 - F.col("ask")}).where("ask = 1").select(*group, "k", "f")
+    rows = running(rows.join(first, [*group, "k"]), group, ["k"], tops={"reach": F.col("f") - F.col("k")})
+    return rows.where(F.col("reach") + F.col("k") < F.col("n")).drop("reach", "f", "stop", "n")
 
 
 def overlapping(heads: DataFrame, reads: DataFrame, group: list[str], width: int) -> DataFrame:

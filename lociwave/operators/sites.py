@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociwave.functions.stats import clean, covariance, diversity, variance
 from lociwave.operators.joins import band_join
+from lociwave.operators.order import running
 
 
 def allele_counts(bases: DataFrame, keys: list[str], base: str = "base", upper: bool = True) -> DataFrame:
@@ -42,8 +43,7 @@ def chunked(sites: DataFrame, group: list[str], order: str, nominal: int, drop_r
     ``nominal`` are one row a chunk, after an empty one; with it rows beyond
     ``nominal`` chunks are dropped.
     """
-    w = Window.partitionBy(*group)
-    rows = sites.withColumns({"__size": F.floor(F.count(F.lit(1)).over(w) / nominal), "__rn": F.row_number().over(w.orderBy(order))})
+    rows = running(sites, group, [order], sums={"__rn": F.lit(1)}, count="__size").withColumn("__size", F.floor(F.col("__size") / nominal))
     chunk = F.when(F.col("__size") > 0, F.floor(F.try_divide(F.col("__rn") - 1, F.col("__size")))).otherwise(F.col("__rn")).cast("long")
     rows = rows.withColumn("chunk", chunk)
     if drop_rest:
@@ -63,10 +63,10 @@ def gene_runs(sites: DataFrame, group: list[str], order: str = "pos", gene: str
     The tracker starts at '' and is set only when a run ends, so the first site is
     a run of its own unless the second has no gene.
     """
-    w = Window.partitionBy(*group).orderBy(order)
-    n, before = F.row_number().over(w), F.lag(gene).over(w)
-    starts = (n == 1) | (F.col(gene) != F.when(n == 2, F.lit("")).otherwise(before))
-    return sites.withColumn("__starts", starts.cast("int")).withColumn("run", F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
+    rows = running(sites, group, [order], sums={"__n": F.lit(1)}, lags={"__before": gene})
+    starts = (F.col("__n") == 1) | (F.col(gene) != F.when(F.col("__n") == 2, F.lit("")).otherwise(F.col("__before")))
+    rows = rows.withColumn("__starts", starts.cast("int")).drop("__n", "__before")
+    return running(rows, group, [order], sums={"run": F.col("__starts")}).drop("__starts")
 
 
 def deduplicated_reads(bases: DataFrame, keys: list[str], least: int = 13) -> DataFrame:

@@ -84,10 +84,10 @@ def strain_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def mcl_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markov clusters of the reciprocal hits, per connected component."""
+    """Markov clusters of the reciprocal hits."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     hits = view(spark, sf_dir, "hits").where("score >= 120").select(name("p", "p").alias("a"), name("s", "s").alias("b"))
-    return G.clusters(hits, G.connected(hits))
+    return G.clusters(hits)
 
 
 @query(", md AS (SELECT *, floor(quantile_cont(len, 0.5) OVER (PARTITION BY family_id)) AS median FROM members), kp AS (SELECT *, abs(len - median) / median <= 0.1 AS keep FROM md), wh AS (SELECT *, count(*) OVER (PARTITION BY family_id) >= 3 AND bool_and(keep) OVER (PARTITION BY family_id) AS whole FROM kp) SELECT id, line, family_id, len, median::BIGINT AS median, keep, whole FROM wh", "members")

@@ -10,6 +10,7 @@ from lociwave.functions import sequence as Q
 from lociwave.functions.stats import diversity
 from lociwave.operators import codons, fit, genomes, reads, sites
 from lociwave.operators.joins import band_join, interval_join
+from lociwave.operators.order import running
 from lociwave.sources import config, readers
 
 # The nine points of the hyperbolic curve with known parameters.
@@ -128,10 +129,45 @@ def test_outliers(spark):
 
 def test_mcl_splits_two_triangles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("p", "q")], "a string, b string")
-    got = genomes.clusters(edges, genomes.connected(edges)).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
+    got = genomes.clusters(edges).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
     assert sorted(r.m for r in got) == [["a", "b", "c"], ["p", "q"], ["x", "y", "z"]]
 
 
+def test_mcl_is_that_of_dense_matrices(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(f"n{10 * g + int(a):02}", f"n{10 * g + int(b):02}") for g in range(3) for a, b in rng.integers(0, 10, (14, 2))} | {("n03", "n14"), ("n29", "n29")})
+    names = sorted({x for p in pairs for x in p})
+    m = np.eye(len(names))
+    for a, b in pairs:
+        m[names.index(a), names.index(b)] = m[names.index(b), names.index(a)] = 1
+    m /= m.sum(0)
+    for _ in range(60):
+        m = (m @ m) ** 2
+        m[m < 1e-8] = 0
+        m /= m.sum(0)
+    owner = (m >= m.max(0) * (1 - 1e-6)).argmax(0)
+    wanted = sorted([names[i] for i in np.flatnonzero(owner == o)] for o in set(owner))
+    got = genomes.clusters(spark.createDataFrame(pairs, "a string, b string")).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
+    assert sorted(r.m for r in got) == wanted and all(r.cluster_id == r.m[0] for r in got) and len(wanted) > 3
+    assert genomes.clusters(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_running_passes_over_ranges(spark):
+    rng = random.Random(3)
+    data = [(g, i, rng.randrange(100), f"x{rng.randrange(3)}") for g, n in (("a", 400), ("b", 1), (None, 30)) for i in range(n)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "g string, i int, x int, name string").repartition(5)
+    got = running(df, ["g"], ["i"], sums={"s": F.col("x")}, tops={"t": F.col("x")}, lags={"before": "name"}, count="n").collect()
+    wanted = []
+    for g in ("a", "b", None):
+        own = sorted(r for r in data if r[0] == g) if g else sorted((r for r in data if r[0] is None), key=lambda r: r[1])
+        for k, r in enumerate(own):
+            upto = [y[2] for y in own[: k + 1]]
+            wanted.append((*r, sum(upto), max(upto), own[k - 1][3] if k else None, len(own)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    assert running(df.where("false"), ["g"], ["i"], sums={"s": F.col("x")}, count="n").count() == 0
+
+
 def test_pileup_indels(spark):
     df = spark.createDataFrame([(".+12AAAAAAAAAAAA,T", "G"), ("^+.A$", "G"), (None, "G")], "b string, r string")
     assert [r[0] for r in df.select(Q.pileup_letters(F.col("b"), F.col("r"))).collect()] == ["GAGT", "GA", None]
