@@ -26,3 +26,22 @@ def duck(data=DATA):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     return con
+
+
+def mcl(edges, inflation=2.0, rounds=100):
+    """Markov clusters of one component by dense matrices; of values equal but for rounding the least row owns a column."""
+    names = sorted(set(edges["a"]) | set(edges["b"]))
+    at = {x: i for i, x in enumerate(names)}
+    m = np.eye(len(names))
+    for a, b in zip(edges["a"], edges["b"], strict=True):
+        m[at[a], at[b]] = m[at[b], at[a]] = 1.0
+    m /= m.sum(0)
+    for _ in range(rounds):
+        new = (m @ m) ** inflation
+        new[new < 1e-8] = 0
+        new /= new.sum(0)
+        if np.abs(new - m).max() < 1e-9:
+            break
+        m = new
+    owner = (m >= m.max(0) * (1 - 1e-6)).argmax(0)
+    return [[names[i] for i in np.flatnonzero(owner == o)] for o in sorted(set(owner))]

@@ -65,7 +65,7 @@ def test_read_sam_reads_every_line(spark):
 
 
 def test_mcl_clusters_holds_every_edge(spark):
-    from lociwave.operators.genomes import mcl
+    from compare import mcl
 
     edges = whole("hits", " SELECT 'p' || p AS a, 's' || s AS b FROM hits WHERE score >= 120 ORDER BY a, b")
     up = {x: x for x in [*edges.a, *edges.b]}
