@@ -146,3 +146,41 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 def op12_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn towards the texts of the benchmark."""
     return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")).withColumnRenamed("id", "doc_id")
+
+
+#: crc32 is linear: a feature's is the exclusive or of what each byte gives by its distance from the end, and of what the length gives.
+OP12_SQL = r"""
+WITH RECURSIVE
+docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+items AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+own AS (SELECT r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM docs),
+wanted AS (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM items),
+texts AS (SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS n FROM (SELECT f FROM own UNION SELECT f FROM wanted)),
+bits(b, s, v) AS (
+  SELECT range, 0::BIGINT, CASE WHEN range = 256 THEN 4294967295 ELSE range END FROM range(257)
+  UNION ALL SELECT b, s + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bits WHERE s < 8 * (SELECT max(n) FROM texts)),
+given AS (SELECT b, s // 8 AS d, v FROM bits WHERE s % 8 = 0),
+letters AS (SELECT f, n, h, unnest(range(n)) AS i FROM texts),
+bytes AS (SELECT f, n, n - i AS d, 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS b FROM letters),
+parts AS (SELECT f, n, bit_xor(v) AS v FROM bytes JOIN given USING (b, d) GROUP BY f, n),
+buckets AS (SELECT f, xor(xor(p.v, g.v), 4294967295) % 10000 AS bucket FROM parts p JOIN given g ON g.b = 256 AND g.d = p.n),
+held AS (SELECT r, bucket FROM own JOIN buckets USING (f)),
+source AS (SELECT bucket, count(*) AS s FROM held GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM held) AS ss, (SELECT count(*) FROM wanted) AS tt),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS g
+  FROM source LEFT JOIN target USING (bucket), totals),
+weights AS (SELECT r, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS w FROM held JOIN gain USING (bucket) GROUP BY r),
+noise AS (
+  SELECT r, doc_id, len(ws) >= 20 AS fit,
+    list_sum(list_transform(range(8), lambda i: (strpos('0123456789abcdef', substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), i + 1, 1)) - 1) * (1::BIGINT << (4 * (7 - i)))))::BIGINT AS h
+  FROM docs),
+scored AS (
+  SELECT doc_id, fit, coalesce(n, 0)::BIGINT AS n_features, coalesce(w, 0)::BIGINT AS weight, (coalesce(w, 0) + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+  FROM noise LEFT JOIN weights USING (r)),
+placed AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM scored WHERE fit) THEN place END::BIGINT AS rank FROM placed
+"""

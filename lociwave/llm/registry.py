@@ -23,4 +23,5 @@ ORACLES = {
     "op8_exact_topk": topk.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_impact_search": lexical.OP11_SQL,
+    "op12_crc_importance": importance.OP12_SQL,
 }
