@@ -75,6 +75,38 @@ def in_genes(reads: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     return interval_join(r, g, ["ref"], width).select("ref", F.col("read_id_a").alias("read_id"), F.col("gene_id_b").alias("gene_id"), F.greatest("start_a", "start_b").alias("start"), F.least("end_a", "end_b").alias("end"))
 
 
+def swept(reads: DataFrame, genes: DataFrame, width: int, compat: bool = True) -> DataFrame:
+    """ref, gene_id, read_id: reads (ref, read_id, pos 0-based, end) in genes (ref, gene_id, gene_start 1-based, gene_end), by a sweep over the places of a reference.
+
+    Without ``compat`` these are the pairs of ``in_genes``. With it a read counts
+    for a gene from the letter before the gene on, and two kinds of pairs are
+    lost. After each read the sweep drops the genes (in the order of their starts)
+    before the last one that ended before that read, also those that still go on:
+    a read meets only genes from the one on that the read before it left first.
+    And what is not dropped by the end of a reference is given out only for the
+    last of the references that have genes.
+
+    The first gene left is a running maximum over gene ends and reads in the order
+    of places, carried from range to range: no reference is held by one task.
+    """
+    shifted = genes if not compat else genes.withColumn("gene_start", F.col("gene_start") - 1)
+    pairs = in_genes(reads, shifted, width).select("ref", "gene_id", "read_id")
+    if not compat:
+        return pairs
+    numbers = running(genes.select("ref", "gene_id", "gene_start", "gene_end"), ["ref"], ["gene_start", "gene_id"], sums={"i": F.lit(1)}).withColumn("i", (F.col("i") - 1).cast("long"))
+    numbers = written(numbers, "sweep")
+    of_genes = numbers.select("ref", F.col("gene_end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("read_id"), "i")
+    of_reads = reads.select("ref", F.col("pos").alias("at"), F.lit(0).alias("kind"), F.col("read_id").cast("long").alias("read_id"), F.lit(None).cast("long").alias("i"))
+    # A gene counts as ended for reads beyond its end only, so it comes behind the reads there.
+    after = running(of_genes.unionByName(of_reads), ["ref"], ["at", "kind", "read_id"], tops={"ended": F.col("i")}).where("kind = 0")
+    before = running(after.select("ref", "at", "read_id", "ended"), ["ref"], ["at", "read_id"], lags={"left": "ended"})
+    before = written(before.select("ref", "read_id", F.coalesce("left", F.lit(0)).alias("left"), "ended"), "sweep")
+    last = numbers.select("ref").distinct().join(before.groupBy("ref").agg(F.coalesce(F.max("ended"), F.lit(0)).alias("final")), "ref")
+    last = last.join(F.broadcast(last.agg(F.max("ref").alias("last"))))
+    met = pairs.join(before.select("ref", "read_id", "left"), ["ref", "read_id"]).join(numbers.select("ref", "gene_id", "i"), ["ref", "gene_id"]).where("i >= left")
+    return met.join(last, "ref").where("i < final or ref = last").select("ref", "gene_id", "read_id")
+
+
 def flushed(bases: DataFrame, group: list[str], read_pos: Column, lateness: int = 100, compat: bool = True) -> DataFrame:
     """Positions that a pileup with bounded lateness emits: those more than ``lateness`` before the last read's start."""
     last = bases.groupBy(*group).agg(F.max(read_pos).alias("__last"))

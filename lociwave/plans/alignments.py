@@ -114,6 +114,26 @@ def read_gene_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("gene_id").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
 
 
+# The sweep read by read: b is the first gene that is left.
+SWEEP = "rr AS (SELECT ref, read_id, pos, length(seq) AS len, row_number() OVER (PARTITION BY ref ORDER BY pos, read_id) AS k FROM seq_reads), gg AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY gene_start, gene_id) - 1 AS i FROM sweep_genes), st(ref, k, b) AS (SELECT DISTINCT ref, 0::BIGINT, 0::BIGINT FROM gg UNION ALL SELECT s.ref, s.k + 1, greatest(s.b, coalesce(max(g.i), 0)) FROM st s JOIN rr r ON r.ref = s.ref AND r.k = s.k + 1 LEFT JOIN gg g ON g.ref = s.ref AND g.i >= s.b AND g.gene_end < r.pos AND g.gene_start - 1 <= r.pos + r.len GROUP BY s.ref, s.k, s.b), met AS (SELECT gg.ref, gg.i, gene_id, read_id FROM rr JOIN st ON st.ref = rr.ref AND st.k = rr.k - 1 JOIN gg ON gg.ref = rr.ref AND gg.i >= st.b AND least(pos + len, gene_end) > CASE WHEN pos > gene_start - 1 THEN pos ELSE gene_start - 2 END), fin AS (SELECT ref, max(b) AS b FROM st GROUP BY ref)"
+
+
+@query(f", {SWEEP} SELECT met.ref, gene_id, count(*) AS reads, sum(read_id)::BIGINT AS ids FROM met JOIN fin USING (ref) WHERE i < b OR met.ref = (SELECT max(ref) FROM fin) GROUP BY met.ref, gene_id", "seq_reads sweep_genes")
+def gene_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of each gene as a sweep finds them, with what it loses of long genes and at the end of a reference."""
+    reads = view(spark, sf_dir, "seq_reads").select("ref", "read_id", "pos", (F.col("pos") + F.length("seq")).alias("end"))
+    rows = R.swept(reads, view(spark, sf_dir, "sweep_genes"), 128)
+    return rows.groupBy("ref", "gene_id").agg(F.count(F.lit(1)).alias("reads"), F.sum("read_id").cast("long").alias("ids"))
+
+
+@query(" SELECT ref, gene_id, count(*) AS reads, sum(read_id)::BIGINT AS ids FROM seq_reads JOIN sweep_genes USING (ref) WHERE pos < gene_end AND gene_start - 1 < pos + length(seq) GROUP BY ref, gene_id", "seq_reads sweep_genes")
+def gene_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without losses."""
+    reads = view(spark, sf_dir, "seq_reads").select("ref", "read_id", "pos", (F.col("pos") + F.length("seq")).alias("end"))
+    rows = R.swept(reads, view(spark, sf_dir, "sweep_genes"), 128, compat=False)
+    return rows.groupBy("ref", "gene_id").agg(F.count(F.lit(1)).alias("reads"), F.sum("read_id").cast("long").alias("ids"))
+
+
 @query(" SELECT pos // 100 AS bucket, count(*) AS n, min(pos) AS first_pos FROM reads WHERE pos >= 300 AND mapq >= 30 AND len >= 60 GROUP BY 1", "reads")
 def read_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of enough quality and length from a position on."""

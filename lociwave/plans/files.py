@@ -11,7 +11,7 @@ from lociwave.operators import sites as S
 from lociwave.operators.joins import band_join
 from lociwave.operators.order import numbered, runs
 from lociwave.plans.registry import query
-from lociwave.sources import readers, sinks
+from lociwave.sources import bam, readers, sinks
 from lociwave.sources.scratch import scratch_path
 from lociwave.sources.views import view
 
@@ -42,14 +42,27 @@ def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS read_id, l_partkey::INT AS pos, (l_linenumber * 10)::INT AS mapq, 'M' AS op, 4 AS len, 'ACGT' AS seq, 40 AS first_qual FROM lineitem")
 def read_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments of SAM text."""
+    """Alignments of SAM text, told by the path's ending."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat_ws('\t', l_orderkey, '99', 'chr', l_partkey + 1, l_linenumber * 10, '4M', '=', l_partkey + 1, '0', 'ACGT', 'IIII') AS value")
     path = folder(spark, "sam")
     rows.write.text(path)
-    own = readers.sam(spark, path)
+    own = readers.alignments(spark, path)
     return own.select(F.col("read_id").cast("long").alias("read_id"), "pos", "mapq", own["cigar"][0]["op"].alias("op"), own["cigar"][0]["len"].alias("len"), "seq", own["qual"][0].alias("first_qual"))
 
 
+@query(" SELECT read_id, ref, pos, mapq, seq, quals, length(seq)::INT AS matched, CAST(NULL AS VARCHAR) AS mate FROM seq_reads", "seq_reads")
+def read_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as BAM, a file a task, and read again in splits of a few blocks, told by the path's ending."""
+    phred = F.transform(F.sequence(F.lit(1), F.length("quals")), lambda i: F.ascii(F.substr(F.col("quals"), i, F.lit(1))) - 33)
+    one = F.array(F.struct(F.lit("M").alias("op"), F.length("seq").alias("len")))
+    rows = view(spark, sf_dir, "seq_reads").select(F.col("read_id").cast("string").alias("read_id"), F.lit(0).alias("flags"), "ref", "pos", "mapq", one.alias("cigar"), F.lit("*").alias("mate_ref"), F.lit(-1).alias("mate_pos"), "seq", phred.alias("qual"))
+    path = f"{folder(spark, 'alignments')}.bam"
+    bam.write(rows, path)
+    own = readers.alignments(spark, path, 1 << 17)
+    quals = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
+    return own.select(F.col("read_id").cast("long").alias("read_id"), "ref", F.col("pos").cast("long").alias("pos"), "mapq", "seq", quals.alias("quals"), own["cigar"][0]["len"].alias("matched"), F.when(F.col("mate_ref") != "*", F.col("mate_ref")).alias("mate"))
+
+
 @query("SELECT s_suppkey AS id, s_suppkey * 15 AS start, s_suppkey * 15 + 12 AS \"end\", CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM supplier WHERE s_suppkey % 3 <> 0")
 def read_gff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CDS rows."""

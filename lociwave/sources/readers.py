@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import gzip
 import io
-import struct
 import tarfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave.functions.sequence import pileup_letters
+from lociwave.sources.bam import BamSource
+from lociwave.sources.files import RANGE_BYTES
 
 PI_SCHEMA = "Genome string, Position int, Pi double, Num int, Alleles map<string,int>"
 CORR_SCHEMA = "GeneID string, Results array<struct<Lag:int,Value:double,Count:bigint,Type:string,Variance:double>>, ReadNum int, GeneLen int"
@@ -62,58 +61,15 @@ def sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select(f[0].alias("read_id"), f[1].cast("int").alias("flags"), f[2].alias("ref"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), cigar_of(f[5]).alias("cigar"), F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mate_ref"), (f[7].cast("int") - 1).alias("mate_pos"), f[9].alias("seq"), F.when(f[10] == "*", F.array().cast("array<int>")).otherwise(at).alias("qual"), "ord")
 
 
-# The format's codes for operations and letters.
-BAM_OPS, BAM_LETTERS = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-
-
-def bam_records(file: io.RawIOBase) -> Iterator[dict]:
-    """Alignments of one BAM file, whose blocks are gzip members; it is read once and never held whole."""
-    raw = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20)
-    take = lambda form: struct.unpack(form, raw.read(struct.calcsize(form)))
-    if raw.read(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    raw.read(take("<i")[0])
-    refs = []
-    for _ in range(take("<i")[0]):
-        refs.append(raw.read(take("<i")[0])[:-1].decode())
-        take("<i")
-    ord_ = 0
-    while head := raw.read(4):
-        body = raw.read(struct.unpack("<i", head)[0])
-        ref, pos, size, mapq, _, ops, flags, length, mate, mate_pos, _ = struct.unpack("<iiBBHHHiiii", body[:32])
-        at = 32 + size
-        words = struct.unpack(f"<{ops}I", body[at : at + 4 * ops])
-        packed = body[at + 4 * ops : at + 4 * ops + (length + 1) // 2]
-        letters = "".join(BAM_LETTERS[b >> 4] + BAM_LETTERS[b & 15] for b in packed)[:length]
-        qual = body[at + 4 * ops + len(packed) :][:length]
-        yield {"read_id": body[32 : at - 1].decode(), "flags": flags, "ref": refs[ref] if ref >= 0 else "*", "pos": pos, "mapq": mapq, "cigar": [{"op": BAM_OPS[w & 15], "len": w >> 4} for w in words], "mate_ref": refs[mate] if mate >= 0 else "*", "mate_pos": mate_pos, "seq": letters or "*", "qual": [] if qual[:1] == b"\xff" else list(qual), "ord": ord_}
-        ord_ += 1
-
-
-def bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of BAM files, a task a file, which is streamed whatever its size."""
-    schema = "read_id string, flags int, ref string, pos int, mapq int, cigar array<struct<op:string,len:int>>, mate_ref string, mate_pos int, seq string, qual array<int>, ord bigint"
-    kind = pa.schema([("read_id", pa.string()), ("flags", pa.int32()), ("ref", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("mate_ref", pa.string()), ("mate_pos", pa.int32()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("ord", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column("path").to_pylist():
-                system, own = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
-                held = []
-                with system.open_input_stream(own, compression=None) as file:
-                    for row in bam_records(file):
-                        held.append(row)
-                        if len(held) == 2000:
-                            yield pa.RecordBatch.from_pylist(held, kind)
-                            held = []
-                yield pa.RecordBatch.from_pylist(held, kind)
-
-    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, schema)
+def bam(spark: SparkSession, path: str, split_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Alignments of BAM files in splits of about ``split_bytes`` (0: a task a file); ord is a record's place in its file."""
+    spark.dataSource.register(BamSource)
+    return spark.read.format("lociwave_bam").option("splitBytes", split_bytes).load(path)
 
 
-def alignments(spark: SparkSession, path: str) -> DataFrame:
+def alignments(spark: SparkSession, path: str, split_bytes: int = RANGE_BYTES) -> DataFrame:
     """BAM if the path ends in 'bam', else SAM."""
-    return (bam(spark, path) if path.endswith("bam") else sam(spark, path)).select(*ALIGNMENT)
+    return (bam(spark, path, split_bytes) if path.endswith("bam") else sam(spark, path)).select(*ALIGNMENT)
 
 
 def gff(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -39,6 +39,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         "supplier",
         "SELECT CAST('r' AS STRING) AS ref, CAST(s_suppkey AS BIGINT) AS gene_id, CAST(s_suppkey * 15 AS BIGINT) AS gene_start, CAST(s_suppkey * 15 + 12 AS BIGINT) AS gene_end, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {table}",
     ),
+    # Long genes with short ones inside, over the references and the axis of seq_reads.
+    "sweep_genes": (
+        "supplier",
+        "SELECT CAST(s_suppkey % 5 + 1 AS STRING) AS ref, CAST(s_suppkey * 10 + k AS BIGINT) AS gene_id, CAST(s_suppkey * 1800 + k * 40 AS BIGINT) AS gene_start, CAST(s_suppkey * 1800 + k * 40 + CASE WHEN k = 0 THEN 2500 ELSE 60 END AS BIGINT) AS gene_end FROM {table} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)",
+    ),
     "hits": (
         "lineitem",
         "SELECT CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s, sum(l_quantity) AS score FROM {table} GROUP BY 1, 2",

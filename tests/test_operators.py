@@ -11,7 +11,7 @@ from lociwave.functions.stats import diversity
 from lociwave.operators import codons, fit, genomes, reads, sites
 from lociwave.operators.joins import band_join, interval_join
 from lociwave.operators.order import running
-from lociwave.sources import config, readers
+from lociwave.sources import bam, config, readers
 
 # The nine points of the hyperbolic curve with known parameters.
 HYPERBOLIC = (0.01560084, 0.01392907, 0.01301867, 0.01249557, 0.01190561, 0.01131878, 0.01091478, 0.01073981, 0.01043296)
@@ -187,8 +187,8 @@ def bam_bytes():
 
     seq, cigar = "ACGTN", [(5, "M")]
     name = b"r1\0"
-    packed = bytes(readers.BAM_LETTERS.index(a) << 4 | readers.BAM_LETTERS.index(b) for a, b in zip(seq[::2], (seq + "=")[1::2], strict=True))
-    body = struct.pack("<iiBBHHHiiii", 0, 7, len(name), 30, 0, len(cigar), 99, len(seq), 0, 9, 0) + name + b"".join(struct.pack("<I", n << 4 | readers.BAM_OPS.index(op)) for n, op in cigar) + packed + bytes([40] * len(seq))
+    packed = bytes(bam.LETTERS.index(a) << 4 | bam.LETTERS.index(b) for a, b in zip(seq[::2], (seq + "=")[1::2], strict=True))
+    body = struct.pack("<iiBBHHHiiii", 0, 7, len(name), 30, 0, len(cigar), 99, len(seq), 0, 9, 0) + name + b"".join(struct.pack("<I", n << 4 | bam.OPERATIONS.index(op)) for n, op in cigar) + packed + bytes([40] * len(seq))
     data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 4) + b"chr\0" + struct.pack("<i", 100)
     data += struct.pack("<i", len(body)) + body
     return gzip.compress(data[:20]) + gzip.compress(data[20:])
