@@ -9,8 +9,9 @@ from lociwave.functions.stats import clean, variance
 from lociwave.operators import reads as R
 from lociwave.operators import substitutions as X
 from lociwave.operators.joins import interval_join
-from lociwave.operators.order import numbered
 from lociwave.plans.registry import query
+from lociwave.sources import reference
+from lociwave.sources.scratch import written
 from lociwave.sources.views import view
 
 GOOD = "good AS (SELECT * FROM reads WHERE mapq > 20 AND mapq < 51)"
@@ -134,6 +135,23 @@ def gene_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("ref", "gene_id").agg(F.count(F.lit(1)).alias("reads"), F.sum("read_id").cast("long").alias("ids"))
 
 
+SPANS = "sp AS (SELECT o_orderkey AS read_id, o_custkey % 200 AS acc, (o_orderkey * 7 + 3) % 1009 AS s, 20 + o_orderkey % 60 AS n FROM orders)"
+
+
+@query(f", {SPANS}, pr AS (SELECT id, seq, coalesce((SELECT string_agg(i % 3 + 1, '' ORDER BY i) FROM range(length(seq)) AS r(i)), '') AS prof FROM sequences WHERE id < 200) SELECT read_id, substr(seq, s + 1, n) AS nucl, substr(prof, s + 1, n) AS profile FROM sp JOIN pr ON id = acc WHERE s + n <= length(seq)", "sequences")
+def reference_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and profile under reads that end within their reference, from a store in blocks of 64 letters."""
+    size = 64
+    own = view(spark, sf_dir, "sequences").select(F.col("id").alias("accession"), "seq")
+    store = written(reference.stored(own, size), "reference")
+    kinds = own.select("accession", F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0))), lambda i: (i % 3 + 1).cast("string")), "").alias("seq"))
+    profile = reference.stored(kinds, size)
+    spans = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS read_id", "o_custkey % 200 AS accession", "(o_orderkey * 7 + 3) % 1009 AS start", "(o_orderkey * 7 + 3) % 1009 + 20 + o_orderkey % 60 AS end")
+    spans = spans.join(reference.lengths(store, size), "accession").where("end <= length")
+    nucl = reference.sliced(store, spans, "read_id", size).withColumnRenamed("text", "nucl")
+    return nucl.join(reference.sliced(profile, spans, "read_id", size).withColumnRenamed("text", "profile"), "read_id")
+
+
 @query(" SELECT pos // 100 AS bucket, count(*) AS n, min(pos) AS first_pos FROM reads WHERE pos >= 300 AND mapq >= 30 AND len >= 60 GROUP BY 1", "reads")
 def read_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of enough quality and length from a position on."""
@@ -212,12 +230,31 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("boot").agg(F.sum("m").alias("m"), clean(F.sum("s") / F.sum("m")).alias("ks"), F.count_distinct("idx").alias("drawn"), F.count(F.lit(1)).alias("draws"))
 
 
-@query(None)
+DRAWN = "dr AS (SELECT boot::INT AS boot, list_sum(list_transform(range(12), lambda i: (strpos('0123456789abcdef', substr(md5(concat(boot, ':', draw, ':1')), i + 1, 1)) - 1) * (1::BIGINT << (4 * (11 - i)))))::BIGINT % (SELECT count(DISTINCT aln) FROM subs) AS idx FROM range(20) AS b(boot), (SELECT range AS draw FROM range((SELECT count(DISTINCT aln) FROM subs))))"
+PLACED = "pl AS (SELECT aln, row_number() OVER (ORDER BY aln) - 1 AS idx FROM (SELECT DISTINCT aln FROM subs))"
+# Sums of each alignment by kind and lag, as each kind's own statement makes its values.
+STATES = (
+    "sz AS (SELECT aln, count(DISTINCT row) AS rows, min(row) AS lead FROM subs GROUP BY aln HAVING count(DISTINCT row) >= 4), ok AS (SELECT s.aln, s.pos FROM subs s JOIN sz USING (aln) GROUP BY s.aln, s.pos HAVING count(s.x) = max(sz.rows) AND count(s.x) FILTER (s.row = sz.lead) = 1),"
+    " cs AS (SELECT aln, lag, covar_pop(xa, xb) AS c FROM b2 SEMI JOIN ok o ON o.aln = b2.aln AND o.pos = b2.pos_a SEMI JOIN ok p ON p.aln = b2.aln AND p.pos = b2.pos_b GROUP BY aln, pos_a, pos_b, lag),"
+    " cm AS (SELECT aln, lag, covar_pop(xa, xb) AS c FROM b2 GROUP BY aln, row, lag HAVING count(*) >= 4),"
+    " av AS (SELECT aln, pos, avg(x) AS x FROM subs GROUP BY ALL HAVING count(x) = count(*)), cr AS (SELECT a.aln, b.pos - a.pos AS lag, covar_pop(a.x, b.x) AS c FROM av a JOIN av b ON a.aln = b.aln AND b.pos >= a.pos AND b.pos - a.pos < 8 GROUP BY ALL HAVING count(*) >= 4),"
+    " vs AS (SELECT 'Ks' AS kind, aln, 0 AS lag, x AS x, x AS y FROM subs WHERE x IS NOT NULL UNION ALL SELECT 'Ct', aln, lag, xa, xb FROM b2 UNION ALL SELECT 'Cs', aln, lag, c, c FROM cs UNION ALL SELECT 'Cm', aln, lag, c, c FROM cm UNION ALL SELECT 'Cr', aln, lag, c, c FROM cr)"
+)
+STATISTICS = "round(CASE kind WHEN 'Ct' THEN covar_pop(x, y) ELSE avg(x) END, 9) + 0.0 AS value, CASE WHEN kind <> 'Ct' AND count(*) > 1 THEN round(var_samp(x), 9) + 0.0 END AS var, count(*) AS n"
+
+
+@query(f", {SUBS}, {BOTH}, {STATES} SELECT kind, lag, {STATISTICS} FROM vs GROUP BY kind, lag", "aligned")
+def correlation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ks, Ct, Cs, Cm and Cr of all alignments, merged from the states of each."""
+    rows = X.finished(X.merged(X.states(substitutions(spark, sf_dir), 8)))
+    return rows.select("kind", "lag", clean(F.col("value")).alias("value"), clean(F.col("var")).alias("var"), "n")
+
+
+@query(f", {SUBS}, {BOTH}, {STATES}, {PLACED}, {DRAWN} SELECT boot, kind, lag, {STATISTICS} FROM dr JOIN pl USING (idx) JOIN vs USING (aln) GROUP BY boot, kind, lag", "aligned")
 def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by seeded draws with replacement, twenty resamples; reruns agree."""
-    per, n = numbered(substitutions(spark, sf_dir).groupBy("aln").agg(F.count("x").cast("double").alias("m"), F.sum("x").alias("s")), ["aln"])
-    rows = X.bootstrap(per.withColumnRenamed("at", "idx"), X.draws(spark, n, 20))
-    return rows.groupBy("boot").agg(F.sum("m").alias("m"), clean(F.sum("s") / F.sum("m")).alias("ks"), F.count_distinct("idx").alias("drawn"), F.count(F.lit(1)).alias("draws"))
+    """All five kinds over twenty resamples of the alignments, with replacement, by seeded hashes; states are weighted, their rows never drawn."""
+    rows = X.finished(X.resampled(X.states(substitutions(spark, sf_dir), 8), "aln", 20))
+    return rows.select("boot", "kind", "lag", clean(F.col("value")).alias("value"), clean(F.col("var")).alias("var"), "n")
 
 
 @query(f", {SUBS}, r2 AS (SELECT a.aln, a.row AS ra, b.row AS rb, count(*) AS places, count(*) FILTER (a.base_a <> b.base_a) AS differ FROM aligned a JOIN aligned b ON a.aln = b.aln AND a.pos = b.pos AND a.row < b.row GROUP BY ALL) SELECT ra, rb, sum(places)::BIGINT AS places, sum(differ)::BIGINT AS differ FROM r2 GROUP BY ALL", "aligned")

@@ -7,6 +7,7 @@ import tarfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lociwave.functions.sequence import pileup_letters
 from lociwave.sources.bam import BamSource
-from lociwave.sources.files import RANGE_BYTES
+from lociwave.sources.files import RANGE_BYTES, byte_ranges, opened
 
 PI_SCHEMA = "Genome string, Position int, Pi double, Num int, Alleles map<string,int>"
 CORR_SCHEMA = "GeneID string, Results array<struct<Lag:int,Value:double,Count:bigint,Type:string,Variance:double>>, ReadNum int, GeneLen int"
@@ -37,11 +38,19 @@ def fasta(spark: SparkSession, path: str | list[str], first_only: bool = False)
     return rows
 
 
-def position_profile(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, pos (0-based), pos_type: one byte a base."""
-    rows = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select(F.col("path").alias("file"), F.hex("content").alias("h"))
-    at = F.posexplode(F.regexp_extract_all("h", F.lit("(..)"), F.lit(1))).alias("pos", "b")
-    return rows.select("file", at).select("file", "pos", F.conv("b", 16, 10).cast("tinyint").alias("pos_type"))
+def position_profile(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """file, pos (0-based), pos_type: one byte a base, read by ranges of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start, stop in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "stop")), strict=True):
+                with opened(file) as f:
+                    f.seek(start)
+                    for at in range(start, stop, 1 << 16):
+                        kinds = np.frombuffer(f.read(min(1 << 16, stop - at)), np.int8)
+                        yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(kinds), pa.string()), "pos": pa.array(np.arange(at, at + len(kinds))), "pos_type": pa.array(kinds)})
+
+    return byte_ranges(spark, path, range_bytes).mapInArrow(run, "file string, pos long, pos_type tinyint")
 
 
 def cigar_of(text: Column) -> Column:

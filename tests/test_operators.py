@@ -254,11 +254,40 @@ def test_order_and_runs(spark):
     assert numbered(df.where("false"), ["ord"])[1] == 0 and runs(df.where("false"), "ord", "key").count() == 0
 
 
-def test_bootstrap_hash_is_the_same_again(spark):
-    from lociwave.plans import catalog
-
-    first, again = (sorted(map(tuple, catalog.QUERIES["bootstrap_hash"](spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
-    assert first == again and len(first) == 20 and len({r[2] for r in first}) > 1 and all(r[3] < r[4] and r[4] == first[0][4] for r in first)
+def test_states_merge_in_any_order(spark):
+    from lociwave.operators import substitutions as X
+
+    rng = random.Random(12)
+    data = [(a, r, p, rng.choice([0.0, 1.0, 1.0, None])) for a in range(6) for r in range(5) for p in range(12)]
+    subs = spark.createDataFrame(data, "aln long, row long, pos long, x double")
+    key = lambda df: sorted((r.kind, r.lag, r.n, round(r.sx, 9), round(r.sxy, 9)) for r in df.collect())
+    whole = X.merged(X.states(subs, 4))
+    parts = [X.merged(X.states(subs.where(f"aln in {a}"), 4)) for a in ("(0, 3)", "(1)", "(2, 4, 5)")]
+    assert key(X.merged(X.merged(parts[2].unionByName(parts[0])).unionByName(parts[1]))) == key(whole)
+    found = {(r.kind, r.lag): r for r in X.finished(whole).collect()}
+    for r in X.bundle(subs, 4).collect():
+        assert found[r.kind, r.lag].n == r.n and found[r.kind, r.lag].value == pytest.approx(r.value, abs=1e-12)
+    ks = X.ks(subs).first()
+    assert (found["Ks", 0].n, found["Ks", 0].value, found["Ks", 0].var) == (ks.n, pytest.approx(ks.ks), pytest.approx(ks.var_ks))
+    assert X.states(subs.where("false"), 4).count() == 0
+
+
+def test_resampled_states_are_those_of_drawn_bundles(spark):
+    from lociwave.operators import substitutions as X
+
+    rng = random.Random(13)
+    cells = [(a, k, lag, rng.randrange(1, 9), rng.random(), rng.random(), rng.random()) for a in range(9) for k in ("Ct", "Ks") for lag in range(rng.randrange(1, 80))]
+    parts = spark.createDataFrame(cells, "aln long, kind string, lag long, n long, sx double, sy double, sxy double").repartition(3)
+    drawn = [(r.boot, r.idx) for r in X.draws(spark, 9, 7).collect()]
+    want = {}
+    for boot, idx in drawn:
+        for a, k, lag, n, *rest in cells:
+            if a == idx:
+                own = want.setdefault((boot, k, lag), [0.0] * 4)
+                for i, v in enumerate((n, *rest)):
+                    own[i] += v
+    found = {(r.boot, r.kind, r.lag): (r.n, r.sx, r.sy, r.sxy) for r in X.resampled(parts, "aln", 7).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_settings():
