@@ -119,13 +119,29 @@ def eligible(pairs: DataFrame) -> DataFrame:
     return pairs.where("left_ref = right_ref and right_end <= genome_length")
 
 
-def proper_pairs(records: DataFrame) -> DataFrame:
-    """Properly paired reads of one match run each whose mates agree where they overlap (an optional filter)."""
-    one = F.size("cigar") == 1
-    rows = records.where((F.col("flags").bitwiseAND(2) > 0) & one & (F.col("cigar")[0]["op"] == "M"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.pos") <= F.col("b.pos")) & (F.col("a.ord") != F.col("b.ord")))
-    gap = F.col("b.pos") - F.col("a.pos")
-    n = F.least(F.length("a.seq") - gap, F.length("b.seq"))
-    agrees = (n <= 0) | (F.substr(F.col("a.seq"), gap.cast("int") + 1, n.cast("int")) == F.substr(F.col("b.seq"), F.lit(1), n.cast("int")))
-    return pairs.where(agrees).select("a.name", F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"))
+def is_proper() -> Column:
+    return F.col("flags").bitwiseAND(2) > 0
+
+
+def is_good(least: int | None = None) -> Column:
+    """Reads of one match run, of at least this mapping quality."""
+    one = (F.size("cigar") == 1) & (F.get("cigar", F.lit(0))["op"] == "M")
+    return F.coalesce(one if least is None else one & (F.col("mapq") >= least), F.lit(False))
+
+
+def proper_pairs(records: DataFrame, least: int | None = None) -> DataFrame:
+    """name, left_ord, right_ord: mates of (name, ord, flags, mapq, cigar, pos, seq) that are good reads and agree where they overlap (an optional filter).
+
+    The properly paired records of a name go in twos in file order; a record that
+    is no good read takes its mate with it. The left mate is the one at the lesser
+    place, of equal ones the first. Names of any number of records are spread over
+    ranges.
+    """
+    own = records.where(is_proper()).select("name", "ord", F.struct("ord", "pos", "seq", is_good(least).alias("good")).alias("own"))
+    rows = running(own, ["name"], ["ord"], sums={"k": F.lit(1)}, lags={"mate": "own"}).where("k % 2 = 0 and own.good and mate.good")
+    first = F.col("mate.pos") <= F.col("own.pos")
+    rows = rows.select("name", F.when(first, F.col("mate")).otherwise(F.col("own")).alias("a"), F.when(first, F.col("own")).otherwise(F.col("mate")).alias("b"))
+    gap = (F.col("b.pos") - F.col("a.pos")).cast("int")
+    n = F.greatest(F.lit(0), F.least(F.length("a.seq") - gap, F.length("b.seq")))
+    agrees = F.substr("a.seq", gap + 1, n) == F.substr("b.seq", F.lit(1), n)
+    return rows.where(agrees).select("name", F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"))

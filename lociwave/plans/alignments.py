@@ -11,8 +11,9 @@ from lociwave.operators import substitutions as X
 from lociwave.operators.joins import interval_join
 from lociwave.plans.registry import query
 from lociwave.sources import reference
-from lociwave.sources.scratch import written
+from lociwave.sources.scratch import scratch_path, written
 from lociwave.sources.views import view
+from lociwave.streaming import mates
 
 GOOD = "good AS (SELECT * FROM reads WHERE mapq > 20 AND mapq < 51)"
 # The queue: a head leaves when an earlier or own first later read starts beyond its end.
@@ -115,6 +116,34 @@ def read_gene_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("gene_id").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
 
 
+PROPER = "nm AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM mate_records WHERE flags & 2 > 0), pr AS (SELECT a.name, CASE WHEN a.pos <= b.pos THEN a.ord ELSE b.ord END AS left_ord, CASE WHEN a.pos <= b.pos THEN b.ord ELSE a.ord END AS right_ord, abs(b.pos - a.pos) AS gap, CASE WHEN a.pos <= b.pos THEN a.seq ELSE b.seq END AS ls, CASE WHEN a.pos <= b.pos THEN b.seq ELSE a.seq END AS rs FROM nm a JOIN nm b ON a.name = b.name AND b.k = a.k + 1 AND a.k % 2 = 1 WHERE a.ops = 1 AND b.ops = 1 AND a.mapq >= 10 AND b.mapq >= 10)"
+PROPER_SQL = f", {PROPER} SELECT name, left_ord, right_ord FROM pr WHERE substr(ls, (gap + 1)::INT, greatest(0, least(length(ls) - gap, length(rs)))::INT) = substr(rs, 1, greatest(0, least(length(ls) - gap, length(rs)))::INT)"
+
+
+def mate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.lit("M").alias("op"), F.lit(20).alias("len"))
+    return view(spark, sf_dir, "mate_records").withColumn("cigar", F.array_repeat(item, F.col("ops")))
+
+
+@query(PROPER_SQL, "mate_records")
+def proper_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properly paired, wholly matched mates that agree where they overlap."""
+    return R.proper_pairs(mate_records(spark, sf_dir), 10)
+
+
+@query(PROPER_SQL, "mate_records")
+def mate_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with keyed state, over files that come in the order of the records."""
+    path, rows = scratch_path(spark, "mates"), mate_records(spark, sf_dir)
+    most = rows.agg(F.max("ord")).first()[0] or 0
+    for i in range(3):
+        rows.where((F.col("ord") > i * most / 3) & (F.col("ord") <= (i + 1) * most / 3)).coalesce(2).write.mode("append").parquet(f"{path}/in/{i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in/*")
+    sink = mates.proper_pairs(stream, 10).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("name long, left_ord long, right_ord long").parquet(f"{path}/out")
+
+
 # The sweep read by read: b is the first gene that is left.
 SWEEP = "rr AS (SELECT ref, read_id, pos, length(seq) AS len, row_number() OVER (PARTITION BY ref ORDER BY pos, read_id) AS k FROM seq_reads), gg AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY gene_start, gene_id) - 1 AS i FROM sweep_genes), st(ref, k, b) AS (SELECT DISTINCT ref, 0::BIGINT, 0::BIGINT FROM gg UNION ALL SELECT s.ref, s.k + 1, greatest(s.b, coalesce(max(g.i), 0)) FROM st s JOIN rr r ON r.ref = s.ref AND r.k = s.k + 1 LEFT JOIN gg g ON g.ref = s.ref AND g.i >= s.b AND g.gene_end < r.pos AND g.gene_start - 1 <= r.pos + r.len GROUP BY s.ref, s.k, s.b), met AS (SELECT gg.ref, gg.i, gene_id, read_id FROM rr JOIN st ON st.ref = rr.ref AND st.k = rr.k - 1 JOIN gg ON gg.ref = rr.ref AND gg.i >= st.b AND least(pos + len, gene_end) > CASE WHEN pos > gene_start - 1 THEN pos ELSE gene_start - 2 END), fin AS (SELECT ref, max(b) AS b FROM st GROUP BY ref)"
 

@@ -259,6 +259,18 @@ def concatenated_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("Genome").alias("genome"), F.col("Position").cast("long").alias("pos"))
 
 
+@query("""SELECT doc_id::INT AS pos, md5(concat('}{"', coalesce(text, ''), chr(92))) AS genome_md5, octet_length(encode(coalesce(text, ''))) + 4 AS bytes FROM documents""")
+def json_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects over several lines and behind each other, with braces, quotes and backslashes in their strings, read by ranges of 64 KiB."""
+    text = F.concat(F.lit('}{"'), F.coalesce("text", F.lit("")), F.lit("\\"))
+    own = F.to_json(F.struct(text.alias("Genome"), F.col("doc_id").cast("int").alias("Position"), F.lit(0.5).alias("Pi")))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.regexp_replace(own, "^[{]", "{\n  "), F.when(F.col("doc_id") % 2 == 0, " \n").otherwise("")).alias("value"))
+    path = folder(spark, "stream")
+    rows.write.text(path, lineSep=" ")
+    found = readers.diversity_json(spark, path, 1 << 16)
+    return found.select(F.col("Position").alias("pos"), F.md5(F.col("Genome").cast("binary")).alias("genome_md5"), F.octet_length("Genome").cast("long").alias("bytes"))
+
+
 @query("SELECT n_nationkey::BIGINT AS id, n_name AS name, r_name AS species FROM nation JOIN region ON r_regionkey = n_regionkey")
 def read_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A taxonomy dump written and read again, and the species above each of its strains."""

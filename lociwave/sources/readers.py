@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lociwave.functions.sequence import pileup_letters
 from lociwave.sources.bam import BamSource
 from lociwave.sources.files import RANGE_BYTES, byte_ranges, opened
+from lociwave.sources.json_stream import objects
 
 PI_SCHEMA = "Genome string, Position int, Pi double, Num int, Alleles map<string,int>"
 CORR_SCHEMA = "GeneID string, Results array<struct<Lag:int,Value:double,Count:bigint,Type:string,Variance:double>>, ReadNum int, GeneLen int"
@@ -104,14 +105,8 @@ def pileup(spark: SparkSession, path: str | list[str], resolve: bool = True, com
     return (rows if keep_mismatch else rows.where("length(letters) = n and length(quals) = n")).select("genome", "pos", "ref", "n", "letters", "quals")
 
 
-def objects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value: JSON objects that stand a line each or one behind the other."""
-    rows = spark.read.text(path).select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("value"))
-    return rows.where("trim(value) <> ''")
-
-
-def diversity_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return objects(spark, path).select(F.from_json("value", PI_SCHEMA).alias("r")).select("r.*")
+def diversity_json(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    return objects(spark, path, range_bytes).select(F.from_json("value", PI_SCHEMA).alias("r")).select("r.*")
 
 
 def correlations_json(spark: SparkSession, path: str | list[str]) -> DataFrame:

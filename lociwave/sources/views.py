@@ -70,6 +70,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         "orders",
         "SELECT CAST(o_custkey AS BIGINT) AS name, CAST(o_orderkey AS BIGINT) AS ord, substr(o_orderpriority, 1, 1) AS ref, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE substr(o_orderpriority, 1, 1) END AS mate_ref, CAST(o_orderkey % 211 AS BIGINT) AS pos, CAST(o_orderkey % 199 AS BIGINT) AS mate_pos FROM {table}",
     ),
+    # Records whose mates mostly agree; some are no proper pairs, some have an insertion, some other letters.
+    "mate_records": (
+        "orders",
+        "SELECT CAST(o_custkey AS BIGINT) AS name, CAST(o_orderkey AS BIGINT) AS ord, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 3 END AS INT) AS flags, CAST(o_orderkey % 60 AS INT) AS mapq, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END AS INT) AS ops, CAST(o_custkey * 3 + o_orderkey % 5 AS BIGINT) AS pos, CASE WHEN o_orderkey % 13 = 0 THEN 'NNNN' ELSE substr(translate(md5(CAST(o_custkey AS STRING)), '0123456789abcdef', 'ATGCATGCATGCATGC'), CAST(1 + o_orderkey % 5 AS INT), 20) END AS seq FROM {table}",
+    ),
 }
 
 # Position types and genes of places are plain functions of the place.

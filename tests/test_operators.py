@@ -303,6 +303,50 @@ def test_proper_pairs(spark):
     assert [tuple(r) for r in reads.proper_pairs(df).collect()] == [("p", 1, 2)]
 
 
+def test_proper_pairs_go_in_twos(spark, tmp_path):
+    """Against a buffer with a set of deleted names, as a table and as a stream; state that stays for later batches."""
+    from lociwave.streaming import mates
+
+    rng = random.Random(8)
+    data = []
+    for i in range(160):
+        seq = rng.choice(["AAAA", "AAAA", "AAA", "AAAC", ""])
+        data.append((f"n{rng.randrange(30)}", i, rng.choice([1, 3, 3, 3]), rng.choice([5, 30, 30]), rng.choice([[("M", 4)]] * 8 + [[("M", 2), ("I", 2)], [("S", 4)]]), rng.randrange(4), seq))
+    waiting, deleted, want = {}, set(), []
+    for name, i, flags, mapq, cigar, pos, seq in data:
+        if not flags & 2:
+            continue
+        if len(cigar) == 1 and cigar[0][0] == "M" and mapq >= 10:
+            if name in waiting:
+                j, mate_pos, mate_seq = waiting.pop(name)
+                if mates.agree(pos, seq, mate_pos, mate_seq):
+                    want.append((name, j, i) if mate_pos <= pos else (name, i, j))
+            elif name in deleted:
+                deleted.remove(name)
+            else:
+                waiting[name] = (i, pos, seq)
+        elif name in deleted:
+            deleted.remove(name)
+        elif name in waiting:
+            del waiting[name]
+        else:
+            deleted.add(name)
+    df = spark.createDataFrame(data, "name string, ord long, flags int, mapq int, cigar array<struct<op:string,len:int>>, pos long, seq string")
+    assert sorted(tuple(r) for r in reads.proper_pairs(df, 10).collect()) == sorted(want) and len(want) > 5
+    assert reads.proper_pairs(df.where("false"), 10).count() == 0
+    for k in range(3):
+        df.where(f"ord % 160 >= {k * 50} and ord < {k * 50 + (50 if k < 2 else 60)}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    mates.proper_pairs(stream, 10).writeStream.format("memory").queryName("mates").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("mates").collect()) == sorted(want)
+    # A first record is forgotten once the stream is far beyond it.
+    for k, rows in enumerate(([("x", 1)], [("y", 500)], [("x", 501), ("y", 502)])):
+        spark.createDataFrame([(n, i, 3, 30, [("M", 4)], 7, "ACGT") for n, i in rows], df.schema).coalesce(1).write.parquet(f"{tmp_path}/late/{k}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/late/*")
+        mates.proper_pairs(stream, 10, lateness=100).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck2").outputMode("append").trigger(availableNow=True).start().awaitTermination(60)
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("y", 500, 502)]
+
+
 def test_streaming_pileup(spark, tmp_path):
     from lociwave.streaming.pileup import site_depths
 
