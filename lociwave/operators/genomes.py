@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociwave.sources.scratch import written
+from lociwave.operators.order import running
+from lociwave.sources.scratch import delete, written
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -25,12 +26,30 @@ def family_kind(members: DataFrame, strains: Column) -> DataFrame:
     return per.select("family_id", "genomes", F.when(F.col("genomes") == F.col("__n"), "core").when(F.col("genomes") < F.col("__n"), "disp").otherwise("pan").alias("kind"))
 
 
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, median: the exact median of each group's known values, the mean of the two in the middle if their number is even.
+
+    Equal values are counted first; the counts are added up in the order of values,
+    from range to range, and the values at the wanted ranks are picked. No group is
+    held or sorted by one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, [group], [value], sums={"__upto": F.col("__n")})
+    total = upto.groupBy(F.col(group).alias("__group")).agg(F.max("__upto").alias("__all"))
+    met = upto.join(total, F.col(group).eqNullSafe(F.col("__group")))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    holds = lambda r: ((r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto"))).cast("int")
+    picked = met.withColumn("__times", holds(low) + holds(high)).where("__times > 0")
+    return picked.groupBy(group).agg((F.sum(F.col(value) * F.col("__times")) / 2).alias("median"))
+
+
 def without_outliers(members: DataFrame, share: float = 0.1) -> DataFrame:
     """Adds median (whole number), keep and whole (at least three members and none removed)."""
-    w = Window.partitionBy("family_id")
-    rows = members.withColumn("median", F.floor(F.percentile("len", 0.5).over(w)))
-    rows = rows.withColumn("keep", F.abs(F.col("len") - F.col("median")) / F.col("median") <= share)
-    return rows.withColumn("whole", (F.count(F.lit(1)).over(w) >= 3) & F.min("keep").over(w))
+    per = medians(members, "family_id", "len").select(F.col("family_id").alias("__family"), F.floor("median").alias("median"))
+    rows = members.join(per, F.col("family_id").eqNullSafe(F.col("__family")), "left").drop("__family")
+    rows = written(rows.withColumn("keep", F.abs(F.col("len") - F.col("median")) / F.col("median") <= share), "families")
+    whole = rows.groupBy(F.col("family_id").alias("__family")).agg(((F.count(F.lit(1)) >= 3) & F.min("keep")).alias("whole"))
+    return rows.join(whole, F.col("family_id").eqNullSafe(F.col("__family"))).drop("__family")
 
 
 def climbed(taxa: DataFrame, start: DataFrame, rank: str, most: int = 256) -> DataFrame:
@@ -86,16 +105,21 @@ def expanded(genes: DataFrame, sites: DataFrame) -> DataFrame:
     marks = stop.select("genome", F.col("pos").alias("at"), F.col("pos").alias("mark"), F.lit(None).cast("string").alias("gene_id"), F.lit(None).cast("string").alias("end"))
     ends = genes.select("genome", "gene_id", F.explode(F.array(F.struct((F.col("start") - 1).cast("long").alias("at"), F.lit("left").alias("end")), F.struct(F.col("end").cast("long").alias("at"), F.lit("right").alias("end")))).alias("e"))
     ends = ends.select("genome", F.col("e.at").alias("at"), F.lit(None).cast("long").alias("mark"), "gene_id", F.col("e.end").alias("end"))
-    rows = marks.unionByName(ends)
-    # An end comes before a mark at the same place: the left mark is beyond it, the right one may be there.
-    w = Window.partitionBy("genome").orderBy(F.col("at"), F.col("mark").isNotNull())
-    before = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("mark", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"before": before, "after": after}).where("gene_id is not null")
-    return rows.groupBy("genome", "gene_id").agg(F.max(F.when(F.col("end") == "left", F.col("at") - F.col("before") - 1)).alias("left"), F.max(F.when(F.col("end") == "right", F.col("after") - F.col("at"))).alias("right"))
+    rows = marks.unionByName(ends).withColumns({"is_mark": F.col("mark").isNotNull().cast("int"), "back": -F.col("at"), "is_end": F.col("mark").isNull().cast("int")})
+    # An end comes before a mark at the same place: the left mark is beyond it, the right one may be there. Marks
+    # rise with their places, so the last one before is the greatest, and the next one the least of those behind.
+    rows = running(rows, ["genome"], ["at", "is_mark"], tops={"before": F.col("mark")})
+    rows = running(rows, ["genome"], ["back", "is_end"], tops={"after": -F.col("mark")}).where("gene_id is not null")
+    return rows.groupBy("genome", "gene_id").agg(F.max(F.when(F.col("end") == "left", F.col("at") - F.col("before") - 1)).alias("left"), F.max(F.when(F.col("end") == "right", -F.col("after") - F.col("at"))).alias("right"))
+
+
+def _moves(new: DataFrame, old: DataFrame) -> bool:
+    both = new.select("r", "c", F.col("v").alias("now")).join(old, ["r", "c"], "full")
+    moved = both.agg(F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("d")).first()["d"]
+    return moved is not None and moved >= 1e-9
 
 
-def clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, least: float = 1e-8) -> DataFrame:
+def clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, least: float = 1e-8, slice_rows: int = 1000) -> DataFrame:
     """cluster_id (its least member), member: Markov clusters of the edges (a, b): expand, inflate, prune, until nothing moves.
 
     The matrices of all components are one table (r, c, v) of the values that are
@@ -106,16 +130,26 @@ def clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, least:
     def scaled(cells: DataFrame) -> DataFrame:
         return written(cells.join(cells.groupBy("c").agg(F.sum("v").alias("all")), "c").select("r", "c", (F.col("v") / F.col("all")).alias("v")), "mcl")
 
+    def squared(m: DataFrame) -> DataFrame:
+        # A vertex with many edges meets itself in as many slices as its row has thousands of them.
+        parts = m.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("parts")).where("parts > 1").select(F.col("r").alias("k"), "parts")
+        left = m.select("r", F.col("c").alias("k"), F.col("v").alias("first")).join(parts, "k", "left")
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        right = m.select(F.col("r").alias("k"), "c", F.col("v").alias("second")).join(parts, "k", "left")
+        right = right.withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        steps = left.join(right, ["k", "part"])
+        return steps.groupBy("r", "c").agg(F.sum(F.col("first") * F.col("second")).alias("v"))
+
     ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
     m = scaled(edges.select(F.explode(ends).alias("e")).select(F.col("e.a").alias("r"), F.col("e.b").alias("c"), F.lit(1.0).alias("v")).distinct())
-    for _ in range(rounds):
-        steps = m.select("r", F.col("c").alias("k"), F.col("v").alias("first")).join(m.select(F.col("r").alias("k"), "c", F.col("v").alias("second")), "k")
-        grown = steps.groupBy("r", "c").agg(F.pow(F.sum(F.col("first") * F.col("second")), F.lit(inflation)).alias("v"))
-        new = scaled(written(grown.where(F.col("v") >= least), "mcl"))
-        both = new.select("r", "c", F.col("v").alias("now")).join(m, ["r", "c"], "full")
-        moved = both.agg(F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("d")).first()["d"]
+    for n in range(rounds):
+        grown = written(squared(m).select("r", "c", F.pow("v", F.lit(inflation)).alias("v")).where(F.col("v") >= least), "mcl")
+        new = scaled(grown)
+        # Every third round tells whether something moves; rounds after the last move change nothing.
+        still = n % 3 == 2 and not _moves(new, m)
+        delete(grown, m)
         m = new
-        if moved is None or moved < 1e-9:
+        if still:
             break
     else:
         raise ValueError(f"clusters still move after {rounds} rounds")
@@ -124,29 +158,3 @@ def clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, least:
     owner = written(best.groupBy("c").agg(F.min("r").alias("owner")), "mcl")
     named = owner.groupBy("owner").agg(F.min("c").alias("cluster_id"))
     return owner.join(named, "owner").select("cluster_id", F.col("c").alias("member"))
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """v, root: least member of each vertex's component; every step is written to the shared folder and read again.
-
-    Each round gives every vertex its least neighbour as parent, jumps by doubling
-    up to the parents' roots and contracts the edges to these, until no edge is
-    left. A round leaves half of the vertices at most.
-    """
-    keep = lambda df: written(df, "connected")
-    tidy = lambda e: keep(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    out = keep(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("root", F.col("v")))
-    e = tidy(edges)
-    while not e.isEmpty():
-        both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        parent = keep(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("p")))
-        while True:
-            level = keep(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("higher")), "p").select("v", "p", "higher"))
-            parent = level.select("v", F.col("higher").alias("p"))
-            if level.where("p <> higher").isEmpty():
-                break
-        level = level.select("v", "higher")
-        out = keep(out.join(level.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("higher", "root").alias("root")))
-        e = e.join(level.withColumnsRenamed({"v": "a", "higher": "ra"}), "a").join(level.withColumnsRenamed({"v": "b", "higher": "rb"}), "b")
-        e = tidy(e.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return out

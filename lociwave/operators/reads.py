@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +39,79 @@ def overlapping(heads: DataFrame, reads: DataFrame, group: list[str], width: int
     return rows.where(later & (F.col("pos_b") <= F.col("pos_a") + F.col("len_a")))
 
 
-def differences(pairs: DataFrame, least: int = 30) -> DataFrame:
-    """Adds x: 1, 0 or null for each place of the overlap of two mapped reads (seq_a, quals_a, pos_a; b starts in a).
+_NUCLEOTIDE = np.isin(np.arange(256), list(b"ATGC"))
 
-    A place counts where both letters are upper-case nucleotides and both
-    qualities (bytes from 33 on) are strictly above ``least``.
-    """
-    lag = F.col("pos_b") - F.col("pos_a")
-    n = F.greatest(F.lit(0), F.least(F.length("seq_a") - lag, F.length("seq_b"))).cast("int")
-    letter = lambda c, i: F.substr(F.col(c), i.cast("int"), F.lit(1))
-    good = lambda s, i: letter(f"seq_{s}", i).rlike("^[ATGC]$") & (F.ascii(letter(f"quals_{s}", i)) - 33 > least)
 
-    def place(j: Column) -> Column:
-        i = j + lag
-        return F.when(good("a", i) & good("b", j), (letter("seq_a", i) != letter("seq_b", j)).cast("int"))
+def masked(reads: DataFrame, least: int = 30) -> DataFrame:
+    """Reads with ``letters``: seq, with '-' where a letter is no upper-case nucleotide or its quality (bytes from 33 on) is not strictly above ``least`` or missing."""
+
+    @F.arrow_udf("string")
+    def mask(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for seqs, quals in columns:
+            (seq, first), (qual, of) = _bytes(seqs.fill_null("")), _bytes(quals.fill_null(""))
+            n = np.diff(first)
+            seq = seq[first[0] : first[-1]]
+            at = np.arange(len(seq)) - np.repeat(first[:-1] - first[0], n)
+            there = at < np.repeat(np.diff(of), n)
+            level = np.zeros(len(seq), np.int64)
+            level[there] = qual[(np.repeat(of[:-1], n) + at)[there]]
+            letters = np.where(_NUCLEOTIDE[seq] & (level - 33 > least), seq, ord("-")).astype(np.uint8)
+            yield pa.StringArray.from_buffers(len(n), pa.py_buffer((first - first[0]).astype(np.int32)), pa.py_buffer(letters))
 
-    return pairs.withColumn("x", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), place)))
+    return reads.withColumn("letters", mask("seq", "quals"))
+
+
+def difference_sums(pairs: DataFrame, by: str, maxl: int) -> DataFrame:
+    """by, known, differ, pairs and, for each lag below ``maxl``, n_lag, sa_lag, sb_lag, sab_lag: sums over overlapping reads (letters_a, letters_b, shift: b starts in a).
+
+    A place of an overlap counts where both letters are known and is 1 where they
+    differ; a lag's sums are over pairs of such places of one overlap. A task adds
+    up whole batches of pairs as arrays of bytes and gives a row for each value of
+    ``by``.
+    """
+    names = ["pairs", "known", "differ", *(f"{s}_{lag}" for lag in range(maxl) for s in ("n", "sa", "sb", "sab"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            a, b = (_bytes(batch.column(c)) for c in ("letters_a", "letters_b"))
+            shift, group = batch.column("shift").to_numpy(), batch.column("by").to_numpy()
+            n = np.minimum(np.diff(a[1]) - shift, np.diff(b[1]))
+            ok = np.flatnonzero(n > 0)
+            n, group = n[ok], group[ok]
+            if not len(n):
+                continue
+            head = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(head[-1]) - np.repeat(head[:-1], n)
+            x, y = a[0][np.repeat(a[1][ok] + shift[ok], n) + at], b[0][np.repeat(b[1][ok], n) + at]
+            known = (x != ord("-")) & (y != ord("-"))
+            differ = known & (x != y)
+            left = np.repeat(n, n) - at
+            values, own = np.unique(group, return_inverse=True)
+            places = np.repeat(own, n)
+            count = lambda flags, where: np.bincount(where[flags], minlength=len(values))
+            columns = [np.bincount(own, minlength=len(values)), count(known, places), count(differ, places)]
+            for lag in range(maxl):
+                first = np.flatnonzero(left > lag)
+                both = known[first] & known[first + lag]
+                p, q, where = differ[first] & both, differ[first + lag] & both, places[first]
+                columns += [count(both, where), count(p, where), count(q, where), count(p & q, where)]
+            for i, v in enumerate(values.tolist()):
+                total[v] = total.get(v, 0) + np.array([c[i] for c in columns], np.int64)
+        if total:
+            sums = np.array(list(total.values()))
+            yield pa.RecordBatch.from_pydict({"by": pa.array(list(total), pa.int64())} | {c: sums[:, i] for i, c in enumerate(names)})
+
+    rows = pairs.select(F.col(by).cast("long").alias("by"), F.col("shift").cast("long").alias("shift"), "letters_a", "letters_b")
+    parts = rows.mapInArrow(run, "by long, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy(F.col("by").alias(by)).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each begins and the last one ends)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
 def mates(records: DataFrame) -> DataFrame:
@@ -68,6 +129,22 @@ def mates_overlapping(pairs: DataFrame, width: int) -> DataFrame:
     return rows.where(earlier)
 
 
+def fragment_shifts(pairs: DataFrame, width: int) -> DataFrame:
+    """shift, n: how many pairs of ``mates_overlapping`` have their left ends so far apart, without making the pairs.
+
+    Fragments with the same two ends are counted first. Of different right ends the
+    order is known, so counts are joined and multiplied; only fragments with one
+    right end are paired, to be told apart by their ids.
+    """
+    cells = pairs.groupBy(F.lit(0).alias("g"), F.col("left").alias("start"), F.col("right").alias("end")).agg(F.count(F.lit(1)).alias("n"))
+    met = interval_join(cells, cells, ["g"], width).where("end_a < end_b")
+    apart = met.groupBy((F.col("start_b") - F.col("start_a")).alias("shift")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    own = pairs.where(F.col("right") > F.col("left"))
+    other = own.select("right", F.col("id").alias("id_b"), F.col("left").alias("left_b"))
+    same = own.join(other, "right").where("id < id_b").groupBy((F.col("left_b") - F.col("left")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    return apart.unionByName(same).groupBy("shift").agg(F.sum("n").cast("long").alias("n"))
+
+
 def in_genes(reads: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     """Reads (ref, read_id, pos 0-based, end) with each gene (ref, gene_id, gene_start 1-based, gene_end) they touch."""
     r = reads.select("ref", "read_id", F.col("pos").alias("start"), F.col("end"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociwave.functions.stats import clean, variance
@@ -49,40 +49,28 @@ COMPARED = "gr AS (SELECT * FROM seq_reads WHERE mapq > 20 AND mapq < 51), op AS
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping reads with their differences by place (column x)."""
-    reads = view(spark, sf_dir, "seq_reads").where("mapq > 20 and mapq < 51")
-    spans = reads.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.length("seq")})
-    both = interval_join(spans, spans, ["ref"], 64)
-    later = (F.col("pos_b") > F.col("pos_a")) | ((F.col("pos_b") == F.col("pos_a")) & (F.col("read_id_b") > F.col("read_id_a")))
-    return R.differences(both.where(later)).withColumn("sample", (F.col("read_id_a") * 31 + F.col("read_id_b")) % 10)
+    """Sums of differences between overlapping reads, by sample."""
+    reads = R.masked(view(spark, sf_dir, "seq_reads").where("mapq > 20 and mapq < 51"))
+    spans = reads.select("read_id", "ref", "letters", F.col("pos").alias("start"), (F.col("pos") + F.length("seq")).alias("end"))
+    both = interval_join(spans, spans, ["ref"], 256)
+    later = (F.col("start_b") > F.col("start_a")) | ((F.col("start_b") == F.col("start_a")) & (F.col("read_id_b") > F.col("read_id_a")))
+    rows = both.where(later).withColumns({"sample": (F.col("read_id_a") * 31 + F.col("read_id_b")) % 10, "shift": F.col("start_b") - F.col("start_a")})
+    return R.difference_sums(rows, "sample", 4)
 
 
 @query(f", {COMPARED} SELECT sample, count(DISTINCT (ra, rb)) AS pairs, count(x) AS known, sum(x)::BIGINT AS differ FROM xs GROUP BY sample", "seq_reads")
 def read_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known and different places of overlapping reads, with the strict quality gate on both."""
-    known = F.size(F.filter("x", lambda v: v.isNotNull())).cast("long")
-    differ = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)))
-    rows = compared(spark, sf_dir).where("x is not null")
-    return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("pairs"), F.sum(known).alias("known"), F.sum(differ).alias("differ"))
+    """Known and different places of overlapping reads, with the strict quality gate on both."""
+    return compared(spark, sf_dir).select("sample", "pairs", "known", "differ")
 
 
 @query(f", {COMPARED}, lg AS (SELECT p.sample, q.j - p.j AS lag, covar_pop(p.x, q.x) AS cov, count(*) AS n FROM xs p JOIN xs q USING (ra, rb) WHERE q.j >= p.j AND q.j - p.j < 4 AND p.x IS NOT NULL AND q.x IS NOT NULL GROUP BY ALL) SELECT lag, round(avg(cov), 9) + 0.0 AS mean, coalesce(round(CASE WHEN count(*) > 1 THEN var_samp(cov) END, 9), 0.0) + 0.0 AS var, count(*) AS n FROM lg WHERE n > 10 GROUP BY lag", "seq_reads")
 def ct_by_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Covariance of differences between overlapping reads by lag, over ten samples chosen by the pair's ids.
-
-    Sums of a pair of reads are made inside its row, for each lag: places are never exploded or joined.
-    """
-
-    def sums(lag: Column) -> Column:
-        later = F.slice("x", lag + 1, F.size("x"))
-        both = F.filter(F.arrays_zip(F.slice("x", F.lit(1), F.size("x") - lag).alias("a"), later.alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-        return F.struct(lag.alias("lag"), F.size(both).alias("n"), F.aggregate(both, F.lit(0), lambda t, p: t + p["a"]).alias("sa"), F.aggregate(both, F.lit(0), lambda t, p: t + p["b"]).alias("sb"), F.aggregate(both, F.lit(0), lambda t, p: t + p["a"] * p["b"]).alias("sab"))
-
-    rows = compared(spark, sf_dir).where("x is not null")
-    rows = rows.select("sample", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(3), F.size("x") - 1)), sums)).alias("s")).select("sample", "s.*")
-    per = rows.groupBy("sample", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")]).where("n > 10")
+    """Covariance of differences between overlapping reads by lag, over ten samples chosen by the pair's ids."""
+    lags = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), *[F.col(f"{c}_{k}").alias(c) for c in ("n", "sa", "sb", "sab")]) for k in range(4)])
+    per = compared(spark, sf_dir).select("sample", F.explode(lags).alias("s")).select("sample", "s.*").where("n > 10")
     per = per.withColumn("cov", F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * (F.col("sb") / F.col("n")))
-    return per.groupBy(F.col("lag").cast("long").alias("lag")).agg(clean(F.avg("cov")).alias("mean"), clean(F.coalesce(variance(F.col("cov"), True), F.lit(0.0))).alias("var"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("lag").agg(clean(F.avg("cov")).alias("mean"), clean(F.coalesce(variance(F.col("cov"), True), F.lit(0.0))).alias("var"), F.count(F.lit(1)).alias("n"))
 
 
 MATES = "m AS (SELECT name, max(ord) FILTER (pos < mate_pos) AS left_ord, max(ord) FILTER (NOT pos < mate_pos) AS right_ord FROM records WHERE mate_ref = ref GROUP BY name HAVING left_ord IS NOT NULL AND right_ord IS NOT NULL)"
@@ -104,8 +92,7 @@ def mated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: records.select(F.col("ord").alias(f"{s}_ord"), F.col("pos").alias(f"{s}_pos"))
     rows = R.mates(records).join(side("left"), "left_ord").join(side("right"), "right_ord")
     rows = rows.select(F.col("name").alias("id"), F.least("left_pos", "right_pos").alias("left"), (F.greatest("left_pos", "right_pos") + 20).alias("right"))
-    pairs = R.mates_overlapping(rows, 64)
-    return pairs.groupBy((F.col("start_b") - F.col("start_a")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    return R.fragment_shifts(rows, 64)
 
 
 @query(" SELECT gene_id, count(*) AS reads, sum(least(pos + len, gene_end) - greatest(pos, gene_start - 1))::BIGINT AS bases FROM reads JOIN genes USING (ref) WHERE pos < gene_end AND gene_start - 1 < pos + len GROUP BY gene_id", "reads genes")

@@ -12,6 +12,7 @@ from lociwave.operators import fit
 from lociwave.operators import genomes as G
 from lociwave.plans.registry import query
 from lociwave.sources.readers import cigar_of
+from lociwave.sources.scratch import written
 from lociwave.sources.views import view
 
 
@@ -82,12 +83,27 @@ def strain_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.when(urgent, 1)).alias("complete"), F.count(F.when(rest, 1)).alias("scaffolds"))
 
 
+def reciprocal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b: hits between genomes (three of parts, three of suppliers) that are the best of both sides for the other's genome."""
+    hits = view(spark, sf_dir, "hits").withColumns({"ord": -F.col("score"), "of_p": F.col("p") % 3, "of_s": F.col("s") % 3})
+    forward = G.best_hits(hits.select(F.struct("p", "of_s").alias("q"), "s", "ord")).select(F.col("q.p").alias("p"), "s")
+    backward = G.best_hits(hits.select(F.struct("s", "of_p").alias("q"), F.col("p").alias("s"), "ord")).select(F.col("s").alias("p"), F.col("q.s").alias("s"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return forward.join(backward, ["p", "s"]).select(name("p", "p").alias("a"), name("s", "s").alias("b"))
+
+
+RECIPROCAL = "fw AS (SELECT p, s FROM hits QUALIFY row_number() OVER (PARTITION BY p, s % 3 ORDER BY score DESC, s) = 1), bw AS (SELECT p, s FROM hits QUALIFY row_number() OVER (PARTITION BY s, p % 3 ORDER BY score DESC, p) = 1), ed AS (SELECT concat('p', p) AS a, concat('s', s) AS b FROM fw JOIN bw USING (p, s))"
+
+@query(f", {RECIPROCAL} SELECT a, b FROM ed", "hits")
+def genome_best_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that are clustered: reciprocal best hits between all pairs of genomes."""
+    return reciprocal_hits(spark, sf_dir)
+
+
 @query(None)
 def mcl_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markov clusters of the reciprocal hits."""
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    hits = view(spark, sf_dir, "hits").where("score >= 120").select(name("p", "p").alias("a"), name("s", "s").alias("b"))
-    return G.clusters(hits)
+    """Markov clusters of all reciprocal best hits between the genomes."""
+    return G.clusters(written(reciprocal_hits(spark, sf_dir), "edges"))
 
 
 @query(", md AS (SELECT *, floor(quantile_cont(len, 0.5) OVER (PARTITION BY family_id)) AS median FROM members), kp AS (SELECT *, abs(len - median) / median <= 0.1 AS keep FROM md), wh AS (SELECT *, count(*) OVER (PARTITION BY family_id) >= 3 AND bool_and(keep) OVER (PARTITION BY family_id) AS whole FROM kp) SELECT id, line, family_id, len, median::BIGINT AS median, keep, whole FROM wh", "members")

@@ -127,6 +127,72 @@ def test_outliers(spark):
     assert sorted((r.len, r.keep, r.whole) for r in genomes.without_outliers(df).collect()) == [(100, True, False), (100, True, False), (120, False, False)]
 
 
+def test_difference_sums_are_those_of_loops(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        size = rng.randrange(0, 12)
+        rows.append((i, "".join(rng.choice("ATGCNa") for _ in range(size)), "".join(rng.choice("!I?@") for _ in range(rng.choice([size, size, max(0, size - 2)])))))
+    own = spark.createDataFrame(rows, "id long, seq string, quals string")
+    letters = {r.id: r.letters for r in reads.masked(own.repartition(3)).collect()}
+    assert letters == {i: "".join(c if c in "ATGC" and j < len(q) and ord(q[j]) - 33 > 30 else "-" for j, c in enumerate(s)) for i, s, q in rows}
+    assert [r.letters for r in reads.masked(spark.createDataFrame([(1, None, "I"), (2, "AC", None)], own.schema)).orderBy("id").collect()] == ["", "--"]
+    pairs = [(rng.randrange(3), letters[rng.randrange(120)], letters[rng.randrange(120)], rng.randrange(0, 9)) for _ in range(300)]
+    want = {}
+    for g, a, b, shift in pairs:
+        n = min(len(a) - shift, len(b))
+        if n <= 0:
+            continue
+        x = [None if "-" in (p, q) else int(p != q) for p, q in zip(a[shift : shift + n], b[:n], strict=True)]
+        out = want.setdefault(g, [0] * 11)
+        out[0] += 1
+        out[1] += sum(v is not None for v in x)
+        out[2] += sum(v or 0 for v in x)
+        for lag in range(2):
+            both = [(p, q) for p, q in zip(x, x[lag:], strict=False) if p is not None and q is not None]
+            for k, v in enumerate((len(both), sum(p for p, _ in both), sum(q for _, q in both), sum(p * q for p, q in both))):
+                out[3 + 4 * lag + k] += v
+    df = spark.createDataFrame(pairs, "g long, letters_a string, letters_b string, shift long").repartition(4)
+    assert {r.g: list(r)[1:] for r in reads.difference_sums(df, "g", 2).collect()} == want
+    assert reads.difference_sums(df.where("false"), "g", 2).count() == 0
+
+
+def test_fragment_shifts_count_the_pairs(spark):
+    rng = random.Random(22)
+    data = [(i, a := rng.randrange(30), a + rng.randrange(0, 9)) for i in rng.sample(range(200), 90)]
+    df = spark.createDataFrame(data, "id long, left long, right long")
+    found = {r["shift"]: r.n for r in reads.fragment_shifts(df, 8).collect()}
+    want = {r.s: r.n for r in reads.mates_overlapping(df, 8).groupBy((F.col("start_b") - F.col("start_a")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == want and sum(want.values()) > 200
+
+
+def test_medians_by_rank(spark):
+    rng = random.Random(11)
+    data = [("hot" if i % 2 else f"f{i % 7}", rng.choice([None, *range(40)])) for i in range(900)] + [(None, 3), (None, 8), ("one", 5), ("none", None)]
+    df = spark.createDataFrame(data, "family_id string, len long").repartition(6)
+    found = {r.family_id: r["median"] for r in genomes.medians(df, "family_id", "len").collect()}
+    assert found == {f: float(np.median([x for g, x in data if g == f and x is not None])) for f in {f for f, x in data if x is not None}}
+    rows = genomes.without_outliers(df)
+    assert rows.count() == len(data) and "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_around_ends_over_ranges(spark):
+    rng = random.Random(4)
+    size = 500
+    sites = [(g, i, rng.random() < 0.1, rng.random() < 0.95, size) for g in ("a", "b") for i in range(size)]
+    genes = [(g, k, s := rng.randrange(1, 480), s + rng.randrange(0, 15)) for g in ("a", "b") for k in range(20)]
+    stop = {(g, i) for g, i, c, v, _ in sites if c or not v}
+
+    def reach(g, at, step):
+        n = 0
+        while (g, at % size) not in stop:
+            at, n = at + step, n + 1
+        return n
+
+    found = {(r.genome, r.gene_id): (r.left, r.right) for r in genomes.expanded(spark.createDataFrame(genes, "genome string, gene_id long, start long, end long"), spark.createDataFrame(sites, "genome string, pos long, coding boolean, valid boolean, length long")).collect()}
+    assert found == {(g, k): (reach(g, s - 2, -1), reach(g, e, 1)) for g, k, s, e in genes}
+
+
 def test_mcl_splits_two_triangles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("p", "q")], "a string, b string")
     got = genomes.clusters(edges).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
@@ -150,6 +216,9 @@ def test_mcl_is_that_of_dense_matrices(spark):
     got = genomes.clusters(spark.createDataFrame(pairs, "a string, b string")).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
     assert sorted(r.m for r in got) == wanted and all(r.cluster_id == r.m[0] for r in got) and len(wanted) > 3
     assert genomes.clusters(spark.createDataFrame([], "a string, b string")).count() == 0
+    # Slices of two rows: every vertex with more edges is spread over several keys.
+    salted = genomes.clusters(spark.createDataFrame(pairs, "a string, b string"), slice_rows=2).groupBy("cluster_id").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
+    assert sorted(r.m for r in salted) == wanted
 
 
 def test_running_passes_over_ranges(spark):
