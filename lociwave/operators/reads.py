@@ -129,16 +129,19 @@ def mates_overlapping(pairs: DataFrame, width: int) -> DataFrame:
     return rows.where(earlier)
 
 
-def fragment_shifts(pairs: DataFrame, width: int) -> DataFrame:
+def fragment_shifts(pairs: DataFrame) -> DataFrame:
     """shift, n: how many pairs of ``mates_overlapping`` have their left ends so far apart, without making the pairs.
 
-    Fragments with the same two ends are counted first. Of different right ends the
-    order is known, so counts are joined and multiplied; only fragments with one
-    right end are paired, to be told apart by their ids.
+    Fragments with the same two ends are counted first. A fragment comes behind one
+    that ends at a place, and overlaps it, if it covers that place and goes on
+    beyond it: for each place the fragments that do so are counted by their left
+    ends, and the counts meet those that end there. Only fragments with one right
+    end are paired, to be told apart by their ids.
     """
-    cells = pairs.groupBy(F.lit(0).alias("g"), F.col("left").alias("start"), F.col("right").alias("end")).agg(F.count(F.lit(1)).alias("n"))
-    met = interval_join(cells, cells, ["g"], width).where("end_a < end_b")
-    apart = met.groupBy((F.col("start_b") - F.col("start_a")).alias("shift")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    cells = pairs.where(F.col("right") > F.col("left")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
+    inner = cells.where(F.col("right") - F.col("left") > 1).select(F.col("left").alias("other"), F.explode(F.sequence(F.col("left") + 1, F.col("right") - 1)).alias("right"), "n")
+    beyond = inner.groupBy("other", "right").agg(F.sum("n").alias("m"))
+    apart = cells.join(beyond, "right").groupBy((F.col("other") - F.col("left")).alias("shift")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
     own = pairs.where(F.col("right") > F.col("left"))
     other = own.select("right", F.col("id").alias("id_b"), F.col("left").alias("left_b"))
     same = own.join(other, "right").where("id < id_b").groupBy((F.col("left_b") - F.col("left")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))

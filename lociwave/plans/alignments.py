@@ -92,7 +92,7 @@ def mated_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: records.select(F.col("ord").alias(f"{s}_ord"), F.col("pos").alias(f"{s}_pos"))
     rows = R.mates(records).join(side("left"), "left_ord").join(side("right"), "right_ord")
     rows = rows.select(F.col("name").alias("id"), F.least("left_pos", "right_pos").alias("left"), (F.greatest("left_pos", "right_pos") + 20).alias("right"))
-    return R.fragment_shifts(rows, 64)
+    return R.fragment_shifts(rows)
 
 
 @query(" SELECT gene_id, count(*) AS reads, sum(least(pos + len, gene_end) - greatest(pos, gene_start - 1))::BIGINT AS bases FROM reads JOIN genes USING (ref) WHERE pos < gene_end AND gene_start - 1 < pos + len GROUP BY gene_id", "reads genes")

@@ -161,7 +161,7 @@ def test_fragment_shifts_count_the_pairs(spark):
     rng = random.Random(22)
     data = [(i, a := rng.randrange(30), a + rng.randrange(0, 9)) for i in rng.sample(range(200), 90)]
     df = spark.createDataFrame(data, "id long, left long, right long")
-    found = {r["shift"]: r.n for r in reads.fragment_shifts(df, 8).collect()}
+    found = {r["shift"]: r.n for r in reads.fragment_shifts(df).collect()}
     want = {r.s: r.n for r in reads.mates_overlapping(df, 8).groupBy((F.col("start_b") - F.col("start_a")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert found == want and sum(want.values()) > 200
 
