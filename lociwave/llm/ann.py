@@ -7,7 +7,8 @@ about ``BUCKET_ROWS`` rows. A query visits its own bucket and perturbed ones, wh
 cells are one up or down in some functions: sets of perturbations come from a heap
 in the order of their expected cost, and for each query are put into the order of
 the estimated probability that a row at the distance of its k-th neighbour lies
-there, until these probabilities sum to ``SUCCESS`` in every table. The distance is
+there, until these probabilities sum to ``SUCCESS`` in every table; as many sets are made
+as that takes. The distance is
 measured on ``SAMPLE`` of the queries against all rows.
 
 Buckets are dealt to groups by their key; a bucket of more than ``PART_ROWS`` rows
@@ -49,8 +50,10 @@ BUCKET_ROWS = 16
 #: Cell width as a share of the common norm.
 CELL = 3.0
 SUCCESS = 0.32
-#: Perturbation sets considered for a query and table.
+#: Perturbation sets considered for a query and table at first; four times as many where these do not reach ``SUCCESS``, and so on.
 SETS = 512
+#: Numbers of a block of queries by sets.
+_AT_ONCE = 1 << 22
 SAMPLE = 64
 PART_ROWS = 4096
 #: At least so many groups, and more where one would have more than ``GROUP_ROWS`` rows.
@@ -75,7 +78,12 @@ class Hashing:
         self.a = rng.normal(size=(TABLES, self.width + 1, self.functions)) / (CELL * self.norm)
         self.b = rng.uniform(-0.05, 0.05, (TABLES, self.functions)) - self.mean @ self.a
         self.odd = rng.integers(0, 1 << 63, self.functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.sets = perturbations(self.functions, self.distance / (CELL * self.norm))
+        self.made: dict[int, np.ndarray] = {}
+
+    def sets(self, most: int) -> np.ndarray:
+        if most not in self.made:
+            self.made[most] = perturbations(self.functions, self.distance / (CELL * self.norm), most)
+        return self.made[most]
 
     def lifted(self, v: np.ndarray) -> np.ndarray:
         return np.concatenate([v, np.sqrt(np.maximum(0, self.norm**2 - (v**2).sum(1)))[:, None]], 1)
@@ -102,15 +110,26 @@ class Hashing:
             nearest = np.argsort(gap, axis=1, kind="stable")
             cost = np.take_along_axis(step_cost(gap, spread), nearest, 1)
             odd = (np.take_along_axis(sign, nearest, 1).astype(np.int64).view(np.uint64)) * np.concatenate([self.odd, self.odd])[nearest]
-            total = cost @ self.sets.T.astype(float)
             stay = np.log(inside(p - cell, spread)).sum(1)
-            order = np.argsort(total, axis=1, kind="stable")
-            chance = np.exp(stay[:, None] - np.take_along_axis(total, order, 1))
-            visits = (np.cumsum(chance, axis=1) - chance < SUCCESS).sum(1)
             home = (cell.astype(np.int64).view(np.uint64) * self.odd).sum(1, dtype=np.uint64)
-            for i, n in enumerate(visits):
-                moved = (self.sets[order[i, :n]].astype(np.uint64) * odd[i]).sum(1, dtype=np.uint64)
-                out[i].append(self._keys(home[i] + moved, t))
+            todo, most = np.arange(len(q)), SETS
+            while len(todo):
+                sets = self.sets(most)
+                step, short = max(1, _AT_ONCE // len(sets)), []
+                for start in range(0, len(todo), step):
+                    some = todo[start : start + step]
+                    total = cost[some] @ sets.T.astype(float)
+                    order = np.argsort(total, axis=1, kind="stable")
+                    upto = np.cumsum(np.exp(stay[some, None] - np.take_along_axis(total, order, 1)), axis=1)
+                    # Sets beyond the last one made are needed only where all of these do not suffice.
+                    enough = (upto[:, -1] >= SUCCESS) | (len(sets) < most)
+                    visits = 1 + (upto[:, :-1] < SUCCESS).sum(1)
+                    for row in np.flatnonzero(enough):
+                        i = some[row]
+                        moved = (sets[order[row, : visits[row]]].astype(np.uint64) * odd[i]).sum(1, dtype=np.uint64)
+                        out[i].append(self._keys(home[i] + moved, t))
+                    short.append(some[~enough])
+                todo, most = np.concatenate(short), 4 * most
         return [np.unique(np.concatenate(x)) for x in out]
 
 

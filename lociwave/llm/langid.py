@@ -35,6 +35,8 @@ from .textkernel import chained, run_hashes
 
 DOCS_PER_LANGUAGE = 1_500
 MOST_ENTRIES = 5_000_000
+#: Parts of a language from which the sample is taken.
+PARTS = 1024
 LONGEST = 5
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -179,8 +181,12 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", docs_per
     """Learns from distinct texts with a label, at most ``docs_per_language`` of each language: those with the smallest hashes."""
     rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
+    # The smallest hashes of each of many parts of a language first, so that no task sorts all of its texts.
+    part = Window.partitionBy("label", "part").orderBy("hash")
     least = Window.partitionBy("label").orderBy("hash")
-    chosen = rows.select("label", "hash").distinct().withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= docs_per_language)
+    chosen = rows.select("label", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    chosen = chosen.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= docs_per_language)
+    chosen = chosen.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= docs_per_language)
     chosen = written(chosen.select("label", "hash"), "lang-sample")
     languages = sorted(r["label"] for r in chosen.select("label").distinct().collect())
     if not languages:

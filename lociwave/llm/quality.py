@@ -9,8 +9,10 @@ passages is scored. Only documents carry labels: the gradient of the document's
 loss reaches the passages through the attention.
 
 The fit reads a bounded sample of labelled documents, in the order of a hash of
-the id, with whole texts: at most ``TRAIN_DOCS`` documents, and those of them that
-together have at most ``TRAIN_PASSAGES`` passages. Scoring reads whole texts of all
+the id, with whole texts: at most ``TRAIN_DOCS`` documents that together have at
+most ``TRAIN_PASSAGES`` passages; a text for which there is no room any more is
+left out, and those behind it are still taken. Labels none of whose texts fit are
+an error. Scoring reads whole texts of all
 rows, a bounded piece of a batch (or one longer text) at a time.
 
 Null and empty texts are one empty passage and are scored as such; a very long
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, table, written
@@ -170,13 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for big in batches:
             for batch in slices(big, "text"):
                 x, first = passages(batch.column("text"))
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "n": pa.array(np.diff(first), pa.int64()), "x": pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())})
+                bags = [x[a:b].tobytes() if b - a <= passages_most else b"" for a, b in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "n": pa.array(np.diff(first), pa.int64()), "x": pa.array(bags, pa.binary())})
 
     # A row that repeats an id counts once: the sample is one text of each chosen document.
     bags = written(rows.mapInArrow(run, "id long, y int, n long, x binary").groupBy("id").agg(F.max(F.struct("n", "x", "y")).alias("b")).select("id", "b.*"), "mil-bags")
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    found = bags.select("id", "n").withColumn("upto", upto).where(F.col("upto") <= passages_most).select("id")
-    found = bags.join(F.broadcast(found), "id").toPandas().sort_values("id")
+    taken, room = [], passages_most
+    for r in bags.select("id", "n", F.xxhash64("id").alias("h")).orderBy("h", "id").collect():
+        if r["n"] <= room:
+            taken.append((r["id"],))
+            room -= r["n"]
+    if not taken and not bags.isEmpty():
+        raise ValueError(f"no labelled text has at most {passages_most} passages")
+    found = bags.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "id long")), "id").toPandas().sort_values("id")
     kept = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in found["x"]]
     first = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(int)
     return train(np.concatenate(kept) if kept else np.zeros((0, FEATURES), np.float32), first, found["y"].to_numpy(float))

@@ -235,3 +235,50 @@ def test_training_lowers_the_loss_and_marks_lines():
     assert lines.viterbi(field, found.bins, found.first).tolist() == [1, 1] * 30 + [1, 0, 0, 0] * 10
 
 
+
+
+def test_probes_reach_their_probability(monkeypatch):
+    """With many functions the first sets do not suffice; more are made until every query and table has its probability."""
+    from lociwave.llm import ann
+
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(6, 16))
+    counts = {}
+    for functions in (6, 16, 19):
+        h = ann.Hashing(16, 1.0, functions, 1.0, np.zeros(17))
+        counts[functions] = [len(x) for x in h.probes(q)]
+        most = max(h.made)
+        assert functions == 6 or most > ann.SETS
+        monkeypatch.setattr(ann, "SETS", 4 * most)
+        again = ann.Hashing(16, 1.0, functions, 1.0, np.zeros(17)).probes(q)
+        assert np.mean([len(np.intersect1d(a, b)) / len(b) for a, b in zip(h.probes(q), again, strict=True)]) > 0.95
+        monkeypatch.setattr(ann, "SETS", 512)
+    assert min(counts[19]) > ann.TABLES * 512 > max(counts[6])
+
+
+def test_long_texts_leave_room_for_others(spark):
+    from lociwave.llm import quality
+
+    rows = [(i, "word " * (5000 if i % 9 == 0 else 30) + ("good one" if i % 2 else "### $$$"), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, passages_most=60)
+    assert model.weights is not None and 0.3 < model.rate < 0.7
+    with pytest.raises(ValueError, match="no labelled text"):
+        quality.fit(docs.where("doc_id % 9 = 0"), labels, passages_most=20)
+    assert quality.fit(docs, labels.where("false")).weights is None
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from lociwave.llm import langid
+
+    docs = spark.createDataFrame([(f"text number {i} {'abcdef'[i % 6]}", "xy"[i % 2]) for i in range(400)] * 2, "text string, lang string")
+    model = langid.fit(docs, docs_per_language=30)
+    want = set()
+    for lang in "xy":
+        rows = docs.where(F.col("lang") == lang).select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(30).collect()
+        want |= {w for r in rows for w in r.text.split() if w.isalpha()}
+    found = langid.words_of(sorted(want))
+    assert len(model.keys[0]) == len(want) and model.find(0, found.hashes)[1].all()
