@@ -24,7 +24,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def text_file(spark: SparkSession, name: str, lines: DataFrame | list[str]) -> str:
     path = folder(spark, name)
     rows = lines if isinstance(lines, DataFrame) else spark.createDataFrame([(x,) for x in lines], "value string")
-    rows.coalesce(1).write.text(path)
+    rows.write.text(path)
     return path
 
 
@@ -118,6 +118,16 @@ def read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.names(spark, text_file(spark, "names", rows))
 
 
+@query("SELECT n_name AS organism, n_nationkey::VARCHAR AS taxid, CASE WHEN n_regionkey = 0 THEN '-' ELSE concat('NC_', n_regionkey) END AS chromosomes FROM nation")
+def read_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue as a tab table with a header."""
+    chromosomes = F.when(F.col("n_regionkey") == 0, "-").otherwise(F.concat(F.lit("NC_"), "n_regionkey"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("Organism"), F.col("n_nationkey").alias("TaxID"), chromosomes.alias("Chromosomes"))
+    path = folder(spark, "catalogue")
+    rows.write.csv(path, sep="\t", header=True)
+    return readers.table_text(spark, path).select(F.col("Organism").alias("organism"), F.col("TaxID").alias("taxid"), F.col("Chromosomes").alias("chromosomes"))
+
+
 @query("SELECT n_regionkey::BIGINT AS family_key, n_name AS name, 'ACGT' AS nucl FROM nation")
 def families_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families written with base64 fields and read again."""
