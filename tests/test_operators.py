@@ -425,3 +425,17 @@ def test_streaming_pileup(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert sorted(tuple(r) for r in spark.table("depths2").collect()) == [("g", 1, 2), ("g", 2, 1), ("g", 300, 1)]
+
+
+def test_results_in_any_codec(spark, tmp_path):
+    """Plain, gzip, zlib and raw DEFLATE files of correlation results give the same rows."""
+    import gzip
+    import json
+    import zlib
+
+    text = "".join(json.dumps({"Ks": k / 4, "VarKs": 1.0, "N": k, "NReads": 2, "Ct": [k / 8], "CtIndices": [0], "CtN": [3]}) + "\n" for k in range(5)).encode()
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    for name, data in {"plain": text, "gz": gzip.compress(text), "zlib": zlib.compress(text), "raw": raw.compress(text) + raw.flush()}.items():
+        (tmp_path / f"{name}.json").write_bytes(data)
+        rows = readers.bootstraps(spark, f"{tmp_path}/{name}.json").collect()
+        assert sorted((r.Ks, r.N, r.Ct[0], r.CtN[0]) for r in rows) == [(k / 4, k, k / 8, 3) for k in range(5)]
