@@ -150,3 +150,8 @@ def of_type(pos_type: Column, wanted: int) -> Column:
     """Coding takes every codon position; third positions include the fourfold ones."""
     kinds = {CODING: (FIRST, SECOND, THIRD, FOURFOLD), THIRD: (THIRD, FOURFOLD)}.get(wanted, (wanted,))
     return pos_type.isin(*kinds)
+
+
+def snp_text(pos: Column, letters: Column) -> Column:
+    """A site as a line for people: its place and the letters over it."""
+    return F.concat(F.lit("Pos: "), pos.cast("string"), F.lit(", Bases: "), letters)

@@ -74,6 +74,26 @@ def scaffold_offsets(scaffolds: DataFrame, group: list[str], gap: int = 1000) ->
     return scaffolds.withColumn("offset", F.coalesce(F.sum(F.col("len") + gap).over(w), F.lit(0)).cast("long"))
 
 
+# The statuses of assemblies that need no joining.
+JOINED = ("Complete", "Complete Genome", "Chromosome with gaps", "Gapless Chromosome")
+
+
+def known_strains(strains: DataFrame, complete: bool = False) -> DataFrame:
+    """Strains with a path ('-' is none), a species and at least one replicon; with ``complete`` those whose status says so in any case."""
+    rows = strains.where("path <> '-' and species <> '' and replicon is not null")
+    return rows.where(F.lower("status").contains("complete")) if complete else rows
+
+
+def unjoined_strains(strains: DataFrame) -> DataFrame:
+    """Strains whose scaffolds are to be joined: their status, without blanks around it, is none of :data:`JOINED`; an unknown one counts as such."""
+    return strains.where(~F.coalesce(F.trim("status").isin(*JOINED), F.lit(False)))
+
+
+def chromosomes(strains: DataFrame) -> DataFrame:
+    """Replicons whose name holds 'chromosome', in small letters."""
+    return strains.where(F.col("replicon").contains("chromosome"))
+
+
 def gene_sites(genes: DataFrame) -> DataFrame:
     """Explodes genes (genome, gene_id, ord, start 1-based, end, strand) to sites with place 1, 2, 3 in the codon, from the gene's own start."""
     rows = genes.where("start <= end").withColumn("pos", F.explode(F.sequence("start", "end")))

@@ -76,6 +76,33 @@ def families_json(members: DataFrame, path: str) -> None:
     per.select(F.to_json("m").alias("value")).write.text(path)
 
 
+def aligned_json(members: DataFrame, folder: str, prefix: str, expanded: bool = False) -> str:
+    """Aligned families under the name that tells their prefix and whether genes were expanded; the path."""
+    path = f"{folder}/{prefix}{'_expanded' if expanded else ''}_orthologs_aligned.json"
+    families_json(members, path)
+    return path
+
+
+def merged_proteins(records: DataFrame, path: str) -> None:
+    """The protein records (genome, ord, id, seq) of all scaffolds of a genome behind each other, a folder genome=... each."""
+    rows = records.repartitionByRange("genome", "ord").sortWithinPartitions("genome", "ord")
+    rows.select("genome", F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value")).write.partitionBy("genome").text(path)
+
+
+def merged_gene_tables(genes: DataFrame, offsets: DataFrame, path: str) -> None:
+    """Gene lines (acc, ord, line 'start..end<tab>...') moved by their scaffold's offset (genome, acc, offset), a folder genome=... each.
+
+    Lines of scaffolds that are not known, of five columns or fewer and without a
+    location are left out.
+    """
+    f = F.split("line", "\t")
+    place = lambda i: F.coalesce(F.try_element_at(F.split(f[0], "[.][.]"), F.lit(i)).try_cast("long"), F.lit(0)) + F.col("offset")
+    rows = genes.where((F.size(f) > 5) & f[0].contains("..")).join(offsets.select("genome", "acc", "offset"), "acc")
+    rows = rows.repartitionByRange("genome", "offset", "ord").sortWithinPartitions("genome", "offset", "ord")
+    moved = F.concat_ws("\t", F.concat(place(1).cast("string"), F.lit(".."), place(2).cast("string")), F.slice(f, 2, F.size(f) - 1))
+    rows.select("genome", moved.alias("value")).write.partitionBy("genome").text(path)
+
+
 def merged_scaffolds(records: DataFrame, gap: int = 1000) -> DataFrame:
     """genome, seq: scaffolds (genome, ord, seq) joined in order with ``gap`` N after each."""
     per = records.groupBy("genome").agg(F.sort_array(F.collect_list(F.struct("ord", "seq"))).alias("s"))

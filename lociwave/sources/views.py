@@ -75,6 +75,14 @@ VIEWS: dict[str, tuple[str, str]] = {
         "orders",
         "SELECT CAST(o_custkey AS BIGINT) AS name, CAST(o_orderkey AS BIGINT) AS ord, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 3 END AS INT) AS flags, CAST(o_orderkey % 60 AS INT) AS mapq, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END AS INT) AS ops, CAST(o_custkey * 3 + o_orderkey % 5 AS BIGINT) AS pos, CASE WHEN o_orderkey % 13 = 0 THEN 'NNNN' ELSE substr(translate(md5(CAST(o_custkey AS STRING)), '0123456789abcdef', 'ATGCATGCATGCATGC'), CAST(1 + o_orderkey % 5 AS INT), 20) END AS seq FROM {table}",
     ),
+    # Families of five proteins: each has its family's letters with an insert and a deletion at a place of its own; and queries of the same kind.
+    "proteins": ("part", "SELECT id, family_id, genome, concat(substr(b, 1, CAST(k AS INT)), substr('WYVT', 1, CAST(id % 3 AS INT)), substr(b, CAST(k + 1 + id % 4 AS INT))) AS seq FROM (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(floor(p_partkey / 5) AS BIGINT) AS family_id, CAST(p_partkey % 5 AS BIGINT) AS genome, p_partkey * 7 % 50 + 5 AS k, translate(concat(md5(CAST(floor(p_partkey / 5) AS BIGINT)||''), md5(CAST(floor(p_partkey / 5 + 1) AS BIGINT)||'')), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS b FROM {table}) AS t"),
+    "query_proteins": ("customer", "SELECT id, family_id, genome, concat(substr(b, 1, CAST(k AS INT)), substr('WYVT', 1, CAST(id % 3 AS INT)), substr(b, CAST(k + 1 + id % 4 AS INT))) AS seq FROM (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(floor(c_custkey / 5) AS BIGINT) AS family_id, CAST(c_custkey % 5 AS BIGINT) AS genome, c_custkey * 7 % 50 + 5 AS k, translate(concat(md5(CAST(floor(c_custkey / 5) AS BIGINT)||''), md5(CAST(floor(c_custkey / 5 + 1) AS BIGINT)||'')), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS b FROM {table}) AS t"),
+    # Strains with paths, statuses and replicons; some have no path, no species or no genome.
+    "strains": (
+        "supplier",
+        "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey % 9 = 0 THEN '-' ELSE concat('strains/', s_name) END AS path, CASE s_suppkey % 6 WHEN 0 THEN 'Complete' WHEN 1 THEN ' Complete Genome ' WHEN 2 THEN 'Chromosome with gaps' WHEN 3 THEN 'Gapless Chromosome' WHEN 4 THEN 'Scaffold' ELSE 'Contig' END AS status, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE concat('species', s_nationkey) END AS species, CASE WHEN s_suppkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN s_suppkey % 4 = 0 THEN 'plasmid p1' ELSE 'chromosome 1' END AS replicon FROM {table}",
+    ),
 }
 
 # Position types and genes of places are plain functions of the place.
