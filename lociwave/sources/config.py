@@ -11,12 +11,23 @@ class Settings:
     """Names are the dotted keys with '_' for '.'."""
 
     genome_dir: str = "."
+    genome_reference: str = "."
+    genome_taxonomy: str = "."
+    genome_reports: str = "."
     reads_dir: str = "."
+    reads_paired1: str = ""
+    reads_paired2: str = ""
     out_dir: str = "."
+    out_cov: str = "cov"
+    out_sam: str = "sam"
+    out_ortho: str = "ortho"
+    out_plot: str = "plot"
+    out_fit: str = "fit"
     out_prefix: str = ""
     cov_maxl: int = 600
     cov_functions: tuple[str, ...] = field(default=())
     cov_positions: tuple[int, ...] = field(default=())
+    bowtie2_options: tuple[str, ...] = field(default=())
     species_file: str = ""
     fit_exp_start: int = 0
     fit_exp_end: int = 0

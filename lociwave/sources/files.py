@@ -20,12 +20,26 @@ def system_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
+def folder(base: str, *parts: str) -> str:
+    """A path below another one; a part that is absolute or a URI stands for itself."""
+    for part in parts:
+        base = part if part.startswith("/") or "://" in part else f"{base.rstrip('/')}/{part}" if part not in ("", ".") else base
+    return base
+
+
 def opened(path: str) -> BinaryIO:
     """A file that can be read from any byte on."""
     system, own = system_of(path)
     return system.open_input_file(own)
 
 
+def opened_for_writing(path: str) -> BinaryIO:
+    """A new file; its folder is made where it is missing."""
+    system, own = system_of(path)
+    system.create_dir(own.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(own, compression=None)
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, of the data files of a folder, or of those that match a pattern in its last part."""
     system, own = system_of(path)

@@ -14,13 +14,13 @@ def _unknown(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("NaN"))
 
 
-def cov_results(rows: DataFrame, kinds: tuple[str, ...] = ("Ct", "Cm", "Cs", "Cr")) -> DataFrame:
-    """Long rows (Ks, VarKs, N, NReads, kind, lag, value, obs) as one object with parallel arrays; none where VarKs is unknown."""
+def cov_results(rows: DataFrame, kinds: tuple[str, ...] = ("Ct", "Cm", "Cs", "Cr"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """Long rows (keys, Ks, VarKs, N, NReads, kind, lag, value, obs) as one object with parallel arrays; none where VarKs is unknown."""
     rows = rows.where("VarKs is not null and not isnan(VarKs)")
     own = [F.sort_array(F.collect_list(F.when((F.col("kind") == k) & F.col("value").isNotNull() & ~F.isnan("value"), F.struct("lag", "value", "obs")))).alias(k) for k in kinds]
-    per = rows.groupBy("Ks", "VarKs", "N", "NReads").agg(*own)
+    per = rows.groupBy(*keys, "Ks", "VarKs", "N", "NReads").agg(*own)
     fields = [x for k in kinds for x in (F.transform(k, lambda r: r["value"]).alias(k), F.transform(k, lambda r: r["lag"]).alias(f"{k}Indices"), F.transform(k, lambda r: r["obs"]).alias(f"{k}N"))]
-    return per.select("Ks", "VarKs", "N", "NReads", *fields)
+    return per.select(*keys, "Ks", "VarKs", "N", "NReads", *fields)
 
 
 def json_lines(df: DataFrame, path: str, compress: bool = False) -> None:
