@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave.functions import sequence as Q
+from lociwave.operators import families as A
 from lociwave.operators import fit
 from lociwave.operators import fragments as P
 from lociwave.operators import genomes as G
+from lociwave.operators import substitutions as X
 from lociwave.sources import readers, reference, sinks
 from lociwave.sources.config import Settings
 from lociwave.sources.files import listed, opened
 from lociwave.sources.files import folder as joined
+from lociwave.sources.scratch import delete, written
 
 
 def loaded(workspace: str, names: str = "config.yaml") -> str:
@@ -126,6 +129,57 @@ def cov_reads(spark: SparkSession, settings: Settings, workspace: str) -> None:
     sinks.json_lines(sinks.cov_results(found, ("Ct",), keys), joined(workspace, settings.out_cov, "reads"))
 
 
+def _families(spark: SparkSession, settings: Settings, workspace: str, species: list[str], positions: list[int]) -> DataFrame:
+    """species, expanded, family_id, idx, accession, genome, nucl, loc of the aligned families of all species; a warning for a file that is not there."""
+    folder, out = joined(workspace, settings.out_ortho), None
+    try:
+        there = {x.removeprefix(folder.removeprefix("file:")).removeprefix(folder).lstrip("/").split("/", 1)[0] for x, _ in listed(folder)}
+    except FileNotFoundError:
+        there = set()
+    for name in species:
+        for expanded in sorted({p == 0 for p in positions}):
+            file = f"{name}{'_expanded' if expanded else ''}_orthologs_aligned.json"
+            if file not in there:
+                warnings.warn(f"{folder}: no {file}", stacklevel=3)
+                continue
+            rows = readers.families(spark, joined(folder, file)).where("nucl <> ''")
+            rows = rows.select(F.lit(name).alias("species"), F.lit(expanded).alias("expanded"), "family_id", "idx", P.accession(F.col("genome")).alias("accession"), "genome", "nucl", "loc")
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise FileNotFoundError(f"{folder}: no aligned families")
+    return out
+
+
+def cov_genomes(spark: SparkSession, settings: Settings, workspace: str) -> None:
+    """Correlations of aligned families, of every chromosome, both functions, all positions and core, disp and pan families at once, to out.cov/genomes.
+
+    Families are states that merge (``substitutions.states``), so they are gone
+    through once for all three types; resamples are a matter of
+    ``substitutions.resampled`` over such states and not made here. Position 4
+    where none is set; results without a variance are left out.
+    """
+    positions = list(settings.cov_positions) or [4]
+    base, rows = joined(workspace, settings.genome_reference), genomes(spark, settings, workspace)
+    chromosomes = G.chromosomes(rows)
+    species = [r["species"] for r in rows.select("species").distinct().orderBy("species").collect()]
+    members = written(_families(spark, settings, workspace, species, positions), "members")
+    sequences = reference.stored_fasta(spark, present(base, chromosomes, (".fna",)))
+    profiles = reference.stored_profile(spark, joined(base, "profiles"))
+    places = written(A.reference_places(members, chromosomes, sequences, profiles), "places")
+    subs = written(A.substitutions(members, places, positions), "subs")
+    parts = X.states(subs, settings.cov_maxl).select("aln.k.*", "aln.function", "aln.position", "kind", "lag", *X.SUMS)
+    types = A.kinds_of(members, rows.groupBy("species").agg(F.count_distinct("strain").alias("strains")))
+    keys = ["species", "accession", "function", "position", "type"]
+    found = written(X.finished(X.merged(parts.join(types, A.FAMILY), keys)), "results")
+    delete(places, subs)
+    step = F.when(F.col("position") == 0, 1).otherwise(3)
+    kept = found.withColumn("step", step).where((F.col("kind") != "Ks") & (F.col("lag") % F.col("step") == 0) & (F.floor(F.col("lag") / F.col("step")) < F.floor(F.lit(settings.cov_maxl) / F.col("step"))))
+    kept = kept.select(*keys, "kind", F.floor(F.col("lag") / F.col("step")).cast("int").alias("lag"), "value", F.col("n").alias("obs"))
+    ks = found.where("kind = 'Ks'").select(*keys, F.col("value").alias("Ks"), F.col("var").alias("VarKs"), F.col("n").alias("N"), F.lit(0).alias("NReads"))
+    out = kept.join(ks, keys).join(chromosomes.select("species", "strain", "accession").distinct(), ["species", "accession"])
+    sinks.json_lines(sinks.cov_results(out, keys=("strain", *keys)), joined(workspace, settings.out_cov, "genomes"))
+
+
 def fit_reads(spark: SparkSession, settings: Settings, workspace: str) -> None:
     """Curves through the correlations of ``cov_reads``, one for each kind of curve whose range is set, to out.fit/reads."""
     schema = f"strain string, accession string, function string, position int, {readers.COV_SCHEMA}"
@@ -143,4 +197,4 @@ def fit_reads(spark: SparkSession, settings: Settings, workspace: str) -> None:
 
 
 #: Subcommands by name.
-FLOWS: dict[str, Callable[[SparkSession, Settings, str], None]] = {"genome_profile": genome_profile, "cov_reads": cov_reads, "fit_reads": fit_reads}
+FLOWS: dict[str, Callable[[SparkSession, Settings, str], None]] = {"genome_profile": genome_profile, "cov_reads": cov_reads, "cov_genomes": cov_genomes, "fit_reads": fit_reads}
