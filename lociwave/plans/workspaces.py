@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociwave import flows
 from lociwave.functions import sequence as Q
-from lociwave.functions.stats import clean
 from lociwave.plans.registry import query
-from lociwave.sources import reference
+from lociwave.sources import reference, sinks
 from lociwave.sources.config import settings
 from lociwave.sources.files import opened_for_writing
 from lociwave.sources.readers import COV_SCHEMA
@@ -66,6 +65,23 @@ def workspace(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def families(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Aligned families of a workspace: the genes of the same line of each genome, with a gap of two at one place."""
+    lines = spark.sql(LINES.replace("FROM supplier", "FROM {s}"), s=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    plus, gene = F.col("k") % 2 == 0, F.substring("l", 1, 30)
+    own = F.when(plus, gene).otherwise(Q.reverse_complement(gene))
+    at = (F.col("i") % 20 + 1).cast("int")
+    loc = F.struct((F.col("i") * 32 + 1).cast("int").alias("From"), (F.col("i") * 32 + 30).cast("int").alias("To"), F.when(plus, "+").otherwise("-").alias("Strand"))
+    nucl = F.concat(F.substr(own, F.lit(1), at), F.lit("--"), F.substr(own, at + 1, F.lit(30)))
+    rows = lines.select(F.col("i").alias("family_id"), F.col("acc").alias("idx"), F.col("k").cast("string").alias("id"), F.lit("n").alias("name"), F.concat("acc", F.lit(".1")).alias("genome"), F.lit("11").alias("code"), F.lit("").alias("prot"), nucl.alias("nucl"), loc.alias("loc"))
+    sinks.aligned_json(rows, f"{path}/ortho", "one")
+
+
+def tidy(x: Column) -> Column:
+    """Rounded to nine digits from a little above, so that exact halves (of powers of two) don't depend on the order of sums."""
+    return F.round(x + 1e-12, 9) + F.lit(0.0)
+
+
 KEYS = ("strain", "accession", "function", "position")
 
 
@@ -96,7 +112,7 @@ sm AS (SELECT * FROM vg UNION ALL SELECT * FROM vr),
 ks AS (SELECT acc, fn, position, sx / n AS ks, (sx - sx * sx / n) / (n - 1) AS var_ks, n FROM sm WHERE lag = 0 AND n > 1),
 nr AS (SELECT acc, count(*) AS reads FROM fr GROUP BY acc),
 kp AS ({kept})
-SELECT concat('strains/', acc) AS strain, acc AS accession, fn AS function, position::INT AS position, lag::INT AS lag, round(value, 9) + 0.0 AS value, obs::BIGINT AS obs, round(ks, 9) + 0.0 AS ks, round(var_ks, 9) + 0.0 AS var_ks, ks.n::BIGINT AS n, reads::BIGINT AS reads
+SELECT concat('strains/', acc) AS strain, acc AS accession, fn AS function, position::INT AS position, lag::INT AS lag, round(value + 1e-12, 9) + 0.0 AS value, obs::BIGINT AS obs, round(ks + 1e-12, 9) + 0.0 AS ks, round(var_ks + 1e-12, 9) + 0.0 AS var_ks, ks.n::BIGINT AS n, reads::BIGINT AS reads
 FROM kp JOIN ks USING (acc, fn, position) JOIN nr USING (acc) WHERE value IS NOT NULL
 """
 
@@ -110,4 +126,45 @@ def reads_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows.cov_reads(spark, own, path)
     rows = spark.read.schema(f"strain string, accession string, function string, position int, {COV_SCHEMA}").json(f"{path}/cov/reads")
     rows = rows.select(*KEYS, "Ks", "VarKs", "N", "NReads", F.explode(F.arrays_zip("CtIndices", "Ct", "CtN")).alias("c"))
-    return rows.select(*KEYS, F.col("c.CtIndices").alias("lag"), clean(F.col("c.Ct")).alias("value"), F.col("c.CtN").cast("long").alias("obs"), clean(F.col("Ks")).alias("ks"), clean(F.col("VarKs")).alias("var_ks"), F.col("N").cast("long").alias("n"), F.col("NReads").cast("long").alias("reads"))
+    return rows.select(*KEYS, F.col("c.CtIndices").alias("lag"), tidy(F.col("c.Ct")).alias("value"), F.col("c.CtN").cast("long").alias("obs"), tidy(F.col("Ks")).alias("ks"), tidy(F.col("VarKs")).alias("var_ks"), F.col("N").cast("long").alias("n"), F.col("NReads").cast("long").alias("reads"))
+
+
+def _families_statement() -> str:
+    keys, aln = "g, fn, position, type", "i, g, fn, position"
+    kept = " UNION ALL ".join(f"SELECT {keys}, '{k}' AS kind, lag, {v} AS value, {n} AS obs FROM {t} GROUP BY {keys}, lag" for k, t, v, n in (("Ct", "ct", "sum(sxy) / sum(n) - sum(sx) / sum(n) * (sum(sy) / sum(n))", "sum(n)"), ("Cs", "cs", "avg(c)", "count(*)"), ("Cm", "cm", "avg(c)", "count(*)"), ("Cr", "cr", "avg(c)", "count(*)")))
+    return f"""
+WITH ln AS ({LINES.replace("AS STRING", "AS VARCHAR")}),
+gb AS (SELECT acc, k, i, CASE WHEN k % 2 = 0 THEN p - 1 ELSE 30 - p END AS j, CASE WHEN k % 2 = 0 THEN substr(l, p, 1) ELSE translate(substr(l, p, 1), 'ATGC', 'TACG') END AS b FROM (SELECT ln.*, p::INT AS p FROM ln, range(1, 31) AS r(p))),
+cd AS (SELECT acc, k, j // 3 AS c, string_agg(b, '' ORDER BY j) AS codon FROM gb GROUP BY ALL),
+pl AS (SELECT gb.acc AS g, i, j, b, position FROM gb JOIN cd ON cd.acc = gb.acc AND cd.k = gb.k AND c = j // 3 JOIN (VALUES (1), (3), (4)) AS q(position) ON CASE position WHEN 3 THEN j % 3 = 2 WHEN 4 THEN j % 3 = 2 AND codon IN ({", ".join(repr(c) for c in Q.fourfold())}) ELSE j % 3 + 1 = position END),
+sb AS (SELECT pl.i, g, 'genomes_vs_genome' AS fn, position, o.acc AS r1, '' AS r2, pl.j, (pl.b <> o.b)::INT::DOUBLE AS x FROM pl JOIN gb o ON o.i = pl.i AND o.j = pl.j AND o.acc <> g
+  UNION ALL SELECT pl.i, g, 'genomes_vs_genomes', position, o.acc, u.acc, pl.j, (o.b <> u.b)::INT::DOUBLE FROM pl JOIN gb o ON o.i = pl.i AND o.j = pl.j JOIN gb u ON u.i = pl.i AND u.j = pl.j AND o.acc < u.acc),
+ty AS (SELECT i, unnest(CASE WHEN count(*) = (SELECT count(DISTINCT acc) FROM ln) THEN ['pan', 'core'] ELSE ['pan', 'disp'] END) AS type FROM ln GROUP BY i),
+pp AS (SELECT a.i, a.g, a.fn, a.position, a.r1, a.r2, a.j AS ja, b.j - a.j AS lag, a.x AS x, b.x AS y, b.j AS jb FROM sb a JOIN sb b ON a.i = b.i AND a.g = b.g AND a.fn = b.fn AND a.position = b.position AND a.r1 = b.r1 AND a.r2 = b.r2 AND b.j >= a.j AND b.j < a.j + 30),
+ct AS (SELECT {keys}, lag, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy FROM pp JOIN ty USING (i) GROUP BY ALL),
+cs AS (SELECT {keys}, lag, c FROM (SELECT {aln}, lag, covar_pop(x, y) AS c FROM pp GROUP BY {aln}, ja, jb, lag HAVING count(*) >= 4) JOIN ty USING (i)),
+cm AS (SELECT {keys}, lag, c FROM (SELECT {aln}, lag, covar_pop(x, y) AS c FROM pp GROUP BY {aln}, r1, r2, lag HAVING count(*) >= 4) JOIN ty USING (i)),
+mn AS (SELECT {aln}, j, avg(x) AS x FROM sb GROUP BY ALL),
+cr AS (SELECT {keys}, lag, c FROM (SELECT a.i, a.g, a.fn, a.position, b.j - a.j AS lag, covar_pop(a.x, b.x) AS c FROM mn a JOIN mn b ON a.i = b.i AND a.g = b.g AND a.fn = b.fn AND a.position = b.position AND b.j >= a.j GROUP BY ALL HAVING count(*) >= 4) JOIN ty USING (i)),
+ks AS (SELECT {keys}, avg(x) AS ks, var_samp(x) AS var_ks, count(*) AS n FROM sb JOIN ty USING (i) GROUP BY ALL HAVING count(*) > 1),
+kp AS ({kept})
+SELECT concat('strains/', g) AS strain, g AS accession, fn AS function, position::INT AS position, type, kind, (lag // 3)::INT AS lag, round(value + 1e-12, 9) + 0.0 AS value, obs::BIGINT AS obs, round(ks + 1e-12, 9) + 0.0 AS ks, round(var_ks + 1e-12, 9) + 0.0 AS var_ks, n::BIGINT AS n
+FROM kp JOIN ks USING ({keys}) WHERE lag % 3 = 0 AND lag < 30
+"""
+
+
+@query(_families_statement())
+def genomes_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned families of a workspace through cov_genomes, with both functions, three positions, all kinds and types."""
+    path = workspace(spark, sf_dir)
+    families(spark, sf_dir, path)
+    own = settings(flows.loaded(path), {}, cov_positions=(1, 3, 4))
+    flows.genome_profile(spark, own, path)
+    flows.cov_genomes(spark, own, path)
+    rows = spark.read.schema(f"strain string, accession string, function string, position int, type string, {COV_SCHEMA}").json(f"{path}/cov/genomes")
+    def cells(kind: str) -> Column:
+        zipped = F.arrays_zip(F.col(f"{kind}Indices").alias("lag"), F.col(kind).alias("value"), F.col(f"{kind}N").alias("obs"))
+        return F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), x["lag"].alias("lag"), x["value"].alias("value"), x["obs"].cast("long").alias("obs")))
+
+    rows = rows.select(*KEYS, "type", "Ks", "VarKs", "N", F.explode(F.concat(*map(cells, ("Ct", "Cs", "Cm", "Cr")))).alias("c"))
+    return rows.select(*KEYS, "type", "c.kind", "c.lag", tidy(F.col("c.value")).alias("value"), "c.obs", tidy(F.col("Ks")).alias("ks"), tidy(F.col("VarKs")).alias("var_ks"), F.col("N").cast("long").alias("n"))

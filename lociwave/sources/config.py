@@ -74,4 +74,4 @@ def settings(text: str = "", environment: dict[str, str] | None = None, **explic
     known = {f.name: f.type for f in fields(Settings)}
     found = {k.replace(".", "_"): v for k, v in parsed(text).items()}
     found |= {k[9:].lower(): v for k, v in environment.items() if k.startswith("LOCIWAVE_")}
-    return replace(Settings(), **{k: _value(known[k], v) for k, v in found.items() if k in known}, **explicit)
+    return replace(Settings(), **{k: _value(known[k], v) for k, v in found.items() if k in known} | explicit)

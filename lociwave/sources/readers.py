@@ -152,10 +152,19 @@ def taxonomy(spark: SparkSession, nodes: str, names: str) -> DataFrame:
 
 
 def families(spark: SparkSession, path: str) -> DataFrame:
-    """family_id, idx and a record's fields of an array of arrays; byte fields are base64. A missing file is an error, as for all readers."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"array<array<{RECORD}>>").alias("f"))
-    rows = parsed.select(F.posexplode("f").alias("family_id", "members")).select("family_id", F.posexplode("members").alias("idx", "m"))
+    """family_id, idx and a record's fields; byte fields are base64. A missing file is an error, as for all readers.
+
+    One array of arrays is a row by its format and numbers its families from 0; of
+    a family a line, as ``sinks.families_json`` writes them, no file is held whole
+    and the numbers only tell families apart.
+    """
+    first = spark.read.text(path).where("trim(value) <> ''").head()
+    if first is not None and first["value"].lstrip(" [\t").startswith("{") and first["value"].count("[", 0, first["value"].index("{")) == 1:
+        lines = spark.read.text(path).where("trim(value) <> ''").withColumn("family_id", F.monotonically_increasing_id())
+        rows = lines.select("family_id", F.posexplode(F.from_json("value", f"array<{RECORD}>")).alias("idx", "m"))
+    else:
+        parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<array<{RECORD}>>").alias("f"))
+        rows = parsed.select(F.posexplode("f").alias("family_id", "members")).select("family_id", F.posexplode("members").alias("idx", "m"))
     plain = lambda c: F.decode(F.unbase64(F.col(f"m.{c}")), "UTF-8")
     return rows.select(F.col("family_id").cast("long").alias("family_id"), "idx", F.col("m.Id").alias("id"), F.col("m.Name").alias("name"), F.col("m.Genome").alias("genome"), F.col("m.Code").alias("code"), plain("Prot").alias("prot"), plain("Nucl").alias("nucl"), F.col("m.Loc").alias("loc"))
 

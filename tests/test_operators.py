@@ -363,6 +363,7 @@ def test_settings():
     text = "genome:\n  dir: g\ncov:\n  maxl: 300\n  functions: [a, b]\n  positions:\n    - 1\n    - 4\nfit:\n  exp:\n    start: 3\n"
     got = config.settings(text, {"LOCIWAVE_OUT_DIR": "o"}, reads_dir="r")
     assert (got.genome_dir, got.cov_maxl, got.cov_functions, got.cov_positions, got.fit_exp_start, got.out_dir, got.reads_dir) == ("g", 300, ("a", "b"), (1, 4), 3, "o", "r")
+    assert config.settings(text, {"LOCIWAVE_COV_MAXL": "9"}, cov_maxl=5).cov_maxl == 5
 
 
 def test_proper_pairs(spark):
