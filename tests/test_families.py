@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lociwave import flows
+from lociwave.sources import readers
 from lociwave.sources.config import settings
 
 MAXL = 9
@@ -142,3 +143,15 @@ def test_no_families(spark, tmp_path):
     (tmp_path / "ortho").mkdir()
     with pytest.warns(UserWarning), pytest.raises(FileNotFoundError):
         flows._families(spark, settings(CONFIG, {}), str(tmp_path), ["one"], [0, 1])
+
+
+def test_both_layouts(spark, tmp_path):
+    record = lambda i, nucl: {"Id": f"r{i}", "Name": "n[{", "Genome": "g", "Code": "11", "Prot": "", "Nucl": base64.b64encode(nucl.encode()).decode(), "Loc": {"From": i, "To": 2, "Strand": "+"}}
+    data = [[record(1, "AT"), record(2, "")], [record(3, "G-")]]
+    texts = {"one": json.dumps(data), "wide": json.dumps(data, indent=1), "close": json.dumps(data, separators=(",", ":")), "lines": "\n".join(["", *map(json.dumps, data), ""]), "none": "[]"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        rows = readers.families(spark, str(tmp_path / name)).orderBy("id").collect()
+        got = [(r["id"], r["idx"], r["nucl"], r["loc"]["From"]) for r in rows]
+        assert got == ([] if name == "none" else [("r1", 0, "AT", 1), ("r2", 1, "", 2), ("r3", 0, "G-", 3)])
+        assert len({r["family_id"] for r in rows}) == (0 if name == "none" else 2)
