@@ -55,14 +55,14 @@ TEMPLATES = {
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def lowered(text: Column) -> Column:
-    """A-Z lower-cased. lower() also changes letters beyond ASCII, which stay words all the same, but for the two it turns into ASCII."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text.rlike("[\u212A\u0130]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+#: ASCII characters that stand in no word.
+BLANKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
-def words(low: Column) -> Column:
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+def words(text: Column) -> Column:
+    """The words (WORD) with A-Z lower-cased: what is in none becomes a blank, then runs between blanks; a regular expression takes some five times as long."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + BLANKS, UPPER.lower() + " " * len(BLANKS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def literal(items: list[str]) -> Column:
@@ -71,7 +71,7 @@ def literal(items: list[str]) -> Column:
 
 def frequencies(df: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
     """Documents of the whole corpus that hold each template token."""
-    found = df.select(F.explode(F.array_intersect(literal(vocabulary), words(lowered(F.col(text_col))))).alias("token"))
+    found = df.select(F.explode(F.array_intersect(literal(vocabulary), words(F.col(text_col)))).alias("token"))
     return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -105,14 +105,14 @@ def met(held: Column, tokens: list[str], need: int, rarest: list[str]) -> Column
     return F.when(passes, F.when(left >= need, F.when(both >= need, both / F.lit(float(len(tokens))))))
 
 
-def sentences(low: Column, order: list[str]) -> Column:
+def sentences(text: Column, order: list[str]) -> Column:
     """array<array<struct<n, held>>>: words and template tokens of each line that has words, by sentence."""
 
     def lines(sentence: Column) -> Column:
         found = F.filter(F.transform(F.split(sentence, r"\n"), lambda x: words(x)), lambda w: F.size(w) > 0)
         return F.transform(found, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(literal(order), w).alias("held")))
 
-    return F.transform(F.split(low, SENTENCE_END), lines)
+    return F.transform(F.split(text, SENTENCE_END), lines)
 
 
 def matched(cut: Column, found: Column, held: Column, templates: dict[str, str], threshold: float, order: list[str]) -> Column:
@@ -146,12 +146,12 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] | None
 
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     rest = [f"`{c}`" for c in df.columns if c not in names]
-    rows = df.withColumn("__low", lowered(F.col(text_col))).withColumn("__words", words(F.col("__low")))
+    rows = df.withColumn("__words", words(F.col(text_col)))
     none = F.array().cast("array<bigint>")
     base = {phrase: F.when(F.array_contains("__words", phrase.split()[0]), places(F.col("__words"), phrase)).otherwise(none) for phrase in PHRASES}
     rows = rows.withColumn("__held", F.array_intersect(literal(order), F.col("__words")))
     possible = reduce(or_, (met(F.col("__held"), *own).isNotNull() for own in sets), F.lit(False))
-    rows = rows.withColumn("__cut", F.when(possible, sentences(F.col("__low"), order)))
+    rows = rows.withColumn("__cut", F.when(possible, sentences(F.col(text_col), order)))
     found = F.when(F.col("__cut").isNotNull(), matched(F.col("__cut"), F.col("__words"), F.col("__held"), templates, threshold, order))
     rows = rows.select(*rest, F.size("__words").cast("long").alias("__n"), F.array(*base.values()).alias("__places"), found.alias("__found"))
     labels = [F.when(F.size(F.get("__places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]
