@@ -42,13 +42,17 @@ SEPARATORS = np.arange(0x1C, 0x20, dtype=np.uint32)
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The tiktoken encoding of a public vocabulary file, once per process."""
+    """The tiktoken encoding of a public vocabulary file, once per process.
+
+    Its end mark is never allowed in a text, so that it stands for its characters;
+    with no special token at all the library would look for the empty one at every byte.
+    """
     import public_tokenizers as P
     import tiktoken
 
     with open(P.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": max(ranks.values()) + 1})
 
 
 @lru_cache(maxsize=2)
@@ -58,7 +62,7 @@ def token_bytes(vocabulary: str) -> list[bytes]:
 
 
 def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
-    return encoder(vocabulary).encode_to_numpy(text).astype(np.int32) if text else np.zeros(0, np.int32)
+    return encoder(vocabulary).encode_to_numpy(text, disallowed_special=()).astype(np.int32) if text else np.zeros(0, np.int32)
 
 
 @lru_cache(maxsize=1)

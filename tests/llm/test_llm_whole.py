@@ -5,9 +5,11 @@ import re
 import textwrap
 import time
 
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
-from lociwave.llm import langid, licences
+from lociwave.llm import bpe, langid, licences
 
 
 def blocks(text, size):
@@ -90,6 +92,25 @@ def test_licence_joins_no_other_sentence(spark):
     assert got == {1: "apache-2.0", 2: "mit"}
 
 
+def test_end_mark_in_a_text_is_text():
+    for text in ("<|endoftext|>", "ä<|endoftext|><|endoftext|> b\n", "<|endof", "😀é <|endoftext|", " "):
+        plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(bpe.VOCABULARY)._mergeable_ranks, special_tokens={})
+        assert bpe.encode_text(text).tolist() == plain.encode_ordinary(text)
+        assert bpe.bytes_of(bpe.encode_text(text).tolist()) == text.encode()
+
+
+def test_encoding_looks_for_no_empty_token():
+    text = " information" * 20_000
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(bpe.VOCABULARY)._mergeable_ranks, special_tokens={})
+
+    def seconds(run):
+        start = time.process_time()
+        run(text)
+        return time.process_time() - start
+
+    assert min(seconds(bpe.encode_text) for _ in range(5)) < 0.8 * min(seconds(plain.encode_to_numpy) for _ in range(5))
+
+
 def test_language_learns_each_text_once(spark):
     rng = random.Random(6)
     own = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
