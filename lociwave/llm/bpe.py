@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, slices, strings, table, written
+from .common import give_back, list_array, slices, strings, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 16_384
@@ -38,6 +39,9 @@ GUARD_CHARS = 4
 CONTRACTED = frozenset({"s", "t", "re", "ve", "m", "ll", "d"})
 #: Control characters that some engines take for white space: no cut behind them.
 SEPARATORS = np.arange(0x1C, 0x20, dtype=np.uint32)
+#: Chunks that are sent on, and ids that are lists of Python, at once.
+CHUNKS_AT_ONCE = 64
+IDS_AT_ONCE = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -70,11 +74,13 @@ def kinds() -> np.ndarray:
     """The kind of every code point in the pattern: 0 letter, 1 number, 2 other, 3 white space."""
     import regex
 
-    every = "".join(map(chr, range(0x110000)))
-    out = np.full(len(every), 2, np.uint8)
-    for kind, name in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\s+")):
-        for m in regex.finditer(name, every):
-            out[m.start() : m.end()] = kind
+    # By blocks: a string object for each of all code points would take 100 MB for a moment.
+    out = np.full(0x110000, 2, np.uint8)
+    for start in range(0, len(out), 4096):
+        block = "".join(map(chr, range(start, start + 4096)))
+        for kind, name in ((0, r"\p{L}+"), (1, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(name, block):
+                out[start + m.start() : start + m.end()] = kind
     return out
 
 
@@ -106,6 +112,11 @@ def bytes_of(ids: list[int] | np.ndarray, vocabulary: str = VOCABULARY) -> bytes
     return b"".join(map(token_bytes(vocabulary).__getitem__, ids))
 
 
+def bytes_of_array(ids: pa.Array | None, vocabulary: str = VOCABULARY) -> bytes:
+    """The bytes of one row's ids, of which few at a time are Python's integers."""
+    return b"".join(bytes_of(ids.slice(i, IDS_AT_ONCE).to_pylist(), vocabulary) for i in range(0, 0 if ids is None else len(ids), IDS_AT_ONCE))
+
+
 def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, bytes_col: str | None = None) -> DataFrame:
     """The rows with ``ids_col``, and the bytes that the ids decode to if asked for, in place of ``text_col``; one task holds each text whole."""
     rest = [c for c in df.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
@@ -123,6 +134,32 @@ def encode_rows(df: DataFrame, text_col: str, ids_col: str, vocabulary: str, byt
     return df.mapInArrow(run, schema)
 
 
+def cut_texts(batches: Iterator[pa.RecordBatch], chunk_chars: int, overlap_chars: int, everywhere: bool) -> Iterator[pa.RecordBatch]:
+    """(row, n, k, start, piece, rest): the overlapping chunks of each text of (row, rest, text), a few at a time."""
+    step = chunk_chars - overlap_chars
+    for big in batches:
+        for batch in slices(big, "text"):
+            texts = strings(batch.column("text"))
+            sizes = [len(range(0, max(1, len(x) - overlap_chars), step)) for x in texts]
+            for some in batched(((i, k) for i, n in enumerate(sizes) for k in range(n)), CHUNKS_AT_ONCE):
+                numbers = [pa.array(x, pa.int32()) for x in ([sizes[i] for i, _ in some], [k for _, k in some], [k * step for _, k in some])]
+                own = pa.array([texts[i][k * step : k * step + chunk_chars] for i, k in some], pa.string())
+                row = batch.column("row").take(pa.array([i for i, _ in some], pa.int64()))
+                rest = batch.column("rest").take(pa.array([i if everywhere or k == 0 else None for i, k in some], pa.int64()))
+                yield pa.RecordBatch.from_arrays([row, *numbers, own, rest], ["row", "n", "k", "start", "piece", "rest"])
+
+
+def ends_of(batches: Iterator[pa.RecordBatch], overlap_chars: int) -> Iterator[pa.RecordBatch]:
+    """The chunks with ``e``, the boundaries inside their overlaps, in place of the piece."""
+    for big in batches:
+        for batch in slices(big, "piece"):
+            whole_end = (k == n - 1 for k, n in zip(batch.column("k").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            found = ((len(x), boundaries(x, y)) for x, y in zip(strings(batch.column("piece")), whole_end, strict=True))
+            e = list_array([e[(e < overlap_chars) | (e >= n - overlap_chars)] for n, e in found], pa.int32())
+            names = ["row", "k", "n", "start", "size"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), e], [*names, "e"])
+
+
 def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, everywhere: bool = False) -> tuple[DataFrame, DataFrame]:
     """(row, rest, k, last, piece): each text as the pieces that may be encoded apart; and the table of chunks, to be deleted once these are read.
 
@@ -131,23 +168,6 @@ def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap
     if chunk_chars <= 2 * overlap_chars or overlap_chars < 4 * GUARD_CHARS:
         raise ValueError("a chunk must be longer than two overlaps, an overlap than four guards")
     rest = [c for c in df.columns if c.lower() != text_col.lower()]
-    step = chunk_chars - overlap_chars
-
-    @F.arrow_udf("array<struct<k:int,start:int,piece:string>>")
-    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("piece", pa.string())]))
-        for column in texts:
-            out = []
-            for x in strings(column):
-                starts = range(0, max(1, len(x) - overlap_chars), step)
-                out.append([{"k": k, "start": s, "piece": x[s : s + chunk_chars]} for k, s in enumerate(starts)])
-            yield pa.array(out, kind)
-
-    @F.arrow_udf("array<int>")
-    def ends(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for piece, last in columns:
-            found = ((len(x), boundaries(x, y)) for x, y in zip(strings(piece), last.to_pylist(), strict=True))
-            yield list_array([e[(e < overlap_chars) | (e >= n - overlap_chars)] for n, e in found], pa.int32())
 
     text = F.col(f"`{text_col}`")
     is_long = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
@@ -155,11 +175,12 @@ def pieces(df: DataFrame, text_col: str, chunk_chars: int = CHUNK_CHARS, overlap
     short = rows.where("not is_long").select(F.monotonically_increasing_id().alias("row"), "rest", F.lit(0).alias("k"), F.lit(True).alias("last"), F.coalesce("text", F.lit("")).alias("piece"))
 
     # The number of a row is made once and kept: the chunks are read from the written table. Negative, so that no short text has it.
-    cuts = rows.where("is_long").select("rest", cut("text").alias("chunks"), (-1 - F.monotonically_increasing_id()).alias("row"))
-    cuts = cuts.select("row", "rest", F.size("chunks").alias("n"), F.explode("chunks").alias("c"))
-    chunks = written(cuts.select("row", "n", "c.k", "c.start", "c.piece", F.when((F.col("c.k") == 0) | F.lit(everywhere), F.col("rest")).alias("rest")), "bpe-chunks")
+    cuts = rows.where("is_long").select((-1 - F.monotonically_increasing_id()).alias("row"), "rest", "text")
+    made = T.StructType([T.StructField("row", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("n", "k", "start")], T.StructField("piece", T.StringType()), T.StructField("rest", cuts.schema["rest"].dataType)])
+    chunks = written(cuts.mapInArrow(lambda batches: cut_texts(batches, chunk_chars, overlap_chars, everywhere), made), "bpe-chunks")
 
-    met = chunks.select("row", "k", "n", "start", F.length("piece").alias("size"), ends("piece", F.col("k") == F.col("n") - 1).alias("e"))
+    met = chunks.select("row", "k", "n", "start", F.length("piece").alias("size"), "piece")
+    met = met.mapInArrow(lambda batches: ends_of(batches, overlap_chars), "row long, k int, n int, start int, size int, e array<int>")
     met = met.select("row", "k", "n", "start", "size", F.transform(F.filter("e", lambda x: x < overlap_chars), lambda x: x + F.col("start")).alias("left"), F.transform(F.filter("e", lambda x: x >= F.col("size") - overlap_chars), lambda x: x + F.col("start")).alias("right"))
     order = Window.partitionBy("row").orderBy("k")
     met = met.withColumn("cut", F.array_min(F.array_intersect("right", F.lead("left").over(order))))
@@ -194,10 +215,8 @@ def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded"
     @F.arrow_udf("binary")
     def joined(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            out = []
-            for i in range(0, len(column), 256):
-                out += [bytes_of(x or [], vocabulary) for x in column.slice(i, 256).to_pylist()]
-            yield pa.array(out, pa.binary())
+            yield pa.array((bytes_of_array(x.values, vocabulary) for x in column), pa.binary())
+            give_back()
 
     return df.withColumn(bytes_col, joined(F.col(f"`{ids_col}`")))
 
