@@ -61,17 +61,32 @@ def test_similar_is_whole(spark, least, letters):
     assert {r.q: r.s for r in search.top_hits(q, s, least).collect()} == best
 
 
-def test_pieces_of_a_search_are_no_broadcast(spark):
+def no_broadcast_of_pieces(found):
     """Few sequences are small until they are cut; their pieces are dealt to all tasks and stay off the driver."""
-    rows = spark.range(400).selectExpr("id", "translate(concat(md5(id || ''), md5(id || 'x')), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS seq")
-    found = search.similar(rows.where("id % 2 = 0"), rows)
-    assert sorted((r.q, r.s, r.distance) for r in found.collect()) == [(i, i, 0) for i in range(0, 400, 2)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in x]
     assert not [x for x in joins if "BroadcastHashJoin" in x and ("gram" in x or "piece" in x)]
     assert len([x for x in joins if "SortMergeJoin" in x and "piece" in x]) == 2
 
 
+def some_proteins(spark):
+    return spark.range(400).selectExpr("id", "translate(concat(md5(id || ''), md5(id || 'x')), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') AS seq")
+
+
+def test_pieces_of_a_search_are_no_broadcast(spark):
+    rows = some_proteins(spark)
+    found = search.similar(rows.where("id % 2 = 0"), rows)
+    assert sorted((r.q, r.s, r.distance) for r in found.collect()) == [(i, i, 0) for i in range(0, 400, 2)]
+    no_broadcast_of_pieces(found)
+
+
+def test_pieces_of_top_hits_are_no_broadcast(spark):
+    rows = some_proteins(spark)
+    found = search.top_hits(rows.where("id % 2 = 1"), rows)
+    assert sorted((r.q, r.s, r.identity) for r in found.collect()) == [(i, i, 1.0) for i in range(1, 400, 2)]
+    no_broadcast_of_pieces(found)
+
+
 def test_search_of_empty_tables(spark):
     none = spark.createDataFrame([], "id long, seq string")
     some = spark.createDataFrame([(1, "ACGT")], "id long, seq string")
