@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,16 +91,17 @@ def genome_profile(spark: SparkSession, settings: Settings, workspace: str) -> N
     genes = text.where(F.col("value").rlike(r"^\d+\.\.\d+\t")).select("genome", loc[0].cast("long").alias("start"), loc[1].cast("long").alias("end"), parts[1].alias("strand"), F.try_element_at(parts, F.lit(4)).alias("gene_id"))
     genes = genes.where("start <= end").withColumn("ord", F.struct("start", "end", "gene_id"))
     store = reference.stored_fasta(spark, sequences)
-    store = store.withColumn("accession", P.accession(F.col("accession")))
+    store = written(store.withColumn("accession", P.accession(F.col("accession"))), "store")
     spans = genes.select(F.struct("genome", "gene_id", "start", "end").alias("k"), F.col("genome").alias("accession"), (F.col("start") - 1).alias("start"), "end")
     cut = reference.sliced(store, spans, "k").select("k.genome", "k.gene_id", "k.start", "k.end", "text")
-    sites = G.gene_sites(genes.join(cut, ["genome", "gene_id", "start", "end"]))
+    sites = G.gene_sites(genes.join(cut.hint("merge"), ["genome", "gene_id", "start", "end"]))
     plus = F.substr("text", (F.col("pos") - F.col("start") + 1).cast("int"), F.lit(1))
     sites = sites.withColumn("base", F.when(F.col("strand") == "-", Q.reverse_complement(plus)).otherwise(plus))
-    kinds = G.codon_profile(sites, Q.fourfold(), False).select("genome", (F.col("pos") - 1).alias("pos"), F.col("pos_type").cast("int").alias("pos_type"))
+    kinds = written(G.codon_profile(sites, Q.fourfold(), False).select("genome", (F.col("pos") - 1).alias("pos"), F.col("pos_type").cast("int").alias("pos_type")), "kinds")
     # A profile is as long as its sequence: its last place is there even where it is non-coding.
     last = reference.lengths(store).select(F.col("accession").alias("genome"), (F.col("length") - 1).alias("pos"), F.lit(Q.NON_CODING).alias("pos_type"))
-    sinks.position_profile(kinds.unionByName(last.join(kinds, ["genome", "pos"], "left_anti")), joined(base, "profiles"))
+    sinks.position_profile(kinds.unionByName(last.join(kinds.hint("merge"), ["genome", "pos"], "left_anti")), joined(base, "profiles"))
+    delete(store, kinds)
 
 
 def cov_reads(spark: SparkSession, settings: Settings, workspace: str) -> None:
@@ -163,15 +165,19 @@ def cov_genomes(spark: SparkSession, settings: Settings, workspace: str) -> None
     chromosomes = G.chromosomes(rows)
     species = [r["species"] for r in rows.select("species").distinct().orderBy("species").collect()]
     members = written(_families(spark, settings, workspace, species, positions), "members")
-    sequences = reference.stored_fasta(spark, present(base, chromosomes, (".fna",)))
-    profiles = reference.stored_profile(spark, joined(base, "profiles"))
-    places = written(A.reference_places(members, chromosomes, sequences, profiles), "places")
+    sequences = written(reference.stored_fasta(spark, present(base, chromosomes, (".fna",))), "store")
+    profiles = written(reference.stored_profile(spark, joined(base, "profiles")), "store")
+    places = A.reference_places(members, chromosomes, sequences, profiles)
     subs = written(A.substitutions(members, places, positions), "subs")
-    parts = X.states(subs, settings.cov_maxl).select("aln.k.*", "aln.function", "aln.position", "kind", "lag", *X.SUMS)
-    types = A.kinds_of(members, rows.groupBy("species").agg(F.count_distinct("strain").alias("strains")))
+    types = written(A.kinds_of(members, rows.groupBy("species").agg(F.count_distinct("strain").alias("strains"))), "types")
     keys = ["species", "accession", "function", "position", "type"]
-    found = written(X.finished(X.merged(parts.join(types, A.FAMILY), keys)), "results")
-    delete(places, subs)
+    # A kind at a time: the driver plans and compiles all stages of a job at once.
+    merged = []
+    for part in X.states_by_kind(subs, settings.cov_maxl).values():
+        part = part.select("aln.k.*", "aln.function", "aln.position", "kind", "lag", *X.SUMS)
+        merged.append(written(X.merged(part.join(types.hint("merge"), A.FAMILY), keys), "states"))
+    found = X.finished(reduce(DataFrame.unionByName, merged))
+    delete(sequences, profiles, places, subs)
     step = F.when(F.col("position") == 0, 1).otherwise(3)
     kept = found.withColumn("step", step).where((F.col("kind") != "Ks") & (F.col("lag") % F.col("step") == 0) & (F.floor(F.col("lag") / F.col("step")) < F.floor(F.lit(settings.cov_maxl) / F.col("step"))))
     kept = kept.select(*keys, "kind", F.floor(F.col("lag") / F.col("step")).cast("int").alias("lag"), "value", F.col("n").alias("obs"))

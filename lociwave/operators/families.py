@@ -9,6 +9,7 @@ from lociwave.functions import sequence as Q
 from lociwave.operators import fragments as P
 from lociwave.operators.align import PAIRS
 from lociwave.sources import reference
+from lociwave.sources.scratch import delete, written
 
 FAMILY = ["species", "expanded", "family_id"]
 #: Functions over aligned families by the names of their results.
@@ -26,8 +27,8 @@ def reference_places(members: DataFrame, genomes: DataFrame, sequences: DataFram
     """k (FAMILY, accession, idx of a reference record), at (column of the alignment), pos (letter of the record), ref, kind.
 
     A family's reference records are those of the genomes (species, accession).
-    Their letters without gaps are held against the stored sequence at their
-    location; places up to the first mismatch count, and a record with fewer than
+    Written. Their letters without gaps are held against the stored sequence at
+    their location; places up to the first mismatch count, and a record with fewer than
     half of its aligned length is left out. On the reverse strand the stored
     letters are complemented and turned; a location that wraps around the origin
     is taken as it stands, as the original does.
@@ -39,13 +40,15 @@ def reference_places(members: DataFrame, genomes: DataFrame, sequences: DataFram
     spans = refs.select("k", "accession", (F.col("from") - 1).alias("start"), F.col("to").alias("end"))
     keyed = lambda store: reference.circular(store.withColumn("accession", P.accession(F.col("accession"))), spans, "k")
     turned = (F.col("strand") == "-") & (F.col("to") > F.col("from") - 1)
-    rows = refs.join(keyed(sequences).withColumnRenamed("text", "seq"), "k").join(keyed(profiles).withColumnRenamed("text", "kinds"), "k")
+    rows = refs.join(keyed(sequences).withColumnRenamed("text", "seq").hint("merge"), "k").join(keyed(profiles).withColumnRenamed("text", "kinds").hint("merge"), "k")
     rows = rows.select("k", F.when(turned, Q.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(turned, F.reverse("kinds")).otherwise(F.col("kinds")).alias("kinds"))
     rows = rows.select("k", F.posexplode(F.arrays_zip(F.split("seq", "").alias("own"), F.split("kinds", "").alias("kind"))).alias("pos", "s"))
-    both = sites.join(rows.select("k", "pos", "s.own", F.col("s.kind").cast("int").alias("kind")), ["k", "pos"])
+    both = written(sites.join(rows.select("k", "pos", "s.own", F.col("s.kind").cast("int").alias("kind")).hint("merge"), ["k", "pos"]), "letters")
     # The first mismatch, or how many places both have.
     last = both.groupBy("k").agg(F.coalesce(F.min(F.when(F.col("own") != F.col("ref"), F.col("pos"))), F.count(F.lit(1))).alias("prefix"))
-    return both.join(last, "k").where("pos < prefix and prefix >= half").select("k", "at", "pos", "ref", "kind")
+    places = written(both.join(last.hint("merge"), "k").where("pos < prefix and prefix >= half").select("k", "at", "pos", "ref", "kind"), "places")
+    delete(both)
+    return places
 
 
 def substitutions(members: DataFrame, places: DataFrame, positions: list[int]) -> DataFrame:
@@ -58,7 +61,7 @@ def substitutions(members: DataFrame, places: DataFrame, positions: list[int]) -
     wanted = F.array_compact(F.array(*[F.when(F.col("kind").isin(*P._kinds(p)) & (F.col("k.expanded") == F.lit(p == 0)), F.lit(p)) for p in positions]))
     own = places.select(*[F.col(f"k.{c}").alias(c) for c in FAMILY], "at", "k", "pos", "ref", F.explode(wanted).alias("position"))
     rows = members.select(*FAMILY, F.col("idx").alias("row"), F.col("accession").alias("genome"), F.posexplode(F.split("nucl", "")).alias("at", "letter"))
-    sites = own.join(rows, [*FAMILY, "at"]).select(F.struct("k", "position").alias("aln"), "row", "genome", "pos", "letter", "ref", F.col("k.accession").alias("ref_genome"))
+    sites = own.join(rows.hint("merge"), [*FAMILY, "at"]).select(F.struct("k", "position").alias("aln"), "row", "genome", "pos", "letter", "ref", F.col("k.accession").alias("ref_genome")).hint("merge")
     out = None
     for name, pairs in FUNCTIONS.items():
         found = PAIRS[pairs](sites)

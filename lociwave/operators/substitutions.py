@@ -31,11 +31,16 @@ def ks(subs: DataFrame, sample: bool = True) -> DataFrame:
 
 def total_correlation(subs: DataFrame, maxl: int) -> DataFrame:
     """lag, ct, mean_xy, n over pairs of known places of one row; lag 0 pairs each place with itself."""
-    rows = band_join(subs.where("x is not null"), ["aln", "row"], "pos", maxl)
+    rows = _pairs(subs.where("x is not null"), maxl)
     x, y = F.col("x_a"), F.col("x_b")
     return rows.groupBy("lag").agg(covariance(x, y).alias("ct"), F.avg(x * y).alias("mean_xy"), F.count(F.lit(1)).alias("n"))
 
 
+def _pairs(known: DataFrame, maxl: int) -> DataFrame:
+    """Pairs of places of one row. Keys repeat so often that their shuffled bytes say little of a table in memory, so the join is never a broadcast."""
+    return band_join(known.hint("merge"), ["aln", "row"], "pos", maxl)
+
+
 def _structure(subs: DataFrame, maxl: int, least_rows: int) -> DataFrame:
     """aln, lag, c: for each pair of places the covariance across the rows of an alignment of at least ``least_rows``.
 
@@ -43,15 +48,15 @@ def _structure(subs: DataFrame, maxl: int, least_rows: int) -> DataFrame:
     takes its pairs with it.
     """
     size = subs.groupBy("aln").agg(F.count_distinct("row").alias("rows"), F.min("row").alias("first")).where(F.col("rows") >= least_rows)
-    known = subs.where("x is not null").join(size, "aln")
+    known = subs.where("x is not null").join(size.hint("merge"), "aln")
     places = known.groupBy("aln", "pos", "rows").agg(F.count(F.lit(1)).alias("m"), F.max((F.col("row") == F.col("first")).cast("int")).alias("lead")).where("lead = 1 and m = rows")
-    rows = band_join(known.join(places.select("aln", "pos"), ["aln", "pos"]).select("aln", "row", "pos", "x"), ["aln", "row"], "pos", maxl)
+    rows = _pairs(known.join(places.select("aln", "pos").hint("merge"), ["aln", "pos"]).select("aln", "row", "pos", "x"), maxl)
     return rows.groupBy("aln", "pos_a", "pos_b", "lag").agg(F.covar_pop("x_a", "x_b").alias("c")).select("aln", "lag", "c")
 
 
 def _mutation(subs: DataFrame, maxl: int, least_pairs: int) -> DataFrame:
     """aln, lag, c: for each row and lag the covariance along places with at least ``least_pairs`` pairs."""
-    rows = band_join(subs.where("x is not null"), ["aln", "row"], "pos", maxl)
+    rows = _pairs(subs.where("x is not null"), maxl)
     per = rows.groupBy("aln", "row", "lag").agg(F.covar_pop("x_a", "x_b").alias("c"), F.count(F.lit(1)).alias("m")).where(F.col("m") >= least_pairs)
     return per.select("aln", "lag", "c")
 
@@ -81,6 +86,24 @@ def rate_correlation(subs: DataFrame, maxl: int, least_pairs: int = 4) -> DataFr
 SUMS = ("n", "sx", "sy", "sxy")
 
 
+def states_by_kind(subs: DataFrame, maxl: int, least_rows: int = 4, least_pairs: int = 4) -> dict[str, DataFrame]:
+    """The states of :func:`states`, a table for each kind, so that a long table can be gone through a kind at a time."""
+
+    def sums(rows: DataFrame, kind: str, x: Column, y: Column) -> DataFrame:
+        per = rows.groupBy("aln", "lag").agg(F.count(x * y).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"))
+        return per.where("n > 0").select("aln", F.lit(kind).alias("kind"), F.col("lag").cast("long").alias("lag"), *SUMS)
+
+    known, c = subs.where("x is not null"), F.col("c")
+    tables = {
+        "Ks": (known.withColumn("lag", F.lit(0)), F.col("x"), F.col("x")),
+        "Ct": (_pairs(known, maxl), F.col("x_a"), F.col("x_b")),
+        "Cs": (_structure(subs, maxl, least_rows), c, c),
+        "Cm": (_mutation(subs, maxl, least_pairs), c, c),
+        "Cr": (_mutation(_rows_mean(subs), maxl, least_pairs), c, c),
+    }
+    return {kind: sums(rows, kind, x, y) for kind, (rows, x, y) in tables.items()}
+
+
 def states(subs: DataFrame, maxl: int, least_rows: int = 4, least_pairs: int = 4) -> DataFrame:
     """aln, kind, lag and the sums from which every statistic of an alignment follows, however many are put together.
 
@@ -88,20 +111,9 @@ def states(subs: DataFrame, maxl: int, least_rows: int = 4, least_pairs: int = 4
     Cs, Cm and Cr the covariances of ``structure_correlation``,
     ``mutation_correlation`` and ``rate_correlation`` and their squares.
     """
-
-    def sums(rows: DataFrame, kind: str, x: Column, y: Column) -> DataFrame:
-        per = rows.groupBy("aln", "lag").agg(F.count(x * y).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"))
-        return per.where("n > 0").select("aln", F.lit(kind).alias("kind"), F.col("lag").cast("long").alias("lag"), *SUMS)
-
-    known, c = subs.where("x is not null"), F.col("c")
-    out = sums(known.withColumn("lag", F.lit(0)), "Ks", F.col("x"), F.col("x"))
-    for kind, rows, x, y in (
-        ("Ct", band_join(known, ["aln", "row"], "pos", maxl), F.col("x_a"), F.col("x_b")),
-        ("Cs", _structure(subs, maxl, least_rows), c, c),
-        ("Cm", _mutation(subs, maxl, least_pairs), c, c),
-        ("Cr", _mutation(_rows_mean(subs), maxl, least_pairs), c, c),
-    ):
-        out = out.unionByName(sums(rows, kind, x, y))
+    out, *rest = states_by_kind(subs, maxl, least_rows, least_pairs).values()
+    for part in rest:
+        out = out.unionByName(part)
     return out
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lociwave import flows
+from lociwave.operators import substitutions as X
 from lociwave.sources import readers
 from lociwave.sources.config import settings
 
@@ -155,3 +156,12 @@ def test_both_layouts(spark, tmp_path):
         got = [(r["id"], r["idx"], r["nucl"], r["loc"]["From"]) for r in rows]
         assert got == ([] if name == "none" else [("r1", 0, "AT", 1), ("r2", 1, "", 2), ("r3", 0, "G-", 3)])
         assert len({r["family_id"] for r in rows}) == (0 if name == "none" else 2)
+
+
+def test_states_are_no_broadcast(spark):
+    """Keys of alignments repeat and shuffle as few bytes; the tables behind them don't go through the driver."""
+    subs = spark.range(2000).selectExpr("struct(id % 5 AS k, 'a function' AS function) AS aln", "id % 20 AS row", "id div 20 AS pos", "CAST(hash(id) % 2 = 0 AS double) AS x")
+    found = X.states(subs, 9)
+    assert {r.kind for r in found.collect()} == {"Ks", "Ct", "Cs", "Cm", "Cr"}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
