@@ -417,6 +417,24 @@ def test_proper_pairs_go_in_twos(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("y", 500, 502)]
 
 
+def test_mates_of_many_names_share_states(spark, tmp_path):
+    """A state and a call of Python for each bucket of names; names wait over batches, one without a name among them."""
+    from lociwave.streaming import mates
+
+    shape = "name long, ord long, flags int, mapq int, cigar array<struct<op:string,len:int>>, pos long, seq string"
+    names = [None, *range(1 << 60, (1 << 60) + 2000)]
+    record = lambda i, name: (name, i, 3, 30, [("M", 4)], 7, "ACGT")
+    for k, rows in enumerate(([record(i, x) for i, x in enumerate(names)], [record(5000 + i, x) for i, x in enumerate(reversed(names))])):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    sink = mates.proper_pairs(stream, 10, buckets=16).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+    run = sink.outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 16
+    found = {tuple(r) for r in spark.read.schema("name long, left_ord long, right_ord long").parquet(f"{tmp_path}/out").collect()}
+    assert found == {(x, i, 5000 + len(names) - 1 - i) for i, x in enumerate(names)}
+
+
 def test_streaming_pileup(spark, tmp_path):
     from lociwave.streaming.pileup import site_depths
 
