@@ -25,11 +25,8 @@ OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 _CHUNK = 1 << 20
 
 
-def scanned(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(places of braces outside of strings, 1 or -1 for each, the state behind the bytes)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), state
-    carried = int(state == ESCAPED)
+def _marks(data: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """(places of braces, whether an odd number of quotes stands before each, number of quotes, whether an escape is open behind the bytes)."""
     slashes = np.flatnonzero(data == ord("\\"))
     heads = slashes[np.diff(slashes, prepend=-2) != 1]
 
@@ -43,25 +40,43 @@ def scanned(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
 
     quotes = np.flatnonzero(data == ord('"'))
     quotes = quotes[~odd_before(quotes)]
-    inside = int(state != OUTSIDE)
     braces = np.flatnonzero((data == ord("{")) | (data == ord("}")))
-    braces = braces[(inside + np.searchsorted(quotes, braces)) % 2 == 0]
+    return braces, np.searchsorted(quotes, braces) % 2 == 1, len(quotes), bool(odd_before(np.array([len(data)]))[0])
+
+
+def scanned(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places of braces outside of strings, 1 or -1 for each, the state behind the bytes)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), state
+    braces, odd, quotes, escape = _marks(data, int(state == ESCAPED))
+    braces = braces[odd == (state != OUTSIDE)]
     now = OUTSIDE
-    if (inside + len(quotes)) % 2:
-        now = ESCAPED if odd_before(np.array([len(data)]))[0] else INSIDE
+    if (quotes + (state != OUTSIDE)) % 2:
+        now = ESCAPED if escape else INSIDE
     return braces, np.where(data[braces] == ord("{"), 1, -1), now
 
 
+def changes(data: np.ndarray) -> list[tuple[int, int]]:
+    """For each first state the one behind the bytes and the change of depth; the bytes are gone through once unless they begin with what an escape changes."""
+    braces, odd, quotes, escape = _marks(data, 0)
+    signs = np.where(data[braces] == ord("{"), 1, -1)
+    within = ESCAPED if escape else INSIDE
+    out = [(within if (quotes + inside) % 2 else OUTSIDE, int(signs[odd == bool(inside)].sum())) for inside in (0, 1)]
+    if data[0] in b'\\"':
+        _, signs, state = scanned(data, ESCAPED)
+        return [*out, (state, int(signs.sum()))]
+    return [*out, out[INSIDE]]
+
+
 def effects(file: str, start: int, stop: int) -> tuple[list[int], list[int]]:
     """For each first state of a range its last one, and the change of depth."""
     states, depths = [OUTSIDE, INSIDE, ESCAPED], [0, 0, 0]
     with opened(file) as f:
         f.seek(start)
         for at in range(start, stop, _CHUNK):
-            data = np.frombuffer(f.read(min(_CHUNK, stop - at)), np.uint8)
-            for i in range(3):
-                _, signs, states[i] = scanned(data, states[i])
-                depths[i] += int(signs.sum())
+            found = changes(np.frombuffer(f.read(min(_CHUNK, stop - at)), np.uint8))
+            depths = [d + found[s][1] for d, s in zip(depths, states, strict=True)]
+            states = [found[s][0] for s in states]
     return states, depths
 
 
@@ -120,12 +135,19 @@ def objects(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE
                         held, size = [], 0
                 yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.string())})
 
-    ranges = byte_ranges(spark, path, range_bytes).mapInArrow(first, "file string, length long, start long, stop long, states array<int>, depths array<long>").collect()
-    known, state, depth, own = [], OUTSIDE, 0, None
-    for r in sorted(ranges, key=lambda r: (r["file"], r["start"])):
-        if r["file"] != own:
-            own, state, depth = r["file"], OUTSIDE, 0
-        known.append((r["file"], r["length"], r["start"], r["stop"], state, depth))
-        state, depth = r["states"][state], depth + r["depths"][state]
-    table = spark.createDataFrame(known, "file string, length long, start long, stop long, state int, depth long")
-    return (table.repartition(len(known), "file", "start") if known else table).mapInArrow(second, "value string")
+    # Ranges are a few bytes in a shuffle and much work in a task, so their number of tasks is given; they are fewer than the ranges.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = byte_ranges(spark, path, range_bytes).repartition(tasks, "file", "start")
+    ranges = ranges.mapInArrow(first, "file string, length long, start long, stop long, states array<int>, depths array<long>").toArrow().sort_by([("file", "ascending"), ("start", "ascending")])
+    if not ranges.num_rows:
+        return spark.createDataFrame([], "value string")
+    states, depths, state, depth, own = [], [], OUTSIDE, 0, None
+    for file, after, change in zip(*(ranges.column(c).to_pylist() for c in ("file", "states", "depths")), strict=True):
+        if file != own:
+            own, state, depth = file, OUTSIDE, 0
+        states.append(state)
+        depths.append(depth)
+        state, depth = after[state], depth + change[state]
+    known = ranges.drop_columns(["states", "depths"]).append_column("state", pa.array(states, pa.int32())).append_column("depth", pa.array(depths, pa.int64()))
+    tasks = min(len(states), max(tasks, -(-len(states) * range_bytes // RANGE_BYTES)))
+    return spark.createDataFrame(known).repartition(tasks, "file", "start").mapInArrow(second, "value string")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from lociwave.sources import json_stream, readers
@@ -53,3 +54,19 @@ def test_reader(spark, tmp_path):
     for size in (50, 1 << 20):
         found = sorted((r.Position, r.Genome, r.Pi, r.Alleles["A"]) for r in readers.diversity_json(spark, f"{tmp_path}/*.json", size).collect())
         assert found == [(r["Position"], r["Genome"], r["Pi"], r["Alleles"]["A"]) for r in rows]
+
+
+def test_changes_are_those_of_each_state():
+    draw = np.random.default_rng(5)
+    for n in [1, 2, 3, 5, 40] * 200:
+        data = draw.choice(np.frombuffer(b'\\\\\\"{}a', np.uint8), n)
+        want = [json_stream.scanned(data, s) for s in (json_stream.OUTSIDE, json_stream.INSIDE, json_stream.ESCAPED)]
+        assert json_stream.changes(data) == [(state, int(signs.sum())) for _, signs, state in want]
+
+
+def test_many_ranges_are_few_tasks(spark, tmp_path):
+    """Ranges far smaller than a task's share: no task for each of them."""
+    (tmp_path / "x.json").write_text("".join(json.dumps({"a": f'}}{{"{i}\\'}) for i in range(2000)))
+    found = json_stream.objects(spark, f"{tmp_path}/x.json", 64)
+    assert found.rdd.getNumPartitions() <= 8
+    assert sorted(json.loads(r.value)["a"] for r in found.collect()) == sorted(f'}}{{"{i}\\' for i in range(2000))
