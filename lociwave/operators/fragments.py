@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from lociwave.functions import sequence as Q
 from lociwave.operators import sites as S
+from lociwave.operators.reads import _bytes
 from lociwave.sources import reference
 from lociwave.sources.scratch import delete, written
 
 #: Cells of one matrix of fragments by places in a task, and how many profiles a task adds up before it gives them out.
 CELLS, PROFILES = 1 << 22, 256
+#: Places of a fragment that go to one task together when fragments are held against each other.
+PIECE = 256
 _NUCLEOTIDE = np.isin(np.arange(256), list(b"ATGCatgc"))
 
 
@@ -126,13 +129,107 @@ def against_reads(rows: DataFrame, positions: list[int], maxl: int) -> DataFrame
     work grows with the fragments and not with their squares. All pairs count that
     share a known place, also those that a scan back over right ends would miss
     because a later fragment ends earlier.
+
+    Fragments are dealt by ranges of their starts, so a task counts a stretch of the
+    genome, a window of bounded size at a time, and gives out sums by lag. Only pairs
+    of places that another range may touch leave it as counts, which are put together.
+    Fragments longer than ``PIECE`` go as pieces, each with the places behind it that
+    its own pair with.
     """
-    letters, kinds = F.split("letters", ""), F.split("kinds", "")
-    one = rows.select("accession", F.col("name").alias("read_id"), "start", F.posexplode(F.arrays_zip(letters.alias("base"), kinds.alias("kind"))))
-    own = F.array_compact(F.array(*[F.when(F.col("col.kind").cast("int").isin(*_kinds(p)), F.lit(p)) for p in positions]))
-    bases = one.where(Q.is_nucleotide(F.col("col.base"))).select("accession", F.explode(own).alias("position"), "read_id", (F.col("start") + F.col("pos")).alias("pos"), F.col("col.base").alias("base"))
-    pairs = S.read_pair_covariance(bases, ["accession", "position"], maxl, 2)
-    return pairs.groupBy("accession", "position", F.col("lag").cast("long").alias("lag")).agg(F.sum("pairs").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxy")])
+    at = F.explode(F.sequence(F.lit(0), F.length("letters") - 1, F.lit(PIECE)))
+    one = rows.where("letters <> '' and kinds <> ''").select("accession", "start", F.regexp_replace("letters", "[^\\x00-\\x7F]", "*").alias("letters"), "kinds", at.alias("at"))
+    cut = [F.substr(c, F.col("at") + 1, F.lit(PIECE + maxl - 1)).alias(c) for c in ("letters", "kinds")]
+    one = one.select("accession", (F.col("start") + F.col("at")).alias("start"), *cut)
+    letters = b"ATGCatgc" if one.where(F.col("letters").rlike("[atgc]")).limit(1).count() else b"ATGC"
+    codes = np.full(256, 255, np.uint8)
+    codes[list(letters)] = range(len(letters))
+    base, window = len(letters), max(PIECE, CELLS // (maxl * len(letters) ** 2 * max(1, len(positions))))
+    names = [chr(x) for x in letters]
+    pairs = lambda n: n * (n - 1) // 2
+
+    def counted(out: np.ndarray, starts: np.ndarray, texts: pa.RecordBatch) -> None:
+        """Adds the pairs of letters of some fragments to out (position, place, lag, letter, letter); starts count from its first place."""
+        (own, first), (kind, kind_first) = (_bytes(texts.column(c)) for c in ("letters", "kinds"))
+        n = np.minimum(np.diff(first), np.diff(kind_first))
+        read = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(read)) - np.repeat(np.cumsum(n) - n, n)
+        code, kind = codes[own[first[read] + j]], kind[kind_first[read] + j] - ord("0")
+        for i, position in enumerate(positions):
+            known = np.flatnonzero((code < base) & np.isin(kind, _kinds(position)))
+            r, x, inside, c = read[known], j[known], starts[read[known]] + j[known], code[known].astype(np.int64)
+            keys = [np.zeros(0, np.int64)]
+            for d in range(maxl):
+                m = len(known) - d
+                met = np.flatnonzero((r[d:] == r[:m]) & (x[d:] - x[:m] < maxl) & (x[:m] < PIECE)) if m > 0 else ()
+                if not len(met):
+                    break
+                keys.append(((inside[met] * maxl + x[met + d] - x[met]) * base + c[met]) * base + c[met + d])
+            keys = np.concatenate(keys)
+            if len(keys):
+                low = keys.min()
+                found = np.bincount(keys - low)
+                out[i].reshape(-1)[low : low + len(found)] += found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, begun, last = None, 0, 0, 0
+        held = np.zeros((len(positions), window + PIECE, maxl, base, base), np.int64)
+        total = np.zeros((len(positions), maxl, 4), np.int64)
+
+        def given(k: int, end: bool) -> Iterator[pa.RecordBatch]:
+            """The first k places of the window, which are complete in this task."""
+            places = at + np.arange(k)
+            edge = (places < begun + PIECE) | (end & (places > last))
+            for i, position in enumerate(positions):
+                some = held[i, :k].sum((2, 3))
+                place, lag = np.nonzero((some > 1) & ~edge[:, None])
+                c = held[i, place, lag]
+                n, x, y = pairs(some[place, lag]), pairs(c.sum(2)).sum(1), pairs(c.sum(1)).sum(1)
+                np.add.at(total[i], lag, np.stack([n, n - x, n - y, n - x - y + pairs(c).sum((1, 2))], 1))
+                rim = np.flatnonzero(edge)
+                place, lag, a, b = np.nonzero(held[i, rim])
+                if len(place):
+                    place = rim[place]
+                    shown = {"accession": pa.array([own] * len(place), pa.string()), "position": pa.array([position] * len(place), pa.int32()), "pos_a": places[place], "lag": lag}
+                    yield pa.RecordBatch.from_pydict(shown | {"base_a": [names[x] for x in a], "base_b": [names[x] for x in b], "n": held[i, place, lag, a, b]} | {c: pa.nulls(len(place), pa.int64()) for c in ("sx", "sy", "sxy")})
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            yield from given(held.shape[1], True)
+            i, lag = np.nonzero(total[:, :, 0])
+            if len(i):
+                none = {"pos_a": pa.nulls(len(i), pa.int64()), "lag": lag, "base_a": pa.nulls(len(i), pa.string()), "base_b": pa.nulls(len(i), pa.string())}
+                yield pa.RecordBatch.from_pydict({"accession": pa.array([own] * len(i), pa.string()), "position": pa.array([positions[x] for x in i], pa.int32())} | none | {c: total[i, lag, k] for k, c in enumerate(("n", "sx", "sy", "sxy"))})
+            held[:], total[:] = 0, 0
+
+        for batch in batches:
+            accessions, starts = batch.column("accession").to_pylist(), batch.column("start").to_numpy()
+            i = 0
+            while i < len(starts):
+                if accessions[i] != own:
+                    if own is not None:
+                        yield from finished()
+                    own, at, begun = accessions[i], int(starts[i]), int(starts[i])
+                elif starts[i] >= at + window:
+                    k = min(int(starts[i]) - at, held.shape[1])
+                    yield from given(k, False)
+                    held[:, : held.shape[1] - k] = held[:, k:].copy()
+                    held[:, held.shape[1] - k :] = 0
+                    at = int(starts[i])
+                j = i + 1
+                while j < len(starts) and accessions[j] == own and starts[j] < at + window:
+                    j += 1
+                counted(held, starts[i:j] - at, batch.slice(i, j - i))
+                last, i = int(starts[j - 1]), j
+        if own is not None:
+            yield from finished()
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = one.repartitionByRange(tasks, "accession", "start").sortWithinPartitions("accession", "start")
+    found = written(dealt.mapInArrow(run, "accession string, position int, pos_a long, lag long, base_a string, base_b string, n long, sx long, sy long, sxy long"), "counts")
+    keys = ["accession", "position", "lag"]
+    edges = found.where("pos_a is not null").groupBy(*keys, "pos_a", "base_a", "base_b").agg(F.sum("n").alias("n"))
+    edges = S.doublet_statistics(edges, [*keys, "pos_a"], "base_a", "base_b", "n").where("n_reads >= 2").select(*keys, F.col("pairs").alias("n"), "sx", "sy", "sxy")
+    sums = edges.unionByName(found.where("pos_a is null").select(*keys, *[F.col(c).cast(edges.schema[c].dataType).alias(c) for c in ("n", "sx", "sy", "sxy")]))
+    return sums.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "sx", "sy", "sxy")])
 
 
 #: Functions over fragments by the names that settings choose them by.

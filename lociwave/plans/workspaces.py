@@ -39,10 +39,10 @@ def workspace(spark: SparkSession, sf_dir: str) -> str:
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     system = hadoop.Path(path).getFileSystem(conf)
 
-    def by_genome(df: DataFrame, name: str, ending: str) -> list[str]:
+    def by_genome(df: DataFrame, name: str, ending: str, compression: str = "none") -> list[str]:
         """The lines of each genome as a folder name/strains/ACCESSION/ACCESSION + ending; its accessions."""
         parts = f"{path}/parts/{name}{ending}"
-        df.write.partitionBy("acc").text(parts)
+        df.write.partitionBy("acc").text(parts, compression=compression)
         own = sorted(x.getPath().getName().split("=")[1] for x in system.globStatus(hadoop.Path(f"{parts}/acc=*")))
         for acc in own:
             system.mkdirs(hadoop.Path(f"{path}/{name}/strains/{acc}"))
@@ -57,7 +57,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> str:
     strand = F.when(F.col("k") % 2 == 0, "+").otherwise("-")
     genes = F.concat_ws("\t", F.concat(F.col("i") * 32 + 1, F.lit(".."), F.col("i") * 32 + 30), strand, F.lit("9"), F.col("k").cast("string"), F.lit("-"))
     by_genome(in_order(lines.select("acc", "k", genes.alias("value"))), "ref", ".ptt")
-    by_genome(sam, "sam", ".align.sam")
+    by_genome(sam, "sam", ".align.sam", "gzip")
     catalogue = "[" + ",".join(f'{{"Name":"s{a}","Path":"strains/{a}","GeneticCode":"11","Genomes":[{{"Accession":"ref|{a}.1|","Replicon":"chromosome"}},{{"Accession":"{a}9","Replicon":"plasmid"}}]}}' for a in own) + "]"
     for text, name in ((catalogue, "reference_strains.json"), ("one: [" + ", ".join(f"strains/{a}" for a in own) + "]", "species.yaml"), (SETTINGS, "config.yaml")):
         with opened_for_writing(f"{path}/{name}") as f:

@@ -87,9 +87,12 @@ def sliced(store: DataFrame, spans: DataFrame, key: str, size: int = BLOCK) -> D
     """
     rows = spans.where(F.col("end") > F.col("start")).select(key, "accession", F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end")).where(F.col("end") > F.col("start"))
     rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
-    met = rows.join(store.select("accession", "block", "text"), ["accession", "block"])
+    met = rows.join(store.select("accession", "block", "text", (F.octet_length("text") == F.length("text")).alias("plain")), ["accession", "block"])
     lo, hi = F.greatest(F.col("block") * size, "start"), F.least((F.col("block") + 1) * size, "end")
-    return _joined(met.select(key, lo.alias("at"), F.substr("text", (lo - F.col("block") * size + 1).cast("int"), (hi - lo).cast("int")).alias("piece")).where("piece <> ''"), [key])
+    # Letters of one byte each are cut as bytes: a text would be gone through from its first letter on for every span.
+    cut = lambda text: F.substr(text, (lo - F.col("block") * size + 1).cast("int"), (hi - lo).cast("int"))
+    piece = F.when(F.col("plain"), cut(F.col("text").cast("binary")).cast("string")).otherwise(cut(F.col("text")))
+    return _joined(met.select(key, lo.alias("at"), piece.alias("piece")).where("piece <> ''"), [key])
 
 
 def circular(store: DataFrame, spans: DataFrame, key: str, size: int = BLOCK) -> DataFrame:

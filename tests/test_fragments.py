@@ -4,11 +4,13 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lociwave import flows
 from lociwave.__main__ import main
 from lociwave.operators import fit
 from lociwave.operators import fragments as P
+from lociwave.operators import sites
 from lociwave.plans import workspaces
 from lociwave.sources import reference
 from lociwave.sources.config import settings
@@ -128,3 +130,24 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert {r["kind"] for r in fits.select("kind").distinct().collect()} == {"exp", "hyper"}
     with pytest.raises(FileNotFoundError):
         flows.cov_reads(spark, settings(flows.loaded(path), {}, out_sam="nowhere"), path)
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_reads_are_counted_by_ranges_of_the_genome(spark, monkeypatch, lower):
+    """Windows and pieces far smaller than the fragments, and ranges that share places, against pairs of letters as rows."""
+    monkeypatch.setattr(P, "PIECE", 16)
+    monkeypatch.setattr(P, "CELLS", 1)
+    rnd = random.Random(3)
+    letters = "ATGC*" + "atgc" * lower
+    rows = []
+    for i in range(240):
+        n = rnd.randrange(1, 70)
+        text = "".join(rnd.choice(letters) for _ in range(n))
+        rows.append((f"g{i % 2}", f"r{i}", rnd.randrange(150), text, "".join(rnd.choice("01234") for _ in range(n - i % 3))))
+    df = spark.createDataFrame(rows, "accession string, name string, start long, letters string, kinds string").repartition(4)
+    found = P.against_reads(df, [0, 1, 3], 7)
+    bases = [(a, p, name, start + i, x) for a, name, start, text, kinds in rows for p in (0, 1, 3) for i, (x, k) in enumerate(zip(text, kinds, strict=False)) if x != "*" and int(k) in P._kinds(p)]
+    pairs = sites.read_pair_covariance(spark.createDataFrame(bases, "accession string, position int, read_id string, pos long, base string"), ["accession", "position"], 7, 2)
+    want = pairs.groupBy("accession", "position", F.col("lag").cast("long").alias("lag")).agg(F.sum("pairs").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxy")])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    assert P.against_reads(df.where("false"), [1], 7).count() == 0
